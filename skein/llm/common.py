@@ -49,37 +49,56 @@ def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict],
     return docs.select(*names, F.col("text").cast("string")).mapInArrow(run, f"{kept}, {schema}")
 
 
-def connected_components(edges: DataFrame, folder: str) -> DataFrame:
-    """Components of an undirected graph: edges (u, v) of any orderable type -> (node, component), where component is
-    the smallest node reachable. Alternating large-star and small-star rounds; a round is written to the shared folder,
-    and only two numbers a round come to the driver. Loops and nulls are ignored; nodes without edges are not returned."""
-    spark = edges.sparkSession
-    e = saved(
-        edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-        f"{folder}/cc0",
-    )
+#: Edges that one task contracts at once.
+CONTRACT = 250_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task -> (node, smallest node of its component in this task) for every node that isn't the smallest."""
+    parent: dict = {}
+
+    def root(x):
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
 
-    def stats(d: DataFrame):
-        r = d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
+    schema = None
+    for b in batches:
+        schema = b.schema
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    if schema is not None:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], schema.field(k).type) for k in (0, 1)], names=["u", "v"])
 
-    before, k = stats(e), 0
-    while before[0]:
+
+def connected_components(edges: DataFrame, folder: str) -> DataFrame:
+    """Components of an undirected graph: edges (u, v) of integers or binaries -> (node, component), where component is
+    the smallest node reachable. Edges are contracted to stars in chunks of CONTRACT first; then rounds of large-star and
+    small-star join the chunks' stars until all are stars of their smallest nodes. A round is written to the shared
+    folder, and only counts come to the driver. Loops and nulls are ignored; nodes without edges are not returned."""
+    spark = edges.sparkSession
+    kind = edges.schema["u"].dataType.simpleString()
+    raw = saved(edges.select("u", "v").where("u is not null and v is not null and u <> v"), f"{folder}/raw")
+    chunks = -(-raw.count() // CONTRACT)
+    e = saved(raw.coalesce(max(1, chunks)).mapInArrow(_contract, f"u {kind}, v {kind}"), f"{folder}/cc0")
+    k = 0
+    while chunks > 1:
+        once = e.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if once.where("n > 1").isEmpty() and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
         k += 1
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = saved(
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{folder}/cc{k}a"
-        )
+        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(large, f"{folder}/cc{k}a")
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m)
         e = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/cc{k}")
         remove(spark, f"{folder}/cc{k}a")
         remove(spark, f"{folder}/cc{k - 1}")
-        now = stats(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
