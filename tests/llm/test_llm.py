@@ -48,7 +48,7 @@ def texts(n=400, seed=3):
 
 
 def test_exact_dedup(spark, edge, nothing):
-    rows = {(r.doc_id, r.text_sha256): r for r in exact_dedup.duplicate_groups(edge, widths=(4, 16)).collect()}
+    rows = {(r.doc_id, r.text_sha256): r for r in exact_dedup.duplicate_groups(edge, widths=(4, 16, 65536)).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert rows[1, sha("")].keep_id == 2 and rows[1, sha("")].group_size == 2
     assert rows[6, sha(LONG)].keep_id == 7 and not rows[6, sha(LONG)].kept
