@@ -33,11 +33,11 @@ def score_edits(edits: DataFrame, part: list[str], offset: Column | None = None,
         "*",
         ((F.lit(0) if offset is None else offset) + before).cast("long").alias("read_pos"),
         F.coalesce(F.lag(deletion).over(w), F.lit(False)).alias("in_deletion"),
-        (whole if total is None else total).cast("long").alias("read_total"),
+        (whole if total is None else total).cast("long").alias("__total"),
     )
     n, to = F.col("from_length"), F.col("to_length")
     at_start = F.col("read_pos") == 0
-    at_end = F.col("read_pos") + to == F.col("read_total")
+    at_end = F.col("read_pos") + to == F.col("__total")
     bonus = (at_start.cast("int") + at_end.cast("int")) * (p.end_bonus if p.read_ends else 0)
     clip = (at_start | at_end) & F.lit(p.read_ends)
     score = (
@@ -45,7 +45,7 @@ def score_edits(edits: DataFrame, part: list[str], offset: Column | None = None,
         .when(n == 0, F.when(clip, F.lit(0)).otherwise(-(p.gap_open + (to - 1) * p.gap_extend)))
         .otherwise(F.when(F.col("mismatch"), -p.mismatch * n).otherwise(p.match * n) + bonus)
     )
-    return placed.withColumn("score", score.cast("long")).drop("in_deletion", "read_total")
+    return placed.withColumn("score", score.cast("long")).drop("in_deletion", "__total")
 
 
 def aligned_bases() -> Column:
