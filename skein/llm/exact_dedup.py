@@ -50,7 +50,8 @@ def _split(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
         )
         alone = F.col("next").isNull()
         done = alone | (F.col("left") <= w)
-        split = dealt.join(groups, keys, "left").select(
+        # always a merge join: its shuffle follows the input, and its skewed side can be split
+        split = dealt.join(groups.hint("merge"), keys, "left").select(
             "doc_id",
             "row",
             "text_sha256",
