@@ -8,8 +8,9 @@ all of the shard, exact) finds recall AUDIT_RECALL or more. Found pairs are veri
 task tells how many vectors each query links with, and a spanning forest of its links, never the pairs; the forest's
 components are the answer's.
 
-The number of shards is fixed up to SHARD_MOST vectors a shard and then grows, so that work follows the number of vectors
-times its logarithm as long as shards fit one task's memory.
+Shards are at least SHARDS and hold at most about SHARD_BYTES of numbers, so that one fits a task's memory whatever the
+vectors' width; queries come in as many chunks as there are shards. Every task of the search thus holds one shard's graph
+and one chunk of the same size, and graphs and queries are each sent as often as there are shards.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
 component; vectors of different lengths never link; equal vectors are linked with each other (repeated rows count as
@@ -31,8 +32,7 @@ from skein.session import scratch
 from .common import connected_components, mix64, prepare, saved
 
 SHARDS = 4
-SHARD_MOST = 1_000_000
-CHUNK = 4096
+SHARD_BYTES = 64 << 20
 M, EF_BUILD, EF = 12, 40, 40
 AUDIT, AUDIT_RECALL = 24, 0.995
 BATCH = 128
@@ -207,6 +207,9 @@ class Graph:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one in double precision; scaled first, so that no square overflows or vanishes."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -232,33 +235,34 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     prepare(spark)
     folder = scratch(spark, "vectors")
     fine = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     first = F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id")).alias("first")
     nodes = rows.where(fine).groupBy("embedding").agg(first, F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     nodes = saved(nodes, f"{folder}/nodes")
-    total = nodes.count()
-    s = shards or max(SHARDS, -(-total // SHARD_MOST))
+    numbers = nodes.agg(F.sum(F.size("embedding").cast("long") + 8 * M)).first()[0] or 0
+    s = shards or max(SHARDS, -(-4 * numbers // SHARD_BYTES))  # of four bytes; a vector's neighbours count too
     placed = nodes.select("node", "copies", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("node"), F.lit(s)).cast("int").alias("shard"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        v = np.stack(pdf["embedding"].to_list()).astype(np.float64)
-        v = _unit(v / np.abs(v).max(1, keepdims=True))
-        held = pickle.dumps((Graph(v), v, pdf["node"].to_numpy(), pdf["copies"].to_numpy()), protocol=5)
+        raw = np.stack(pdf["embedding"].to_list())
+        graph = Graph(_unit(raw))
+        graph.x = None  # made again from the vectors, which go along as they came
+        held = pickle.dumps((graph, raw, pdf["node"].to_numpy(), pdf["copies"].to_numpy()), protocol=5)
         return pd.DataFrame({"shard": [key[0]], "width": [key[1]], "graph": [held]})
 
     graphs = saved(placed.groupBy("shard", "width").applyInPandas(build, "shard int, width int, graph binary"), f"{folder}/graphs")
-    chunks = max(1, -(-total // CHUNK))
-    asked = placed.select("node", "copies", "embedding", "width", F.pmod(F.xxhash64("node", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"))
+    asked = placed.select("node", "embedding", "width", F.pmod(F.xxhash64("node", F.lit("chunk")), F.lit(s)).cast("int").alias("chunk"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-    every = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    every = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
 
     def query(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(g):
             return pd.DataFrame({"node": [], "links": [], "u": [], "v": []}).astype("int64")
-        graph, v, node, copies = pickle.loads(g["graph"].iloc[0])
-        x = np.stack(q["embedding"].to_list()).astype(np.float64)
-        x = _unit(x / np.abs(x).max(1, keepdims=True))
+        graph, raw, node, copies = pickle.loads(g["graph"].iloc[0])
+        v, x = _unit(raw), _unit(np.stack(q["embedding"].to_list()))
+        graph.x = v.astype(np.float32)
         own = q["node"].to_numpy()
         found, _ = audited(graph, x.astype(np.float32), threshold - 1e-5)
         links, u, w = np.zeros(len(q), np.int64), [], []
