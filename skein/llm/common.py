@@ -49,12 +49,13 @@ def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict],
     return docs.select(*names, F.col("text").cast("string")).mapInArrow(run, f"{kept}, {schema}")
 
 
-#: Edges that one task contracts at once.
+#: Edges that a task contracts at once.
 CONTRACT = 250_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one task -> (node, smallest node of its component in this task) for every node that isn't the smallest."""
+    """Edges of one task -> (node, smallest node of its component) for every node that isn't the smallest. A task of many
+    edges does so for each CONTRACT of them or a few more, so that what it holds is bounded."""
     parent: dict = {}
 
     def root(x):
@@ -62,16 +63,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent[y]
         return x
 
-    schema = None
+    def stars(schema):
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+
+    edges = 0
     for b in batches:
-        schema = b.schema
         for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             u, v = root(u), root(v)
             if u != v:
                 parent[max(u, v)] = min(u, v)
-    if schema is not None:
-        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+        edges += b.num_rows
+        if edges > CONTRACT:
+            yield stars(b.schema)
+            edges = 0
+    if parent:
+        yield stars(b.schema)
 
 
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
