@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame, functions as F
+
+from .scoring import Params
+
 
 def _round(x: float) -> int:
     """Half away from zero."""
@@ -44,3 +48,38 @@ def tables(match: int = 1, mismatch: int = 4, bonus: int = 5, most: int = 255) -
         else:
             end.append(_round(math.log((1 - 4 / 3 * e) * math.exp(lam * bonus) + 4 / 3 * e) / lam))
     return hit, miss, end
+
+
+def oriented(seq, reverse):
+    """A node's sequence as it is read: the reverse complement if reverse."""
+    return F.when(reverse, F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))).otherwise(seq)
+
+
+def placed_bases(scored: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edits that stand on bases of both sides and have qualities (bases, quals and ref_pos as from convert.edit_rows),
+    with the node's bases under them (ref). Joined on the node, a shuffle of edits unless the nodes are small."""
+    both = scored.where("quals is not null and from_length > 0 and to_length > 0")
+    under = both.join(nodes.select("node", "seq"), "node")
+    return under.withColumn("ref", F.substring(oriented(F.col("seq"), F.col("read_rev")), (F.col("ref_pos") + 1).cast("int"), F.col("to_length").cast("int"))).drop("seq")
+
+
+def outside(placed: DataFrame) -> DataFrame:
+    """Edits that reach beyond the read or the node."""
+    return placed.where("length(bases) < to_length or length(quals) < to_length or length(ref) < to_length").select("read", "node", "read_pos", "ref_pos", "to_length")
+
+
+def adjust(placed: DataFrame, p: Params = Params()) -> DataFrame:
+    """placed_bases() with the score replaced: each base's table value at its quality (0 where either base is unknown),
+    and a bonus by quality at a read end."""
+    hit, miss, end = (F.array(*[F.lit(x) for x in t]) for t in tables(p.match, p.mismatch, p.end_bonus))
+    at = lambda name, k: F.upper(F.substring(F.col(name), k, F.lit(1)))
+    quality = lambda k: F.conv(F.hex(F.substring(F.col("quals"), k, F.lit(1))), 16, 10).cast("int")
+    known = lambda base: base.isin("A", "C", "G", "T")
+    each = lambda k: F.when(
+        known(at("bases", k)) & known(at("ref", k)), F.when(at("bases", k) == at("ref", k), F.get(hit, quality(k))).otherwise(F.get(miss, quality(k)))
+    ).otherwise(0)
+    to = F.col("to_length").cast("int")
+    total = F.aggregate(F.sequence(F.lit(1), to), F.lit(0).cast("long"), lambda acc, k: acc + each(k).cast("long"))
+    first = F.when(F.col("read_pos") == 0, F.get(end, quality(F.lit(1)))).otherwise(0)
+    last = F.when(F.col("read_pos") + F.col("to_length") == F.col("read_total"), F.get(end, quality(to))).otherwise(0)
+    return placed.withColumn("score", total + (first + last if p.read_ends else 0))

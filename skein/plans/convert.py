@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.functions import molecule as mol, scoring
+from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, checks, ledger as led
 from skein.operators.checks import InputError
 
@@ -25,6 +25,7 @@ class Options:
     failures: str = "skip"
     strand: str = "both"
     count_mode: str = "score"
+    scores: str = "flat"
 
     def check(self, has_body: bool) -> None:
         mol.check_lengths(self.barcode_length, self.umi_length)
@@ -34,18 +35,35 @@ class Options:
             raise ValueError(f"strand: one of {attribute.STRANDS}")
         if self.count_mode not in ("score", *led.MODES):
             raise ValueError(f"count mode: score or one of {led.MODES}")
+        if self.scores not in ("flat", "qualadj"):
+            raise ValueError("scores: flat or qualadj")
         if (self.count_mode != "score") != has_body:
             raise ValueError("the gene count modes need a body map, and only they do")
 
 
-def edit_rows(reads: DataFrame) -> DataFrame:
-    """A row per edit: read, rec, sub, map, ord, node, read_rev, from_length, to_length, mismatch, read_offset, read_total."""
-    lengths = F.expr("transform(subpath, s -> aggregate(s.mapping, bigint(0), (a, m) -> a + aggregate(m.edit, bigint(0), (b, e) -> b + e.to_length)))")
-    r = reads.select(F.col("name").alias("read"), F.col("ord").alias("rec"), F.length("sequence").alias("read_total"), lengths.alias("lengths"), F.expr("transform(subpath, s -> s.next)").alias("nexts"), "start", "subpath")
-    r = r.select("read", "rec", "read_total", scoring.read_offsets("lengths", "nexts", "start").alias("offsets"), F.posexplode("subpath").alias("sub", "s"))
-    r = r.select("read", "rec", "sub", "read_total", F.expr("offsets[sub]").alias("read_offset"), F.posexplode(F.col("s.mapping")).alias("map", "m"))
-    return r.select("read", "rec", "sub", "map", "read_total", "read_offset", F.col("m.node").alias("node"), F.col("m.is_reverse").alias("read_rev"), F.posexplode(F.col("m.edit")).alias("e_ord", "e")).select(
-        "read", "rec", "sub", "map", "read_total", "read_offset", "node", "read_rev", F.struct("map", "e_ord").alias("ord"), "e.from_length", "e.to_length", (F.col("e.sequence") != "").alias("mismatch")
+def edit_rows(reads: DataFrame, bases: bool = False) -> DataFrame:
+    """A row per edit: read, rec, sub, map, ord, node, read_rev, from_length, to_length, mismatch, read_offset, read_total.
+    With bases, also the read's bases and qualities under the edit (quals null where the record has no quality for each
+    base) and ref_pos, its place in the node."""
+    sizes = "aggregate({0}, bigint(0), (a, x) -> a + x.{1})"
+    lengths = F.expr(f"transform(subpath, s -> aggregate(s.mapping, bigint(0), (c, m) -> c + {sizes.format('m.edit', 'to_length')}))")
+    own = ["sequence", "quality"] if bases else []
+    r = reads.select(F.col("name").alias("read"), F.col("ord").alias("rec"), F.length("sequence").alias("read_total"), *own, lengths.alias("lengths"), F.expr("transform(subpath, s -> s.next)").alias("nexts"), "start", "subpath")
+    r = r.select("read", "rec", "read_total", *own, scoring.read_offsets("lengths", "nexts", "start").alias("offsets"), F.posexplode("subpath").alias("sub", "s"))
+    ahead = [F.expr(f"aggregate(slice(s.mapping, 1, map), bigint(0), (c, m) -> c + {sizes.format('m.edit', 'to_length')})").alias("ahead")] if bases else []
+    r = r.select("read", "rec", "sub", "read_total", *own, F.expr("offsets[sub]").alias("read_offset"), "s", F.posexplode(F.col("s.mapping")).alias("map", "m"))
+    r = r.select("read", "rec", "sub", "map", "read_total", *own, "read_offset", *ahead, "m", F.posexplode(F.col("m.edit")).alias("e_ord", "e"))
+    if bases:
+        before = "slice(m.edit, 1, e_ord)"
+        at = f"int(read_offset + ahead + {sizes.format(before, 'to_length')} + 1)"
+        full = "sequence <> '' and octet_length(quality) = length(sequence)"
+        own = [
+            F.expr(f"substring(sequence, {at}, int(e.to_length))").alias("bases"),
+            F.expr(f"if({full}, substring(quality, {at}, int(e.to_length)), null)").alias("quals"),
+            F.expr(f"m.offset + {sizes.format(before, 'from_length')}").alias("ref_pos"),
+        ]
+    return r.select(
+        "read", "rec", "sub", "map", "read_total", "read_offset", F.col("m.node").alias("node"), F.col("m.is_reverse").alias("read_rev"), F.struct("map", "e_ord").alias("ord"), "e.from_length", "e.to_length", (F.col("e.sequence") != "").alias("mismatch"), *own
     )
 
 
@@ -64,11 +82,17 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     if options.failures == "fail":
         checks.require(groups.where("m.status <> 'ok'").orderBy("ord").select("name", "m.status"), "a molecule name can't be read")
     ok = reads.where((identity["status"] == "ok") & (F.size("subpath") > 0))
-    edits = edit_rows(ok)
     score_mode = options.count_mode == "score"
+    adjusted = score_mode and options.scores == "qualadj"
+    edits = edit_rows(ok, adjusted)
     if score_mode:
         scored = scoring.score_edits(edits, ["read", "rec", "sub"], F.col("read_offset"), F.col("read_total"))
         checks.require(checks.missing(edits, nodes, "node"), "a node is not in the graph")
+        if adjusted:
+            placed = quality.placed_bases(scored, nodes)
+            checks.require(quality.outside(placed), "an edit reaches beyond its read or node")
+            rest = scored.where("not (quals is not null and from_length > 0 and to_length > 0)")
+            scored = quality.adjust(placed).select(*scored.columns).union(rest)
         m = scored.withColumn("aligned", scoring.aligned_bases())
         named = t2g.withColumn("target", attribute.transcript_of(F.col("path")))
         checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes")

@@ -1,6 +1,8 @@
 """Hand-made alignments with derived results, and the driver's queries against their SQL."""
 
+import base64
 import json
+import random
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions import molecule as mol, quality, scoring
 from skein.operators.checks import InputError
 from skein.plans import driver, oracle
-from skein.plans.convert import Options, convert
+from skein.plans.convert import Options, convert, edit_rows
 from skein.sources import readers, writers
 
 GFA = "S\t1\tACGTACGTAC\nS\t2\tTTTTGGGGCC\nS\t3\tAAAACCCCGG\nS\t4\tGGGGTTTTAA\nS\t5\tTTTTTTTTTT\nL\t1\t+\t2\t+\t0M\nP\tNM_1.1_H1\t1+,2+,3+\t*\nP\tNM_1.1_H2\t1+,2+,3+\t*\nP\tNM_2.2_R1\t2+,4+\t*\n"
@@ -104,3 +106,68 @@ def test_queries(spark, name):
     cols = sorted(got.columns)
     want = c.execute(f"select {', '.join(cols)} from ({oracle.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.select(*cols).collect()), key=repr) == sorted(want, key=repr)
+
+
+def brute_adjusted(r, nodes):
+    """(node, score) of each mapping of a read with one subpath, base by base."""
+    hit, miss, end = quality.tables()
+    pos, out, gap = 0, [], False
+    for m in r["subpath"][0]["path"]["mapping"]:
+        seq, at, score = nodes[int(m["position"]["node_id"])], int(m["position"].get("offset", 0)), 0
+        if m["position"].get("is_reverse"):
+            seq = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        for e in m["edit"]:
+            n, to = e.get("from_length", 0), e.get("to_length", 0)
+            ends = (pos == 0) + (pos + to == len(r["sequence"]))
+            if n and to:
+                for k in range(to):
+                    a, b, q = seq[at + k].upper(), r["sequence"][pos + k].upper(), r["raw"][pos + k]
+                    score += 0 if a not in "ACGT" or b not in "ACGT" else hit[q] if a == b else miss[q]
+                score += end[r["raw"][pos]] * (pos == 0) + end[r["raw"][pos + to - 1]] * (pos + to == len(r["sequence"]))
+                gap = False
+            elif n:
+                score -= n if gap else 6 + n - 1
+                gap = True
+            elif to:
+                score -= 0 if ends else 6 + to - 1
+                gap = False
+            pos, at = pos + to, at + n
+        out.append((int(m["position"]["node_id"]), score))
+    return out
+
+
+def test_quality_adjusted(spark, tmp_path, graph):
+    rng = random.Random(3)
+    nodes = {r.node: r.seq for r in graph[0].collect()}
+    rows = []
+    for i in range(40):
+        maps, seq = [], ""
+        for n in rng.sample([1, 2, 3, 4], 2):
+            skip, cut, more = rng.randrange(3), rng.randrange(1, 3), rng.randrange(1, 3)
+            edit = [{"from_length": 2, "to_length": 2}, {"from_length": cut}, {"to_length": more, "sequence": "A" * more}, {"from_length": 1, "to_length": 1, "sequence": "C"}, {"from_length": 2, "to_length": 2}]
+            maps.append({"position": {"node_id": str(n), "offset": str(skip)} | ({"is_reverse": True} if rng.random() < 0.5 else {}), "edit": edit})
+            seq += "".join(rng.choice("ACGTNacgt") for _ in range(5 + more))
+        raw = bytes(rng.choice((0, 1, 2, 3, 11, 25, 40, 200)) for _ in seq)
+        rows.append({"name": f"r{i}_{CB}_{'A' * 12}", "sequence": seq, "quality": base64.b64encode(raw).decode(), "raw": raw, "subpath": [{"path": {"mapping": maps}}]})
+    reads = load(spark, tmp_path, [{k: v for k, v in r.items() if k != "raw"} for r in rows])
+    edits = edit_rows(reads, bases=True)
+    scored = scoring.score_edits(edits, ["read", "rec", "sub"], F.col("read_offset"), F.col("read_total"))
+    placed = quality.placed_bases(scored, graph[0])
+    assert quality.outside(placed).count() == 0
+    rest = scored.where("not (quals is not null and from_length > 0 and to_length > 0)")
+    both = quality.adjust(placed).select(*scored.columns).union(rest).groupBy("read", "map", "node").agg(F.sum("score").alias("score"))
+    got = {(r.read, r.map): (r.node, r.score) for r in both.collect()}
+    assert got == {(r["name"], i): x for r in rows for i, x in enumerate(brute_adjusted(r, nodes))}
+
+
+def test_quality_decides_and_falls_back(spark, tmp_path, graph):
+    """Without a quality for each base the scores are flat ones; an edit beyond its node is refused."""
+    plain = {(r.read, r.target, r.forward) for r in convert(spark, load(spark, tmp_path, SMOKE), *graph)["targets"].collect()}
+    assert {(r.read, r.target, r.forward) for r in convert(spark, load(spark, tmp_path, SMOKE), *graph, Options(scores="qualadj"))["targets"].collect()} == plain
+    far = read("x", [1])
+    far["quality"] = base64.b64encode(b"\x28" * 10).decode()
+    far["subpath"][0]["path"]["mapping"][0]["position"]["offset"] = "3"
+    with pytest.raises(InputError):
+        convert(spark, load(spark, tmp_path, [far]), *graph, Options(scores="qualadj"))
+    with pytest.raises(ValueError):
+        convert(spark, load(spark, tmp_path, SMOKE), *graph, Options(scores="other"))
