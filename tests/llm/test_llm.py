@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,14 @@ def test_components_over_chunks(spark, tmp_path, monkeypatch):
     assert want == [] and got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
 
 
+def test_contract_in_bounded_chunks(monkeypatch):
+    monkeypatch.setattr(common, "CONTRACT", 3)
+    batch = lambda *e: pa.RecordBatch.from_arrays([pa.array([x for x, _ in e]), pa.array([y for _, y in e])], names=["u", "v"])
+    out = [b.to_pydict() for b in common._contract([batch((1, 2), (2, 3)), batch((4, 3), (9, 8)), batch((1, 9))])]
+    assert [sorted(zip(b["u"], b["v"])) for b in out] == [[(2, 1), (3, 1), (4, 1), (9, 8)], [(9, 1)]]
+    assert list(common._contract([])) == []
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
