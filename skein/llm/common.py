@@ -49,6 +49,28 @@ def map_texts(docs: DataFrame, keep: list[str], fn: Callable[[list[str]], dict],
     return docs.select(*names, F.col("text").cast("string")).mapInArrow(run, f"{kept}, {schema}")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Parts that the rows of a group are dealt to.
+PARTS = 1024
+
+
+def with_group(rows: DataFrame, keys: list[str], within: str, first: list[Column], again: list[Column]) -> DataFrame:
+    """rows with aggregates of their group (of equal keys, never null) added, though one group may hold a third of all rows:
+    a group's rows are dealt to PARTS parts by the column `within`. `first` aggregates a part, `again` the parts' results,
+    which then reach the rows by way of their part, so no task meets more than a part of a group's rows or PARTS results."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(within), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy(*keys, "__part").agg(*first)
+    told = parts.select(*keys, "__part").join(parts.groupBy(*keys).agg(*again), keys)
+    return dealt.join(told, [*keys, "__part"]).drop("__part")
+
+
 #: Edges that a task contracts at once.
 CONTRACT = 250_000
 
@@ -85,8 +107,8 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, folder: str) -> DataFrame:
     """Components of an undirected graph: edges (u, v) of integers or binaries -> (node, component), where component is
     the smallest node reachable. Edges are contracted to stars in chunks of CONTRACT first; then rounds of large-star and
-    small-star join the chunks' stars until all are stars of their smallest nodes. A round is written to the shared
-    folder, and only counts come to the driver. Loops and nulls are ignored; nodes without edges are not returned."""
+    small-star join the chunks' stars until all are stars of their smallest nodes; a node that very many edges share is
+    dealt to parts. A round is written to the shared folder, and only counts come to the driver. Loops and nulls are ignored; nodes without edges are not returned."""
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType.simpleString()
     raw = saved(edges.select("u", "v").where("u is not null and v is not null and u <> v"), f"{folder}/raw")
@@ -98,12 +120,11 @@ def connected_components(edges: DataFrame, folder: str) -> DataFrame:
         if once.where("n > 1").isEmpty() and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
         k += 1
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = with_group(e.union(e.select("v", "u")), ["u"], "v", [F.min("v").alias("m")], [F.min("m").alias("m")])
+        large = both.where("v > u").withColumn("m", F.least("u", "m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large, f"{folder}/cc{k}a")
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m)
+        m = with_group(large, ["u"], "v", [F.min("v").alias("m")], [F.min("m").alias("m")])
+        small = m.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = saved(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{folder}/cc{k}")
         remove(spark, f"{folder}/cc{k}a")
         remove(spark, f"{folder}/cc{k - 1}")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved, scratch
+from .common import saved, scratch, unused
 
 #: Bytes read in each round; the last width repeats.
 WIDTHS = (64, 1024, 16384, 262144, 1048576)
@@ -78,6 +78,7 @@ def _split(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
 def drop_duplicates(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """The rows of docs, with all their columns, whose text no row with a larger id has; of rows repeated with id and
     text, one stays."""
-    named = saved(docs.withColumn("__row", F.monotonically_increasing_id()), scratch(docs.sparkSession, "radix-in"))
-    stays = _split(named.select("doc_id", "text", F.col("__row").alias("row")), widths).where("stays").select(F.col("row").alias("__row"))
-    return named.join(stays, "__row", "left_semi").select(*docs.columns)
+    own = unused(docs, "__row")
+    named = saved(docs.withColumn(own, F.monotonically_increasing_id()), scratch(docs.sparkSession, "radix-in"))
+    stays = _split(named.select("doc_id", "text", F.col(own).alias("row")), widths).where("stays").select(F.col("row").alias(own))
+    return named.join(stays, own, "left_semi").select(*docs.columns)

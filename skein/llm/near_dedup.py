@@ -12,6 +12,9 @@
    pair across components stays untested.
 4. Components are made by star contraction (common.connected_components), and joined back to all documents.
 
+What is known of a cluster or component reaches its rows by way of salted parts (common.with_group), so that one of a
+third of all classes meets in no single task.
+
 A bucket of more than BLOCK classes isn't compared as a whole: its blocks are, and all of it becomes one provisional
 cluster, which step 3 examines exactly.
 
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.session import scratch
 
-from .common import connected_components, map_texts, mix64, prepare, saved
+from .common import connected_components, map_texts, mix64, prepare, saved, unused, with_group
 
 HASHES, BANDS, ROWS, BATCH = 64, 16, 4, 16
 MISS = 1e-6
@@ -225,9 +228,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: f
     """The rows of docs, with all their columns, that are the first of their component: of the smallest doc_id, and of
     rows repeated with that id, one. Rows without words stay, each."""
     spark = docs.sparkSession
-    named = saved(docs.withColumn("__row", F.monotonically_increasing_id()), f"{scratch(spark, 'near-in')}/docs")
-    found = _components(named.select("doc_id", "text", F.col("__row").alias("row")), k, percent, miss, block)
-    return named.join(found.where("stays").select(F.col("row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    own = unused(docs, "__row")
+    named = saved(docs.withColumn(own, F.monotonically_increasing_id()), f"{scratch(spark, 'near-in')}/docs")
+    found = _components(named.select("doc_id", "text", F.col(own).alias("row")), k, percent, miss, block)
+    return named.join(found.where("stays").select(F.col("row").alias(own)), own, "left_semi").select(*docs.columns)
 
 
 def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int) -> DataFrame:
@@ -245,7 +249,7 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
     # buckets of two or more classes
     band = nodes.select("node", F.explode("bands").alias("bucket"))
     full = saved(band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1"), f"{folder}/buckets")
-    member = band.join(full, "bucket")
+    member = band.join(full.hint("merge"), "bucket")  # both sides are plain shuffles, so a hot bucket can be split
     member = saved(member.withColumn("part", F.when(F.col("size") > block, F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / block))).otherwise(0).cast("int")), f"{folder}/members")
     whole = member.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))  # one cluster
     shown = member.where(F.col("size") <= block).select("bucket", "node").join(nodes.select("node", "sig"), "node").select("bucket", "node", "sig")
@@ -264,9 +268,12 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
     clusters = saved(connected_components(near, f"{folder}/clusters"), f"{folder}/cluster")
 
     # texts of each cluster, in blocks
-    size = clusters.join(nodes.select("node", "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("load"))
-    size = size.select("component", F.ceil(F.greatest(F.col("members") / block, F.col("load") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = clusters.join(size, "component").join(nodes.select("node", F.col("first.row").alias("row")), "node")
+    known = clusters.join(nodes.select("node", "n", F.col("first.row").alias("row")), "node")
+    placed = with_group(
+        known, ["component"], "node",
+        [F.count(F.lit(1)).alias("members"), F.sum("n").alias("load")],
+        [F.sum("members").alias("members"), F.sum("load").alias("load")],
+    ).withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("load") / BLOCK_SHINGLES)).cast("int"))
     texts = saved(placed.join(docs.select("row", "text"), "row").select("component", "blocks", "node", "text"), f"{folder}/texts")
 
     def verify(batches):
@@ -296,9 +303,13 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
         if large.isEmpty():
             break
         now = large.select("component", "blocks", "node").join(linked.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = now.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-        top = sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-        told = now.join(top.where("labels > 1"), "component").select("node", "label", (F.col("label") != F.col("top.label")).alias("probe"))
+        now = with_group(now, ["component", "label"], "node", [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")])
+        now = with_group(
+            now, ["component"], "node",
+            [F.max(F.struct("n", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")],
+            [F.max("top").alias("top"), F.min("low").alias("low"), F.max("high").alias("high")],
+        )
+        told = now.where("low <> high").select("node", "label", (F.col("label") != F.col("top.label")).alias("probe"))
         told = saved(told, f"{folder}/told{step}")
         work = large.join(told, "node")
         if step == 1:
@@ -311,8 +322,9 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
         linked = saved(connected_components(edges, f"{folder}/linked{step}"), f"{folder}/labels{step}")
 
     named = nodes.select("node", "first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("first").alias("best"))
-    answer = saved(named.join(best, "component").select("node", "best"), f"{folder}/answer")
+    named = saved(named, f"{folder}/named")
+    answer = with_group(named, ["component"], "node", [F.min("first").alias("best")], [F.min("best").alias("best")])
+    answer = saved(answer.select("node", "best"), f"{folder}/answer")
     return rows.select("doc_id", "row", "n_shingles", "node").join(answer, "node", "left").select(
         "doc_id",
         "row",

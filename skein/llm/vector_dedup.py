@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.session import scratch
 
-from .common import connected_components, mix64, prepare, saved
+from .common import connected_components, mix64, prepare, saved, with_group
 
 SHARDS = 4
 SHARD_BYTES = 64 << 20
@@ -292,9 +292,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     found = saved(found, f"{folder}/found")
     links = found.where("u < 0").groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("u >= 0").select("u", "v"), f"{folder}/cc")
-    named = nodes.select("node", "embedding", "copies", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = named.groupBy("component").agg(F.min("first").alias("best"))
-    answer = named.join(best, "component").join(links, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("best.vec_id").alias("best"))
+    named = saved(nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{folder}/named")
+    best = with_group(named, ["component"], "node", [F.min("first").alias("best")], [F.min("best").alias("best")]).select("node", "best")
+    answer = nodes.select("node", "embedding", "copies").join(best, "node").join(links, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("best.vec_id").alias("best"))
     answer = saved(answer, f"{folder}/answer")
     known = rows.join(answer, "embedding", "left")
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("best"))

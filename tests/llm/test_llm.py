@@ -119,7 +119,6 @@ def test_components_over_chunks(spark, tmp_path, monkeypatch):
     edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(500)]
     monkeypatch.setattr(common, "CONTRACT", 40)
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(12), f"file://{tmp_path}").collect()}
-    want = brute_components([set() for _ in range(0)], 1)
     parent = list(range(600))
 
     def root(x):
@@ -130,7 +129,33 @@ def test_components_over_chunks(spark, tmp_path, monkeypatch):
     for a, b in edges:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    assert want == [] and got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+    assert got == {x: root(x) for e in edges for x in e if e[0] != e[1]}
+
+
+def test_components_of_a_hub(spark, tmp_path, monkeypatch):
+    """A third of all nodes hang on one node, which isn't the smallest."""
+    monkeypatch.setattr(common, "CONTRACT", 30)
+    edges = [(500, x) for x in range(1, 200)] + [(2 * x, 2 * x + 1) for x in range(400, 600)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(9), f"file://{tmp_path}").collect()}
+    assert got == {500: 1} | {x: 1 for x in range(1, 200)} | {x: x - x % 2 for x in range(800, 1200)}
+
+
+def test_with_group(spark, nothing):
+    rows = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 50}", i) for i in range(1500)], "k string, i long")
+    told = common.with_group(rows, ["k"], "i", [F.min("i").alias("low"), F.count(F.lit(1)).alias("n")], [F.min("low").alias("low"), F.sum("n").alias("n")])
+    want = {}
+    for k, i in rows.collect():
+        low, n = want.get(k, (i, 0))
+        want[k] = (min(low, i), n + 1)
+    got = told.collect()
+    assert len(got) == 1500 and all((r.low, r.n) == want[r.k] for r in got)
+    assert common.with_group(nothing, ["lang"], "row", [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")]).count() == 0
+
+
+def test_dropping_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (3, "", 9, "z")], "doc_id long, text string, __ROW long, component string")
+    assert sorted(tuple(r) for r in exact_dedup.drop_duplicates(docs).collect()) == [(2, "a b c d e f", 8, "y"), (3, "", 9, "z")]
+    assert sorted(tuple(r) for r in near_dedup.drop_near_duplicates(docs).collect()) == [(1, "a b c d e f", 7, "x"), (3, "", 9, "z")]
 
 
 def test_contract_in_bounded_chunks(monkeypatch):
