@@ -8,8 +8,10 @@
    told as a spanning forest, never as all its pairs. The forest's components are provisional clusters.
 3. Texts of a cluster are brought together once, in blocks of bounded size. In a block, pairs are pruned by the same
    bounds and then verified on their full sets, skipping pairs already connected. Clusters of several blocks are dealt
-   anew once more, and then every class outside its cluster's largest component is compared with all blocks, so that no
-   pair across components stays untested.
+   anew once more, and then every class outside its cluster's largest component (a probe) is compared with the whole
+   cluster, so that no pair across components stays untested: probes are dealt to blocks, too, their signatures are
+   compared with those of GROUP x GROUP pairs of blocks a task, and only texts of pairs that aren't pruned go on to
+   their pair of blocks, where they are verified. A task holds two blocks, however many probes a cluster has.
 4. Components are made by star contraction (common.connected_components), and joined back to all documents.
 
 What is known of a cluster or component reaches its rows by way of salted parts (common.with_group), so that one of a
@@ -43,6 +45,8 @@ MISS = 1e-6
 BLOCK = 512
 #: A block holds about this many shingles at most, however long its texts are.
 BLOCK_SHINGLES = 2_000_000
+#: Blocks on either side whose signatures a task compares at once.
+GROUP = 4
 _A = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _P = np.uint64(0x9FB21C651E98DF25)
 _MAX_WORDS = 400_000
@@ -163,6 +167,27 @@ def _verified(sets: list[np.ndarray], sigs: np.ndarray, label: np.ndarray, probe
     return edges
 
 
+def _meetings(rows: list[tuple], percent: int, cuts: list[int]) -> set[tuple[int, int]]:
+    """rows (component, part, node, size, label, probe, sig, blocks, c, q, side) of some blocks of probes (side) and some
+    blocks of members -> (pair of blocks, row's place) for every pair of a probe and a member that isn't pruned, without
+    those of equal labels; a pair of two probes is looked at once."""
+    sigs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, HASHES)
+    size = np.array([r[3] for r in rows])
+    _, label = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
+    _, rank = np.unique(np.array([r[2].hex() for r in rows]), return_inverse=True)
+    probe, side = np.array([r[5] for r in rows]), np.array([r[10] for r in rows])
+    members, met = np.nonzero(~side)[0], set()
+    for i in np.nonzero(side)[0]:
+        o = size[members]
+        keep = (label[members] != label[i]) & (100 * np.minimum(o, size[i]) >= percent * np.maximum(o, size[i]))
+        keep &= ~probe[members] | (rank[members] > rank[i])
+        for j in _candidates(sigs, i, members[keep], cuts)[0]:
+            part = rows[i][9] * rows[i][7] + rows[j][8]
+            met.add((part, int(i)))
+            met.add((part, int(j)))
+    return met
+
+
 def _grouped(batches, keys: int):
     """Sorted Arrow batches -> lists of row dicts, one list for each run of equal first `keys` columns."""
     held, last = [], None
@@ -274,7 +299,7 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
         [F.count(F.lit(1)).alias("members"), F.sum("n").alias("load")],
         [F.sum("members").alias("members"), F.sum("load").alias("load")],
     ).withColumn("blocks", F.ceil(F.greatest(F.col("members") / block, F.col("load") / BLOCK_SHINGLES)).cast("int"))
-    texts = saved(placed.join(docs.select("row", "text"), "row").select("component", "blocks", "node", "text"), f"{folder}/texts")
+    texts = saved(placed.join(docs.select("row", "text"), "row").select("component", "blocks", "node", "text", F.col("n").alias("size")), f"{folder}/texts")
 
     def verify(batches):
         def found():
@@ -296,28 +321,47 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
     def dealt_by(t: DataFrame, salt: str):
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int").alias("part")
 
+    def meet(batches):
+        for rows_ in _grouped(batches, 2):
+            found = sorted(_meetings(rows_, percent, cuts))
+            for a in range(0, len(found), 10_000):
+                part = [(p, rows_[i]) for p, i in found[a : a + 10_000]]
+                cols = [pa.array([r[0] for _, r in part], pa.binary()), pa.array([p for p, _ in part], pa.int64())]
+                cols += [pa.array([r[k] for _, r in part], pa.binary()) for k in (2, 4)] + [pa.array([r[5] for _, r in part], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(cols, names=["component", "part", "node", "label", "probe"])
+
+    def met(told: DataFrame) -> DataFrame:
+        """The classes that each pair of a block of probes and a block of the cluster has to verify."""
+        here = told.join(nodes.select("node", "sig"), "node").withColumn("c", F.pmod(F.xxhash64("node", F.lit("c")), F.col("blocks")))
+        here = here.withColumn("q", F.when(F.col("probe"), F.pmod(F.xxhash64("node", F.lit("q")), F.col("probe_blocks"))))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / GROUP).cast("int")))
+        one = here.withColumn("at", every("probe_blocks")).withColumn("part", F.col("at") * F.col("blocks").cast("long") + F.floor(F.col("c") / GROUP)).withColumn("side", F.lit(False))
+        two = here.where("probe").withColumn("at", every("blocks")).withColumn("part", F.floor(F.col("q") / GROUP) * F.col("blocks") + F.col("at")).withColumn("side", F.lit(True))
+        sides = [t.select("component", F.col("part").cast("long"), "node", "size", "label", "probe", "sig", "blocks", "c", "q", "side") for t in (one, two)]
+        dealt = sides[0].union(sides[1]).repartition("component", "part").sortWithinPartitions("component", "part")
+        return dealt.mapInArrow(meet, "component binary, part long, node binary, label binary, probe boolean")
+
     edges = verified(texts.select("component", dealt_by(texts, "a"), "node", "text", F.col("node").alias("label"), F.lit(True).alias("probe")), "edges0")
     linked = saved(connected_components(edges, f"{folder}/linked0"), f"{folder}/labels0")
     for step in (1, 2):
         large = texts.where("blocks > 1")
         if large.isEmpty():
             break
-        now = large.select("component", "blocks", "node").join(linked.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        now = with_group(now, ["component", "label"], "node", [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")])
+        now = large.select("component", "blocks", "node", "size").join(linked.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = with_group(now, ["component", "label"], "node", [F.count(F.lit(1)).alias("n"), F.sum("size").alias("load")], [F.sum("n").alias("n"), F.sum("load").alias("load")])
         now = with_group(
             now, ["component"], "node",
-            [F.max(F.struct("n", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")],
-            [F.max("top").alias("top"), F.min("low").alias("low"), F.max("high").alias("high")],
+            [F.max(F.struct("n", "label", "load")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"), F.sum("size").alias("all")],
+            [F.max("top").alias("top"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("members"), F.sum("all").alias("all")],
         )
-        told = now.where("low <> high").select("node", "label", (F.col("label") != F.col("top.label")).alias("probe"))
+        probes = F.greatest((F.col("members") - F.col("top.n")) / block, (F.col("all") - F.col("top.load")) / BLOCK_SHINGLES)
+        told = now.where("low <> high").select("blocks", "node", "size", "component", "label", (F.col("label") != F.col("top.label")).alias("probe"), F.ceil(probes).cast("int").alias("probe_blocks"))
         told = saved(told, f"{folder}/told{step}")
-        work = large.join(told, "node")
         if step == 1:
+            work = large.join(told.select("node", "label", "probe"), "node")
             work = work.select("component", dealt_by(work, "b"), "node", "text", "label", F.lit(True).alias("probe"))
         else:
-            here = work.select("component", dealt_by(work, "c"), "node", "text", "label", "probe", "blocks")
-            others = here.where("probe").withColumn("every", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("every <> part")
-            work = here.drop("blocks").union(others.select("component", F.col("every").cast("int").alias("part"), "node", "text", "label", "probe"))
+            work = met(told).join(large.select("node", "text"), "node")
         edges = edges.union(verified(work, f"edges{step}"))
         linked = saved(connected_components(edges, f"{folder}/linked{step}"), f"{folder}/labels{step}")
 

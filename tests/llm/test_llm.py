@@ -99,6 +99,26 @@ def test_near_dedup_brute(spark, block):
     assert all(r.n_shingles == len(shingles(t[r.doc_id])) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_dedup_of_unlinked_texts_in_bounded_blocks(spark, monkeypatch):
+    """Texts that share much, though too little for a link, and some that link: no task holds more than two blocks."""
+    rng = random.Random(9)
+    stem = [f"b{i}" for i in range(120)]
+    t = [" ".join(stem + [f"x{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(240)]
+    t += [t[7 * i] + f" tail{i}" for i in range(30)]
+    seen, real = [], type(spark.range(1)).mapInArrow
+
+    def spied(self, f, schema, *a, **k):
+        if {"component", "part", "text"} <= set(self.columns):
+            seen.append(self.groupBy("component", "part").count().agg(F.max("count")).first()[0] or 0)
+        return real(self, f, schema, *a, **k)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", spied)
+    sets = [{tuple(x.split()[i : i + 3]) for i in range(len(x.split()) - 2)} for x in t]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), 3, 85, block=16).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_components(sets, 85)))
+    assert len(seen) == 3 and max(seen) <= 3 * 16  # two blocks, dealt by a hash
+
+
 def test_near_dedup_edges(spark, edge, nothing):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(edge, 3, 85).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 1, 4), (8, 1, 4), (None, 1, 4)], key=str)
