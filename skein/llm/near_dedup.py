@@ -244,7 +244,9 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept (doc_id = component_id), row per row, with links where
     100 * shared >= percent * union of the k-shingle sets."""
-    return _components(docs.withColumn("row", F.monotonically_increasing_id()), k, percent, miss, block).select(
+    named = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    named = saved(named, f"{scratch(docs.sparkSession, 'near-in')}/docs")  # a second scan may number rows otherwise
+    return _components(named, k, percent, miss, block).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
@@ -260,7 +262,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: f
 
 
 def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int) -> DataFrame:
-    """doc_id, text, row (unique) -> doc_id, row, n_shingles, component_id, stays (one row of each component)."""
+    """doc_id, text, row (unique, stored with the data) -> doc_id, row, n_shingles, component_id, stays (one row of each component)."""
     spark = docs.sparkSession
     prepare(spark)
     folder = scratch(spark, "near")

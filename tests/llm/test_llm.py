@@ -119,6 +119,27 @@ def test_near_dedup_of_unlinked_texts_in_bounded_blocks(spark, monkeypatch):
     assert len(seen) == 3 and max(seen) <= 3 * 16  # two blocks, dealt by a hash
 
 
+def test_near_dedup_when_scans_are_split_otherwise(spark, tmp_path, monkeypatch):
+    """Every table written changes how files are dealt to tasks, as executors lost or added do."""
+    t = texts(200)
+    spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(6).write.parquet(f"file://{tmp_path}/docs")
+    real, files, key = near_dedup.saved, itertools.cycle(["1k", "128m"]), "spark.sql.files.maxPartitionBytes"
+
+    def moved(df, path):
+        out = real(df, path)
+        spark.conf.set(key, next(files))
+        return out
+
+    monkeypatch.setattr(near_dedup, "saved", moved)
+    try:
+        spark.conf.set(key, "128m")
+        got = near_dedup.near_duplicates(spark.read.parquet(f"file://{tmp_path}/docs"), 3, 85).collect()
+    finally:
+        spark.conf.unset(key)
+    sets = [set(zip(w, w[1:], w[2:])) or {tuple(w)} for w in (x.split() for x in t)]
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_components(sets, 85)))
+
+
 def test_near_dedup_edges(spark, edge, nothing):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(edge, 3, 85).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 1, 4), (8, 1, 4), (None, 1, 4)], key=str)
