@@ -2,12 +2,12 @@
 
 The fixed (base) patterns find assignments, access keys and hexadecimal runs. The method adds spans (kind `guess`): a
 value that follows a credential word in wider contexts than an assignment's (`password is ...`, `pwd => ...`, quoted
-keys) and that no base span covers is segmented by dynamic programming into common words, dates, repeats, keyboard or
+keys) and that no base span contains is segmented by dynamic programming into common words, dates, repeats, keyboard or
 alphabet walks and brute-force spans. Each segment has a guess cost (log10); the cheapest segmentation is the value's
 cost, and only values too costly to guess are reported, so prose after the word "password" is not.
 
 Edge cases: null text counts as empty and has no spans; positions are code points, ends exclusive; very long texts are
-scanned whole, values are at most MAX_VALUE characters by the pattern; repeated rows are answered alike; only doc_id and
+scanned whole, and so are long values, whose costing ends early; a quoted value ends at its quote; repeated rows are answered alike; only doc_id and
 text are read.
 """
 
@@ -26,11 +26,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-MAX_VALUE = 128
+#: Of longer repeats and walks, segments that end within this many characters or at the end are offered.
+STEPS = 128
 #: A credential word, up to two joining words or signs, then the value.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|api[_-]?key|private[_-]?key|access[_-]?key)s?["']?"""
-    r"""\s{0,3}(?:(?:is|was|=>|:=|[:=])\s{0,3}){1,2}["'`]?([!-&(-_a-~]{6,%d})""" % MAX_VALUE,
+    r"""\s{0,3}(?:(?:is|was|=>|:=|[:=])\s{0,3}){1,2}(?:"([!#-~]{6,})|'([!-&(-~]{6,})|`([!-_a-~]{6,})|(?!["'`])([!-&(-_a-~]{6,}))""",
     re.I | re.A,
 )
 HINT = re.compile(r"pass(?:w|p|c)|pwd|secret|token|credential|[_-]?key", re.I | re.A)
@@ -59,22 +60,48 @@ def _alphabet(s: str) -> float:
     return math.log10(max(n, 2))
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for value: the least sum over all segmentations."""
+def _runs(low: str, size: int) -> list[int]:
+    """For each place, how many characters from it on equal the one `size` further."""
+    out = [0] * (len(low) + 1)
+    for i in range(len(low) - size - 1, -1, -1):
+        out[i] = out[i + 1] + 1 if low[i] == low[i + size] else 0
+    return out
+
+
+def _walks(low: str) -> list[int]:
+    """For each place, the characters of the walk that starts there."""
+    out = [1] * (len(low) + 1)
+    for i in range(len(low) - 2, -1, -1):
+        out[i] = out[i + 1] + 1 if low[i : i + 2] in NEXT else 1
+    return out
+
+
+def guess_cost(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses for value: the least sum over all segmentations. What reaches limit isn't followed further,
+    so that a cost of limit or more may be told as any number from limit on."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     each = _alphabet(value)
     best = [0.0] + [math.inf] * n
+    runs, walks = [_runs(low, size) for size in range(1, 5)], _walks(low)
+    last = 0  # the furthest place reached below limit
     for i in range(n):
+        if i > last:
+            break
         here = best[i]
+        if here >= limit:
+            continue
 
         def offer(j: int, cost: float) -> None:
+            nonlocal last
             if here + cost < best[j]:
                 best[j] = here + cost
+                if best[j] < limit:
+                    last = max(last, j)
 
         for j in range(i + 1, n + 1):
             offer(j, each * (j - i) + 0.3 * (i > 0))  # brute force
-            if j - i > 1 and here + each * (j - i) > best[n]:
+            if here + each * (j - i) > limit or j - i > 1 and here + each * (j - i) > best[n]:
                 break
         for j in range(i + 2, min(n, i + LONGEST) + 1):
             for word, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
@@ -84,15 +111,11 @@ def guess_cost(value: str) -> float:
             if m:
                 offer(m.end(), 4.3)
         for size in range(1, 5):
-            j = i + size
-            while low[j : j + size] == low[i : i + size] and j + size <= n:
-                j += size
-                offer(j, each * size + math.log10((j - i) // size + 1))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in NEXT:
-            j += 1
-            if j - i >= 3:
-                offer(j, math.log10(4 * 26 * (j - i)))
+            times = runs[size - 1][i] // size + 1
+            for k in {*range(2, min(times, STEPS // size) + 1), times} - {1}:
+                offer(i + k * size, each * size + math.log10(k + 1))
+        for k in {*range(3, min(walks[i], STEPS) + 1), walks[i]} - {1, 2}:
+            offer(i + k, math.log10(4 * 26 * k))
     return best[n]
 
 
@@ -105,9 +128,9 @@ def find_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
         taken = sorted((a, b) for a, _, b in spans)
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)]}>\"")
-            a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(x < b and a < y for x, y in taken) and not value.isalpha() and guess_cost(value) >= threshold:
+            value = m[m.lastindex].rstrip(".,;:!?)]}>\"")
+            a, b = m.start(m.lastindex), m.start(m.lastindex) + len(value)
+            if len(value) >= 6 and not any(x <= a and b <= y for x, y in taken) and not value.isalpha() and guess_cost(value, threshold) >= threshold:
                 spans.append((a, 3, b))
     return sorted(spans)
 

@@ -299,6 +299,21 @@ def test_secrets(spark, edge, nothing):
     assert r[2].text is None and r[3].text == "clean text"
 
 
+def test_secrets_whole_values(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=300))
+    t = [f"the token is {long} end", 'password="Tr0ub4dor&3xyz!Q" end', "pwd: " + "1x" * 20000 + " end", 'x {"password":"k3yk3yk3y","user":"somebody9"} end']
+    assert secrets._told(secrets.find_secrets(t[0])) == "guess:13:313"
+    assert secrets._told(secrets.find_secrets(t[1])) == "assign:0:19,guess:10:26"
+    assert secrets.find_secrets(t[2]) == [] and "guess" not in secrets._told(secrets.find_secrets(t[3]))
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert out[0] == "the token is <SECRET> end" and out[1] == 'password="<SECRET>" end' and out[2] == t[2]
+    for v in (long[:40], "ab1" * 30, "qwertyuiop1999-12-31aaaa", "password123", "x" * 100 + "qwerty"):
+        cost = secrets.guess_cost(v)
+        assert (secrets.guess_cost(v, 8.0) >= 8.0) == (cost >= 8.0) and (cost >= 8.0 or secrets.guess_cost(v, 8.0) == cost)
+
+
 def test_packing(spark, edge, nothing):
     df = spark.createDataFrame(list(enumerate(texts(300))) + [(900, None), (901, LONG), (901, LONG)], "doc_id long, text string")
     path = tokenizer("word_bpe_49k.json")
