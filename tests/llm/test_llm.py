@@ -120,10 +120,10 @@ def test_near_dedup_of_unlinked_texts_in_bounded_blocks(spark, monkeypatch):
 
 
 def test_near_dedup_when_scans_are_split_otherwise(spark, tmp_path, monkeypatch):
-    """Every table written changes how files are dealt to tasks, as executors lost or added do."""
+    """Once the first table is written, files are dealt to tasks otherwise, as when executors are lost or added."""
     t = texts(200)
     spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(6).write.parquet(f"file://{tmp_path}/docs")
-    real, files, key = near_dedup.saved, itertools.cycle(["1k", "128m"]), "spark.sql.files.maxPartitionBytes"
+    real, files, key = near_dedup.saved, itertools.repeat("1k"), "spark.sql.files.maxPartitionBytes"
 
     def moved(df, path):
         out = real(df, path)
