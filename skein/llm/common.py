@@ -71,6 +71,14 @@ def with_group(rows: DataFrame, keys: list[str], within: str, first: list[Column
     return dealt.join(told, [*keys, "__part"]).drop("__part")
 
 
+def with_told(rows: DataFrame, table: DataFrame, keys: list[str], within: str) -> DataFrame:
+    """rows left-joined with a table that has one row a key, though one key (or null) may be that of a third of all rows:
+    rows are dealt to PARTS parts by the column `within`, and what the table tells of a key goes to its parts."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(within), F.lit(PARTS)).cast("int"))
+    told = dealt.select(*keys, "__part").distinct().join(table, keys)
+    return dealt.join(told, [*keys, "__part"], "left").drop("__part")
+
+
 #: Edges that a task contracts at once.
 CONTRACT = 250_000
 

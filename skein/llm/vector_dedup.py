@@ -1,21 +1,24 @@
 """Embedding near-duplicates with one navigable small-world graph per shard.
 
 Equal vectors form a class (one aggregation); classes are dealt to shards by hash. Each shard's task builds a hierarchical
-navigable small-world graph, which is stored once in the shared folder. Every class then queries every shard, in chunks,
-by beam search for all vectors with cosine >= the threshold. A query's beam is widened for as long as its worst member
-still passes the threshold, and a chunk's beams are widened together until an audit (AUDIT queries of the chunk against
-all of the shard, exact) finds recall AUDIT_RECALL or more. Found pairs are verified by cosine in double precision. A
-task tells how many vectors each query links with, and a spanning forest of its links, never the pairs; the forest's
-components are the answer's.
+navigable small-world graph, which is stored once in the shared folder. Every class then queries every shard by beam
+search for all vectors with cosine >= the threshold. A task of the search holds one shard's graph and lets its queries
+stream past in blocks of BLOCK. A query's beam is widened for as long as its worst member still passes the threshold, and
+a block's beams are widened together until an audit finds recall AUDIT_RECALL or more: AUDIT queries of the block and
+AUDIT of the shard's own vectors, against all of the shard, exactly. The shard's own probes always have a true neighbour
+(themselves), so an audit of a block that links with nothing here is decided, too. Where beams would cover a good part
+of the shard (1 / WIDE of it), exact blocked products answer instead: the way for whatever no audit passes. Found pairs
+are verified by cosine in double precision. A task tells how many vectors each query links with, and a spanning forest
+of its links, never the pairs; the forest's components are the answer's. Each block's recall and beam are told, too, and
+the least recall is in the result.
 
-Shards are at least SHARDS and hold at most about SHARD_BYTES of numbers, so that one fits a task's memory whatever the
-vectors' width; queries come in as many chunks as there are shards. Every task of the search thus holds one shard's graph
-and one chunk of the same size, and graphs and queries are each sent as often as there are shards.
+A shard holds at most about SHARD_BYTES of numbers, so that one fits a task's memory whatever the vectors' width. Each
+query is sent to each shard, and each graph to TASKS / shards tasks (one where there are that many shards).
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
 component; vectors of different lengths never link; equal vectors are linked with each other (repeated rows count as
-links, too); a null vec_id loses to any other id; an empty table gives an empty result; only vec_id and embedding are
-read.
+links, too); rows of one vec_id keep a row each and answer by their own vector; a null vec_id loses to any other id; an
+empty table gives an empty result; only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -29,13 +32,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.session import scratch
 
-from .common import connected_components, mix64, prepare, saved, with_group
+from .common import connected_components, mix64, prepare, remove, saved, with_group, with_told
 
 SHARDS = 4
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 128 << 20
+TASKS = 24
 M, EF_BUILD, EF = 12, 40, 40
 AUDIT, AUDIT_RECALL = 24, 0.995
 BATCH = 128
+BLOCK = 2048
+WIDE = 8
 
 
 class Graph:
@@ -190,19 +196,25 @@ class Graph:
             start = np.where(ids < 0, self.entry[0], ids)
         return self.beam(q, start, ef, 0)
 
+    def exact(self, q: np.ndarray, floor: float) -> list[np.ndarray]:
+        """For each query the vectors with cosine >= floor, by blocked products."""
+        return [np.nonzero(row)[0] for a in range(0, len(q), BATCH) for row in q[a : a + BATCH] @ self.x.T >= floor]
+
     def within(self, q: np.ndarray, floor: float, ef: int = EF) -> list[np.ndarray]:
-        """For each query the vectors found with cosine >= floor. Beams whose worst member passes are widened."""
+        """For each query the vectors found with cosine >= floor. Beams whose worst member passes are widened; one that
+        would be as wide as 1 / WIDE of the vectors is answered exactly."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         for a in range(0, len(q), BATCH):
-            todo, width = np.arange(a, min(len(q), a + BATCH)), min(ef, len(self.x))
+            todo, width = np.arange(a, min(len(q), a + BATCH)), ef
             while len(todo):
+                if width * WIDE >= len(self.x):
+                    for r, found in zip(todo, self.exact(q[todo], floor)):
+                        out[r] = found
+                    break
                 ids, sims = self.search(q[todo], width)
                 for r, i, s in zip(todo, ids, sims):
                     out[r] = i[(i >= 0) & (s >= floor)]
-                more = sims[:, -1] >= floor
-                if width >= len(self.x):
-                    break
-                todo, width = todo[more], min(8 * width, len(self.x))
+                todo, width = todo[sims[:, -1] >= floor], 8 * width
         return out
 
 
@@ -213,24 +225,108 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def audited(g: Graph, q: np.ndarray, floor: float, seed: int = 0) -> tuple[list[np.ndarray], float]:
-    """within() with beams widened until the audit passes, and the recall of the last audit."""
+def _unit_single(v: np.ndarray) -> np.ndarray:
+    out = np.empty(v.shape, np.float32)
+    for a in range(0, len(v), 4096):
+        out[a : a + 4096] = _unit(v[a : a + 4096])
+    return out
+
+
+def audited(g: Graph, q: np.ndarray, floor: float, seed: int = 0) -> tuple[list[np.ndarray], float, int]:
+    """within() with beams widened until the audit passes, that audit's recall, and the beam (0: exact products)."""
     rng = np.random.default_rng(seed)
-    pick = rng.choice(len(q), min(AUDIT, len(q)), replace=False)
-    truth = (q[pick] @ g.x.T) >= floor
-    ef = EF
-    while True:
-        found = g.within(q[pick], floor, ef)
-        hit = sum(int(t[f].sum()) for t, f in zip(truth, found))
-        recall = hit / max(1, int(truth.sum()))
-        if recall >= AUDIT_RECALL or ef >= len(g.x):
-            break
+    probes = np.vstack([v[rng.choice(len(v), min(AUDIT, len(v)), replace=False)] for v in (q, g.x)])
+    truth, ef = g.exact(probes, floor), EF
+    true = sum(map(len, truth))
+    while ef * WIDE < len(g.x):
+        found = g.within(probes, floor, ef)
+        recall = sum(len(np.intersect1d(t, f, assume_unique=True)) for t, f in zip(truth, found)) / true if true else 0.0
+        if recall >= AUDIT_RECALL:
+            return g.within(q, floor, ef), recall, ef
         ef *= 2
-    return g.within(q, floor, ef), recall
+    return g.exact(q, floor), 1.0, 0
+
+
+class _Forest:
+    """Edges that join, among all edges offered."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, a: int) -> int:
+        seen = self.parent
+        while (b := seen.setdefault(a, a)) != a:
+            seen[a] = a = seen.setdefault(b, b)
+        return a
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+_FOUND = "node long, links long, u long, v long, recall double, ef int"
+
+
+def _links(graph: Graph, raw: np.ndarray, node: np.ndarray, copies: np.ndarray, own: np.ndarray, asked: np.ndarray, forest: _Forest, threshold: float) -> pa.RecordBatch:
+    """A block of queries against a shard: each query's links, the links that join, and the audit."""
+    x = _unit(asked)
+    found, recall, ef = audited(graph, x.astype(np.float32), threshold - 1e-5)
+    links, u, w = np.zeros(len(own), np.int64), [], []
+    for i, f in enumerate(found):
+        if not len(f):
+            continue
+        f = f[_unit(raw[f]) @ x[i] >= threshold]
+        f = f[node[f] != own[i]]
+        links[i] = copies[f].sum()
+        for other in node[f].tolist():
+            if forest.joins(int(own[i]), other):
+                u.append(int(own[i]))
+                w.append(other)
+    n, m = len(own), len(u)
+    gap = lambda k: [None] * k
+    cols = [own.tolist() + gap(m + 1), links.tolist() + gap(m + 1), gap(n) + u + [None], gap(n) + w + [None]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64()) for c in cols] + [pa.array(gap(n + m) + [recall], pa.float64()), pa.array(gap(n + m) + [ef], pa.int32())],
+        names=["node", "links", "u", "v", "recall", "ef"],
+    )
+
+
+def _search(threshold: float):
+    """Sorted rows (shard, width, chunk, kind, graph, node, embedding): a graph (kind 0), then its queries."""
+
+    def run(batches):
+        held, own, asked, forest = None, [], [], None
+
+        def ask():
+            out = _links(*held, np.array(own, np.int64), np.vstack(asked), forest, threshold) if own and held else None
+            own.clear()
+            asked.clear()
+            return out
+
+        for b in batches:
+            graphs, kinds = b.column(4), b.column(3).to_pylist()
+            nodes, vectors = b.column(5).to_pylist(), b.column(6)
+            for i, kind in enumerate(kinds):
+                if kind == 0:
+                    if (out := ask()) is not None:
+                        yield out
+                    graph, raw, node, copies = pickle.loads(graphs[i].as_buffer())
+                    graph.x = _unit_single(raw)
+                    held, forest = (graph, raw, node, copies), _Forest()
+                    continue
+                own.append(nodes[i])
+                asked.append(vectors[i].values.to_numpy(zero_copy_only=False))
+                if len(own) == BLOCK and (out := ask()) is not None:
+                    yield out
+        if (out := ask()) is not None:
+            yield out
+
+    return run
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None) -> DataFrame:
-    """vec_id, embedding -> vec_id, n_links, component_id, kept; a row per row."""
+    """vec_id, embedding -> vec_id, n_links, component_id, kept, audited_recall (the least of all audits); a row per row."""
     spark = vectors.sparkSession
     prepare(spark)
     folder = scratch(spark, "vectors")
@@ -242,60 +338,38 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     nodes = saved(nodes, f"{folder}/nodes")
     numbers = nodes.agg(F.sum(F.size("embedding").cast("long") + 8 * M)).first()[0] or 0
     s = shards or max(SHARDS, -(-4 * numbers // SHARD_BYTES))  # of four bytes; a vector's neighbours count too
+    chunks = max(1, -(-TASKS // s))
     placed = nodes.select("node", "copies", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("node"), F.lit(s)).cast("int").alias("shard"))
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key, pdf):
         pdf = pdf.sort_values("node")
         raw = np.stack(pdf["embedding"].to_list())
-        graph = Graph(_unit(raw))
+        graph = Graph(_unit_single(raw))
         graph.x = None  # made again from the vectors, which go along as they came
         held = pickle.dumps((graph, raw, pdf["node"].to_numpy(), pdf["copies"].to_numpy()), protocol=5)
         return pd.DataFrame({"shard": [key[0]], "width": [key[1]], "graph": [held]})
 
     graphs = saved(placed.groupBy("shard", "width").applyInPandas(build, "shard int, width int, graph binary"), f"{folder}/graphs")
-    asked = placed.select("node", "embedding", "width", F.pmod(F.xxhash64("node", F.lit("chunk")), F.lit(s)).cast("int").alias("chunk"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-    every = graphs.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(s - 1))))
-
-    def query(key, q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(g):
-            return pd.DataFrame({"node": [], "links": [], "u": [], "v": []}).astype("int64")
-        graph, raw, node, copies = pickle.loads(g["graph"].iloc[0])
-        v, x = _unit(raw), _unit(np.stack(q["embedding"].to_list()))
-        graph.x = v.astype(np.float32)
-        own = q["node"].to_numpy()
-        found, _ = audited(graph, x.astype(np.float32), threshold - 1e-5)
-        links, u, w = np.zeros(len(q), np.int64), [], []
-        seen: dict[int, int] = {}
-
-        def root(a: int) -> int:
-            while (b := seen.setdefault(a, a)) != a:
-                seen[a] = a = seen.setdefault(b, b)
-            return a
-
-        for i, f in enumerate(found):
-            f = f[v[f] @ x[i] >= threshold]
-            f = f[node[f] != own[i]]
-            links[i] = copies[f].sum()
-            me = int(own[i])
-            for other in node[f].tolist():
-                a, b = root(me), root(other)
-                if a != b:
-                    seen[max(a, b)] = min(a, b)
-                    u.append(me)
-                    w.append(other)
-        n = len(u)
-        return pd.DataFrame({"node": np.r_[own, np.full(n, -1)], "links": np.r_[links, np.zeros(n, np.int64)], "u": np.r_[np.full(len(q), -1), u].astype(np.int64), "v": np.r_[np.full(len(q), -1), w].astype(np.int64)})
-
-    keys = ["shard", "width", "chunk"]
-    found = asked.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(query, "node long, links long, u long, v long")
-    found = saved(found, f"{folder}/found")
-    links = found.where("u < 0").groupBy("node").agg(F.sum("links").alias("links"))
-    labels = connected_components(found.where("u >= 0").select("u", "v"), f"{folder}/cc")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t: F.lit(None).cast(t)
+    sides = graphs.select("shard", "width", every(chunks).alias("chunk"), F.lit(0).alias("kind"), "graph", none("long").alias("node"), none(kind).alias("embedding"))
+    asked = placed.select("node", "embedding", "width", F.pmod(F.xxhash64("node", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"))
+    asked = asked.select(every(s).alias("shard"), "width", "chunk", F.lit(1).alias("kind"), none("binary").alias("graph"), "node", "embedding")
+    met = sides.union(asked.join(F.broadcast(graphs.select("shard", "width").distinct()), ["shard", "width"], "left_semi").select(*sides.columns))  # as few as shards
+    met = met.repartition(s * chunks, "shard", "width", "chunk").sortWithinPartitions("shard", "width", "chunk", "kind")
+    found = saved(met.mapInArrow(_search(threshold), _FOUND), f"{folder}/found")
+    least = found.agg(F.min("recall")).first()[0]
+    links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    labels = connected_components(found.where("u is not null").select("u", "v"), f"{folder}/cc")
     named = saved(nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{folder}/named")
     best = with_group(named, ["component"], "node", [F.min("first").alias("best")], [F.min("best").alias("best")]).select("node", "best")
     answer = nodes.select("node", "embedding", "copies").join(best, "node").join(links, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("best.vec_id").alias("best"))
     answer = saved(answer, f"{folder}/answer")
-    known = rows.join(answer, "embedding", "left")
+    for name in ("nodes", "graphs", "found", "cc", "named"):
+        remove(spark, f"{folder}/{name}")
+    known = with_told(rows, answer, ["embedding"], "vec_id")
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("best"))
-    return known.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return known.select(
+        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),
+        F.lit(least).cast("double").alias("audited_recall"),
+    )

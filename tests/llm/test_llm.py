@@ -227,6 +227,8 @@ def test_vectors(spark):
     for i in range(1000, 1006):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert vector_dedup.near_vectors(df.where("false")).count() == 0
+    twice = {(r.vec_id, r.n_links, r.component_id) for r in vector_dedup.near_vectors(df.where("vec_id in (40, 1001)").union(df.where("vec_id in (40, 1001)")), 0.95, shards=9).collect()}
+    assert twice == {(40, 1, 40), (1001, 0, 1001)}
 
 
 def test_graph_recall():
@@ -234,9 +236,22 @@ def test_graph_recall():
     c = rng.normal(size=(40, 32))
     x = np.vstack([c[rng.integers(40, size=1500)] + 0.15 * rng.normal(size=(1500, 32)), rng.normal(size=(1500, 32))])
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    found, _ = vector_dedup.audited(vector_dedup.Graph(x), x, 0.95)
+    found, recall, ef = vector_dedup.audited(vector_dedup.Graph(x), x, 0.95)
     truth = x @ x.T >= 0.95
-    assert sum(truth[i][f].sum() for i, f in enumerate(found)) >= 0.99 * truth.sum()
+    assert sum(truth[i][f].sum() for i, f in enumerate(found)) >= 0.99 * truth.sum() and recall >= 0.995
+
+
+def test_graph_without_true_pairs(monkeypatch):
+    """Queries that link with nothing in the shard need no beam over all of it; a graph that misses is answered exactly."""
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(4000, 32)), rng.normal(size=(200, 32))
+    x, q = ((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) for v in (x, q))
+    g = vector_dedup.Graph(x)
+    found, recall, ef = vector_dedup.audited(g, q, 0.95)
+    assert recall >= 0.995 and 0 < ef <= 160 and not sum(map(len, found))
+    monkeypatch.setattr(vector_dedup.Graph, "search", lambda self, q, ef: (np.full((len(q), ef), -1), np.full((len(q), ef), -np.inf)))
+    found, recall, ef = vector_dedup.audited(g, x[:50], 0.95)
+    assert (recall, ef) == (1.0, 0) and [f.tolist() for f in found] == [[i] for i in range(50)]
 
 
 def test_urls(spark, tmp_path):
