@@ -30,7 +30,7 @@ from .common import map_texts, prepare
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 256
 #: Words whose ids a worker process remembers, about 200 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 def _ranges(kind: str) -> str:

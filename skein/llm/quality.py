@@ -1,22 +1,25 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-A text is described by how often its characters' kinds follow each other (letters by vowel and consonant, each
-punctuation mark by itself), and by how often lines and words repeat. Square-root shares are weighted by inverse
-document frequency and projected on the leading singular vectors of the labelled texts (latent semantic analysis). The
-labelled vectors, at most MAX_LABELLED of DIMENSIONS numbers, are broadcast; every document's cosine to all of them is
-computed exactly, in blocks, and its NEIGHBOURS nearest vote with their labels, weighted by similarity.
+A text is described by its terms (words, and the character trigrams of words beyond ASCII, hashed to TERMS places), by
+how often its characters' kinds follow each other (letters by vowel and consonant, each punctuation mark by itself), and
+by how often lines and words repeat. Square-root shares are weighted by inverse document frequency and projected on the
+leading singular vectors of the labelled texts (latent semantic analysis; by subspace iteration from a fixed start).
+The labelled vectors, at most MAX_LABELLED of DIMENSIONS numbers, are broadcast; every document's cosine to all of them
+is computed exactly, in blocks, and its NEIGHBOURS nearest vote with their labels, weighted by similarity.
 
 The space and the voters come from at most MAX_LABELLED labelled texts (chosen by a hash of the id: the bound is that
 parameter); every text is described and scored whole.
 
 Edge cases: null and empty texts are scored by their own (empty) description, that is by the votes of whatever is
 nearest to the origin's constant direction; null labels are not learnt from; without labelled texts every score is 0;
-ties among neighbours go to the earlier voter (in order of id); repeated rows are scored alike; only doc_id and text (and
-doc_id, quality of the labels) are read.
+of neighbours with the same cosine the earlier voter (in order of id) counts first; repeated rows are scored alike; only
+doc_id and text (and doc_id, quality of the labels) are read.
 """
 
 from __future__ import annotations
 
+import zlib
+from itertools import chain
 from operator import eq
 
 import numpy as np
@@ -31,6 +34,11 @@ NEIGHBOURS = 15
 SHARPNESS = 8.0
 
 KINDS = 39
+TERMS = 2048
+#: Weight of the terms beside the kinds.
+TERM_WEIGHT = 0.5
+#: Words whose places a worker process remembers.
+CACHE_WORDS = 500_000
 
 
 def _kinds() -> np.ndarray:
@@ -57,19 +65,36 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 #: Weights of the last numbers: constant, length, distinct lines, distinct words, word length, words like the one before.
 PLAIN_WEIGHTS = (0.5, 0.5, 0.5, 1.0, 0.5, 2.0)
-WIDTH = KINDS * KINDS + len(PLAIN_WEIGHTS)
+WIDTH = TERMS + KINDS * KINDS + len(PLAIN_WEIGHTS)
+
+
+class _Places(dict):
+    """Word -> the places of its terms."""
+
+    def __missing__(self, word):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        parts = [word] if word.isascii() else [word, *(word[i : i + 3] for i in range(len(word) - 2))]
+        out = self[word] = [zlib.crc32(p.encode("utf-8", "replace")) % TERMS for p in parts]
+        return out
+
+
+_PLACES = _Places()
 
 
 def describe(text: str) -> np.ndarray:
-    """WIDTH numbers: square roots of the shares of pairs of kinds, then length and repetition."""
+    """WIDTH numbers: square roots of the shares of terms and of pairs of kinds, then length and repetition."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     k = _KIND[raw]
     out = np.zeros(WIDTH, np.float32)
     if len(k) > 1:
         pairs = np.bincount(k[:-1] * KINDS + k[1:], minlength=KINDS * KINDS)
-        out[: KINDS * KINDS] = np.sqrt(pairs / (len(k) - 1))
+        out[TERMS : TERMS + KINDS * KINDS] = np.sqrt(pairs / (len(k) - 1))
     lines = [x for x in text.split("\n") if x]
     words = text.split()
+    if words:
+        terms = np.bincount(list(chain.from_iterable(map(_PLACES.__getitem__, text.lower().split()))), minlength=TERMS)
+        out[:TERMS] = TERM_WEIGHT * np.sqrt(terms / terms.sum())
     out[-6] = 1.0
     out[-5] = np.log1p(len(words)) / 12
     out[-4] = len(set(lines)) / len(lines) if lines else 0
@@ -79,6 +104,16 @@ def describe(text: str) -> np.ndarray:
     return out
 
 
+def _leading(w: np.ndarray, most: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular vectors of w, as columns, by subspace iteration."""
+    size = min(most + 16, *w.shape)
+    v = np.linalg.qr(np.random.default_rng(7).normal(size=(w.shape[1], size)).astype(np.float32))[0]
+    for _ in range(rounds):
+        v = np.linalg.qr(w.T @ (w @ v))[0]
+    _, _, turn = np.linalg.svd(w @ v, full_matrices=False)
+    return (v @ turn.T)[:, :most].astype(np.float32)
+
+
 class Voters:
     """The latent space and the labelled vectors in it."""
 
@@ -88,8 +123,7 @@ class Voters:
         self.weight = (np.log((1 + len(x)) / (1 + seen * len(x))) + 1).astype(np.float32)
         self.weight[-len(PLAIN_WEIGHTS) :] = PLAIN_WEIGHTS
         w = x * self.weight
-        values, vectors = np.linalg.eigh((w.T @ w).astype(np.float64))
-        self.basis = vectors[:, ::-1][:, :dimensions].astype(np.float32)
+        self.basis = _leading(w, dimensions)
         self.vectors = self._unit(w @ self.basis)
         self.labels = labels.astype(np.float64)
 
@@ -100,13 +134,22 @@ class Voters:
     def vote(self, x: np.ndarray) -> np.ndarray:
         v = self._unit((x * self.weight) @ self.basis)
         cosine = v @ self.vectors.T
-        k = min(self.neighbours, cosine.shape[1])
-        near = np.argsort(-cosine, axis=1, kind="stable")[:, :k] if k == cosine.shape[1] else np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, self.neighbours)
         c = np.take_along_axis(cosine, near, 1).astype(np.float64)
         w = np.exp(SHARPNESS * (c - c.max(1, keepdims=True))) * np.maximum(c, 1e-6)
         return np.clip((w * self.labels[near]).sum(1) / w.sum(1), 0, 1)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k greatest numbers; of equal ones the earlier."""
+    k = min(k, cosine.shape[1])
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1, keepdims=True)
+    for i in np.nonzero((cosine >= least).sum(1) > k)[0]:  # some of a tie stay out
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
 def _described(docs: DataFrame, keep: list[str]) -> DataFrame:
     def columns():
         return lambda texts: {"x": pa.array([describe(t).tobytes() for t in texts], pa.binary())}

@@ -3,12 +3,18 @@
 The fixed (base) patterns find assignments, access keys and hexadecimal runs. The method adds spans (kind `guess`): a
 value that follows a credential word in wider contexts than an assignment's (`password is ...`, `pwd => ...`, quoted
 keys) and that no base span contains is segmented by dynamic programming into common words, dates, repeats, keyboard or
-alphabet walks and brute-force spans. Each segment has a guess cost (log10); the cheapest segmentation is the value's
-cost, and only values too costly to guess are reported, so prose after the word "password" is not.
+alphabet walks, joining signs and brute-force spans. Each segment has a guess cost (log10); the cheapest segmentation is
+the value's cost, and only values too costly to guess are reported, so prose after the word "password" is not. The cost
+alone decides: letters only, or any length, make no exception.
+
+Common words are ranked by their counts over all documents (one aggregation; values in a credential's context and base
+spans don't count, so no secret teaches itself); the KEPT most frequent ones, in at least LEAST places, are broadcast,
+with a short fixed list of password words. Ties of counts go by the word.
 
 Edge cases: null text counts as empty and has no spans; positions are code points, ends exclusive; very long texts are
-scanned whole, and so are long values, whose costing ends early; a quoted value ends at its quote; repeated rows are answered alike; only doc_id and
-text are read.
+scanned whole, and so are long values, whose costing ends early; a quoted value ends at its quote; repeated rows are
+answered alike (their words count as often); without documents only the fixed words are known; only doc_id and text are
+read.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -26,8 +33,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Of longer repeats and walks, segments that end within this many characters or at the end are offered.
+#: Of longer repeats and walks, segments that begin inside and end within this many characters or at the end are
+#: offered; from its first place every end is.
 STEPS = 128
+#: Corpus words whose ranks are known, the least count, and letters in one.
+KEPT, LEAST, LETTERS = 100_000, 3, 32
+WORD = re.compile(r"[^\W\d_]{2,32}")
+#: Distinct words that a task counts before it passes them on.
+COUNTED = 200_000
 #: A credential word, up to two joining words or signs, then the value.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|api[_-]?key|private[_-]?key|access[_-]?key)s?["']?"""
@@ -43,15 +56,17 @@ WORDS = (
     "changeme example sample demo none null true false your the and for with that this from have not are was you will "
     "must value string here reset please enter new old my our of is in to it on by at or as be api access private public"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Cost of a word: log10 of its rank and one.
+FIXED = {w: math.log10(i + 2) for i, w in enumerate(WORDS)}
+#: Signs that join words, and the cost of one.
+JOINTS, JOINT = frozenset("-_.,:;/'+"), 0.7
 #: Rows of a keyboard and the alphabet, walked either way.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {a + b for r in ROWS for s in (r, r[::-1]) for a, b in zip(s, s[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.A)
 LEET = str.maketrans("4@301!5$7", "aaeoiisst")
 #: log10 of the guesses from which a value counts as a secret.
-THRESHOLD = 8.0
+THRESHOLD = 9.0
 
 
 def _alphabet(s: str) -> float:
@@ -76,10 +91,12 @@ def _walks(low: str) -> list[int]:
     return out
 
 
-def guess_cost(value: str, limit: float = math.inf) -> float:
+def guess_cost(value: str, limit: float = math.inf, words: dict[str, float] = FIXED) -> float:
     """log10 of the guesses for value: the least sum over all segmentations. What reaches limit isn't followed further,
     so that a cost of limit or more may be told as any number from limit on."""
     n, low = len(value), value.lower()
+    if len(low) != n:  # a few letters grow in lower case; they are no ranked words' anyway
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
     plain = low.translate(LEET)
     each = _alphabet(value)
     best = [0.0] + [math.inf] * n
@@ -103,49 +120,102 @@ def guess_cost(value: str, limit: float = math.inf) -> float:
             offer(j, each * (j - i) + 0.3 * (i > 0))  # brute force
             if here + each * (j - i) > limit or j - i > 1 and here + each * (j - i) > best[n]:
                 break
-        for j in range(i + 2, min(n, i + LONGEST) + 1):
+        if low[i] in JOINTS:
+            offer(i + 1, JOINT)
+        for j in range(i + 2, min(n, i + LETTERS) + 1):
             for word, extra in ((low[i:j], 0.0), (plain[i:j], 0.6)):
-                if word in RANK:
-                    offer(j, math.log10(RANK[word] + 1) + extra + 0.3 * (value[i:j] != low[i:j]) + 0.3)
-        for m in (DATE.match(value, i),):
-            if m:
-                offer(m.end(), 4.3)
+                if word in words:
+                    offer(j, words[word] + extra + 0.3 * (value[i:j] != low[i:j]))
+        if m := DATE.match(value, i):
+            offer(m.end(), 4.3)
         for size in range(1, 5):
             times = runs[size - 1][i] // size + 1
-            for k in {*range(2, min(times, STEPS // size) + 1), times} - {1}:
+            starts = i == 0 or not runs[size - 1][i - 1]
+            for k in {*range(2, (times if starts else min(times, STEPS // size)) + 1), times} - {1}:
                 offer(i + k * size, each * size + math.log10(k + 1))
-        for k in {*range(3, min(walks[i], STEPS) + 1), walks[i]} - {1, 2}:
+        starts = i == 0 or walks[i - 1] == 1
+        for k in {*range(3, (walks[i] if starts else min(walks[i], STEPS)) + 1), walks[i]} - {1, 2}:
             offer(i + k, math.log10(4 * 26 * k))
     return best[n]
 
 
-def find_secrets(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """(start, kind's place in KINDS, end) of every span, in order of start, then kind."""
+def _base(text: str) -> list[tuple[int, int, int]]:
     spans = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if HINT.search(text):
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
-        taken = sorted((a, b) for a, _, b in spans)
-        for m in CONTEXT.finditer(text):
-            value = m[m.lastindex].rstrip(".,;:!?)]}>\"")
-            a, b = m.start(m.lastindex), m.start(m.lastindex) + len(value)
-            if len(value) >= 6 and not any(x <= a and b <= y for x, y in taken) and not value.isalpha() and guess_cost(value, threshold) >= threshold:
-                spans.append((a, 3, b))
+    return spans
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """Where the values in a credential's context stand."""
+    out = []
+    for m in CONTEXT.finditer(text) if HINT.search(text) else []:
+        a = m.start(m.lastindex)
+        out.append((a, a + len(m[m.lastindex].rstrip(".,;:!?)]}>\""))))
+    return out
+
+
+def find_secrets(text: str, threshold: float = THRESHOLD, words: dict[str, float] = FIXED) -> list[tuple[int, int, int]]:
+    """(start, kind's place in KINDS, end) of every span, in order of start, then kind."""
+    spans = _base(text)
+    taken = [(a, b) for a, _, b in spans]
+    for a, b in _values(text):
+        if b - a >= 6 and not any(x <= a and b <= y for x, y in taken) and guess_cost(text[a:b], threshold, words) >= threshold:
+            spans.append((a, 3, b))
     return sorted(spans)
 
 
+def common_words(docs: DataFrame, kept: int = KEPT, least: int = LEAST) -> dict[str, float]:
+    """Costs of the `kept` most frequent words of all texts, and of the fixed ones; at most `kept` rows of at most LETTERS
+    letters come to the driver."""
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        seen: Counter = Counter()
+
+        def told():
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            seen.clear()
+            return out
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if not t:
+                    continue
+                hidden = sorted([(a, e) for a, _, e in _base(t)] + _values(t))
+                at = 0
+                for a, e in hidden:
+                    seen.update(WORD.findall(t[at : max(at, a)].lower()))
+                    at = max(at, e)
+                seen.update(WORD.findall((t[at:] if at else t).lower()))
+            if len(seen) > COUNTED:
+                yield told()
+        if seen:
+            yield told()
+
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(kept).collect()
+    costs = {r["word"]: math.log10(i + 2) for i, r in enumerate(top)}
+    return {w: min(c, costs.get(w, c)) for w, c in (costs | FIXED).items()}
+
+
 def _told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess; a row per row, no shuffle."""
+    """doc_id, text -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess; a row per row. Only word counts are
+    shuffled."""
     prepare(docs.sparkSession)
+    ranked = docs.sparkSession.sparkContext.broadcast(common_words(docs))  # bounded by KEPT
 
     def columns():
+        words = ranked.value
+
         def f(texts):
-            found = [find_secrets(t, threshold) for t in texts]
+            found = [find_secrets(t, threshold, words) for t in texts]
             n = [[sum(k == kind for _, k, _ in s) for s in found] for kind in range(4)]
             return {
                 "n_assign": pa.array(n[0], pa.int64()),
@@ -166,14 +236,16 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, mark: str = "<SECRET>"
     the value is replaced and its name stays. All other columns stay, n_chars counts the new text; a null text stays null."""
     prepare(docs.sparkSession)
     kind = docs.schema
+    ranked = docs.sparkSession.sparkContext.broadcast(common_words(docs))  # bounded by KEPT
 
     def run(batches):
+        words = ranked.value
         for b in batches:
             at = b.schema.get_field_index("text")
             out = []
             for t in b.column(at).to_pylist():
                 parts, last = [], 0
-                for a, k, e in find_secrets(t, threshold) if t else []:
+                for a, k, e in find_secrets(t, threshold, words) if t else []:
                     if k == 0:
                         a = ASSIGN.match(t, a).start(2)
                     if e <= last:

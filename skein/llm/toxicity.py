@@ -7,11 +7,12 @@ with logistic loss; a step at which the corrected negative risk is below zero go
 class prior comes from the labels learnt from. Scores are logistic, so 0.5 is the point where a text is likelier toxic.
 
 The classifier is fitted on at most MAX_POSITIVE and MAX_UNLABELLED texts (chosen by a hash of the id: the bound is
-these parameters); every text is scored whole. Words are collected for at most FEATURES features.
+these parameters; of rows that share an id one text, the greatest, is learnt from); every text is scored whole. Words are
+collected for at most FEATURES features.
 
 Edge cases: null and empty texts get the score of a text without any feature; null labels are not learnt from; without
-positives (or without any text to learn from) every score is the prior, 0 where that is unknown; repeated rows are
-scored alike; only doc_id and text (and doc_id, toxic of the labels) are read.
+confirmed positives every score is 0; with positives but none of their texts (or no other text) at hand every score is
+the prior; repeated rows are scored alike; only doc_id and text (and doc_id, toxic of the labels) are read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, map_texts, prepare
+from .common import held_out, map_texts, prepare, unused
 
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
@@ -46,9 +47,10 @@ def words_of(text: str) -> set[str]:
 
 
 def _sample(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """At most `most` of the texts with these ids, by a hash of the id."""
+    """At most `most` of the texts with these ids, by a hash of the id; one text an id."""
     chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most `most` ids
+    found = docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most `most` ids
+    return found.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _words(docs: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def train_nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 800,
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, features: int = FEATURES):
-    """(word -> weight, bias) learnt from labels of rows that are not held out; ({}, None) if there is nothing to learn."""
+    """(word -> weight, bias) learnt from labels of rows that are not held out; ({}, None) without any positive."""
     prepare(docs.sparkSession)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     n, toxic = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
@@ -99,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     try:
         n_p, n_u = sample.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
         if not n_p or not n_u:
-            return {}, None
+            return {}, float(np.log(prior / (1 - prior)))
         share = lambda on, total: F.sum(F.when(on, 1).otherwise(0)) / F.lit(float(total))
         each = sample.select("positive", F.explode("words").alias("word")).groupBy("word")
         # how much likelier a word is among positives, in standard errors if both had the pooled share
@@ -123,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     return {word: float(w[i]) for word, i in place.items()}, float(w[-1])
 
 
-def score(docs: DataFrame, model, keep: list[str] = ["doc_id"], threshold: float = 0.5, with_text: bool = False) -> DataFrame:  # noqa: B006
-    """The kept columns, text if asked for, score and predicted; a row per row, no shuffle."""
+def score(docs: DataFrame, model, keep: list[str] = ["doc_id"], threshold: float = 0.5, with_text: bool = False, called: tuple[str, str] = ("score", "predicted")) -> DataFrame:  # noqa: B006
+    """The kept columns, text if asked for, score and predicted (or what they are to be called where a kept column has
+    that name); a row per row, no shuffle."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -136,11 +139,18 @@ def score(docs: DataFrame, model, keep: list[str] = ["doc_id"], threshold: float
             z = np.array([sum([weights[w] for w in words_of(t) & names]) + bias if bias is not None else -np.inf for t in texts], dtype=np.float64)
             s = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             s[np.isneginf(z)] = 0
-            return {"score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))}
+            return {called[0]: pa.array(s), called[1]: pa.array((s >= threshold).astype(np.int32))}
 
         return f
 
-    return map_texts(docs, keep, columns, "score double, predicted int", with_text)
+    return map_texts(docs, keep, columns, f"`{called[0]}` double, `{called[1]}` int", with_text)
+
+
+def drop_toxic(docs: DataFrame, model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that the model doesn't call toxic."""
+    names = (unused(docs, "score"), unused(docs, "predicted"))
+    told = score(docs, model, [c for c in docs.columns if c != "text"], threshold, True, names)
+    return told.where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:

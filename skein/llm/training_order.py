@@ -29,7 +29,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -144,10 +143,10 @@ def assign_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
     ahead = sequences.sparkSession.sparkContext.broadcast(np.cumsum(counts))
     n = int(counts.sum())
 
-    @F.pandas_udf("struct<number long, slot long>")
-    def placed(task: pd.Series, place: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<number: bigint, slot: bigint>")
+    def placed(task: pa.Array, place: pa.Array) -> pa.Array:
         number = ahead.value[task.to_numpy()] + place.to_numpy()
-        return pd.DataFrame({"number": number, "slot": feistel(number, key, n)})
+        return pa.StructArray.from_arrays([pa.array(number), pa.array(feistel(number, key, n))], names=["number", "slot"])
 
     names = [c for c in sequences.columns if c not in ("task", "place")]
     return sequences.withColumn("at", placed("task", "place")).select(*names, "at.number", "at.slot"), n

@@ -304,7 +304,7 @@ def test_secrets(spark, edge, nothing):
     assert got == f"assign:0:19,access:33:53,hex:54:86,assign:{a}:{len(t)}"
     assert "guess" in secrets._told(secrets.find_secrets("the password is xK9#vQ2!mZ"))
     assert "guess" not in secrets._told(secrets.find_secrets("the password is password123"))
-    assert "guess" not in secrets._told(secrets.find_secrets("the password is important to everyone"))
+    assert "guess" not in secrets._told(secrets.find_secrets("the password is important to everyone", words=secrets.FIXED | {"important": 3.0}))
     assert secrets.guess_cost("qwertyuiop") < secrets.guess_cost("qwpzyumiox")
     assert secrets.guess_cost("1999-12-31") < 5 and secrets.guess_cost("abcabcabc") < secrets.guess_cost("abcqxzhjw")
     assert all(r.spans == "" for r in secrets.scan(edge).collect()) and secrets.scan(nothing).count() == 0
@@ -324,11 +324,82 @@ def test_secrets_whole_values(spark):
     df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert out[0] == "the token is <SECRET> end" and out[1] == 'password="<SECRET>" end' and out[2] == t[2]
+    assert secrets.guess_cost("ab" * 5000 + "c", 9.0) < 9.0 or secrets.guess_cost("ab" * 5000 + "c") >= 9.0
     for v in (long[:40], "ab1" * 30, "qwertyuiop1999-12-31aaaa", "password123", "x" * 100 + "qwerty"):
         cost = secrets.guess_cost(v)
         assert (secrets.guess_cost(v, 8.0) >= 8.0) == (cost >= 8.0) and (cost >= 8.0 or secrets.guess_cost(v, 8.0) == cost)
 
 
+def test_guess_cost_brute():
+    """Against every segmentation of short values."""
+    words = secrets.FIXED | {"well": 2.0, "established": 3.5, "ell": 4.0}
+
+    def segment(v, i, j):
+        part, low = v[i:j], v[i:j].lower()
+        each = secrets._alphabet(v)
+        costs = [each * (j - i) + 0.3 * (i > 0)]
+        if part in "-_.,:;/'+" and len(part) == 1:
+            costs.append(0.7)
+        up = 0.3 * (part != low)
+        costs += [words[w] + x + up for w, x in ((low, 0.0), (low.translate(secrets.LEET), 0.6)) if w in words and len(w) > 1]
+        m = secrets.DATE.match(v, i)
+        if m and m.end() == j:
+            costs.append(4.3)
+        for size in range(1, 5):
+            k = (j - i) // size
+            if k > 1 and low == low[:size] * k:
+                costs.append(each * size + math.log10(k + 1))
+        if len(low) > 2 and all(a + b in secrets.NEXT for a, b in zip(low, low[1:])):
+            costs.append(math.log10(4 * 26 * len(low)))
+        return min(costs)
+
+    rng = random.Random(8)
+    for v in ["well-established", "P4ssw0rd1999", "qwertyaaaa", "ababab12-31"] + ["".join(rng.choice(["a", "b", "ab", "12", "-", "pass", "W3ll", "qwe", "19", "99"]) for _ in range(rng.randint(1, 5)))[:12] for _ in range(150)]:
+        least = [0.0]
+        for j in range(1, len(v) + 1):
+            least.append(min(least[i] + segment(v, i, j) for i in range(j)))
+        assert abs(secrets.guess_cost(v, words=words) - least[-1]) < 1e-9, v
+
+
+def test_base_spans_brute():
+    """Random texts of the patterns' pieces, against the contract's patterns walked one place at a time."""
+    import regex
+
+    rng = random.Random(12)
+    pieces = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "APIKEY", '"', "'", " ", "  ", ":", "=", "abcd1234", "a/b+c_d.e=f-g", "short", "AKIA", "ABCDEFGHIJ12", "0123456789abcdef", "é", "ſ", "K", "\n", ".", "="]
+    forms = [
+        (regex.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", regex.I | regex.A), 2, 8),
+        (regex.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+        (regex.compile(r"[0-9a-f]+"), 0, 32),
+    ]
+    found = 0
+    for _ in range(3000):
+        t, want = "".join(rng.choices(pieces, k=rng.randint(1, 14))), []
+        for kind, (form, group, least) in enumerate(forms):
+            at = 0
+            while at < len(t):
+                m = form.match(t, at)
+                if m and m.end() > at:
+                    want += [(at, kind, m.end())] * (len(m[group]) >= least)
+                    at = m.end()
+                else:
+                    at += 1
+        assert [x for x in secrets.find_secrets(t) if x[1] < 3] == sorted(want), t
+        found += len(want)
+    assert found > 300
+
+
+def test_secrets_of_letters_and_of_prose(spark):
+    """The corpus' own words aren't secrets, joined by hyphens or not; costly letters are, and don't teach themselves."""
+    prose = "their case sensitive well established naming of the token is kept important "
+    rows = [(i, prose * 3) for i in range(20)] + [(100, "the password is well-established"), (101, "token is case-sensitive"), (102, "the secret is important")]
+    hidden = "XkqZvTrWmPlNbYcQwHsJdKfa"
+    rows += [(200 + i, f"the password is {hidden} ok") for i in range(5)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in (0, 100, 101, 102)] == [""] * 4
+    assert all(got[200 + i] == "guess:16:40" for i in range(5))
+
+
 def test_packing(spark, edge, nothing):
     df = spark.createDataFrame(list(enumerate(texts(300))) + [(900, None), (901, LONG), (901, LONG)], "doc_id long, text string")
     path = tokenizer("word_bpe_49k.json")
@@ -440,6 +511,35 @@ def test_classifier_edges(spark, edge, nothing):
             assert f(nothing, lab).count() == 0
 
 
+def test_classifier_bounds_and_clashes(spark):
+    """One text an id is learnt from, however often it comes; columns called like the answers stay as they are."""
+    docs = spark.createDataFrame([(7, f"bad word {i}") for i in range(20)] + [(8, "good"), (9, None)], "doc_id long, text string")
+    assert toxicity._sample(docs, docs.select("doc_id"), 1).count() == 1 and toxicity._sample(docs, docs.select("doc_id"), 5).count() == 3
+    odd = docs.selectExpr("doc_id", "'mine' as score", "text", "doc_id as PREDICTED")
+    kept = toxicity.drop_toxic(odd, ({}, -1.0))
+    assert kept.columns == odd.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(map(tuple, odd.collect()), key=str)
+    assert toxicity.drop_toxic(odd, ({}, 1.0)).count() == 0
+
+
+def test_votes_brute(spark):
+    """Votes against every voter, one text and one voter at a time, ties by the voter's place."""
+    rng = np.random.default_rng(4)
+    some = sorted(set(texts(160)))
+    labels = rng.integers(2, size=len(some))
+    x = np.stack([quality.describe(t) for t in some])
+    v = quality.Voters(x, labels, 20, 15)
+    got = v.vote(np.stack([quality.describe(t) for t in some]))
+    for t, score in zip(some, got):
+        y = v._unit(((quality.describe(t) * v.weight) @ v.basis)[None])[0]
+        near = sorted(((-float(a @ y), i) for i, a in enumerate(v.vectors)))[:15]
+        w = [math.exp(quality.SHARPNESS * (near[0][0] - c)) * max(-c, 1e-6) for c, _ in near]
+        assert abs(score - sum(a * labels[i] for a, (_, i) in zip(w, near)) / sum(w)) < 1e-3
+    same = np.zeros((1, 40), np.float32)
+    same[0, 5:35] = 1
+    assert sorted(quality.nearest(same, 15)[0]) == list(range(5, 20))
+    assert (quality.describe("слово")[: quality.TERMS] > 0).any() and not np.array_equal(quality.describe("слово"), quality.describe("место"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
