@@ -26,9 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession):
+    """Folders of scratch() named inside are deleted at the end: for a result that is written inside, elsewhere."""
+    first = len(_MADE)
+    yield
+    for path in _MADE[first:]:
+        remove(spark, path)
+    del _MADE[first:]
 
 
 @contextmanager
