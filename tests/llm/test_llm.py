@@ -425,19 +425,55 @@ def test_packing(spark, edge, nothing):
     assert packing.pack_documents(nothing, path).count() == 0 and packing.pack_documents(edge, path).count() >= len(EDGES)
 
 
+def held_by(histogram, patterns, where):
+    """Every id of every piece once, gapless; ids in all."""
+    fill = {}
+    for n, count in histogram.items():
+        for rank in range(count):
+            parts = list(packing.parts_of(n, rank, where))
+            assert sum(p[0] for p in parts) == n and all(p[0] % packing.GRAIN == 0 for p in parts[:-1])
+            for taken, sequence, offset in parts:
+                fill.setdefault(sequence, []).append((offset, taken))
+    for s in fill.values():
+        at = 0
+        for offset, taken in sorted(s):
+            assert offset == at
+            at += taken
+        assert at <= 4096
+    assert set(fill) == set(range(sum(c for c, _ in patterns)))
+
+
 def test_patterns():
     rng = random.Random(4)
-    h = {}
+    some = {}
     for _ in range(5000):
         n = rng.randint(1, 4096)
-        h[n] = h.get(n, 0) + 1
-    seen = {}
-    p = packing.packing_patterns(h)
-    for copies, lengths in p:
-        assert sum(lengths) <= 4096
+        some[n] = some.get(n, 0) + 1
+    for h, most in ((some, 1.012), ({700: 9000}, 1.02), ({3000: 3000, 1500: 3000}, 1.02), ({n: 1 for n in range(1, 4097)}, 1.012), ({2049: 5000}, 1.02), ({4000: 2000}, 1.025), ({1: 5}, 5000), ({4096: 3}, 1), ({}, 1)):
+        p = packing.packing_patterns(h)
+        ids = sum(k * v for k, v in h.items())
+        assert sum(c for c, _ in p) * 4096 <= max(most * ids, ids + 2 * 4096), h
+        held_by(h, p, packing.places(p, h))
+        whole = packing.packing_patterns(h, grain=None)
+        assert all(t == n for _, held in whole for n, t in held)
+
+
+def test_patterns_piece_by_piece():
+    """Without cuts: the counts' packing is that of pieces placed one at a time, longest first, into the shortest pack."""
+    rng = random.Random(7)
+    for _ in range(20):
+        lengths = sorted((rng.randint(1, 100) for _ in range(rng.randint(1, 60))), reverse=True)
+        packs = []
         for n in lengths:
-            seen[n] = seen.get(n, 0) + copies
-    assert seen == h and sum(c * 4096 for c, _ in p) < 1.03 * sum(k * v for k, v in h.items())
+            fits = [p for p in packs if sum(p) + n <= 100]
+            if fits:
+                min(fits, key=sum).append(n)
+            else:
+                packs.append([n])
+        h = {n: lengths.count(n) for n in lengths}
+        got = packing.packing_patterns(h, 100, None)
+        assert abs(sum(c for c, _ in got) - len(packs)) <= 1
+        assert sorted(n for c, held in got for n, _ in held for _ in range(c)) == sorted(lengths)
 
 
 def test_feistel():
