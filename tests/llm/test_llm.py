@@ -587,3 +587,66 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, d)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert rows.select("doc_id").distinct().count() <= clean.select("text").distinct().count()
+
+
+ODD_DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, Predicted int, `row` long, size string, salt long"
+
+
+def odd_docs(spark, tmp_path):
+    """Documents with null and empty texts, long ones, copies, near copies, secrets, repeated rows, clashing columns."""
+    rng = random.Random(21)
+    base = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(12)]
+    t = [None, None, "", LONG, LONG, *base, base[0], base[1] + " more", "the password is xK9#vQ2!mZ ok", "vile vile hate", "vile hate one"]
+    rows = [(i, x, "en", None, None if x is None else len(x), 0.5, 1, 7, "s", i) for i, x in enumerate(t)]
+    rows += [rows[6], (None, base[2], None, "s", 3, None, None, None, None, None)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, ODD_DOCS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 0, int("vile" in (x or ""))) for i, x in enumerate(t)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return spark.read.parquet(f"{d}/documents.parquet"), d
+
+
+def test_pipeline_stages_brute(spark, tmp_path):
+    """Each stage on its own input against plain Python."""
+    import corpus_pipeline as cp
+
+    docs, d = odd_docs(spark, tmp_path)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    bad = {(r.doc_id, r.text) for r in toxicity.score(docs, model, ["doc_id"], with_text=True).collect() if r.predicted}
+    got = cp.drop_toxic(spark, docs, d)
+    assert got.columns == docs.columns and rows(got) == [r for r in rows(docs) if (r[0], r[1]) not in bad]
+    got = cp.drop_copies(spark, docs, d)
+    best = {}
+    for r in rows(docs):
+        key = r[1] or ""
+        if key not in best or (-1 if r[0] is None else r[0]) > (-1 if best[key][0] is None else best[key][0]):
+            best[key] = r
+    assert got.columns == docs.columns and rows(got) == sorted(best.values(), key=str)
+    got = cp.drop_near_copies(spark, docs, d)
+    every = rows(docs)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").lower().split()) else set() for r in every]
+    comp = brute_components(sets, 80)
+    first = {}
+    for i, r in enumerate(every):
+        k = comp[i] if sets[i] else -1 - i
+        if k not in first or (r[0] is not None, -(r[0] or 0)) > (first[k][0] is not None, -(first[k][0] or 0)):
+            first[k] = r
+    assert got.columns == docs.columns and rows(got) == sorted(first.values(), key=str)
+    got = cp.redact_secrets(spark, docs, d)
+    told = {r.doc_id: r for r in got.collect()}
+    assert got.columns == docs.columns and got.count() == docs.count()
+    assert all((told[r.doc_id].text == r.text) != ("xK9#vQ2!mZ" in (r.text or "")) for r in docs.collect()) and "xK9#" not in str(told)
+    pieces = cp.pack(spark, docs, d)
+    own = bpe.CachedTokenizer(tokenizer("word_bpe_49k.json"))
+    assert pieces.agg(F.sum("length")).first()[0] == sum(len(own.encode(r[1] or "")) // 4 + 1 for r in every)
+    assert cp.run(spark, d).columns == pieces.columns
+    none = docs.where("false")
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, d).count() == 0
+
+
+def test_packing_of_one_id(spark):
+    """A third of all rows share an id, or none: no part of a length's ranking holds them all."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) as doc_id", "'a b c' as text").repartition(5)
+    rows = packing.pack_documents(df, tokenizer("word_bpe_49k.json")).collect()
+    assert len(rows) >= 3000 and sum(r.length for r in rows) == 4 * 3000 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
