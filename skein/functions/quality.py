@@ -65,7 +65,9 @@ def placed_bases(scored: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def outside(placed: DataFrame) -> DataFrame:
     """Edits that reach beyond the read or the node."""
-    return placed.where("length(bases) < to_length or length(quals) < to_length or length(ref) < to_length").select("read", "node", "read_pos", "ref_pos", "to_length")
+    return placed.where(
+        "read_pos < 0 or ref_pos < 0 or read_pos + to_length > read_total or length(bases) < to_length or length(quals) < to_length or length(ref) < to_length"
+    ).select("read", "node", "read_pos", "ref_pos", "to_length")
 
 
 def adjust(placed: DataFrame, p: Params = Params()) -> DataFrame:

@@ -21,33 +21,60 @@ class Params:
     read_ends: bool = True
 
 
-def score_edits(edits: DataFrame, part: list[str], offset: Column | None = None, total: Column | None = None, p: Params = Params()) -> DataFrame:
+def score_edits(edits: DataFrame, part: list[str], offset: Column | None = None, total: Column | None = None, p: Params = Params(), order: list[str] | None = None) -> DataFrame:
     """Adds read_pos and score to each edit. offset is where the subpath starts in the read (0), total the read's length
-    (the subpath's own sum). Empty edits are dropped: they neither score nor end a gap."""
-    effective = edits.where("from_length > 0 or to_length > 0")
-    w = Window.partitionBy(*part).orderBy("ord")
-    before = F.coalesce(F.sum("to_length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    deletion = (F.col("from_length") > 0) & (F.col("to_length") == 0)
-    whole = F.sum("to_length").over(Window.partitionBy(*part))
-    placed = effective.select(
+    (the subpath's own sum); order names the columns that order edits (ord). Empty edits score 0 and end no gap. One
+    window serves all: one shuffle, one sort."""
+    w = Window.partitionBy(*part).orderBy(*(order or ["ord"]))
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    n, to = F.col("from_length"), F.col("to_length")
+    empty = (n == 0) & (to == 0)
+    deletion = (n > 0) & (to == 0)
+    whole = F.sum("to_length").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = edits.select(
         "*",
-        ((F.lit(0) if offset is None else offset) + before).cast("long").alias("read_pos"),
-        F.coalesce(F.lag(deletion).over(w), F.lit(False)).alias("in_deletion"),
+        ((F.lit(0) if offset is None else offset) + F.coalesce(F.sum("to_length").over(ahead), F.lit(0))).cast("long").alias("read_pos"),
+        F.coalesce(F.last(F.when(~empty, deletion), ignorenulls=True).over(ahead), F.lit(False)).alias("in_deletion"),
         (whole if total is None else total).cast("long").alias("__total"),
     )
-    n, to = F.col("from_length"), F.col("to_length")
     at_start = F.col("read_pos") == 0
     at_end = F.col("read_pos") + to == F.col("__total")
     bonus = (at_start.cast("int") + at_end.cast("int")) * (p.end_bonus if p.read_ends else 0)
     clip = (at_start | at_end) & F.lit(p.read_ends)
     score = (
-        F.when(deletion, F.when(F.col("in_deletion"), -p.gap_extend * n).otherwise(-(p.gap_open + (n - 1) * p.gap_extend)))
+        F.when(empty, F.lit(0))
+        .when(deletion, F.when(F.col("in_deletion"), -p.gap_extend * n).otherwise(-(p.gap_open + (n - 1) * p.gap_extend)))
         .when(n == 0, F.when(clip, F.lit(0)).otherwise(-(p.gap_open + (to - 1) * p.gap_extend)))
         .otherwise(F.when(F.col("mismatch"), -p.mismatch * n).otherwise(p.match * n) + bonus)
     )
     return placed.withColumn("score", score.cast("long")).drop("in_deletion", "__total")
 
 
+def fold_mappings(mapping: str, offset: str, total: str, p: Params = Params()) -> Column:
+    """The scores of score_edits as a fold within the row: SQL names of a subpath's mappings (node, is_reverse, edit), its
+    offset and the read's length -> array<struct<node, read_rev, score, aligned>>, without a shuffle."""
+    ends = f"(int(a.pos = 0) + int(a.pos + e.to_length = {total}))" if p.read_ends else "0"
+    score = (
+        "case when e.from_length = 0 and e.to_length = 0 then 0 "
+        f"when e.to_length = 0 then if(a.gap, -{p.gap_extend} * e.from_length, -({p.gap_open} + (e.from_length - 1) * {p.gap_extend})) "
+        f"when e.from_length = 0 then if({ends} > 0, 0, -({p.gap_open} + (e.to_length - 1) * {p.gap_extend})) "
+        f"else if(e.sequence <> '', -{p.mismatch}, {p.match}) * e.from_length + {ends} * {p.end_bonus} end"
+    )
+    state = "named_struct('pos', bigint({pos}), 'gap', {gap}, 'score', bigint({score}), 'aligned', bigint({aligned}), 'node', {node}, 'read_rev', {rev})"
+    step = state.format(
+        pos="a.pos + e.to_length",
+        gap="if(e.from_length = 0 and e.to_length = 0, a.gap, e.from_length > 0 and e.to_length = 0)",
+        score=f"a.score + {score}",
+        aligned="a.aligned + if(e.from_length > 0 and e.to_length > 0, e.from_length, 0)",
+        node="a.node",
+        rev="a.read_rev",
+    )
+    begin = state.format(pos="element_at(done, -1).pos", gap="element_at(done, -1).gap", score="0", aligned="0", node="m.node", rev="m.is_reverse")
+    first = state.format(pos=offset, gap="false", score="0", aligned="0", node="bigint(0)", rev="false")
+    every = f"aggregate({mapping}, array({first}), (done, m) -> concat(done, array(aggregate(m.edit, {begin}, (a, e) -> {step}))))"
+    return F.expr(f"transform(slice({every}, 2, size({mapping})), x -> named_struct('node', x.node, 'read_rev', x.read_rev, 'score', x.score, 'aligned', x.aligned))")
+
+
 def aligned_bases() -> Column:
     """Bases of an edit that stand on both sides."""
     return F.when((F.col("from_length") > 0) & (F.col("to_length") > 0), F.col("from_length")).otherwise(F.lit(0)).cast("long")
@@ -56,10 +83,11 @@ def aligned_bases() -> Column:
 def read_offsets(lengths: str, nexts: str, starts: str) -> Column:
     """SQL names of array<bigint> lengths, array<array<int>> successors and array<int> seeds of subpaths in stored
     order -> offsets. One forward pass: the first writer of a subpath wins, unreachable ones keep 0; without seeds the
-    subpaths that none leads to are seeds."""
-    seeds = f"if(size(coalesce({starts}, array())) > 0, {starts}, filter(sequence(0, size({lengths}) - 1), i -> not exists({nexts}, s -> array_contains(s, i))))"
-    step = (
-        f"transform(acc, (x, j) -> if(x is null and acc[i] is not null and array_contains({nexts}[i], int(j)), acc[i] + {lengths}[i], x))"
-    )
-    first = f"transform({lengths}, (x, j) -> if(array_contains({seeds}, int(j)), bigint(0), cast(null as bigint)))"
-    return F.expr(f"if(size({lengths}) = 0, array(), transform(aggregate(sequence(0, size({lengths}) - 1), {first}, (acc, i) -> {step}), x -> coalesce(x, bigint(0))))")
+    subpaths that none leads to are seeds. A step writes to its own successors only: the state is a map of offsets."""
+    led = f"flatten({nexts})"
+    seeds = f"if(size(coalesce({starts}, array())) > 0, {starts}, array_except(sequence(0, size({lengths}) - 1), {led}))"
+    first = f"map_from_arrays(array_distinct(transform({seeds}, s -> int(s))), transform(array_distinct({seeds}), s -> bigint(0)))"
+    new = f"array_distinct(filter({nexts}[i], j -> j is not null and not map_contains_key(acc, int(j))))"
+    step = f"if(not map_contains_key(acc, i) or size({new}) = 0, acc, map_concat(acc, map_from_arrays(transform({new}, j -> int(j)), transform({new}, j -> acc[i] + {lengths}[i]))))"
+    all_ = f"aggregate(sequence(0, size({lengths}) - 1), {first}, (acc, i) -> {step})"
+    return F.expr(f"if(size({lengths}) = 0, array(), transform(array({all_}), found -> transform({lengths}, (x, j) -> coalesce(try_element_at(found, j), bigint(0))))[0])")

@@ -54,13 +54,15 @@ def unique_only(targets: DataFrame) -> DataFrame:
 
 
 def dictionary(names: DataFrame) -> DataFrame:
-    """Distinct target names -> dense ids from 0 in byte order. The dictionary is as small as the annotation."""
+    """Distinct target names -> dense ids from 0 in byte order, fewer than 2^31 (the cast fails beyond). The dictionary is
+    as small as the annotation."""
     return names.distinct().withColumn("target_id", (F.row_number().over(Window.orderBy("target")) - 1).cast("int"))
 
 
-def hit_lists(targets: DataFrame) -> DataFrame:
-    """A row per read: its targets in byte order."""
-    return targets.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("target", "forward"))).alias("hits"))
+def encode(targets: DataFrame, known: DataFrame) -> DataFrame:
+    """targets with target_id of the dictionary; a target that it lacks fails the query."""
+    unknown = F.raise_error(F.concat(F.lit("a target is not in the dictionary: "), "target")).cast("int")
+    return targets.join(known, "target", "left").withColumn("target_id", F.coalesce("target_id", unknown))
 
 
 def gene_sets(targets: DataFrame, genes: DataFrame, multi: str = "omit") -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 class InputError(ValueError):
     """An input that the conversion refuses."""
 
 
-def require(violations: DataFrame, message: str) -> None:
-    row = violations.limit(1).collect()
+def require(violations: DataFrame, message: str, order: str | None = None) -> None:
+    """Fail on any row; with order, tell of the first by that column."""
+    row = (violations.orderBy(order) if order else violations).limit(1).collect()
     if row:
         raise InputError(f"{message}: {row[0].asDict()}")
 
@@ -30,15 +31,7 @@ def conflicting(pairs: DataFrame, key: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count_distinct(value).alias("values")).where("values > 1")
 
 
-def empty(rows: DataFrame) -> bool:
-    return rows.isEmpty()
-
-
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, counted: side, and the columns."""
     cols = left.columns
     return left.exceptAll(right.select(*cols)).withColumn("side", F.lit("left")).union(right.select(*cols).exceptAll(left).withColumn("side", F.lit("right")))
-
-
-def fallback(*choices: Column) -> Column:
-    return F.coalesce(*choices)

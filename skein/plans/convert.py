@@ -1,4 +1,9 @@
-"""The conversion of alignments into compatibility records, as one lazy plan per output."""
+"""The conversion of alignments into compatibility records.
+
+Parsed alignments are written once to the shared folder; what the checks and all outputs need of them follows in two
+narrow tables, a row per read group and a row per mapping, so no output parses or scores anew. Flat scores are a fold
+within the row: the only shuffle of mappings is that of the tally, by read.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, checks, ledger as led
 from skein.operators.checks import InputError
+from skein.session import saved, scratch
 
 #: The summary's keys in their order.
 SUMMARY = (
@@ -26,6 +32,8 @@ class Options:
     strand: str = "both"
     count_mode: str = "score"
     scores: str = "flat"
+    #: Tagged alignments: off, omit (XT of reads of one gene only) or first (XT is always the first gene).
+    alignments: str = "off"
 
     def check(self, has_body: bool) -> None:
         mol.check_lengths(self.barcode_length, self.umi_length)
@@ -37,6 +45,8 @@ class Options:
             raise ValueError(f"count mode: score or one of {led.MODES}")
         if self.scores not in ("flat", "qualadj"):
             raise ValueError("scores: flat or qualadj")
+        if self.alignments not in ("off", "omit", "first"):
+            raise ValueError("alignments: off, omit or first")
         if (self.count_mode != "score") != has_body:
             raise ValueError("the gene count modes need a body map, and only they do")
 
@@ -52,7 +62,10 @@ def edit_rows(reads: DataFrame, bases: bool = False) -> DataFrame:
     r = r.select("read", "rec", "read_total", *own, scoring.read_offsets("lengths", "nexts", "start").alias("offsets"), F.posexplode("subpath").alias("sub", "s"))
     ahead = [F.expr(f"aggregate(slice(s.mapping, 1, map), bigint(0), (c, m) -> c + {sizes.format('m.edit', 'to_length')})").alias("ahead")] if bases else []
     r = r.select("read", "rec", "sub", "read_total", *own, F.expr("offsets[sub]").alias("read_offset"), "s", F.posexplode(F.col("s.mapping")).alias("map", "m"))
-    r = r.select("read", "rec", "sub", "map", "read_total", *own, "read_offset", *ahead, "m", F.posexplode(F.col("m.edit")).alias("e_ord", "e"))
+    # a mapping without edits is one empty edit: it scores 0, but its node counts
+    none = "named_struct('from_length', bigint(0), 'to_length', bigint(0), 'sequence', '')"
+    r = r.select("read", "rec", "sub", "map", "read_total", *own, "read_offset", *ahead, "m", F.posexplode_outer(F.col("m.edit")).alias("e_ord", "e"))
+    r = r.withColumn("e_ord", F.coalesce("e_ord", F.lit(0))).withColumn("e", F.expr(f"coalesce(e, {none})"))
     if bases:
         before = "slice(m.edit, 1, e_ord)"
         at = f"int(read_offset + ahead + {sizes.format(before, 'to_length')} + 1)"
@@ -67,66 +80,88 @@ def edit_rows(reads: DataFrame, bases: bool = False) -> DataFrame:
     )
 
 
+def scored_mappings(reads: DataFrame) -> DataFrame:
+    """read, rec, node, read_rev, score, aligned: a row per mapping, those that score 0 too, by a fold within the row."""
+    lengths = F.expr("transform(subpath, s -> aggregate(s.mapping, bigint(0), (c, m) -> c + aggregate(m.edit, bigint(0), (a, x) -> a + x.to_length)))")
+    r = reads.select(F.col("name").alias("read"), F.col("ord").alias("rec"), F.length("sequence").alias("total"), lengths.alias("lengths"), F.expr("transform(subpath, s -> s.next)").alias("nexts"), "start", "subpath")
+    r = r.withColumn("offsets", scoring.read_offsets("lengths", "nexts", "start"))
+    r = r.select("read", "rec", "total", F.explode(F.arrays_zip("subpath", "offsets")).alias("s"))
+    r = r.select("read", "rec", F.explode(scoring.fold_mappings("s.subpath.mapping", "s.offsets", "total")).alias("m"))
+    return r.select("read", "rec", "m.node", "m.read_rev", "m.score", "m.aligned")
+
+
+def adjusted_mappings(reads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """scored_mappings with scores by base quality where a record has a quality for each base: a row per edit, since node
+    sequences come by a join."""
+    edits = edit_rows(reads, bases=True)
+    scored = scoring.score_edits(edits, ["read", "rec", "sub"], F.col("read_offset"), F.col("read_total"))
+    placed = quality.placed_bases(scored, nodes)
+    checks.require(quality.outside(placed), "an edit reaches beyond its read or node")
+    rest = scored.where("not (quals is not null and from_length > 0 and to_length > 0)")
+    out = quality.adjust(placed).select(*scored.columns).union(rest)
+    return out.select("read", "rec", "node", "read_rev", "score", scoring.aligned_bases().alias("aligned"))
+
+
 def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, options: Options = Options(), body: DataFrame | None = None) -> dict[str, DataFrame]:
     """reads as from readers.read_alignments, a graph's nodes and steps, and path maps -> records (ord, read, barcode, umi,
-    hits), dictionary (target, target_id), tx2gene, targets and summary (key, value). Inputs that break a rule raise
-    InputError before anything is returned."""
+    original_name, hits), dictionary (target, target_id), tx2gene, targets, rejected (ord, read, status of groups whose
+    name can't be read), summary (place, key, value), and with options.alignments also alignments (ord, name, sequence,
+    quality_text, barcode, umi, genes, primary_gene, xt). Inputs that break a rule raise InputError before anything is
+    returned; of several offenders of a kind the first in the input is told."""
     options.check(body is not None)
-    if reads.isEmpty():
-        raise InputError("the alignment input is empty")
-    checks.require(checks.scattered(reads, "name", "ord"), "grouping_recurrence_failures=1: records of a read are not contiguous")
+    folder = scratch(spark, "convert")
+    reads = saved(reads, f"{folder}/reads")
     identity = mol.molecule(F.col("name"), options.barcode_length, options.umi_length)
+    aligned = F.size("subpath") > 0
+    kept = [F.min_by(F.struct("sequence", "quality"), "ord").alias("any"), F.min_by(F.when(aligned, F.struct("sequence", "quality")), F.when(aligned, F.col("ord"))).alias("first")] if options.alignments != "off" else []
     groups = reads.groupBy("name").agg(
-        F.min("ord").alias("ord"), F.count(F.lit(1)).alias("records"), F.bool_or(F.size("subpath") > 0).alias("aligned"), F.bool_or(F.size("subpath") == 0).alias("unaligned"), F.max(F.when(F.size("subpath") > 0, F.length("sequence"))).alias("read_length")
-    ).withColumn("m", identity).withColumn("read", F.col("name"))
+        F.min("ord").alias("ord"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("records"), F.bool_or(aligned).alias("aligned"), F.bool_or(~aligned).alias("unaligned"), F.max(F.when(aligned, F.length("sequence"))).alias("read_length"), *kept
+    )
+    groups = saved(groups.withColumn("m", identity).withColumnRenamed("name", "read"), f"{folder}/groups")
+    if groups.isEmpty():
+        raise InputError("the alignment input is empty")
+    checks.require(groups.where("last - ord + 1 <> records").select("ord", "read"), "grouping_recurrence_failures=1: records of a read are not contiguous", "ord")
+    rejected = groups.where("m.status <> 'ok'").select("ord", "read", "m.status")
     if options.failures == "fail":
-        checks.require(groups.where("m.status <> 'ok'").orderBy("ord").select("name", "m.status"), "a molecule name can't be read")
-    ok = reads.where((identity["status"] == "ok") & (F.size("subpath") > 0))
+        checks.require(rejected, "a molecule name can't be read", "ord")
+    ok = reads.where((identity["status"] == "ok") & aligned)
     score_mode = options.count_mode == "score"
-    adjusted = score_mode and options.scores == "qualadj"
-    edits = edit_rows(ok, adjusted)
+    made = adjusted_mappings(ok, nodes) if score_mode and options.scores == "qualadj" else scored_mappings(ok)
+    m = saved(made if score_mode else made.where("aligned > 0"), f"{folder}/mappings")
+    checks.require(m.select("node", "rec").groupBy("node").agg(F.min("rec").alias("rec")).join(nodes.select("node"), "node", "left_anti"), "a node is not in the graph", "rec")
     if score_mode:
-        scored = scoring.score_edits(edits, ["read", "rec", "sub"], F.col("read_offset"), F.col("read_total"))
-        checks.require(checks.missing(edits, nodes, "node"), "a node is not in the graph")
-        if adjusted:
-            placed = quality.placed_bases(scored, nodes)
-            checks.require(quality.outside(placed), "an edit reaches beyond its read or node")
-            rest = scored.where("not (quals is not null and from_length > 0 and to_length > 0)")
-            scored = quality.adjust(placed).select(*scored.columns).union(rest)
-        m = scored.withColumn("aligned", scoring.aligned_bases())
         named = t2g.withColumn("target", attribute.transcript_of(F.col("path")))
-        checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes")
-        kept = steps.join(t2g.select("path").distinct(), "path", "left_semi").select("node", "path", "path_rev")
-        targets = attribute.collapse(attribute.winners(attribute.tally(m, kept))).select("read", "target", "forward")
+        checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes", "target")
+        known = steps.join(t2g.select("path").distinct(), "path", "left_semi").select("node", "path", "path_rev")
+        targets = attribute.collapse(attribute.winners(attribute.tally(m, known))).select("read", "target", "forward")
         dictionary = attribute.dictionary(named.select("target"))
         tx2gene = named.select("target", "gene").distinct()
     else:
         for t in (t2g, body):
-            checks.require(checks.conflicting(t, "path", "gene"), "a path has two genes")
-        m = edits.withColumn("aligned", scoring.aligned_bases()).where("aligned > 0")
-        checks.require(checks.missing(m, nodes, "node"), "a node is not in the graph")
+            checks.require(checks.conflicting(t, "path", "gene"), "a path has two genes", "path")
         layers = led.path_layers(steps.select("path"), t2g, body)
         entries = led.ledger(m, led.node_genes(steps, layers))
         targets = led.count_mode(entries, groups.select("read", "read_length"), options.count_mode)
         dictionary = attribute.dictionary(t2g.select(F.col("gene").alias("target")).union(body.select("gene")))
         tx2gene = dictionary.select("target", F.col("target").alias("gene"))
-    found = targets.select("read").distinct().withColumn("found", F.lit(True))
+    targets = saved(targets, f"{folder}/targets")
     stranded = attribute.strand(targets, options.strand)
-    after = stranded.groupBy("read").agg(F.count(F.lit(1)).alias("n"))
     final = stranded if score_mode else attribute.unique_only(stranded)
-    hits = final.join(dictionary, "target").groupBy("read").agg(F.expr("transform(array_sort(collect_list(struct(target, target_id, forward))), h -> struct(h.target_id, h.forward))").alias("hits"))
+    hits = attribute.encode(final, dictionary).groupBy("read").agg(F.expr("transform(array_sort(collect_list(struct(target, target_id, forward))), h -> struct(h.target_id, h.forward))").alias("hits"))
     records = groups.join(hits, "read").select("ord", "read", "m.barcode", "m.umi", "m.original_name", "hits").orderBy("ord")
 
-    state = groups.join(found, "read", "left").join(after, "read", "left").withColumn("ok", F.col("m.status") == "ok")
-    dropped = F.col("n").isNotNull() & (F.col("n") > 1) if not score_mode else F.lit(False)
+    keeps = F.lit(True) if options.strand == "both" else F.col("forward") == F.lit(options.strand == "forward")
+    per = targets.groupBy("read").agg(F.count_if(keeps).alias("n"))
+    state = groups.join(per, "read", "left").withColumn("ok", F.col("m.status") == "ok")
+    dropped = F.coalesce(F.col("n") > 1, F.lit(False)) if not score_mode else F.lit(False)
     count = lambda on: F.count_if(on).cast("string")
-    none = F.col("ok") & F.col("found").isNull()
+    none = F.col("ok") & F.col("n").isNull()
     values = [
         F.sum("records").cast("string"),
         F.count(F.lit(1)).cast("string"),
-        count(F.col("n").isNotNull() & ~dropped),
+        count((F.col("n") > 0) & ~dropped),
         count(none),
-        count(F.col("found").isNotNull() & F.col("n").isNull()),
+        count(F.col("n") == 0),
         count(dropped),
         count(none & F.col("unaligned") & ~F.col("aligned")),
         *[count(F.col("m.status") == s) for s in ("missing", "malformed", "unsupported")],
@@ -135,4 +170,16 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     ]
     told = state.agg(*[v.alias(k) for k, v in zip(SUMMARY, values)]).join(attribute.histogram_text(attribute.histogram(final)).select(F.col("histogram").alias(SUMMARY[-1])))
     summary = told.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in SUMMARY])).alias("place", "kv")).select("place", "kv.key", "kv.value")
-    return {"records": records, "dictionary": dictionary, "tx2gene": tx2gene, "targets": final, "summary": summary}
+    out = {"records": records, "dictionary": dictionary, "tx2gene": tx2gene, "targets": final, "rejected": rejected, "summary": summary}
+    if options.alignments != "off":
+        sets = attribute.gene_sets(final, tx2gene, options.alignments)
+        base = F.coalesce("first", "any")
+        whole = F.octet_length(base["quality"]) == F.length(base["sequence"])
+        phred = F.expr("array_join(transform(sequence(1, length(quality)), i -> char(int(conv(hex(substring(quality, i, 1)), 16, 10)) + 33)), '')")
+        out["alignments"] = (
+            groups.join(sets, "read")
+            .select("ord", F.col("m.original_name").alias("name"), base["sequence"].alias("sequence"), F.when(whole & (F.length(base["sequence"]) > 0), base["quality"]).alias("quality"), "m.barcode", "m.umi", "genes", "primary_gene", "xt")
+            .withColumn("quality_text", F.when(F.col("quality").isNotNull(), phred))
+            .drop("quality")
+        )
+    return out

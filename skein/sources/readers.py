@@ -16,20 +16,34 @@ READ_SCHEMA = (
 )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, ord: lines with their dense place over all files in path order. One count a file block comes together in a
-    small table; lines themselves are not shuffled."""
-    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    blocks = t.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+def place_columns() -> list:
+    """value, file, block, id of a text source (streaming, too): where each line stands."""
+    return [F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """place_columns() -> value, ord: the lines' dense place over all files in path order. One count a file block comes
+    together in a small table; lines themselves are not shuffled."""
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return t.join(base, ["file", "block"]).select("value", (F.col("base") + F.col("id") - F.col("first")).alias("ord"))
+    return lines.join(base, ["file", "block"]).select("value", (F.col("base") + F.col("id") - F.col("first")).alias("ord"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    return numbered(spark.read.text(path).select(*place_columns()))
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """name, sequence, quality (binary), start, subpath, ord; absent values take their defaults."""
-    t = numbered_lines(spark, path).where("trim(value) <> ''")
-    return normalise(t.select(F.from_json("value", READ_SCHEMA).alias("r"), "ord").select("r.*", "ord"))
+    """name, sequence, quality (binary), start, subpath, ord; absent values take their defaults. ord is the place among
+    the lines that aren't blank: ids are given to those alone, after the filter."""
+    kept = spark.read.text(path).where("trim(value) <> ''").select(*place_columns())
+    return parse_alignments(numbered(kept))
+
+
+def parse_alignments(lines: DataFrame) -> DataFrame:
+    """value (JSON), ord -> read_alignments' columns."""
+    return normalise(lines.select(F.from_json("value", READ_SCHEMA).alias("r"), "ord").select("r.*", "ord"))
 
 
 def normalise(raw: DataFrame) -> DataFrame:
