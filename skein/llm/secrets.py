@@ -8,8 +8,8 @@ the value's cost, and only values too costly to guess are reported, so prose aft
 alone decides: letters only, or any length, make no exception.
 
 Common words are ranked by their counts over all documents (one aggregation; values in a credential's context and base
-spans don't count, so no secret teaches itself); the KEPT most frequent ones, in at least LEAST places, are broadcast,
-with a short fixed list of password words. Ties of counts go by the word.
+spans don't count, so no secret teaches itself); the most frequent ones, KEPT at most, in at least LEAST places, are
+broadcast, with a short fixed list of password words. Ties of counts go by the word.
 
 Edge cases: null text counts as empty and has no spans; positions are code points, ends exclusive; very long texts are
 scanned whole, and so are long values, whose costing ends early; a quoted value ends at its quote; repeated rows are
@@ -27,6 +27,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skein.session import remove, saved, scratch
+
 from .common import map_texts, prepare
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,7 +39,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: offered; from its first place every end is.
 STEPS = 128
 #: Corpus words whose ranks are known, the least count, and letters in one.
-KEPT, LEAST, LETTERS = 100_000, 3, 32
+KEPT, LEAST, LETTERS, GRADES = 100_000, 3, 32, 64
 WORD = re.compile(r"[^\W\d_]{2,32}")
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 200_000
@@ -168,8 +170,9 @@ def find_secrets(text: str, threshold: float = THRESHOLD, words: dict[str, float
 
 
 def common_words(docs: DataFrame, kept: int = KEPT, least: int = LEAST) -> dict[str, float]:
-    """Costs of the `kept` most frequent words of all texts, and of the fixed ones; at most `kept` rows of at most LETTERS
-    letters come to the driver."""
+    """Costs of the most frequent words of all texts, and of the fixed ones: all words whose count is of a grade (a step of
+    1 / GRADES of its logarithm) that, with the grades above it, comes to at most `kept` words. No more than that many rows
+    of at most LETTERS letters come to the driver, from all tasks together."""
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -195,9 +198,19 @@ def common_words(docs: DataFrame, kept: int = KEPT, least: int = LEAST) -> dict[
         if seen:
             yield told()
 
-    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(kept).collect()
-    costs = {r["word"]: math.log10(i + 2) for i, r in enumerate(top)}
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    folder = scratch(docs.sparkSession, "words")
+    counts = saved(counts.withColumn("grade", F.floor(GRADES * F.log2("n")).cast("int")), folder)
+    # grades of counts, a few thousand at most: the lowest that comes whole
+    lowest, held = None, 0
+    for r in sorted(counts.groupBy("grade").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > kept:
+            break
+        lowest = r["grade"]
+    top = counts.where(F.col("grade") >= lowest).select("word", "n").collect() if lowest is not None else []
+    remove(docs.sparkSession, folder)
+    costs = {r["word"]: math.log10(i + 2) for i, r in enumerate(sorted(top, key=lambda r: (-r["n"], r["word"])))}
     return {w: min(c, costs.get(w, c)) for w, c in (costs | FIXED).items()}
 
 

@@ -400,6 +400,22 @@ def test_secrets_of_letters_and_of_prose(spark):
     assert all(got[200 + i] == "guess:16:40" for i in range(5))
 
 
+def test_common_words_brute(spark, nothing):
+    rng = random.Random(2)
+    t = [" ".join(rng.choices([f"{a}{b}" for a in "abcdefgh" for b in "xyz"], weights=range(1, 25), k=30)) for _ in range(40)]
+    counts = {}
+    for w in " ".join(t).split():
+        counts[w] = counts.get(w, 0) + 1
+    counts = {w: n for w, n in counts.items() if n >= secrets.LEAST}
+    df = spark.createDataFrame(list(enumerate(t + ["password: " + "zy" * 8] * 9)), "doc_id long, text string").repartition(3)
+    for kept in (1000, 12, 0):
+        got = secrets.common_words(df, kept)
+        ranked = [w for w in sorted(counts, key=lambda w: (-counts[w], w)) if w in got]
+        assert all(got[w] == math.log10(i + 2) for i, w in enumerate(ranked) if w not in secrets.FIXED)
+        assert set(got) == {*secrets.FIXED, *ranked} and len(ranked) <= max(kept, 1) and (kept < 1000 or len(ranked) == len(counts))
+    assert secrets.common_words(nothing) == secrets.FIXED
+
+
 def test_packing(spark, edge, nothing):
     df = spark.createDataFrame(list(enumerate(texts(300))) + [(900, None), (901, LONG), (901, LONG)], "doc_id long, text string")
     path = tokenizer("word_bpe_49k.json")
