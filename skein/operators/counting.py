@@ -13,7 +13,15 @@ def molecule_counts(records: DataFrame) -> DataFrame:
     return records.where("gene is not null").groupBy("gene", "cell").agg(F.count_distinct("umi").alias("count"))
 
 
-def cell_gene_matrix(counts: DataFrame, genes: list[str]) -> DataFrame:
+def cell_gene_matrix(counts: DataFrame) -> DataFrame:
+    """gene, cell, count -> a row per cell with all its genes: cell, genes (a map of gene to count, in byte order). A map
+    has no limit of columns; pivot() by a known, small gene list gives a wide table."""
+    each = F.array_sort(F.collect_list(F.struct("gene", "count")))
+    return counts.groupBy("gene", "cell").agg(F.sum("count").alias("count")).groupBy("cell").agg(F.map_from_entries(each).alias("genes"))
+
+
+def wide(counts: DataFrame, genes: list[str]) -> DataFrame:
+    """A column per gene of the list."""
     return counts.groupBy("cell").pivot("gene", genes).agg(F.sum("count"))
 
 
@@ -24,19 +32,24 @@ def node_spans(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     return s.select("path", "step_ord", "node", (F.col("node_end") - F.col("length")).cast("long").alias("node_start"), F.col("node_end").cast("long").alias("node_end"))
 
 
-def overlaps(spans: DataFrame, features: DataFrame, width: int = BIN) -> DataFrame:
-    """spans (path, node, node_start, node_end) and features (path, gene, start, end), half-open -> path, node, gene,
-    wherever they overlap. Both sides are cut into bins, so it is an equi-join; a pair is told in the bin where its
+def overlaps(spans: DataFrame, features: DataFrame, width: int = BIN, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """spans (path, node, node_start, node_end) and features (path, gene, start, end), half-open -> path, node, gene, start
+    and the columns of keep, wherever they overlap. Both sides are cut into bins, so it is an equi-join; a pair is told in the bin where its
     overlap starts, once."""
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
     left = spans.where("node_end > node_start").withColumn("bin", bins("node_start", "node_end"))
     right = features.where("end > start").withColumn("bin", bins("start", "end"))
     hit = left.join(right, ["path", "bin"]).where("start < node_end and end > node_start")
-    return hit.where(F.col("bin") == F.floor(F.greatest("start", "node_start") / width)).drop("bin")
-
-
-def fidelity(subpaths: DataFrame) -> DataFrame:
-    """subpaths (node_score, mapper_score) -> one row: subpaths, matching, per mille of them (rounded down)."""
-    ok = F.sum((F.col("node_score") == F.col("mapper_score")).cast("long"))
-    n = F.count(F.lit(1))
-    return subpaths.agg(n.alias("subpaths"), F.coalesce(ok, F.lit(0)).cast("long").alias("matching"), F.when(n > 0, F.floor(ok * 1000 / n)).cast("long").alias("per_mille"))
+    return hit.where(F.col("bin") == F.floor(F.greatest("start", "node_start") / width)).select("path", "node", "gene", "start", *keep)
+
+
+def fidelity(subpaths: DataFrame, most: int | None = None) -> DataFrame:
+    """subpaths (node_score, mapper_score, and if there is one base_quality, the subpath's mean) -> one row: subpaths,
+    matching, per mille of them (rounded down), and mean base qualities of matching and of deviating ones. With `most`
+    only so many subpaths are looked at (a quick look at a large run)."""
+    same = F.col("node_score") == F.col("mapper_score")
+    n, ok = F.count(F.lit(1)), F.count_if(same)
+    told = [n.alias("subpaths"), ok.alias("matching"), F.when(n > 0, F.floor(ok * 1000 / n)).cast("long").alias("per_mille")]
+    if "base_quality" in subpaths.columns:
+        told += [F.avg(F.when(on, F.col("base_quality"))).alias(k) for k, on in (("quality_matching", same), ("quality_deviating", ~same))]
+    return (subpaths.limit(most) if most else subpaths).agg(*told)

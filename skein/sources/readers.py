@@ -1,9 +1,7 @@
-"""Readers: alignments as JSON lines, graphs as GFA, path maps, FASTQ, RAD, SAM text, GTF, count tables, matrices."""
+"""Readers: alignments as JSON lines, graphs as GFA, path maps, FASTQ, SAM text, GTF, count tables, matrices."""
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skein.operators.checks import InputError
@@ -21,13 +19,14 @@ def place_columns() -> list:
     return [F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")]
 
 
-def numbered(lines: DataFrame) -> DataFrame:
-    """place_columns() -> value, ord: the lines' dense place over all files in path order. One count a file block comes
-    together in a small table; lines themselves are not shuffled."""
+def numbered(lines: DataFrame, columns: list[str] = ["value"]) -> DataFrame:  # noqa: B006
+    """place_columns() -> value (or what columns names), ord: the lines' dense place over all files in path order. One
+    count a file block comes together in a small table; lines themselves are not shuffled. Ids need only be dense and
+    ascending within a block."""
     blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return lines.join(base, ["file", "block"]).select("value", (F.col("base") + F.col("id") - F.col("first")).alias("ord"))
+    return lines.join(base, ["file", "block"]).select(*columns, (F.col("base") + F.col("id") - F.col("first")).alias("ord"))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -118,52 +117,3 @@ def read_matrix(spark: SparkSession, matrix: str, rows: str, cols: str) -> DataF
     e = body.select(F.expr("bigint(f[0]) - 1").alias("r"), F.expr("bigint(f[1]) - 1").alias("c"), F.expr("double(f[2])").alias("count"))
     name = lambda p, k, n: numbered_lines(spark, p).select(F.col("ord").alias(k), F.col("value").alias(n))
     return e.join(name(rows, "r", "cell"), "r").join(name(cols, "c", "gene"), "c").select("cell", "gene", "count")
-
-
-def decode_rad(data: bytes) -> tuple[list[str], list[tuple[int, int, list[tuple[int, bool]]]]]:
-    """Target names, and records (barcode, umi, [(target, forward)])."""
-    at = 0
-
-    def take(form: str):
-        nonlocal at
-        out = struct.unpack_from("<" + form, data, at)
-        at += struct.calcsize("<" + form)
-        return out
-
-    def text() -> str:
-        nonlocal at
-        (n,) = take("H")
-        out = data[at : at + n].decode()
-        at += n
-        return out
-
-    _, n = take("BQ")
-    names = [text() for _ in range(n)]
-    (chunks,) = take("Q")
-    kinds = []
-    for _ in range(3):
-        (tags,) = take("H")
-        kinds.append([(text(), take("B")[0]) for _ in range(tags)])
-    take("HH")
-    form = {1: "B", 2: "H", 3: "I", 4: "Q"}
-    cb, umi = (form[k] for _, k in kinds[1])
-    out = []
-    for _ in range(chunks):
-        _, records = take("II")
-        for _ in range(records):
-            n, b, u = take("I" + cb + umi)
-            out.append((b, u, [(w & 0x7FFFFFFF, bool(w >> 31)) for w in take(f"{n}I")]))
-    return names, out
-
-
-def read_rad(spark: SparkSession, path: str) -> DataFrame:
-    """barcode (decimal), umi, target, forward; a row per hit."""
-
-    def run(rows):
-        for r in rows:
-            names, records = decode_rad(bytes(r[0]))
-            for k, (b, u, hits) in enumerate(records):
-                for t, fwd in hits:
-                    yield k, str(b), str(u), names[t], fwd
-
-    return spark.createDataFrame(spark.read.format("binaryFile").load(path).select("content").rdd.mapPartitions(run), "record long, barcode string, umi string, target string, forward boolean")

@@ -1,67 +1,17 @@
-"""Writers: RAD, SAM text, target map and summary. Bodies are made by tasks; a file appears by rename, or not at all."""
+"""Writers: tagged alignments as SAM text, maps and the summary in their order, gene maps of new paths.
 
-from __future__ import annotations
+Spark's own text writer and committer do the work, on any store: what fails leaves nothing behind. An output is a folder
+whose part files, in order of name, are the file.
+"""
 
-import os
-import struct
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skein.functions.molecule import pack, packed_width, target_word
-
-_FORM = {1: "B", 2: "H", 4: "I", 8: "Q"}
-_TYPE = {1: 1, 2: 2, 4: 3, 8: 4}
-MAX_CHUNK = 1 << 30
-
-
-def rad_header(names: list[str], barcode: int, umi: int, chunks: int) -> bytes:
-    s = lambda t: struct.pack("<H", len(t.encode())) + t.encode()
-    tag = lambda t, k: s(t) + struct.pack("<B", k)
-    out = struct.pack("<BQ", 0, len(names)) + b"".join(map(s, names)) + struct.pack("<Q", chunks)
-    out += struct.pack("<H", 2) + tag("cblen", 2) + tag("ulen", 2)
-    out += struct.pack("<H", 2) + tag("b", _TYPE[packed_width(barcode)]) + tag("u", _TYPE[packed_width(umi)])
-    return out + struct.pack("<H", 1) + tag("compressed_ori_refid", 3) + struct.pack("<HH", barcode, umi)
-
-
-def write_rad(records: DataFrame, dictionary: DataFrame, path: str, barcode: int = 16, umi: int = 12, max_chunk: int = MAX_CHUNK) -> None:
-    """records (ord, barcode, umi, hits: array<struct<target_id, forward>>) -> one file at a local or mounted path, in
-    order of ord. Tasks pack chunk bodies; the driver streams them, one partition at a time, behind the header."""
-    max_chunk = max(1, max_chunk)
-    form = "<I" + _FORM[packed_width(barcode)] + _FORM[packed_width(umi)]
-    mask_b, mask_u = (1 << 8 * packed_width(barcode)) - 1, (1 << 8 * packed_width(umi)) - 1
-    rows = records.select("ord", pack(F.col("barcode")).alias("b"), pack(F.col("umi")).alias("u"), F.transform("hits", lambda h: target_word(h["target_id"], h["forward"])).alias("words"))
-    rows = rows.repartitionByRange(F.col("ord")).sortWithinPartitions("ord")
-
-    def bodies(part):
-        held, n, size = [], 0, 8
-        for _, b, u, words in part:
-            if not words:
-                raise ValueError("a record needs a hit")
-            r = struct.pack(form, len(words), b & mask_b, u & mask_u) + struct.pack(f"<{len(words)}I", *words)
-            if n and size + len(r) > max_chunk:
-                yield struct.pack("<II", size, n) + b"".join(held)
-                held, n, size = [], 0, 8
-            held.append(r)
-            n, size = n + 1, size + len(r)
-        if n:
-            yield struct.pack("<II", size, n) + b"".join(held)
-
-    chunks = rows.rdd.mapPartitions(bodies)
-    names = [r[0] for r in dictionary.orderBy("target_id").select("target").collect()]
-    temp, count = path + ".tmp", 0
-    try:
-        with open(temp, "wb") as f:
-            f.write(rad_header(names, barcode, umi, 0))
-            for c in chunks.toLocalIterator():
-                f.write(c)
-                count += 1
-            f.seek(0)
-            f.write(rad_header(names, barcode, umi, count))
-        os.replace(temp, path)
-    except BaseException:
-        if os.path.exists(temp):
-            os.remove(temp)
-        raise
+from skein.operators.attribute import transcript_of
+
+#: Fixed value: the length told of every gene, which has no sequence of its own here.
+CONTIG = 1 << 28
 
 
 def sam_lines(records: DataFrame) -> DataFrame:
@@ -72,7 +22,47 @@ def sam_lines(records: DataFrame) -> DataFrame:
     return records.select("ord", F.concat_ws("\t", "name", F.lit("0"), "primary_gene", F.lit("1"), F.lit("255"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), seq, F.coalesce("quality_text", F.lit("*")), *tags).alias("value"))
 
 
+def sam_header(genes: DataFrame, command: str, version: str) -> DataFrame:
+    """genes (gene) -> ord (negative, before any record), value: one @SQ a gene, in byte order."""
+    spark = genes.sparkSession
+    ranked = genes.select("gene").distinct().orderBy("gene").withColumn("k", F.monotonically_increasing_id())
+    contigs = ranked.select((F.col("k") - (1 << 61)).alias("ord"), F.concat(F.lit("@SQ\tSN:"), "gene", F.lit(f"\tLN:{CONTIG}")).alias("value"))
+    ends = [(-(1 << 62), "@HD\tVN:1.6\tSO:unsorted"), (-1, f"@PG\tID:skein\tPN:skein\tVN:{version}\tCL:{command}")]
+    return spark.createDataFrame(ends, "ord long, value string").union(contigs)
+
+
+def write_sam(records: DataFrame, genes: DataFrame, path: str, command: str = "", version: str = "1") -> None:
+    """Header and alignments in input order."""
+    lines = sam_header(genes, command, version).union(sam_lines(records))
+    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
+
+
+def by_place(alignments: DataFrame, contig: str = "primary_gene", pos: str = "pos") -> DataFrame:
+    """Alignments in coordinate order: contig, position, then the input's order."""
+    return alignments.orderBy(contig, pos, "ord")
+
+
+def write_rows(rows: DataFrame, order: str, columns: list[str], path: str) -> None:
+    """Columns as tab-separated text in an order of their own (annotation-sized: one part)."""
+    rows.orderBy(order).select(F.concat_ws("\t", *columns)).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_map(rows: DataFrame, path: str) -> None:
-    """Two columns as sorted tab-separated text (annotation-sized)."""
-    a, b = rows.columns[:2]
-    rows.orderBy(a).select(F.concat_ws("\t", a, b)).coalesce(1).write.mode("overwrite").text(path)
+    """target, gene as sorted text."""
+    write_rows(rows, "target", ["target", "gene"], path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The counters, a line each, in the summary's fixed order."""
+    write_rows(summary, "place", ["key", "value"], path)
+
+
+def write_rejected(rejected: DataFrame, path: str) -> None:
+    """A warning for each group whose name couldn't be read."""
+    told = rejected.select("ord", F.concat(F.lit("warning: skipping "), "read", F.lit(": molecule "), "status").alias("value"))
+    told.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
+
+
+def gene_map_of_new_paths(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Paths that a step added (path) -> path, gene: its name without the copy suffix."""
+    return after.select("path").distinct().join(before.select("path"), "path", "left_anti").select("path", transcript_of(F.col("path")).alias("gene"))

@@ -1,36 +1,95 @@
-"""The conversion over a stream of alignment files: each micro-batch is converted and appended by batch id.
+"""The conversion over a stream of alignment files.
 
-A file is the unit: reads of one name never span files, which the batch's own contiguity check and the recurrence
-check against names already written enforce.
+The state store knows which names earlier batches had (a flag a name, kept incrementally by Spark), so a batch needs no
+look at names ever seen. Within a batch lines get their dense order; the last read of a batch stays open: its records are
+carried over to the next batch, where more may follow, since a read may go on in the next file. A name that comes again
+after its read was closed is refused (`grouping_recurrence_failures`), never dropped. `finish` converts the read still
+open at the end of the input.
+
+Exact recurrence detection keeps a flag for every name: use a state store that spills (RocksDB) for long streams. Files
+must come in the order of the input: by time of change, then name.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skein.operators.checks import require
 from skein.plans.convert import Options, convert
-from skein.sources.readers import READ_SCHEMA, normalise
+from skein.session import exists, saved, ship
+from skein.sources.readers import numbered, parse_alignments
+
+_LINE = "name string, value string, file string, block long, id long, seen boolean"
+
+
+def _placed(batches):
+    """Adds id, the line's place in its task: ascending and dense within a file's block, which a task reads from end to
+    end (streams have no such function of their own)."""
+    at = 0
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at, at + b.num_rows), pa.int64())], names=[*b.schema.names, "id"])
+        at += b.num_rows
+
+
+def _seen_before(key, frames, state):
+    """The rows of a name, with whether an earlier batch had it."""
+    seen = state.exists
+    if not seen:
+        state.update((True,))
+    for f in frames:
+        yield f.assign(seen=seen)[["name", "value", "file", "block", "id", "seen"]]
+
 
+def _open_path(out: str, k: int) -> str:
+    return f"{out}/open/batch={k}"
 
-def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, checkpoint: str, options: Options = Options()):
-    """Starts a query (available-now trigger) that appends records to out; returns it."""
-    lines = spark.readStream.schema(READ_SCHEMA).json(folder)
+
+def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, checkpoint: str, options: Options = Options(), body: DataFrame | None = None, files_per_batch: int = 1000):
+    """Starts a query (available-now trigger) that writes records to out/records/batch=<k>; returns it. A batch that is
+    run again writes the same folders again."""
+    ship(spark)
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).where("trim(value) <> ''")
+    lines = lines.select(F.coalesce(F.get_json_object("value", "$.name"), F.lit("")).alias("name"), "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    named = lines.mapInArrow(_placed, "name string, value string, file string, block long, id long")
+    flagged = named.groupBy("name").applyInPandasWithState(_seen_before, _LINE, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, k: int) -> None:
-        if df.isEmpty():
-            return
         s = df.sparkSession
-        reads = normalise(df.withColumn("ord", F.monotonically_increasing_id())).persist()
-        try:
-            # ids of a task's rows are dense, so records of a read in one file are contiguous in ord
-            done = f"{out}/names"
-            if k:
-                old = s.read.schema("name string, batch long").parquet(done).where(F.col("batch") < k)
-                require(reads.select("name").distinct().join(old, "name", "left_semi"), "grouping_recurrence_failures=1")
-            convert(s, reads, nodes, steps, t2g, options)["records"].write.mode("overwrite").parquet(f"{out}/records/batch={k}")
-            reads.select("name").distinct().write.mode("overwrite").parquet(f"{done}/batch={k}")
-        finally:
-            reads.unpersist()
-
-    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        lines = saved(df, f"{out}/lines/batch={k}")
+        before = s.read.parquet(_open_path(out, k - 1)) if k and exists(s, _open_path(out, k - 1)) else None
+        if lines.isEmpty():
+            if before is not None:
+                saved(before, _open_path(out, k))
+            return
+        here = numbered(lines.select("name", "seen", "value", "file", "block", "id"), ["name", "seen", "value"])
+        if before is not None:
+            carried = before.count()  # of one read
+            here = here.withColumn("ord", F.col("ord") + carried).union(before.withColumn("seen", F.lit(False)).select("name", "seen", "value", "ord"))
+            held = before.select("name").distinct()
+            again = here.where("seen").join(held, "name", "left_anti")
+        else:
+            again = here.where("seen")
+        require(again.select("ord", "name"), "grouping_recurrence_failures=1: a closed read comes again", "ord")
+        here = saved(here, f"{out}/order/batch={k}")
+        last = here.agg(F.max_by("name", "ord")).first()[0]
+        left = here.where(F.col("name") == last)
+        # the open read must be the last one wholly: other names between its records are recurrence, too
+        gap = left.agg((F.max("ord") - F.min("ord") + 1 - F.count(F.lit(1))).alias("others")).where("others <> 0")
+        require(gap, "grouping_recurrence_failures=1: records of a read are not contiguous")
+        saved(left.select("name", "value", (F.col("ord") - left.agg(F.min("ord")).first()[0]).alias("ord")), _open_path(out, k))
+        done = here.where(F.col("name") != last)
+        if not done.isEmpty():
+            told = convert(s, parse_alignments(done.select("value", "ord")), nodes, steps, t2g, options, body)
+            told["records"].write.mode("overwrite").parquet(f"{out}/records/batch={k}")
+
+    return flagged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def finish(spark: SparkSession, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, options: Options = Options(), body: DataFrame | None = None) -> None:
+    """The input has ended: converts the read that the last batch left open."""
+    k = spark.read.parquet(f"{out}/open").agg(F.max("batch")).first()[0]
+    left = spark.read.parquet(_open_path(out, k))
+    told = convert(spark, parse_alignments(left.select("value", "ord")), nodes, steps, t2g, options, body)
+    told["records"].write.mode("overwrite").parquet(f"{out}/records/batch={k + 1}")
