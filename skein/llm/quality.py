@@ -34,7 +34,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8.0
 
 KINDS = 39
-TERMS = 2048
+TERMS = 1024
 #: Weight of the terms beside the kinds.
 TERM_WEIGHT = 0.5
 #: Words whose places a worker process remembers.
@@ -152,14 +152,14 @@ def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
 
 def _described(docs: DataFrame, keep: list[str]) -> DataFrame:
     def columns():
-        return lambda texts: {"x": pa.array([describe(t).tobytes() for t in texts], pa.binary())}
+        return lambda texts: {"x": pa.array([describe(t).astype(np.float16).tobytes() for t in texts], pa.binary())}
 
     return map_texts(docs, keep, columns, "x binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> Voters | None:
     """Learnt from labels of rows that are not held out; None if there are none. At most max_labelled vectors of WIDTH
-    numbers come to the driver."""
+    half-precision numbers come to the driver."""
     prepare(docs.sparkSession)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, di
     rows = _described(texts, ["doc_id", "quality"]).orderBy("doc_id", "x").limit(max_labelled).collect()
     if not rows:
         return None
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), WIDTH)
+    x = np.stack([np.frombuffer(r["x"], np.float16).astype(np.float32) for r in rows])
     return Voters(x, np.array([r["quality"] for r in rows]), dimensions, neighbours)
 
 
