@@ -12,20 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.functions import molecule as mol, scoring
-from skein.functions.quality import tables as quality_tables
 from skein.operators import attribute, checks, counting, ledger as led
+from skein.plans import driver_files
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: What orders the edits of a read.
+ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def edits(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("long")
     returned = F.col("l_returnflag") == "R"
     return _t(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("read"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"),
+        *ORDER,
         F.col("l_partkey").alias("node"),
         (F.col("l_suppkey") % 2 == 1).alias("read_rev"),
         F.when(returned & (F.col("l_linestatus") == "O"), 0).otherwise(q).cast("long").alias("from_length"),
@@ -35,7 +39,18 @@ def edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mappings(spark, d) -> DataFrame:
-    return scoring.score_edits(edits(spark, d), ["read"]).withColumn("aligned", scoring.aligned_bases())
+    return scored(edits(spark, d))
+
+
+def scored(e: DataFrame) -> DataFrame:
+    return scoring.score_edits(e, ["read"], order=ORDER).withColumn("aligned", scoring.aligned_bases())
+
+
+def emptied(spark, d) -> DataFrame:
+    """Edits of short lines become empty ones: they score 0 and end no gap, but their nodes count."""
+    e = edits(spark, d)
+    short = F.greatest("from_length", "to_length") <= 20
+    return e.withColumn("f", F.when(short, 0).otherwise(F.col("from_length"))).withColumn("to_length", F.when(short, F.lit(0)).otherwise(F.col("to_length")).cast("long")).withColumn("from_length", F.col("f").cast("long")).drop("f")
 
 
 def node_paths(spark, d) -> DataFrame:
@@ -46,23 +61,24 @@ def node_paths(spark, d) -> DataFrame:
 
 
 def node_genes(spark, d) -> DataFrame:
+    """By the engine's own classification: two gene layers of paths whose steps are parts, the last step deciding."""
     p = _t(spark, d, "part")
-    one = p.select(F.col("p_partkey").alias("node"), F.concat(F.lit("G"), (F.col("p_partkey") % 7).cast("string")).alias("gene"), (F.col("p_size") <= 25).alias("exon"), (F.col("p_size") % 2 == 1).alias("rev"))
-    two = p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("node"), F.concat(F.lit("G"), (F.col("p_size") % 7).cast("string")).alias("gene"), F.lit(False).alias("exon"), (F.col("p_size") % 2 == 0).alias("rev"))
-    return one.union(two).groupBy("node", "gene").agg(F.bool_or("exon").alias("is_exon"), F.bool_or("rev").alias("gene_rev"))
+    gene = lambda n: F.concat(F.lit("G"), (F.col(n) % 7).cast("string"))
+    one = p.select(F.when(F.col("p_size") <= 25, F.concat(F.lit("e"), gene("p_partkey"))).otherwise(F.concat(F.lit("b"), gene("p_partkey"))).alias("path"), F.col("p_partkey").alias("node"), gene("p_partkey").alias("gene"), (F.col("p_size") <= 25).alias("is_exon"), (F.col("p_size") % 2 == 1).alias("path_rev"))
+    two = p.where("p_size % 3 = 0").select(F.concat(F.lit("c"), gene("p_size")).alias("path"), F.col("p_partkey").alias("node"), gene("p_size").alias("gene"), F.lit(False).alias("is_exon"), (F.col("p_size") % 2 == 0).alias("path_rev"))
+    both = one.union(two)
+    return led.node_genes(both.select("path", F.col("node").alias("step_ord"), "node", "path_rev"), both.select("path", "gene", "is_exon").distinct())
 
 
 def targets(spark, d) -> DataFrame:
     return attribute.collapse(attribute.winners(attribute.tally(mappings(spark, d), node_paths(spark, d))))
 
 
-def lengths(spark, d) -> DataFrame:
-    return edits(spark, d).groupBy("read").agg(F.sum(scoring.aligned_bases()).cast("long").alias("read_length"))
-
-
 def counted(spark, d, mode) -> DataFrame:
+    """One scan of the lines: a read's length comes from the same grouping as its ledger."""
     e = edits(spark, d).withColumn("aligned", scoring.aligned_bases())
-    return led.count_mode(led.ledger(e, node_genes(spark, d)), lengths(spark, d), mode)
+    n = e.groupBy("read").agg(F.sum("aligned").cast("long").alias("read_length"))
+    return led.count_mode(led.ledger(e, node_genes(spark, d)), n, mode)
 
 
 _MODES = {"gene": "gene", "genefull": "genefull", "exonoverintron": "genefull_exonoverintron", "ex50pas": "genefull_ex50pas"}
@@ -148,47 +164,33 @@ def _new_paths(spark, d):
     return p.join(p.where("path like '%_H1' or path like '%_H2'"), "path", "left_anti")
 
 
-def _run_summary(spark, d):
-    e = edits(spark, d)
-    reads = e.groupBy("read").agg(F.count(F.lit(1)).alias("n"))
-    hit = targets(spark, d).groupBy("read").agg(F.count(F.lit(1)).alias("targets"))
-    j = reads.join(hit, "read", "left")
-    return j.agg(
-        F.sum("n").cast("long").alias("input_records"),
-        F.count(F.lit(1)).alias("input_read_groups"),
-        F.count("targets").alias("emitted_groups"),
-        F.count_if(F.col("targets").isNull()).alias("no_compatible_transcript_groups"),
-    )
-
-
 def _records(spark, d):
     return _t(spark, d, "events").select(F.col("user_id").alias("cell"), F.col("event_type").alias("gene"), F.col("props").alias("umi"), F.col("event_id").alias("pos"))
 
 
 def _position_independence(spark, d):
+    """Counts don't change when records move; they do where a record's UMI changes. All rows that differ are told."""
     a = counting.molecule_counts(_records(spark, d))
     moved = _records(spark, d).withColumn("pos", F.col("pos") + 50000)
-    b = counting.molecule_counts(_records(spark, d).union(moved))
-    return checks.difference(a, b).agg(F.count(F.lit(1)).alias("differences"))
+    b = counting.molecule_counts(moved.withColumn("umi", F.when(F.col("pos") % 40 == 0, F.lit("other")).otherwise(F.col("umi"))))
+    return checks.difference(a, b)
 
 
 def _matrix(spark, d):
-    genes = [r[0] for r in _t(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
-    m = counting.cell_gene_matrix(counting.molecule_counts(_records(spark, d)), genes)
-    kept = genes[:2]
-    return m.select("cell", *[F.col(f"`{g}`").cast("long").alias(f"g{i}") for i, g in enumerate(kept)])
+    m = counting.cell_gene_matrix(counting.molecule_counts(_records(spark, d)))
+    return m.select("cell", F.array_join(F.transform(F.map_entries("genes"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ";").alias("genes"))
 
 
-def _gene_sets(spark, d):
+def _gene_sets(spark, d, policy="omit"):
     genes = _dictionary(spark, d).select("target", F.concat(F.lit("GENE"), (F.col("target_id") % 9).cast("string")).alias("gene"))
-    return attribute.gene_sets(targets(spark, d), genes)
+    return attribute.gene_sets(targets(spark, d), genes, policy)
 
 
 def _dag_offsets(spark, d):
-    """Four subpaths an order (a diamond), lengths from the order's key."""
+    """Six subpaths an order, edges and lengths from the order's key."""
     o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("read"))
-    o = o.withColumn("lengths", F.expr("transform(sequence(0, 3), i -> bigint((read * (i + 3)) % 11 + 1))"))
-    o = o.withColumn("nexts", F.expr("array(array(1, 2), array(3), array(3), cast(array() as array<int>))")).withColumn("starts", F.expr("cast(array() as array<int>)"))
+    o = o.withColumn("lengths", F.expr("transform(sequence(0, 5), i -> bigint((read * (i + 3)) % 11 + 1))"))
+    o = o.withColumn("nexts", F.expr("transform(sequence(0, 5), i -> filter(sequence(0, 5), j -> j > i and (read * (i + 1) + i + 7 * j) % 3 = 0))")).withColumn("starts", F.expr("cast(array() as array<int>)"))
     return o.select("read", F.posexplode(scoring.read_offsets("lengths", "nexts", "starts")).alias("subpath", "read_offset"))
 
 
@@ -205,16 +207,8 @@ def _range_join(spark, d):
 
 def _fidelity(spark, d):
     m = mappings(spark, d).groupBy("read").agg(F.sum("score").cast("long").alias("node_score"), F.sum(F.when(F.col("mismatch"), -4 * F.col("from_length")).otherwise(F.col("to_length"))).cast("long").alias("mapper_score"))
-    return counting.fidelity(m)
-
-
-def _qualadj(spark, d):
-    """Each edit's score if all its bases had one quality, made from the part: matches, mismatches and end bonuses by table."""
-    hit, miss, end = (F.array(*[F.lit(x) for x in t[:64]]) for t in quality_tables())
-    m = mappings(spark, d).where("from_length > 0 and to_length > 0").withColumn("q", (F.col("node") % 42).cast("int"))
-    each = F.when(F.col("mismatch"), F.get(miss, F.col("q"))).otherwise(F.get(hit, F.col("q")))
-    bonus = F.get(end, F.col("q")) * (F.col("read_pos") == 0).cast("int")
-    return m.select("read", "node", "read_pos", "q", (each * F.col("from_length") + bonus).cast("long").alias("score"))
+    f = counting.fidelity(m.withColumn("base_quality", F.col("read") % 42))
+    return f.select("subpaths", "matching", "per_mille", *[F.floor(F.col(c) * 1000).cast("long").alias(c) for c in ("quality_matching", "quality_deviating")])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -239,17 +233,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gene_union": _gene_union,
         "new_paths": _new_paths,
         "target_histogram": lambda s, d: attribute.histogram(targets(s, d)),
-        "run_summary": _run_summary,
         "umi_counts": lambda s, d: counting.molecule_counts(_records(s, d)),
         "cell_gene_matrix": _matrix,
         "position_independence": _position_independence,
         "gene_sets_xt": _gene_sets,
+        "gene_sets_first": lambda s, d: _gene_sets(s, d, "first"),
+        "node_genes": node_genes,
+        "tally_with_empty_edits": lambda s, d: attribute.tally(scored(emptied(s, d)), node_paths(s, d)),
         "dag_offsets": _dag_offsets,
         "gene_body_range_join": _range_join,
         "fidelity_rate": _fidelity,
-        "qualadj_scores": _qualadj,
-        "encoded_targets": lambda s, d: targets(s, d).join(_dictionary(s, d), "target").select("read", "target_id", mol.target_word(F.col("target_id"), F.col("forward")).alias("word")),
+        "encoded_targets": lambda s, d: attribute.encode(targets(s, d), _dictionary(s, d)).select("read", "target_id", mol.target_word(F.col("target_id"), F.col("forward")).alias("word")),
     }
+    out |= driver_files.queries()
     for name, mode in _MODES.items():
         out[f"count_{name}"] = lambda s, d, mode=mode: attribute.unique_only(counted(s, d, mode)).select("read", "target", "forward")
     return out
