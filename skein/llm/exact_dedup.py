@@ -17,14 +17,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved, scratch, unused
+from .common import remove, saved, scratch, unused
 
 #: Bytes read in each round; the last width repeats.
 WIDTHS = (64, 1024, 16384, 262144, 1048576)
 
 
 def duplicate_groups(docs: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """doc_id, text -> doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256; a row per row."""
+    """doc_id, text -> doc_id, keep_id (largest id of the equal texts), group_size, kept, text_sha256; a row per row. The
+    rows' numbers, if a second scan splits the input otherwise, only name groups and break ties that aren't told here."""
     return _split(docs.withColumn("row", F.monotonically_increasing_id()), widths).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
@@ -64,6 +65,7 @@ def _split(docs: DataFrame, widths: tuple[int, ...]) -> DataFrame:
             F.when(~done, F.expr(f"substring(rest, {w + 1})")).alias("rest"),
         )
         split = saved(split, f"{folder}/round{k}")
+        remove(docs.sparkSession, f"{folder}/groups{k}")
         rounds.append(split.where("done"))
         state = split.where("not done").select(*state.columns)
         if state.isEmpty():

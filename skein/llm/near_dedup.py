@@ -17,8 +17,11 @@
 What is known of a cluster or component reaches its rows by way of salted parts (common.with_group), so that one of a
 third of all classes meets in no single task.
 
-A bucket of more than BLOCK classes isn't compared as a whole: its blocks are, and all of it becomes one provisional
-cluster, which step 3 examines exactly.
+A bucket of more than BLOCK classes isn't compared: texts that share a passage, but are far from the threshold, would be
+compared all with all. Its classes meet by rare shingles instead: with the shingles of each ordered by how many of these
+classes have them, two sets of similarity t share one of the first n - ceil(t n) + 1 of each (a prefix filter, exact), and
+a common passage stands behind the prefix. Buckets of a prefix shingle are compared like those of a band. Only where more
+than BLOCK classes share one, they become one provisional cluster, which step 3 examines exactly.
 
 Edge cases: null and empty texts, and texts of blanks only, have an empty set and link with nothing; with fewer words
 than a shingle has, the whole sequence is the only shingle; very long texts are read whole; repeated rows and ids are
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from skein.session import scratch
 
-from .common import connected_components, map_texts, mix64, prepare, saved, unused, with_group
+from .common import connected_components, map_texts, mix64, prepare, remove, saved, unused, with_group, with_told
 
 HASHES, BANDS, ROWS, BATCH = 64, 16, 4, 16
 MISS = 1e-6
@@ -241,6 +244,26 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
     return map_texts(docs, ["doc_id", "row"], columns, "n_shingles long, node binary, sig binary, bands array<long>")
 
 
+def _rare(texts: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """node, text -> bucket, size, lead (its least node), node: buckets of two or more nodes that share a shingle of their
+    prefixes, where shingles are ordered by how many of these nodes have them, then by hash. What is counted of a shingle
+    reaches its nodes by salted parts, since a common one may be that of all nodes."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t or "", k).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    each = saved(texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>"), f"{folder}/sets").select("node", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = with_told(each, shared, ["shingle"], "node").select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("s"))
+    first = F.expr(f"slice(s, 1, size(s) - int(ceil(size(s) * {percent} / 100)) + 1)")
+    prefix = told.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("s")).select("node", F.explode(first).alias("s")).where("s.n > 1")
+    prefix = saved(prefix.select("node", F.xxhash64(F.lit("rare"), "s.shingle").alias("bucket")), f"{folder}/prefix")
+    sizes = prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1")
+    return with_told(prefix, sizes, ["bucket"], "node").where("size is not null").select("bucket", "size", "lead", "node")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept (doc_id = component_id), row per row, with links where
     100 * shared >= percent * union of the k-shingle sets."""
@@ -276,10 +299,15 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
     # buckets of two or more classes
     band = nodes.select("node", F.explode("bands").alias("bucket"))
     full = saved(band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1"), f"{folder}/buckets")
-    member = band.join(full.hint("merge"), "bucket")  # both sides are plain shuffles, so a hot bucket can be split
-    member = saved(member.withColumn("part", F.when(F.col("size") > block, F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("size") / block))).otherwise(0).cast("int")), f"{folder}/members")
-    whole = member.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))  # one cluster
-    shown = member.where(F.col("size") <= block).select("bucket", "node").join(nodes.select("node", "sig"), "node").select("bucket", "node", "sig")
+    member = saved(band.join(full.hint("merge"), "bucket"), f"{folder}/members")  # plain shuffles: a hot bucket can be split
+    met = member.where(F.col("size") <= block).select("bucket", "node")
+    hot = member.where(F.col("size") > block).select("node").distinct()
+    whole = None
+    if not hot.isEmpty():
+        rare = saved(_rare(hot.join(nodes.select("node", F.col("first.row").alias("row")), "node").join(docs.select("row", "text"), "row"), k, percent, folder), f"{folder}/rare")
+        met = met.union(rare.where(F.col("size") <= block).select("bucket", "node"))
+        whole = rare.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))  # one cluster
+    shown = met.join(nodes.select("node", "sig"), "node").select("bucket", "node", "sig")
 
     def compare(batches):
         def found():
@@ -291,7 +319,8 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
         yield from _edge_batches(found())
 
     shown = shown.repartition("bucket").sortWithinPartitions("bucket")
-    near = saved(shown.mapInArrow(compare, "u binary, v binary").union(whole), f"{folder}/near")
+    near = shown.mapInArrow(compare, "u binary, v binary")
+    near = saved(near if whole is None else near.union(whole), f"{folder}/near")
     clusters = saved(connected_components(near, f"{folder}/clusters"), f"{folder}/cluster")
 
     # texts of each cluster, in blocks
@@ -371,7 +400,9 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
     named = saved(named, f"{folder}/named")
     answer = with_group(named, ["component"], "node", [F.min("first").alias("best")], [F.min("best").alias("best")])
     answer = saved(answer.select("node", "best"), f"{folder}/answer")
-    return rows.select("doc_id", "row", "n_shingles", "node").join(answer, "node", "left").select(
+    for name in "nodes buckets members sets prefix rare near clusters cluster texts edges0 linked0 labels0 told1 edges1 linked1 labels1 told2 edges2 linked2 labels2 named".split():
+        remove(spark, f"{folder}/{name}")
+    return with_told(rows.select("doc_id", "row", "n_shingles", "node"), answer, ["node"], "row").select(
         "doc_id",
         "row",
         "n_shingles",
