@@ -9,7 +9,7 @@ from skein.operators.attribute import STRANDS
 from skein.operators.checks import InputError
 from skein.operators.ledger import MODES
 from skein.plans.convert import Options, convert
-from skein.sources import rad, readers, writers
+from skein.sources import bam, rad, readers, writers
 
 VERSION = "1.0"
 
@@ -35,7 +35,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--molecule-identity-failures", choices=("skip", "fail"), default="skip")
     p.add_argument("--strand", choices=STRANDS, default="both")
     p.add_argument("--count-mode", choices=("score", *MODES), default="score")
-    p.add_argument("--bam-out", help="tagged alignments (SAM text) go to this folder")
+    p.add_argument("--bam-out", help="tagged alignments go to this folder")
+    p.add_argument("--sam-out", help="and as text to this one")
     p.add_argument("--bam-multigene", choices=("omit", "first"), default="omit")
     p.add_argument("--max-chunk-bytes", type=size, default=rad.MAX_CHUNK)
     return p
@@ -43,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark, args: argparse.Namespace, command: str = "") -> None:
     """Writes map.rad, tx2gene.tsv, summary.tsv and warnings.txt under the output folder, and tagged alignments if asked."""
-    options = Options(args.raw_cb_length, args.raw_umi_length, args.molecule_identity_failures, args.strand, args.count_mode, args.score, args.bam_multigene if args.bam_out else "off")
+    options = Options(args.raw_cb_length, args.raw_umi_length, args.molecule_identity_failures, args.strand, args.count_mode, args.score, args.bam_multigene if args.bam_out or args.sam_out else "off")
     options.check(args.body_t2g is not None)
     nodes, steps = readers.read_gfa(spark, args.graph)
     body = readers.read_path_map(spark, args.body_t2g) if args.body_t2g else None
@@ -54,7 +55,9 @@ def run(spark, args: argparse.Namespace, command: str = "") -> None:
     writers.write_summary(out["summary"], f"{to}/summary.tsv")
     writers.write_rejected(out["rejected"], f"{to}/warnings.txt")
     if args.bam_out:
-        writers.write_sam(out["alignments"], out["tx2gene"], args.bam_out, command, VERSION)
+        bam.write_bam(out["alignments"], out["tx2gene"], args.bam_out, command, VERSION)
+    if args.sam_out:
+        writers.write_sam(out["alignments"], out["tx2gene"], args.sam_out, command, VERSION)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -1,26 +1,24 @@
 """RAD files as a Spark data source: chunks written by tasks, and read by chunk offsets.
 
-A RAD folder holds `part-header` and a `part-<task>` of whole chunks for each task; the parts in order of name are a RAD
-file. Tasks write their own part, the commit names the parts that count, and the header, which tells how many chunks
-there are, comes last; the folder then appears by rename. No chunk passes through the driver. A single file is read, too.
-Paths are such that the driver and executors have mounted.
+A RAD folder (see sources.parts) holds a header, which tells how many chunks there are, and a part of whole chunks for
+each task; its parts in order are a RAD file. A single file is read, too.
 """
 
 from __future__ import annotations
 
 import os
-import shutil
 import struct
-import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.functions.molecule import pack, packed_width, target_word
 from skein.session import ship
+from skein.sources.parts import HEADER, PartsWriter, as_one_file, bodies, mounted, publish
+
+__all__ = ["as_one_file", "read_rad", "write_rad"]
 
 #: Struct codes and type numbers of the format's unsigned integers, by their bytes.
 _FORM = {1: "B", 2: "H", 4: "I", 8: "Q"}
@@ -28,7 +26,6 @@ _TYPE = {1: 1, 2: 2, 4: 3, 8: 4}
 MAX_CHUNK = 1 << 30
 #: Bytes of chunks that a reading task takes, about.
 PART_BYTES = 64 << 20
-HEADER = "part-header"
 SCHEMA = "record long, barcode string, umi string, target string, forward boolean"
 
 
@@ -94,7 +91,7 @@ class _Reader(DataSourceReader):
             parse_header(f)
             body = f.tell()
         if os.path.isdir(self.path):
-            files = [(os.path.join(self.path, n), 0) for n in sorted(os.listdir(self.path)) if n.startswith("part-") and n != HEADER]
+            files = [(n, 0) for n in bodies(self.path)]
         else:
             files = [(self.path, body)]
         out, first = [], 0
@@ -130,61 +127,42 @@ class _Reader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["record", "barcode", "umi", "target", "forward"])
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    temp: str
-    name: str
-    chunks: int
-
-
-class _Writer(DataSourceArrowWriter):
-    """Rows (b, u, words) in order -> chunks. A chunk that is not empty ends before it would grow over the budget."""
+class _Writer(PartsWriter):
+    """Rows (b, u, words) in order -> chunks, which are counted. A chunk that is not empty ends before it would grow over
+    the budget."""
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        super().__init__(options)
         self.barcode, self.umi = int(options["barcode"]), int(options["umi"])
         self.budget = max(1, int(options["budget"]))
 
-    def write(self, iterator) -> _Written:
+    def body(self, batches, f) -> int:
         form = "<I" + _FORM[packed_width(self.barcode)] + _FORM[packed_width(self.umi)]
         mask_b, mask_u = ((1 << 8 * packed_width(n)) - 1 for n in (self.barcode, self.umi))
-        name = f"part-{TaskContext.get().partitionId():08d}"
-        temp = os.path.join(self.path, f".{name}-{uuid.uuid4().hex}")
         held, size, chunks = [], 8, 0
-        os.makedirs(self.path, exist_ok=True)
-        with open(temp, "wb") as f:
-
-            def close() -> None:
-                nonlocal size, chunks
-                if held:
-                    f.write(struct.pack("<II", size, len(held)))
-                    f.writelines(held)
-                    chunks += 1
-                held.clear()
-                size = 8
-
-            for b in iterator:
-                for barcode, umi, words in zip(*(c.to_pylist() for c in b.columns)):
-                    if not words:
-                        raise ValueError("a record needs a hit")
-                    r = struct.pack(form, len(words), barcode & mask_b, umi & mask_u) + struct.pack(f"<{len(words)}I", *words)
-                    if held and size + len(r) > self.budget:
-                        close()
-                    if size + len(r) > 0xFFFFFFFF:
-                        raise ValueError("a record is longer than 2^32 bytes")
-                    held.append(r)
-                    size += len(r)
-            close()
-        return _Written(temp, name, chunks)
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            os.replace(m.temp, os.path.join(self.path, m.name))
-        with open(os.path.join(self.path, ".chunks"), "w") as f:
-            f.write(str(sum(m.chunks for m in messages)))
-
-    def abort(self, messages) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+
+        def close() -> None:
+            nonlocal size, chunks
+            if held:
+                f.write(struct.pack("<II", size, len(held)))
+                f.writelines(held)
+                chunks += 1
+            held.clear()
+            size = 8
+
+        for b in batches:
+            for barcode, umi, words in zip(*(c.to_pylist() for c in b.columns)):
+                if not words:
+                    raise ValueError("a record needs a hit")
+                r = struct.pack(form, len(words), barcode & mask_b, umi & mask_u) + struct.pack(f"<{len(words)}I", *words)
+                if held and size + len(r) > self.budget:
+                    close()
+                if size + len(r) > 0xFFFFFFFF:
+                    raise ValueError("a record is longer than 2^32 bytes")
+                held.append(r)
+                size += len(r)
+        close()
+        return chunks
 
 
 class RadSource(DataSource):
@@ -196,46 +174,22 @@ class RadSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(_mounted(self.options["path"]))
+        return _Reader(mounted(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options)
 
 
-def _mounted(path: str) -> str:
-    return path[len("file://") :] if path.startswith("file://") else path
-
-
 def write_rad(records: DataFrame, dictionary: DataFrame, path: str, barcode: int = 16, umi: int = 12, max_chunk: int = MAX_CHUNK) -> None:
     """records (ord, barcode, umi, hits: array<struct<target_id, forward>>) -> a RAD folder at a mounted path, in order of
     ord; it takes the place of an older one at the end. Without records there is the header only."""
     spark = records.sparkSession
     ship(spark)
     spark.dataSource.register(RadSource)
-    path = _mounted(path)
-    temp = f"{path}.{uuid.uuid4().hex}.tmp"
     rows = records.select("ord", pack(F.col("barcode")).alias("b"), pack(F.col("umi")).alias("u"), F.transform("hits", lambda h: target_word(h["target_id"], h["forward"])).alias("words"))
     rows = rows.repartitionByRange(F.col("ord")).sortWithinPartitions("ord").select("b", "u", "words")
     names = [r[0] for r in dictionary.orderBy("target_id").select("target").collect()]  # as many as the annotation has
-    try:
-        rows.write.format("rad").mode("append").options(path=temp, barcode=barcode, umi=umi, budget=max_chunk).save()
-        os.makedirs(temp, exist_ok=True)
-        told = os.path.join(temp, ".chunks")
-        with open(told) as f:
-            chunks = int(f.read())
-        os.remove(told)
-        for n in os.listdir(temp):
-            if n.startswith("."):  # of attempts that didn't count
-                os.remove(os.path.join(temp, n))
-        with open(os.path.join(temp, HEADER), "wb") as f:
-            f.write(header(names, barcode, umi, chunks))
-        if os.path.exists(path):
-            os.replace(path, f"{temp}.old")
-        os.replace(temp, path)
-        shutil.rmtree(f"{temp}.old", ignore_errors=True)
-    except BaseException:
-        shutil.rmtree(temp, ignore_errors=True)
-        raise
+    publish(rows, "rad", path, lambda chunks: header(names, barcode, umi, chunks), barcode=barcode, umi=umi, budget=max_chunk)
 
 
 def read_rad(spark: SparkSession, path: str) -> DataFrame:
@@ -243,13 +197,3 @@ def read_rad(spark: SparkSession, path: str) -> DataFrame:
     ship(spark)
     spark.dataSource.register(RadSource)
     return spark.read.format("rad").load(path)
-
-
-def as_one_file(folder: str, path: str) -> None:
-    """A RAD folder's parts behind each other in one file, for tools that need one; whoever calls copies all bytes."""
-    temp = f"{path}.tmp"
-    with open(temp, "wb") as out:
-        for n in [HEADER] + sorted(n for n in os.listdir(folder) if n.startswith("part-") and n != HEADER):
-            with open(os.path.join(folder, n), "rb") as f:
-                shutil.copyfileobj(f, out, 1 << 24)
-    os.replace(temp, path)

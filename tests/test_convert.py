@@ -1,6 +1,7 @@
 """The conversion against a plain Python one on random graphs and reads, its failures, files, stream and command line."""
 
 import base64
+import gzip
 import json
 import random
 
@@ -14,7 +15,7 @@ from skein.operators import attribute, checks, ledger
 from skein.operators.checks import InputError
 from skein.plans.annotate import annotate
 from skein.plans.convert import SUMMARY, Options, convert, edit_rows, scored_mappings
-from skein.sources import rad, readers, writers
+from skein.sources import bam, parts, rad, readers, writers
 from skein.streaming import convert as stream
 
 O = dict(barcode_length=6, umi_length=4)  # noqa: E741
@@ -145,7 +146,7 @@ def lines(path):
 
 def test_command_line(spark, world, tmp_path, capsys):
     d, _, paths, exon, body, records = world
-    argv = ["--reads", f"{d}/reads.json", "--graph", f"{d}/g.gfa", "--t2g", f"{d}/exon.tsv", "--out-dir", str(tmp_path / "o"), "--raw-cb-length", "6", "--raw-umi-length", "4", "--bam-out", str(tmp_path / "sam"), "--bam-multigene", "first"]
+    argv = ["--reads", f"{d}/reads.json", "--graph", f"{d}/g.gfa", "--t2g", f"{d}/exon.tsv", "--out-dir", str(tmp_path / "o"), "--raw-cb-length", "6", "--raw-umi-length", "4", "--sam-out", str(tmp_path / "sam"), "--bam-out", str(tmp_path / "bam"), "--bam-multigene", "first"]
     cli.run(spark, cli.parser().parse_args(argv), "cmd")
     want, counters = made.converted(records, paths, exon)
     assert lines(tmp_path / "o" / "summary.tsv") == [f"{k}\t{counters[k]}" for k in SUMMARY]
@@ -164,6 +165,13 @@ def test_command_line(spark, world, tmp_path, capsys):
     assert len(tags) == len(want) and all(t.pos == 1 and len(t.cell) == 6 and t.gene for t in tags)
     moved = writers.by_place(readers.read_sam_tags(spark, str(tmp_path / "sam")).withColumn("ord", F.monotonically_increasing_id()), "gene").collect()
     assert [r.gene for r in moved] == sorted(r.gene for r in tags)
+    got = [tuple(r) for r in bam.read_bam(spark, str(tmp_path / "bam")).collect()]
+    text = [(f[0], 0, f[2], 1, 255, f[5].replace("*", ""), f[9].replace("*", ""), *(f[k][5:] for k in (11, 13, 15, 17))) for f in (x.split("\t") for x in sam[5:])]
+    assert sorted(got) == sorted(text)
+    parts.as_one_file(str(tmp_path / "bam"), str(tmp_path / "one.bam"))
+    assert sorted(map(tuple, bam.read_bam(spark, str(tmp_path / "one.bam")).collect())) == sorted(text)
+    raw = (tmp_path / "one.bam").read_bytes()  # blocks are gzip members, too
+    assert gzip.decompress(raw)[:4] == b"BAM\1" and raw.endswith(bam.block(b"")) and len(bam.block(b"")) == 28
     for bad in ("-1", "+1", "1x", "", str(1 << 64), "٣"):
         with pytest.raises(Exception, match="not a size"):
             cli.size(bad)
@@ -341,6 +349,19 @@ def test_quality_decides_and_falls_back(spark, world, tmp_path):
             one(spark, tmp_path, d, [far], Options(**O, scores="qualadj"))
 
 
+def test_bam_records():
+    """Odd lengths, qualities and every field of one record, told by hand."""
+    raw = bam.record("r1", 2, "ACGTN", bytes([1, 2, 3, 4, 5]), {"CB": "AC", "XT": None})
+    assert raw[4:40] == b"".join(x.to_bytes(4, "little") for x in (2, 0)) + bytes([3, 255]) + (4681).to_bytes(2, "little") + (1).to_bytes(2, "little") + bytes(2) + (5).to_bytes(4, "little") + b"\xff" * 8 + bytes(4) + b"r1\0" + bytes([0x50])
+    assert raw[40:43] == bytes(3) and raw[43:] == bytes([0x12, 0x48, 0xF0, 1, 2, 3, 4, 5]) + b"CBZAC\0" and int.from_bytes(raw[:4], "little") == len(raw) - 4
+    assert bam._parsed(raw[4:], ["a", "b", "c"]) == ("r1", 0, "c", 1, 255, "5M", "ACGTN", "AC", None, None, None)
+    empty = bam.record("e", 0, "", None, {})
+    assert bam._parsed(empty[4:], ["a"])[5:7] == ("", "")
+    assert gzip.decompress(bam.blocks(bytes(range(256)) * 600)) == bytes(range(256)) * 600
+    with pytest.raises(ValueError):
+        bam.record("x" * 255, 0, "", None, {})
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([("x", 1), ("z", 3)], "v string, k int")
