@@ -9,7 +9,7 @@ digests cannot decide. The longest confirmed rule wins.
 Edge cases: a null URL, an empty one or one without `://` has an empty host and path and fits no rule; a URL that fits
 no rule gets the default verdict (allow: this is a list of exceptions, unlisted addresses pass); equal rules given twice
 keep the first verdict; without rules every URL gets the default; repeated rows are judged alike; only page_id and url
-are read, and the file's size is checked before it is sent.
+are read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from skein.session import scratch
 
 from .common import prepare
 
-#: The file goes to every executor's disk, not its heap; beyond this size it should be dealt by host instead.
+#: A file goes to every executor's disk, not its heap; rules that take more than this make several files, all of which a
+#: URL is looked up in.
 MAX_INDEX_BYTES = 256 << 20
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -111,25 +112,44 @@ class DigestArray:
         return [(*s, best[i][1], best[i][2]) if i in best else (*s, None, default) for i, s in enumerate(split)]
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow") -> DataFrame:
+def _slices(rules: list[tuple[str, str]], most: int):
+    """Runs of rules whose files take about `most` bytes at most."""
+    first, size = 0, 0
+    for i, (rule, verdict) in enumerate(rules):
+        own = 18 + len(rule.encode()) + len(verdict.encode())
+        if size and size + own > most:
+            yield rules[first:i]
+            first, size = i, 0
+        size += own
+    yield rules[first:]
+
+
+def judge_all(indexes: list[DigestArray], urls: list[str | None], default: str) -> list[tuple[str, str, str | None, str]]:
+    """The longest rule of all files decides, of equal ones the first file's."""
+    best = indexes[0].judge(urls, default)
+    for index in indexes[1:]:
+        best = [b if a[2] is None or (b[2] is not None and len(b[2]) >= len(a[2])) else a for a, b in zip(index.judge(urls, default), best)]
+    return best
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", most: int = MAX_INDEX_BYTES) -> DataFrame:
     """page_id, url -> page_id, host, path, rule, verdict; a row per row, no shuffle."""
     spark: SparkSession = pages.sparkSession
     prepare(spark)
-    data = build_index(rules)
-    if len(data) > MAX_INDEX_BYTES:
-        raise ValueError(f"rules take {len(data)} bytes; at most {MAX_INDEX_BYTES} are sent to executors")
-    path = f"{scratch(spark, 'rules')}.idx"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
-    out.write(bytearray(data))
-    out.close()
-    spark.sparkContext.addFile(path)
-    name = path.rsplit("/", 1)[1]
+    names, folder = [], scratch(spark, "rules")
+    for k, some in enumerate(_slices(rules, most)):
+        path = f"{folder}-{k}.idx"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(build_index(some)))
+        out.close()
+        spark.sparkContext.addFile(path)
+        names.append(path.rsplit("/", 1)[1])
 
     def run(batches):
-        index = DigestArray(SparkFiles.get(name))
+        indexes = [DigestArray(SparkFiles.get(n)) for n in names]
         for b in batches:
-            rows = index.judge(b.column(1).to_pylist(), default)
+            rows = judge_all(indexes, b.column(1).to_pylist(), default)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)] + [pa.array([r[k] for r in rows], pa.string()) for k in range(4)], names=["page_id", "host", "path", "rule", "verdict"]
             )

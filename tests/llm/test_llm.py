@@ -269,6 +269,11 @@ def test_urls(spark, tmp_path):
     assert got[5] == ("a.b.net", "/es/1", "net/es/", "block") and got[6][3] == "block"
     assert got[7] == ("x.org", "/", None, "allow") and got[8] == ("x.com", "", None, "allow") and got[10][2] == "com/"
     assert url_filter.filter_urls(df.where("false"), URL_RULES).count() == 0
+    # rules in several files, equal ones, none, and repeated rows
+    many = [*URL_RULES, ("com/", "block"), ("net/", "block")]
+    whole, parts = ([tuple(r) for r in url_filter.filter_urls(df.union(df), many, most=m).orderBy("page_id").collect()] for m in (1 << 20, 30))
+    assert whole == parts and len(list(url_filter._slices(many, 30))) > 3 and len(whole) == 2 * len(urls)
+    assert ("x.com", "", None, "allow") == whole[16][1:] and all(r[4] == "allow" for r in url_filter.filter_urls(df, []).collect())
     # colliding digests must not decide
     same = lambda b: 7
     p = tmp_path / "i"
