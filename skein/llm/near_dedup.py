@@ -17,11 +17,12 @@
 What is known of a cluster or component reaches its rows by way of salted parts (common.with_group), so that one of a
 third of all classes meets in no single task.
 
-A bucket of more than BLOCK classes isn't compared: texts that share a passage, but are far from the threshold, would be
-compared all with all. Its classes meet by rare shingles instead: with the shingles of each ordered by how many of these
+A bucket of more than BLOCK classes isn't compared as a whole: all of it becomes one provisional cluster, which step 3
+examines exactly. Of more than RARE classes (texts that share a passage, but are far from the threshold, would be compared
+all with all) it isn't even that: its classes meet by rare shingles instead, with the shingles of each ordered by how many of these
 classes have them, two sets of similarity t share one of the first n - ceil(t n) + 1 of each (a prefix filter, exact), and
-a common passage stands behind the prefix. Buckets of a prefix shingle are compared like those of a band. Only where more
-than BLOCK classes share one, they become one provisional cluster, which step 3 examines exactly.
+a common passage stands behind the prefix. Buckets of a prefix shingle are compared like those of a band, or become a
+provisional cluster.
 
 Edge cases: null and empty texts, and texts of blanks only, have an empty set and link with nothing; with fewer words
 than a shingle has, the whole sequence is the only shingle; very long texts are read whole; repeated rows and ids are
@@ -46,6 +47,8 @@ from .common import connected_components, map_texts, mix64, prepare, remove, sav
 HASHES, BANDS, ROWS, BATCH = 64, 16, 4, 16
 MISS = 1e-6
 BLOCK = 512
+#: Classes of a band's bucket from which on they meet by rare shingles.
+RARE = 32_768
 #: A block holds about this many shingles at most, however long its texts are.
 BLOCK_SHINGLES = 2_000_000
 #: Blocks on either side whose signatures a task compares at once.
@@ -264,27 +267,27 @@ def _rare(texts: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
     return with_told(prefix, sizes, ["bucket"], "node").where("size is not null").select("bucket", "size", "lead", "node")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK, rare: int = RARE) -> DataFrame:
     """doc_id, text -> doc_id, n_shingles, component_id, kept (doc_id = component_id), row per row, with links where
     100 * shared >= percent * union of the k-shingle sets."""
     named = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     named = saved(named, f"{scratch(docs.sparkSession, 'near-in')}/docs")  # a second scan may number rows otherwise
-    return _components(named, k, percent, miss, block).select(
+    return _components(named, k, percent, miss, block, rare).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK, rare: int = RARE) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their component: of the smallest doc_id, and of
     rows repeated with that id, one. Rows without words stay, each."""
     spark = docs.sparkSession
     own = unused(docs, "__row")
     named = saved(docs.withColumn(own, F.monotonically_increasing_id()), f"{scratch(spark, 'near-in')}/docs")
-    found = _components(named.select("doc_id", "text", F.col(own).alias("row")), k, percent, miss, block)
+    found = _components(named.select("doc_id", "text", F.col(own).alias("row")), k, percent, miss, block, rare)
     return named.join(found.where("stays").select(F.col("row").alias(own)), own, "left_semi").select(*docs.columns)
 
 
-def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int) -> DataFrame:
+def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int, rare: int) -> DataFrame:
     """doc_id, text, row (unique, stored with the data) -> doc_id, row, n_shingles, component_id, stays (one row of each component)."""
     spark = docs.sparkSession
     prepare(spark)
@@ -301,12 +304,13 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
     full = saved(band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1"), f"{folder}/buckets")
     member = saved(band.join(full.hint("merge"), "bucket"), f"{folder}/members")  # plain shuffles: a hot bucket can be split
     met = member.where(F.col("size") <= block).select("bucket", "node")
-    hot = member.where(F.col("size") > block).select("node").distinct()
-    whole = None
+    large = lambda t: t.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))
+    whole = large(member.where(F.col("size") <= rare))  # one cluster
+    hot = member.where(F.col("size") > max(block, rare)).select("node").distinct()
     if not hot.isEmpty():
-        rare = saved(_rare(hot.join(nodes.select("node", F.col("first.row").alias("row")), "node").join(docs.select("row", "text"), "row"), k, percent, folder), f"{folder}/rare")
-        met = met.union(rare.where(F.col("size") <= block).select("bucket", "node"))
-        whole = rare.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))  # one cluster
+        few = saved(_rare(hot.join(nodes.select("node", F.col("first.row").alias("row")), "node").join(docs.select("row", "text"), "row"), k, percent, folder), f"{folder}/rare")
+        met = met.union(few.where(F.col("size") <= block).select("bucket", "node"))
+        whole = whole.union(large(few))
     shown = met.join(nodes.select("node", "sig"), "node").select("bucket", "node", "sig")
 
     def compare(batches):
@@ -319,8 +323,7 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int)
         yield from _edge_batches(found())
 
     shown = shown.repartition("bucket").sortWithinPartitions("bucket")
-    near = shown.mapInArrow(compare, "u binary, v binary")
-    near = saved(near if whole is None else near.union(whole), f"{folder}/near")
+    near = saved(shown.mapInArrow(compare, "u binary, v binary").union(whole), f"{folder}/near")
     clusters = saved(connected_components(near, f"{folder}/clusters"), f"{folder}/cluster")
 
     # texts of each cluster, in blocks

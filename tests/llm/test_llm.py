@@ -103,9 +103,6 @@ def test_near_dedup_brute(spark, block):
 def test_near_dedup_of_unlinked_texts_in_bounded_blocks(spark, monkeypatch, rare):
     """Texts that share much, though too little for a link, and some that link: by rare shingles they make no large
     cluster; where they still do, no task holds more than two blocks."""
-    if not rare:
-        one = lambda t, k, percent, folder: t.select("node").crossJoin(t.agg(F.min("node").alias("lead"))).selectExpr("1L as bucket", "1000000 as size", "lead", "node")
-        monkeypatch.setattr(near_dedup, "_rare", one)
     rng = random.Random(9)
     stem = [f"b{i}" for i in range(120)]
     t = [" ".join(stem + [f"x{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(240)]
@@ -119,7 +116,7 @@ def test_near_dedup_of_unlinked_texts_in_bounded_blocks(spark, monkeypatch, rare
 
     monkeypatch.setattr(type(spark.range(1)), "mapInArrow", spied)
     sets = [{tuple(x.split()[i : i + 3]) for i in range(len(x.split()) - 2)} for x in t]
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), 3, 85, block=16).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), 3, 85, block=16, rare=16 if rare else 1 << 15).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_components(sets, 85)))
     assert len(seen) == (1 if rare else 3) and max(seen) <= 3 * 16  # two blocks, dealt by a hash
 
