@@ -35,8 +35,8 @@ _MARK = MARK.encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Symbols of a chunk from which on a heap finds the best pair; results are equal.
 LONG_CHUNK = 64
-#: Chunks that a worker process remembers, about 400 bytes each, and the longest of them.
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 64
+#: Chunks in each of the two generations that a worker process remembers, about 250 bytes each, and the longest of them.
+CHUNKS, CHUNK_LENGTH = 500_000, 64
 _NONE = 1 << 60
 #: Stands for a control piece while texts are joined: no UTF-8 has it, so that such a text is decoded piece by piece.
 _NOTHING = b"\xff"
@@ -107,6 +107,25 @@ class CharMap:
         return length, self.texts[start : self.texts.index(0, start)]
 
 
+class _Chunks(dict):
+    """Chunk -> its pieces. When full it begins anew, and what is asked for again comes over from the last generation."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, chunk):
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.encode(chunk)
+        if len(chunk) <= CHUNK_LENGTH:
+            if len(self) >= CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class PieceModel:
     """Pieces and settings of a model file, its normaliser, encoder and decoder."""
 
@@ -146,7 +165,9 @@ class PieceModel:
         self.cut = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.simple = self.user is None and UNUSED not in self.kinds
         self.plain = self.map is None and self.user is None and not self.squeeze and self.escape
-        self._cache: dict[str, tuple] = {}
+        self.side_by_side = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.chunks = _Chunks(self._parted)
+        self._decimals = [b"%d" % i for i in range(len(self.pieces))]
         self._decoded = [self._surface(i) for i in range(len(self.pieces))]
         quiet = [b for b in range(33, 127) if not (self.map and b in self.map.first) and not any(p.encode()[0] == b for p in user)]
         self._quiet = re.compile(b"[" + b"".join(re.escape(bytes([b])) for b in quiet) + b"]+" if quiet else b"(?!)")
@@ -281,58 +302,49 @@ class PieceModel:
                 out.append(p)
         return out
 
-    def _encode_chunk(self, chunk: str) -> tuple[bytes, bytes, bytes, int]:
-        """ids, ends in the chunk (in bytes; a piece begins where the one before ends), ids as decimals, the chunk's length."""
-        ids, ends, at = [], [], 0
+    def _parted(self, chunk: str) -> bytes:
+        """The chunk's pieces as pairs of 32-bit integers: id, and length in normalised bytes. It is parted between
+        characters that stand side by side in no piece, where nothing can be merged."""
+        if not self.simple:
+            return self._encode_chunk(chunk)
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.side_by_side]
+        if not cuts:
+            return self._encode_chunk(chunk)
+        return b"".join([self.chunks[chunk[i:j]] for i, j in zip([0, *cuts], [*cuts, len(chunk)])])
+
+    def _encode_chunk(self, chunk: str) -> bytes:
+        told = []
         for p in self._merge(chunk):
             i = self.reserved[p] if p in self.reserved else self.ids.get(p, self.unknown)
             n = len(p) if p.isascii() else len(p.encode())
             if i == self.unknown and self.fallback:
-                ids += [self.byte_ids[b] for b in p.encode()]
-                ends += [at] * (n - 1)
+                for b in p.encode():
+                    told += [self.byte_ids[b], 0]
+                told[-1] = n
             else:
-                ids.append(i)
-            at += n
-            ends.append(at)
-        n = len(ids)
-        return struct.pack(f"<{n}i", *ids), struct.pack(f"<{n}i", *ends), ",".join(map(str, ids)).encode(), at
+                told += [i, n]
+        return struct.pack(f"<{len(told)}i", *told)
 
-    def _chunk(self, chunk: str) -> tuple:
-        got = self._cache.get(chunk)
-        if got is None:
-            got = self._encode_chunk(chunk)
-            if len(chunk) <= CACHE_LENGTH:
-                if len(self._cache) >= CACHE_CHUNKS:
-                    self._cache.clear()
-                self._cache[chunk] = got
-        return got
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-        """ids, begins and ends of pieces in the text's UTF-8 bytes, and the ids as decimals joined by commas."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, begins and ends of pieces in the text's UTF-8 bytes. A piece begins where the one before ends."""
         data = text.encode()
         if self.plain:
             normal, align = MARK * (self.dummy and bool(text)) + text.replace(" ", MARK), None
         else:
             normal, align = self.normalise(data)
             normal = normal.decode()
-        told = list(map(self._chunk, self.cut(normal)))
-        if not told:
-            none = np.zeros(0, np.int64)
-            return none.astype(np.int32), none, none, b""
-        ids, ends, decimals, sizes = zip(*told)
-        counts = np.array(list(map(len, ids))) // 4
-        sizes = np.array(sizes)
-        base = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(ids), "<i4")
-        ends = np.frombuffer(b"".join(ends), "<i4") + np.repeat(base, counts)
-        decimals = b",".join(decimals)
+        told = np.frombuffer(b"".join(map(self.chunks.__getitem__, self.cut(normal))), "<i4").reshape(-1, 2)
+        ids, ends = told[:, 0], np.cumsum(told[:, 1], dtype=np.int64)
         if not self.fallback and (ids == self.unknown).any():  # unknown characters side by side are one piece
             last = np.append((ids[1:] != self.unknown) | (ids[:-1] != self.unknown), True)
             ids, ends = ids[last], ends[last]
-            decimals = b",".join(b"%d" % i for i in ids.tolist())
         places = self._plain_places(data, ends) if align is None else align[ends]
         first = 0 if align is None else align[0]
-        return ids, np.append(first, places[:-1]), places, decimals
+        return ids, np.append(first, places)[: len(ids)], places
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """The ids as decimals joined by commas."""
+        return b",".join(map(self._decimals.__getitem__, ids.tolist()))
 
     def _plain_places(self, data: bytes, ends: np.ndarray) -> np.ndarray:
         """What _plain() aligns these ends of pieces with, without a place for every byte: marks are of three bytes, one
@@ -473,9 +485,9 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
         def f(texts):
             n, one, two, three, four = [], [], [], [], []
             for t in texts:
-                ids, begins, ends, decimals = model.encode(t)
+                ids, begins, ends = model.encode(t)
                 n.append(len(ids))
-                one.append(hashlib.sha256(decimals).hexdigest())
+                one.append(hashlib.sha256(model.decimals(ids)).hexdigest())
                 two.append(hashlib.sha256(model.decode(ids.tolist()).encode()).hexdigest())
                 three.append(hashlib.sha256(np.stack([begins, ends], 1).astype("<i8").tobytes()).hexdigest())
                 four.append(not len(ids) or bool(begins[0] == 0 and ends[-1] == len(t.encode()) and (begins[1:] == ends[:-1]).all()))

@@ -86,9 +86,9 @@ def test_as_the_library(case):
     parts = [" ", "  ", "\t", "\n", "▁", "a", "b", "A", "hello", "the", "xy", "xyz", "ﬁ", "é", "漢", "😀", "<s>", "<sep>", "a b", "zqj", "zq", "xy hello", "́", "\0", "ß", "�", "<0x0A>", "."]
     for k in range(600):
         text = "".join(r.choice(parts) for _ in range(r.choice([0, 1, 2, 5, 20, 120])))
-        ids, begins, ends, decimals = model.encode(text)
+        ids, begins, ends = model.encode(text)
         want = library.encode(text, return_type="proto").pieces
-        assert ids.tolist() == [p.id for p in want] and decimals.decode() == ",".join(map(str, ids.tolist())), text
+        assert ids.tolist() == [p.id for p in want] and model.decimals(ids).decode() == ",".join(map(str, ids.tolist())), text
         assert list(zip(begins.tolist(), ends.tolist())) == [(p.begin, p.end) for p in want], text
         assert model.decode(ids.tolist()) == library.decode(ids.tolist()), text
         some = [r.randrange(270) if r.random() < 0.6 else r.randrange(len(model.pieces)) for _ in range(r.randrange(9))]
@@ -100,7 +100,7 @@ def test_plain_places_are_the_alignment():
     for text in ["", " ", "a", "  é 漢😀  x ", " \n ▁ "]:
         normal, align = model.normalise(text.encode())
         assert (normal, align.tolist()) == (model._by_rules(text.encode())[0] if text else b"", (model._by_rules(text.encode())[1] if text else align).tolist())
-        ids, begins, ends, _ = model.encode(text)
+        ids, begins, ends = model.encode(text)
         at = 0
         for i, b, e in zip(ids.tolist(), begins.tolist(), ends.tolist()):
             n = len(model.pieces[i]) if model.kinds[i] != pieces.BYTE else 0
@@ -111,6 +111,17 @@ def test_plain_places_are_the_alignment():
                 break
 
 
+def test_generations_of_chunks(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    monkeypatch.setattr(pieces, "CHUNKS", 5)
+    model = pieces.PieceModel(WHOLE)
+    r = random.Random(2)
+    for _ in range(200):
+        text = " ".join(r.choice(["one", "two.", "three\n", "four,five", "x", "y", "Ünder", "漢字.", "e.g."]) for _ in range(9))
+        assert model.encode(text)[0].tolist() == library.encode(text)
+        assert len(model.chunks) <= 5 and len(model.chunks.old) <= 5
+
+
 def test_long_chunks():
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
     model = pieces.PieceModel(WHOLE)
