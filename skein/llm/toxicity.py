@@ -4,7 +4,10 @@ Positives are confirmed toxic texts; everything else is unlabelled text. Words,
 binary features, and a linear classifier is trained in numpy on the non-negative risk estimate
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 with logistic loss; a step at which the corrected negative risk is below zero goes back along it instead. The
-class prior comes from the labels learnt from. Scores are logistic, so 0.5 is the point where a text is likelier toxic.
+class prior is the toxic share of the labels learnt from or, if less, a tail estimate from the unlabelled texts: with a
+prior over their true share the corrected risk would be zero at call-everything weights. All weights, the bias too,
+decay, the more so the fewer positives there are, and steps shrink, so that they settle; training ends when they have.
+Scores are logistic, so 0.5 is the point where a text is likelier toxic.
 
 The classifier is fitted on at most MAX_POSITIVE and MAX_UNLABELLED texts (chosen by a hash of the id: the bound is
 these parameters; of rows that share an id one text, the greatest, is learnt from); every text is scored whole. Words are
@@ -28,6 +31,8 @@ from .common import held_out, map_texts, prepare, unused
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
 FEATURES = 512
+#: Decay of the weights: DECAY by the number of positives, at most MOST_DECAY.
+DECAY, MOST_DECAY = 0.2, 5e-3
 #: A feature is at least this many standard errors likelier among positives, and in this many and this share of them.
 APART, SUPPORT, SHARE = 5.0, 3, 0.01
 WORD = re.compile(r"\w+")
@@ -62,27 +67,54 @@ def _words(docs: DataFrame) -> DataFrame:
     return docs.select("positive", "text").mapInArrow(run, "positive boolean, words array<string>")
 
 
-def train_nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear classifier, by Adam on the non-negative risk of all samples."""
+def class_prior(x_p: np.ndarray, x_u: np.ndarray, share: float) -> float:
+    """The share of positives among unlabelled texts, at most `share`. Whatever the number t of features asked for, at most
+    P(t or more | unlabelled) / P(t or more | positive) of them are positive; the least of these over all t that nine
+    tenths of the positives with any feature reach is taken (further out few texts tell)."""
+    p, u = x_p.sum(1), x_u.sum(1)
+    least, t = share, 1
+    while (reach := (p >= t).mean()) > 0 and reach >= 0.9 * (p >= 1).mean():
+        least = min(least, (u >= t).mean() / reach)
+        t += 1
+    return float(min(max(least, 0.001), 0.9))
+
+
+def nn_risk(w: np.ndarray, x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """prior * R_p(+), the corrected negative risk R_u(-) - prior * R_p(-), and the gradients of both. The last column of
+    the samples is one."""
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    loss = lambda z: np.logaddexp(0, -z)
+    zp, zu = x_p @ w, x_u @ w
+    negative = loss(-zu).mean() - prior * loss(-zp).mean()
+    return (
+        prior * loss(zp).mean(),
+        negative,
+        -prior * (x_p.T @ sig(-zp)) / len(x_p),
+        x_u.T @ sig(zu) / len(x_u) - prior * (x_p.T @ sig(zp)) / len(x_p),
+    )
+
+
+def train_nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 1600, rate: float = 0.05, settled: float = 2e-3) -> np.ndarray:
+    """Weights (the last one is the bias) of a linear classifier, by Adam on the non-negative risk of all samples: means of
+    100 steps, when none is further than `settled` from the means of the 100 before, or after `steps`."""
     add = lambda x: np.hstack([x.astype(np.float32), np.ones((len(x), 1), np.float32)])
     x_p, x_u = add(x_p), add(x_u)
+    decay = min(DECAY / len(x_p), MOST_DECAY)
     w = np.zeros(x_p.shape[1], np.float32)
     w[-1] = np.log(prior / (1 - prior))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
+    m, v, total, before = np.zeros_like(w), np.zeros_like(w), np.zeros(len(w)), None
     for step in range(1, steps + 1):
-        zp, zu = x_p @ w, x_u @ w
-        negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        g_negative = x_u.T @ sig(zu) / len(x_u) - prior * (x_p.T @ sig(zp)) / len(x_p)
-        if negative >= 0:
-            g = -prior * (x_p.T @ sig(-zp)) / len(x_p) + g_negative
-        else:
-            g = -g_negative
-        g[:-1] += decay * w[:-1]
+        _, negative, g_positive, g_negative = nn_risk(w, x_p, x_u, prior)
+        g = (g_positive + g_negative if negative >= 0 else -g_negative) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        w = w - rate / np.sqrt(1 + step / 200) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        total += w
+        if step % 100 == 0:
+            mean, total = total / 100, np.zeros(len(w))
+            if before is not None and np.abs(mean - before).max() <= settled:
+                return mean
+            before = mean
+    return before if before is not None else w
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, features: int = FEATURES):
@@ -121,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         for w in found:
             x[on][at[on], place[w]] = 1
         at[on] += 1
-    w = train_nnpu(x[True], x[False], prior)
+    w = train_nnpu(x[True], x[False], class_prior(x[True], x[False], prior))
     return {word: float(w[i]) for word, i in place.items()}, float(w[-1])
 
 
