@@ -60,7 +60,8 @@ def build_index(rules: list[tuple[str, str]], keyed=xxhash.xxh64_intdigest) -> b
     blob = b"".join(r + b"\0" + v for _, r, v in entries)
     at = np.cumsum([0] + [len(r) + 1 + len(v) for _, r, v in entries]).astype("<u8")
     lengths = np.array(sorted({len(r) - len(r.partition("/")[0]) for r in first}), dtype="<u8")
-    return struct.pack("<QQ", len(keys), len(lengths)) + keys.tobytes() + at.tobytes() + lengths.tobytes() + blob
+    labels = max((r.partition("/")[0].count(".") + 1 for r in first), default=0)
+    return struct.pack("<QQQ", len(keys), len(lengths), labels) + keys.tobytes() + at.tobytes() + lengths.tobytes() + blob
 
 
 class DigestArray:
@@ -69,11 +70,11 @@ class DigestArray:
     def __init__(self, path: str, keyed=xxhash.xxh64_intdigest):
         with open(path, "rb") as f:
             self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, m = struct.unpack_from("<QQ", self.data)
-        self.keys = np.frombuffer(self.data, "<u8", n, 16)
-        self.at = np.frombuffer(self.data, "<u8", n + 1, 16 + 8 * n)
-        self.lengths = np.frombuffer(self.data, "<u8", m, 16 + 8 * (2 * n + 1)).tolist()
-        self.blob = 16 + 8 * (2 * n + 1 + m)
+        n, m, self.labels = struct.unpack_from("<QQQ", self.data)  # labels: the most that a rule's host has
+        self.keys = np.frombuffer(self.data, "<u8", n, 24)
+        self.at = np.frombuffer(self.data, "<u8", n + 1, 24 + 8 * n)
+        self.lengths = np.frombuffer(self.data, "<u8", m, 24 + 8 * (2 * n + 1)).tolist()
+        self.blob = 24 + 8 * (2 * n + 1 + m)
         self.keyed = keyed
 
     def find(self, probes: list[str]) -> list[str | None]:
@@ -99,12 +100,15 @@ class DigestArray:
         for i, (host, path) in enumerate(split):
             if not host:
                 continue
-            parts = host.split(".")
             ends = [n for n in self.lengths if n <= len(path)]
-            for k in range(len(parts)):
-                suffix = ".".join(parts[k:])
+            at = len(host) + 1
+            for _ in range(self.labels):  # longer endings than any rule's host needn't be looked up
+                at = host.rfind(".", 0, at - 1) + 1
+                suffix = host[at:]
                 probes.extend(suffix + path[:n] for n in ends)
                 owner.extend([i] * len(ends))
+                if not at:
+                    break
         best: dict[int, tuple[int, str, str]] = {}
         for i, p, v in zip(owner, probes, self.find(probes)):
             if v is not None and (i not in best or len(p) > best[i][0]):
