@@ -11,8 +11,12 @@ Common words are ranked by their counts over all documents (one aggregation; val
 spans don't count, so no secret teaches itself); the most frequent ones, KEPT at most, in at least LEAST places, are
 broadcast, with a short fixed list of password words. Ties of counts go by the word.
 
+A quoted value runs to its own quote in the same line, blanks and any script included; any other is a run of characters
+that aren't blank, without the signs that close a sentence or bracket. The cost is the least over the segments offered:
+words have 32 letters at most, and of repeats and walks over 128 characters not every part is offered.
+
 Edge cases: null text counts as empty and has no spans; positions are code points, ends exclusive; very long texts are
-scanned whole, and so are long values, whose costing ends early; a quoted value ends at its quote; repeated rows are
+scanned whole, and so are long values, whose costing ends early; a quote without its like in the line is no part of a value; repeated rows are
 answered alike (their words count as often); without documents only the fixed words are known; only doc_id and text are
 read.
 """
@@ -43,11 +47,12 @@ KEPT, LEAST, LETTERS, GRADES = 100_000, 3, 32, 64
 WORD = re.compile(r"[^\W\d_]{2,32}")
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 200_000
-#: A credential word, up to two joining words or signs, then the value.
+#: A credential word, up to two joining words or signs, then the value: all that stands between two quotes of a kind in a
+#: line, else a run of characters that aren't blank (a quote that isn't closed doesn't belong to it).
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|api[_-]?key|private[_-]?key|access[_-]?key)s?["']?"""
-    r"""\s{0,3}(?:(?:is|was|=>|:=|[:=])\s{0,3}){1,2}(?:"([!#-~]{6,})|'([!-&(-~]{6,})|`([!-_a-~]{6,})|(?!["'`])([!-&(-_a-~]{6,}))""",
-    re.I | re.A,
+    r"""[ \t-\r]{0,3}(?:(?:is|was|=>|:=|[:=])[ \t-\r]{0,3}){1,2}(?:"([^"\r\n]{6,})"|'([^'\r\n]{6,})'|`([^`\r\n]{6,})`|["'`]?([^\s"'`]\S{5,}))""",
+    re.I,
 )
 HINT = re.compile(r"pass(?:w|p|c)|pwd|secret|token|credential|[_-]?key", re.I | re.A)
 
@@ -67,13 +72,17 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 NEXT = {a + b for r in ROWS for s in (r, r[::-1]) for a, b in zip(s, s[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d", re.A)
 LEET = str.maketrans("4@301!5$7", "aaeoiisst")
+#: Characters beyond ASCII that a guesser tries.
+OTHERS = 100
 #: log10 of the guesses from which a value counts as a secret.
 THRESHOLD = 9.0
 
 
 def _alphabet(s: str) -> float:
     """log10 of the characters a guesser must try for each of s."""
-    n = 26 * any(c.islower() for c in s) + 26 * any(c.isupper() for c in s) + 10 * any(c.isdigit() for c in s) + 33 * any(not c.isalnum() for c in s)
+    plain = s if s.isascii() else [c for c in s if c < "\x80"]
+    n = 26 * any(c.islower() for c in plain) + 26 * any(c.isupper() for c in plain) + 10 * any(c.isdigit() for c in plain) + 33 * any(not c.isalnum() for c in plain)
+    n += OTHERS * (len(plain) < len(s))
     return math.log10(max(n, 2))
 
 
@@ -155,7 +164,8 @@ def _values(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CONTEXT.finditer(text) if HINT.search(text) else []:
         a = m.start(m.lastindex)
-        out.append((a, a + len(m[m.lastindex].rstrip(".,;:!?)]}>\""))))
+        value = m[m.lastindex]
+        out.append((a, a + len(value if m.lastindex < 4 else value.rstrip(".,;:!?)]}>\"'`"))))
     return out
 
 

@@ -256,6 +256,11 @@ def test_graph_without_true_pairs(monkeypatch):
     assert (recall, ef) == (1.0, 0) and [f.tolist() for f in found] == [[i] for i in range(50)]
 
 
+def _index(folder, rules):
+    (folder / "rules").write_bytes(url_filter.build_index(rules))
+    return url_filter.DigestArray(str(folder / "rules"))
+
+
 def test_urls(spark, tmp_path):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x?q#f", "http://www.example.com/en/", "https://a.b.net/es/1", "http://net/fr/", "http://x.org/", "http://x.com", "http://x.com#/en/", "ftp://www.Example.com/de/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -271,6 +276,12 @@ def test_urls(spark, tmp_path):
     whole, parts = ([tuple(r) for r in url_filter.filter_urls(df.union(df), many, most=m).orderBy("page_id").collect()] for m in (1 << 20, 30))
     assert whole == parts and len(list(url_filter._slices(many, 30))) > 3 and len(whole) == 2 * len(urls)
     assert ("x.com", "", None, "allow") == whole[16][1:] and all(r[4] == "allow" for r in url_filter.filter_urls(df, []).collect())
+    # a host of very many labels: no more endings are looked up than rules have labels
+    long = ".".join(["a"] * 200_000)
+    (r,) = url_filter.filter_urls(spark.createDataFrame([(1, f"http://{long}.www.example.com/en/")], "page_id long, url string"), URL_RULES).collect()
+    assert (r.rule, r.verdict) == ("www.example.com/en/", "allow")
+    odd = ["http://.com/", "http://com./", "http://.com./x", "http://...com/", "http://./"]
+    assert [x[2] for x in url_filter.judge_all([_index(tmp_path, URL_RULES)], odd, "allow")] == ["com/", None, None, "com/", None]
     # colliding digests must not decide
     same = lambda b: 7
     p = tmp_path / "i"
@@ -337,6 +348,27 @@ def test_secrets_whole_values(spark):
         assert (secrets.guess_cost(v, 8.0) >= 8.0) == (cost >= 8.0) and (cost >= 8.0 or secrets.guess_cost(v, 8.0) == cost)
 
 
+def test_secrets_quoted_and_of_any_script(spark):
+    """A quoted value goes to its quote, a bare one to the next blank; both whatever the script."""
+    t = {
+        'password is "correct horse battery staple" ok': 'password is "<SECRET>" ok',
+        'pwd: "Tr0ub4dor&3 xyz!Q" ok': 'pwd: "<SECRET>" ok',
+        "pwd: `Tr0ub\"4dor' 3xyz!Q`; ok": "pwd: `<SECRET>`; ok",
+        "password is Gehé1mN1s!xQ9z ok": "password is <SECRET> ok",
+        "secret: пАроль7Ж2ык9щ, ok": "secret: <SECRET>, ok",
+        "api_key => 'x\u00e9Q9 v#2Lm 0pZ' ok": "api_key => '<SECRET>' ok",
+        'password is "xK9#vQ2!mZ\nend"': 'password is "<SECRET>\nend"',
+        "pwd = $3cr#9!xQz%k'v ok": "pwd = <SECRET> ok",
+        "the password is \u00a0 secret": "the password is \u00a0 secret",
+    }
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert [out[i] for i in range(len(t))] == list(t.values())
+    assert secrets._alphabet("é") < secrets._alphabet("éa1!") and secrets._alphabet("Ж") == secrets._alphabet("é")
+    many = 'password="' * 20_000 + "pwd='" * 20_000  # time stays in proportion
+    assert secrets.find_secrets(many) is not None
+
+
 def test_guess_cost_brute():
     """Against every segmentation of short values."""
     words = secrets.FIXED | {"well": 2.0, "established": 3.5, "ell": 4.0}
