@@ -83,11 +83,15 @@ def aligned_bases() -> Column:
 def read_offsets(lengths: str, nexts: str, starts: str) -> Column:
     """SQL names of array<bigint> lengths, array<array<int>> successors and array<int> seeds of subpaths in stored
     order -> offsets. One forward pass: the first writer of a subpath wins, unreachable ones keep 0; without seeds the
-    subpaths that none leads to are seeds. A step writes to its own successors only: the state is a map of offsets."""
-    led = f"flatten({nexts})"
-    seeds = f"if(size(coalesce({starts}, array())) > 0, {starts}, array_except(sequence(0, size({lengths}) - 1), {led}))"
-    first = f"map_from_arrays(array_distinct(transform({seeds}, s -> int(s))), transform(array_distinct({seeds}), s -> bigint(0)))"
-    new = f"array_distinct(filter({nexts}[i], j -> j is not null and not map_contains_key(acc, int(j))))"
-    step = f"if(not map_contains_key(acc, i) or size({new}) = 0, acc, map_concat(acc, map_from_arrays(transform({new}, j -> int(j)), transform({new}, j -> acc[i] + {lengths}[i]))))"
-    all_ = f"aggregate(sequence(0, size({lengths}) - 1), {first}, (acc, i) -> {step})"
-    return F.expr(f"if(size({lengths}) = 0, array(), transform(array({all_}), found -> transform({lengths}, (x, j) -> coalesce(try_element_at(found, j), bigint(0))))[0])")
+    subpaths that none leads to are seeds. Seen from a subpath, its writer is its least predecessor that was known when
+    the pass came by: one that stands ahead of it, else one behind. So a fold appends one offset a subpath (null: not
+    known when the pass came by), and only subpaths without any are looked at again."""
+    every = f"sequence(0, size({lengths}) - 1)"
+    seeds = f"if(size(coalesce({starts}, array())) > 0, {starts}, array_except({every}, flatten({nexts})))"
+    led = f"transform({every}, j -> filter({every}, i -> array_contains(get({nexts}, i), j)))"
+    writer = "get(filter(get(x.led, j), i -> {place} and get({acc}, i) is not null), 0)"
+    come = lambda place, acc: f"transform(array({writer.format(place=place, acc=acc)}), w -> get({acc}, w) + get({lengths}, w))[0]"
+    step = f"concat(acc, array(if(array_contains(x.seeds, j), bigint(0), {come('i < j', 'acc')})))"
+    known = f"aggregate({every}, cast(array() as array<bigint>), (acc, j) -> {step})"
+    told = f"transform(array({known}), known -> transform(known, (found, j) -> coalesce(found, {come('i > j', 'known')}, bigint(0))))[0]"
+    return F.expr(f"if(size({lengths}) = 0, array(), transform(array(named_struct('led', {led}, 'seeds', {seeds})), x -> {told})[0])")

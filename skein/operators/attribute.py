@@ -1,9 +1,13 @@
-"""From scored mappings to the targets of each read: attribution by an equi-join, tally, winners, collapse."""
+"""From scored mappings to the targets of each read: attribution by classes of equal path sets, tally, winners, collapse."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skein.session import saved
+
 STRANDS = ("both", "forward", "reverse")
 
 
@@ -12,20 +16,67 @@ def transcript_of(path: Column) -> Column:
     return F.regexp_replace(path, "_[HR][0-9]+$", "")
 
 
-def tally(mappings: DataFrame, node_paths: DataFrame) -> DataFrame:
-    """mappings (read, node, read_rev, score, aligned) and node_paths (node, path, path_rev; a path that visits a node
-    twice has two rows) -> (read, path, score, fwd, rev), pooled over all mappings of a read. The build side is
-    broadcast by Spark only where its size allows."""
-    same = F.col("read_rev") == F.col("path_rev")
-    return (
-        mappings.join(node_paths, "node")
-        .groupBy("read", "path")
-        .agg(
-            F.sum("score").cast("long").alias("score"),
-            F.sum(F.when(same, F.col("aligned")).otherwise(0)).cast("long").alias("fwd"),
-            F.sum(F.when(~same, F.col("aligned")).otherwise(0)).cast("long").alias("rev"),
-        )
-    )
+@dataclass(frozen=True)
+class Interned:
+    """A graph's paths by what they have in common, so that reads meet sets of paths instead of paths.
+
+    groups (path, grp): paths with the same steps are one group, named by the least of them; a read can't tell them apart.
+    classes (node, cls): nodes with the same groups in the same directions are one class, named by the least node.
+    members (cls, grp, path_rev, visits): the groups of a class."""
+
+    groups: DataFrame
+    classes: DataFrame
+    members: DataFrame
+
+
+def _least_equal(rows: DataFrame, of: str, parts: list[str]) -> DataFrame:
+    """rows (of, *parts), each once -> of, least: the least of those that have the same set of parts. Sets meet by their size
+    and two hashes; then every part is looked up in the least one's set, and who differs stands for itself."""
+    h = [F.bit_xor(F.xxhash64(F.lit(k), *parts)).alias(f"h{k}") for k in (1, 2)]
+    signs = rows.groupBy(of).agg(*h, F.count(F.lit(1)).alias("n"))
+    least = signs.groupBy("h1", "h2", "n").agg(F.min(of).alias("least"), F.count(F.lit(1)).alias("equal")).where("equal > 1")
+    named = signs.join(least, ["h1", "h2", "n"], "left").select(of, F.coalesce("least", of).alias("least"))
+    others = rows.join(named.where(F.col(of) != F.col("least")), of)
+    wrong = others.join(rows.withColumnRenamed(of, "least"), ["least", *parts], "left_anti").select(of).distinct().withColumn("wrong", F.lit(True))
+    return named.join(wrong, of, "left").select(of, F.when(F.col("wrong"), F.col(of)).otherwise(F.col("least")).alias("least"))
+
+
+def intern(node_paths: DataFrame, folder: str | None = None) -> Interned:
+    """node_paths (node, path, path_rev; a path that visits a node twice has two rows) -> its groups and classes. Shuffled is
+    the graph only; hashes are partial aggregates, so a node of very many paths or a path of very many nodes is no matter.
+    With a folder of the shared store each table is written once, and every use reads it."""
+    kept = lambda t, name: saved(t, f"{folder}/{name}") if folder else t
+    rows = kept(node_paths.groupBy("node", "path", "path_rev").agg(F.count(F.lit(1)).alias("visits")), "rows")
+    groups = kept(_least_equal(rows, "path", ["node", "path_rev", "visits"]).withColumnRenamed("least", "grp"), "groups")
+    own = kept(rows.join(groups.where("path = grp").select("path"), "path", "left_semi").withColumnRenamed("path", "grp"), "own")
+    classes = kept(_least_equal(own, "node", ["grp", "path_rev", "visits"]).withColumnRenamed("least", "cls"), "classes")
+    members = kept(own.join(classes.where("node = cls").select("node"), "node", "left_semi").withColumnRenamed("node", "cls"), "members")
+    return Interned(groups, classes, members)
+
+
+def tally_groups(mappings: DataFrame, graph: Interned) -> DataFrame:
+    """mappings (read, node, read_rev, score, aligned) -> (read, grp, score, fwd, rev) of every path of the group, pooled over
+    all mappings of a read. A mapping meets its node's class, one row; sums of a read and class then meet the class' groups
+    once. Both keys begin with the read, so that mappings partitioned by read stay where they are."""
+    on = lambda rev: F.sum(F.when(F.col("read_rev") == rev, F.col("aligned")).otherwise(0)).alias("rev_bases" if rev else "fwd_bases")
+    each = mappings.join(graph.classes, "node").groupBy("read", "cls").agg(F.sum("score").alias("score"), on(False), on(True))
+    part = lambda same: F.sum(F.col("visits") * F.when(F.col("path_rev") == F.lit(same), F.col("rev_bases")).otherwise(F.col("fwd_bases"))).cast("long")
+    return each.join(graph.members, "cls").groupBy("read", "grp").agg(F.sum(F.col("visits") * F.col("score")).cast("long").alias("score"), part(True).alias("fwd"), part(False).alias("rev"))
+
+
+def tally(mappings: DataFrame, node_paths: DataFrame | Interned) -> DataFrame:
+    """tally_groups for every path: (read, path, score, fwd, rev)."""
+    graph = node_paths if isinstance(node_paths, Interned) else intern(node_paths)
+    return tally_groups(mappings, graph).join(graph.groups, "grp").select("read", "path", "score", "fwd", "rev")
+
+
+def targets(mappings: DataFrame, node_paths: DataFrame | Interned) -> DataFrame:
+    """collapse(winners(tally())) -> (read, target, fwd, rev, forward), where copies of a path count but are never listed."""
+    graph = node_paths if isinstance(node_paths, Interned) else intern(node_paths)
+    copies = graph.groups.groupBy("grp", transcript_of(F.col("path")).alias("target")).agg(F.count(F.lit(1)).alias("copies"))
+    won = winners(tally_groups(mappings, graph)).join(copies, "grp")
+    total = lambda c: F.sum(F.col("copies") * F.col(c)).cast("long").alias(c)
+    return won.groupBy("read", "target").agg(total("fwd"), total("rev")).withColumn("forward", F.col("fwd") >= F.col("rev"))
 
 
 def winners(tallies: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 #: Width of the bins that make the range join an equi-join.
 BIN = 1 << 14
+#: Steps of a path that one task sums up.
+BLOCK = 1 << 18
 
 
 def molecule_counts(records: DataFrame) -> DataFrame:
@@ -25,11 +27,22 @@ def wide(counts: DataFrame, genes: list[str]) -> DataFrame:
     return counts.groupBy("cell").pivot("gene", genes).agg(F.sum("count"))
 
 
-def node_spans(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+def running_total(rows: DataFrame, key: str, order: str, value: str, block: int = BLOCK) -> DataFrame:
+    """rows with `total`, the sum of value over a key's rows up to this one by order (whole numbers, distinct in a key). A
+    key's rows are dealt to blocks of `block` orders, their sums are added up over the key's blocks, and inside a block a
+    window goes on from there: no task holds more than a block's rows, or one sum for each block of a key."""
+    dealt = rows.withColumn("__block", F.floor(F.col(order) / block))
+    sums = dealt.groupBy(key, "__block").agg(F.sum(value).alias("__sum"))
+    ahead = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.select(key, "__block", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__begun"))
+    inside = F.sum(value).over(Window.partitionBy(key, "__block").orderBy(order))
+    return dealt.join(begun, [key, "__block"]).withColumn("total", (F.col("__begun") + inside).cast("long")).drop("__block", "__begun")
+
+
+def node_spans(steps: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """steps (path, step_ord, node) and nodes (node, length) -> path, node, node_start, node_end (0-based, half-open)."""
-    w = Window.partitionBy("path").orderBy("step_ord")
-    s = steps.join(nodes, "node").withColumn("node_end", F.sum("length").over(w))
-    return s.select("path", "step_ord", "node", (F.col("node_end") - F.col("length")).cast("long").alias("node_start"), F.col("node_end").cast("long").alias("node_end"))
+    s = running_total(steps.join(nodes, "node"), "path", "step_ord", "length", block).withColumnRenamed("total", "node_end")
+    return s.select("path", "step_ord", "node", (F.col("node_end") - F.col("length")).cast("long").alias("node_start"), "node_end")
 
 
 def overlaps(spans: DataFrame, features: DataFrame, width: int = BIN, keep: list[str] = []) -> DataFrame:  # noqa: B006

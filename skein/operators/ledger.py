@@ -27,26 +27,27 @@ def node_genes(steps: DataFrame, layers: DataFrame) -> DataFrame:
 
 def ledger(mappings: DataFrame, genes: DataFrame) -> DataFrame:
     """mappings (read, node, read_rev, aligned) and genes (node, gene, is_exon, gene_rev) -> read, gene, exonic, intronic,
-    fwd, rev. Mappings without aligned bases are dropped before the join."""
+    fwd, rev, and read_length where mappings have it. Mappings without aligned bases are dropped before the join."""
     n = F.col("aligned")
     same = F.col("read_rev") == F.col("gene_rev")
     part = lambda on: F.sum(F.when(on, n).otherwise(0)).cast("long")
+    length = [F.max("read_length").alias("read_length")] if "read_length" in mappings.columns else []
     return (
         mappings.where("aligned > 0")
         .join(genes, "node")
         .groupBy("read", "gene")
-        .agg(part(F.col("is_exon")).alias("exonic"), part(~F.col("is_exon")).alias("intronic"), part(same).alias("fwd"), part(~same).alias("rev"))
+        .agg(part(F.col("is_exon")).alias("exonic"), part(~F.col("is_exon")).alias("intronic"), part(same).alias("fwd"), part(~same).alias("rev"), *length)
     )
 
 
-def count_mode(entries: DataFrame, lengths: DataFrame, mode: str) -> DataFrame:
-    """Ledger entries and lengths (read, read_length) -> the genes a mode keeps: read, target, forward."""
+def count_mode(entries: DataFrame, lengths: DataFrame | None, mode: str) -> DataFrame:
+    """Ledger entries, and lengths (read, read_length) unless they have them -> the genes a mode keeps: read, target, forward."""
     if mode not in MODES:
         raise ValueError(f"count mode must be one of {MODES}, not {mode}")
     e = entries.where("exonic + intronic > 0").withColumn("forward", F.col("fwd") >= F.col("rev"))
     w = Window.partitionBy("read")
     if mode == "gene":
-        e = e.join(lengths, "read").where("exonic > 0 and 2 * exonic >= read_length")
+        e = (e if lengths is None else e.join(lengths, "read")).where("exonic > 0 and 2 * exonic >= read_length")
     if mode == "genefull_ex50pas":
         e = e.where("not (intronic = 0 and not forward)")
     better = {"genefull_exonoverintron": "intronic = 0", "genefull_ex50pas": "exonic > intronic"}.get(mode)

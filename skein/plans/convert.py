@@ -133,7 +133,8 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
         named = t2g.withColumn("target", attribute.transcript_of(F.col("path")))
         checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes", "target")
         known = steps.join(t2g.select("path").distinct(), "path", "left_semi").select("node", "path", "path_rev")
-        targets = attribute.collapse(attribute.winners(attribute.tally(m, known))).select("read", "target", "forward")
+        graph = attribute.intern(known, f"{folder}/graph")
+        targets = attribute.targets(m.repartition("read"), graph).select("read", "target", "forward")  # dealt once: all that follows goes by read
         dictionary = attribute.dictionary(named.select("target"))
         tx2gene = named.select("target", "gene").distinct()
     else:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skein.functions import molecule as mol, scoring
 from skein.operators import attribute, checks, counting, ledger as led
 from skein.plans import driver_files
+from skein.session import scratch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -60,6 +61,17 @@ def node_paths(spark, d) -> DataFrame:
     return copies.union(kinds)
 
 
+_GRAPHS: dict[tuple[str, str], attribute.Interned] = {}
+
+
+def graph(spark, d) -> attribute.Interned:
+    """node_paths with its classes, interned once for an application, as a graph is once for all reads."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _GRAPHS:
+        _GRAPHS[key] = attribute.intern(node_paths(spark, d), scratch(spark, "graph"))
+    return _GRAPHS[key]
+
+
 def node_genes(spark, d) -> DataFrame:
     """By the engine's own classification: two gene layers of paths whose steps are parts, the last step deciding."""
     p = _t(spark, d, "part")
@@ -71,14 +83,15 @@ def node_genes(spark, d) -> DataFrame:
 
 
 def targets(spark, d) -> DataFrame:
-    return attribute.collapse(attribute.winners(attribute.tally(mappings(spark, d), node_paths(spark, d))))
+    return attribute.targets(mappings(spark, d), graph(spark, d))
 
 
 def counted(spark, d, mode) -> DataFrame:
-    """One scan of the lines: a read's length comes from the same grouping as its ledger."""
+    """One scan of the lines and one exchange by read: its length, where the mode asks for it, is a window's sum."""
     e = edits(spark, d).withColumn("aligned", scoring.aligned_bases())
-    n = e.groupBy("read").agg(F.sum("aligned").cast("long").alias("read_length"))
-    return led.count_mode(led.ledger(e, node_genes(spark, d)), n, mode)
+    if mode == "gene":
+        e = e.withColumn("read_length", F.sum("aligned").over(Window.partitionBy("read")).cast("long"))
+    return led.count_mode(led.ledger(e, node_genes(spark, d)), None, mode)
 
 
 _MODES = {"gene": "gene", "genefull": "genefull", "exonoverintron": "genefull_exonoverintron", "ex50pas": "genefull_ex50pas"}
@@ -216,8 +229,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {
         "flagship_targets": flag,
         "node_scores": lambda s, d: mappings(s, d).groupBy("read", "node").agg(F.sum("score").cast("long").alias("score"), F.sum("aligned").cast("long").alias("aligned")),
-        "hst_tally": lambda s, d: attribute.tally(mappings(s, d), node_paths(s, d)),
-        "winners": lambda s, d: attribute.winners(attribute.tally(mappings(s, d), node_paths(s, d))).select("read", "path", "score"),
+        "hst_tally": lambda s, d: attribute.tally(mappings(s, d), graph(s, d)),
+        "winners": lambda s, d: attribute.winners(attribute.tally(mappings(s, d), graph(s, d))).select("read", "path", "score"),
         "orientation": lambda s, d: targets(s, d).groupBy("forward").agg(F.count(F.lit(1)).alias("targets")),
         "strand_forward": lambda s, d: attribute.strand(targets(s, d), "forward").select("read", "target"),
         "strand_reverse": lambda s, d: attribute.strand(targets(s, d), "reverse").select("read", "target"),
@@ -239,7 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gene_sets_xt": _gene_sets,
         "gene_sets_first": lambda s, d: _gene_sets(s, d, "first"),
         "node_genes": node_genes,
-        "tally_with_empty_edits": lambda s, d: attribute.tally(scored(emptied(s, d)), node_paths(s, d)),
+        "tally_with_empty_edits": lambda s, d: attribute.tally(scored(emptied(s, d)), graph(s, d)),
         "dag_offsets": _dag_offsets,
         "gene_body_range_join": _range_join,
         "fidelity_rate": _fidelity,
