@@ -10,6 +10,7 @@ from skein.operators.checks import InputError
 from skein.operators.ledger import MODES
 from skein.plans.convert import Options, convert
 from skein.sources import bam, rad, readers, writers
+from skein.streaming.convert import convert_pipe
 
 VERSION = "1.0"
 
@@ -24,7 +25,7 @@ def size(text: str) -> int:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="skein", description="Convert graph alignments of single-cell reads to compatibility records.")
     p.add_argument("--version", "-V", action="version", version=VERSION)
-    p.add_argument("--reads", "--gamp", dest="reads", required=True, help="alignments as JSON lines: a file, folder or pattern")
+    p.add_argument("--reads", "--gamp", dest="reads", required=True, help="alignments as JSON lines: a file, folder or pattern, or - for the standard input")
     p.add_argument("--graph", "--xg", dest="graph", required=True, help="the graph as GFA")
     p.add_argument("--t2g", required=True, help="path to gene")
     p.add_argument("--body-t2g", help="gene body path to gene; the gene count modes need it")
@@ -48,7 +49,11 @@ def run(spark, args: argparse.Namespace, command: str = "") -> None:
     options.check(args.body_t2g is not None)
     nodes, steps = readers.read_gfa(spark, args.graph)
     body = readers.read_path_map(spark, args.body_t2g) if args.body_t2g else None
-    out = convert(spark, readers.read_alignments(spark, args.reads), nodes, steps, readers.read_path_map(spark, args.t2g), options, body)
+    t2g = readers.read_path_map(spark, args.t2g)
+    if args.reads == "-":
+        out = convert_pipe(spark, sys.stdin.buffer, nodes, steps, t2g, options, body)
+    else:
+        out = convert(spark, readers.read_alignments(spark, args.reads), nodes, steps, t2g, options, body)
     to = args.out_dir.rstrip("/")
     rad.write_rad(out["records"], out["dictionary"], f"{to}/map.rad", args.raw_cb_length, args.raw_umi_length, args.max_chunk_bytes)
     writers.write_map(out["tx2gene"], f"{to}/tx2gene.tsv")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skein.functions import molecule as mol
 from skein.operators import attribute
@@ -16,6 +16,7 @@ from skein.plans.annotate import annotate
 from skein.plans.convert import Options, adjusted_mappings, convert, scored_mappings
 from skein.session import scratch
 from skein.sources import rad, readers, writers
+from skein.streaming import convert as stream
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -98,11 +99,27 @@ def _written(df: DataFrame, value, name: str) -> str:
     return to
 
 
+def _json(a: DataFrame) -> Column:
+    sub = F.expr("transform(subpath, s -> named_struct('path', named_struct('mapping', transform(s.mapping, m -> named_struct('position', named_struct('node_id', string(m.node), 'is_reverse', m.is_reverse), 'edit', m.edit)))))")
+    return F.concat(F.to_json(F.struct("name", "sequence", sub.alias("subpath"))), F.when(F.col("ord") % 5 == 0, F.lit("\n\n")).otherwise(F.lit("")))
+
+
+def _streamed(spark, d, **options) -> dict[str, DataFrame]:
+    """The conversion over a stream that takes one file of lines a batch; reads go on in the next file."""
+    a = alignments(spark, d)
+    to, out = scratch(spark, "stream-in"), scratch(spark, "stream")
+    a.repartitionByRange(3, "ord").sortWithinPartitions("ord").select(_json(a).alias("value")).write.text(to)
+    o = Options(**options)
+    exon, body = maps(spark, d, o.count_mode)
+    told = (*graph(spark, d), exon)
+    stream.stream_convert(spark, to, *told, out, f"{out}/checkpoint", o, body, files_per_batch=1).awaitTermination()
+    return stream.finish(spark, *told, out, o, body)
+
+
 def _scan_alignments(spark, d):
     """As JSON lines with 64-bit numbers as strings, blank lines between."""
     a = alignments(spark, d)
-    sub = F.expr("transform(subpath, s -> named_struct('path', named_struct('mapping', transform(s.mapping, m -> named_struct('position', named_struct('node_id', string(m.node), 'is_reverse', m.is_reverse), 'edit', m.edit)))))")
-    line = F.concat(F.to_json(F.struct("name", "sequence", sub.alias("subpath"))), F.when(F.col("ord") % 5 == 0, F.lit("\n\n")).otherwise(F.lit("")))
+    line = _json(a)
     got = readers.read_alignments(spark, _written(a, line, "json"))
     m = scored_mappings(got).groupBy("read").agg(F.count(F.lit(1)).alias("mappings"), F.sum("score").cast("long").alias("score"), F.sum("node").cast("long").alias("nodes"))
     per = got.groupBy(F.col("name").alias("read")).agg(F.count(F.lit(1)).alias("records"), (F.max("ord") - F.min("ord")).cast("long").alias("span"))
@@ -189,6 +206,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "convert_records": lambda s, d: _hit_text(converted(s, d)),
         "convert_records_ledger": lambda s, d: _hit_text(converted(s, d, count_mode="genefull_exonoverintron")),
         "rejected_groups": lambda s, d: converted(s, d)["rejected"].select("read", "status"),
+        "stream_records": lambda s, d: _hit_text(_streamed(s, d)),
+        "stream_summary": lambda s, d: _summary(_streamed(s, d, strand="forward")),
         "rad_roundtrip": _rad,
         "bam_rows": _sam,
         "scan_sam_tags": _sam_tags,

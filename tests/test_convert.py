@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import io
 import json
 import random
 
@@ -204,6 +205,72 @@ def test_stream(spark, world, tmp_path, files, per_batch):
         stream.stream_convert(spark, str(tmp_path / "in"), *graph, out, f"file://{tmp_path}/cp", Options(**O)).awaitTermination()
 
 
+def rad_bytes(path):
+    return b"".join(p.read_bytes() for p in sorted(path.glob("part-*")))
+
+
+def test_pipe_and_restart(spark, world, tmp_path, monkeypatch):
+    """Lines from a pipe, and a stream that fails in a batch and goes on, write the files of the batch, byte for byte."""
+    d, _, paths, exon, body, records = world
+    argv = ["--graph", f"{d}/g.gfa", "--t2g", f"{d}/exon.tsv", "--raw-cb-length", "6", "--raw-umi-length", "4", "--max-chunk-bytes", "300"]
+    text = "".join(json.dumps(r) + ("\n\n" if i % 7 == 0 else "\n") for i, r in enumerate(records)).rstrip("\n").encode()  # no newline at the end
+    run = lambda out, reads, *more: cli.run(spark, cli.parser().parse_args([*argv, "--reads", reads, "--out-dir", str(out), *more]), "cmd")
+    (tmp_path / "all.json").write_bytes(text)
+    run(tmp_path / "batch", str(tmp_path / "all.json"), "--sam-out", str(tmp_path / "batch-sam"))
+
+    class Piped:
+        buffer = io.BytesIO(text)
+
+    held = stream.pipe.FILE_BYTES, stream.pipe._READ
+    monkeypatch.setattr(cli.sys, "stdin", Piped)
+    monkeypatch.setattr(stream.pipe, "_READ", 1000)
+    whole = stream.convert_pipe
+    monkeypatch.setattr(cli, "convert_pipe", lambda *a: whole(*a, size=len(text) // 3))
+    run(tmp_path / "pipe", "-", "--sam-out", str(tmp_path / "pipe-sam"))
+    assert held[0] > len(text)
+    assert rad_bytes(tmp_path / "pipe" / "map.rad") == rad_bytes(tmp_path / "batch" / "map.rad")
+    for name in ("tx2gene.tsv", "summary.tsv", "warnings.txt"):
+        assert lines(tmp_path / "pipe" / name) == lines(tmp_path / "batch" / name)
+    assert lines(tmp_path / "pipe-sam") == lines(tmp_path / "batch-sam")
+    Piped.buffer = io.BytesIO(b"")
+    with pytest.raises(InputError, match="empty"):
+        run(tmp_path / "none", "-")
+
+    # the second batch fails after it wrote its records, and is run again
+    (tmp_path / "in").mkdir()
+    cut = [len(records) * k // 3 for k in range(4)]
+    for k in range(3):
+        (tmp_path / "in" / f"f{k}.json").write_text("".join(json.dumps(r) + "\n" for r in records[cut[k] : cut[k + 1]]))
+    graph, out, write = loaded(spark, d)[1:], f"file://{tmp_path}/out", stream._write
+
+    def failing(told, to, k):
+        write({"records": told["records"]} if k == 1 else told, to, k)
+        if k == 1:
+            raise RuntimeError("lost")
+
+    go = lambda: stream.stream_convert(spark, str(tmp_path / "in"), *graph, out, f"file://{tmp_path}/cp", Options(**O), files_per_batch=1).awaitTermination()
+    monkeypatch.setattr(stream, "_write", failing)
+    with pytest.raises(Exception, match="lost"):
+        go()
+    monkeypatch.setattr(stream, "_write", write)
+    go()
+    told = stream.finish(spark, *graph, out, Options(**O))
+    rad.write_rad(told["records"], told["dictionary"], str(tmp_path / "again.rad"), 6, 4, 300)
+    assert rad_bytes(tmp_path / "again.rad") == rad_bytes(tmp_path / "batch" / "map.rad")
+    assert [f"{r.key}\t{r.value}" for r in told["summary"].orderBy("place").collect()] == lines(tmp_path / "batch" / "summary.tsv")
+    assert sorted(p.name for p in (tmp_path / "out" / "lines").iterdir()) == [] and len(list((tmp_path / "out" / "open").iterdir())) == 2
+
+
+def test_spooled_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream.pipe, "_READ", 700)
+    text = b"".join(b"%d" % i * (i % 50) + b"\n" for i in range(3000)) + b"end"
+    got = list(stream.pipe.spooled(spark, io.BytesIO(text), f"file://{tmp_path}/s", 5000))
+    files = sorted((tmp_path / "s").glob("lines-*"))
+    assert len(got) == len(files) > 3 and b"".join(f.read_bytes() for f in files) == text
+    assert all(f.read_bytes().endswith(b"\n") for f in files[:-1])
+    assert list(stream.pipe.spooled(spark, io.BytesIO(b""), f"file://{tmp_path}/t")) == []
+
+
 def test_gene_bodies(spark, tmp_path):
     """From a GTF to the steps of gene bodies and their map."""
     rng = random.Random(11)
