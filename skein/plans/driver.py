@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skein.functions import molecule as mol, scoring
-from skein.operators import attribute, checks, counting, ledger as led
+from skein.operators import attribute, checks, counting, ledger as led, network
 from skein.plans import driver_files
 from skein.session import scratch
 
@@ -181,6 +181,13 @@ def _records(spark, d):
     return _t(spark, d, "events").select(F.col("user_id").alias("cell"), F.col("event_type").alias("gene"), F.col("props").alias("umi"), F.col("event_id").alias("pos"))
 
 
+def _network(spark, d):
+    """UMIs of five bases, many of one count and some of high ones, in few cells."""
+    k = F.col("event_id")
+    e = _t(spark, d, "events").select((F.col("user_id") % 7).alias("cell"), F.col("event_type").alias("gene"), mol.umi_of(k * k % 1024, 5).alias("umi"))
+    return network.network_counts(e)
+
+
 def _position_independence(spark, d):
     """Counts don't change when records move; they do where a record's UMI changes. All rows that differ are told."""
     a = counting.molecule_counts(_records(spark, d))
@@ -247,6 +254,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "new_paths": _new_paths,
         "target_histogram": lambda s, d: attribute.histogram(targets(s, d)),
         "umi_counts": lambda s, d: counting.molecule_counts(_records(s, d)),
+        "umi_network_counts": _network,
         "cell_gene_matrix": _matrix,
         "position_independence": _position_independence,
         "gene_sets_xt": _gene_sets,

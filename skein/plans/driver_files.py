@@ -15,7 +15,7 @@ from skein.operators import attribute
 from skein.plans.annotate import annotate
 from skein.plans.convert import Options, adjusted_mappings, convert, scored_mappings
 from skein.session import scratch
-from skein.sources import rad, readers, writers
+from skein.sources import bam, rad, readers, writers
 from skein.streaming import convert as stream
 
 
@@ -86,6 +86,13 @@ def _sam_tags(spark, d):
     return readers.read_sam_tags(spark, to)
 
 
+def _bam(spark, d):
+    out = converted(spark, d, alignments="omit")
+    to = scratch(spark, "bam")
+    bam.write_bam(out["alignments"], out["tx2gene"], to, "run", "1")
+    return bam.read_bam(spark, to)
+
+
 def _rad(spark, d):
     out = converted(spark, d)
     to = scratch(spark, "rad")
@@ -210,6 +217,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_summary": lambda s, d: _summary(_streamed(s, d, strand="forward")),
         "rad_roundtrip": _rad,
         "bam_rows": _sam,
+        "bam_binary_rows": _bam,
         "scan_sam_tags": _sam_tags,
         "scan_alignments": _scan_alignments,
         "scan_gfa": _scan_gfa,

@@ -145,6 +145,28 @@ UNION ALL SELECT '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unsorted'
 UNION ALL SELECT concat_ws(chr(9), '@PG', 'ID:skein', 'PN:skein', 'VN:1', 'CL:run')
 """
 
+#: The same alignments as fields of binary records.
+_BAM = _SAM[: _SAM.index("SELECT concat_ws(chr(9), orig")] + """
+SELECT orig AS name, CAST(0 AS INTEGER) AS flag, first AS contig, CAST(1 AS BIGINT) AS pos, CAST(255 AS INTEGER) AS mapq, CASE WHEN total = 0 THEN '' ELSE total || 'M' END AS cigar,
+       repeat('A', total) AS sequence, bc AS cell, umi, genes, CASE WHEN n = 1 THEN first END AS gene
+FROM gset JOIN len2 USING (k)
+"""
+
+#: UMIs that edges connect, by walking the edges of each group.
+_NETWORK = """
+WITH RECURSIVE u AS (
+  SELECT user_id % 7 AS cell, event_type AS gene, translate(to_base(event_id * event_id % 1024, 4, 5), '0123', 'ACGT') AS umi, count(*) AS n
+  FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND event_id IS NOT NULL GROUP BY ALL
+), e AS (
+  SELECT a.cell, a.gene, a.umi AS a, b.umi AS b FROM u a JOIN u b ON a.cell = b.cell AND a.gene = b.gene AND hamming(a.umi, b.umi) = 1 AND a.n >= 2 * b.n - 1
+), both_ AS (SELECT * FROM e UNION SELECT cell, gene, b, a FROM e
+), walk AS (
+  SELECT cell, gene, umi, umi AS root FROM u
+  UNION SELECT w.cell, w.gene, x.b, w.root FROM walk w JOIN both_ x ON x.cell = w.cell AND x.gene = w.gene AND x.a = w.umi AND w.root < x.b
+), named AS (SELECT cell, gene, umi, min(root) AS molecule FROM walk GROUP BY ALL)
+SELECT gene, cell, count(*) AS umis, count(DISTINCT molecule) AS count FROM named GROUP BY ALL
+"""
+
 #: Base-quality scores in SQL's own arithmetic. Fixed value: the base of the flat scores' logarithms.
 _QUAL = _GROUPS + """, lam AS (SELECT 1.3833252687::DOUBLE AS l
 ), tab AS (
@@ -215,6 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "rejected_groups": g("SELECT name AS read, status FROM grp WHERE status <> 'ok'"),
         "rad_roundtrip": g("SELECT CAST(k % 1000 AS VARCHAR) AS barcode, CAST(k AS VARCHAR) AS umi, target, forward FROM hit"),
         "bam_rows": _SAM,
+        "bam_binary_rows": _BAM,
+        "umi_network_counts": _NETWORK,
         "scan_sam_tags": g("SELECT orig AS name, CAST(1 AS BIGINT) AS pos, bc AS cell, umi, first AS gene FROM gset"),
         "scan_alignments": g("SELECT name AS read, CAST(records AS BIGINT) AS records, CAST(records - 1 AS BIGINT) AS span, n AS mappings, s AS score, x AS nodes FROM grp LEFT JOIN (SELECT read AS k, count(*) AS n, CAST(sum(score) AS BIGINT) AS s, CAST(sum(node) AS BIGINT) AS x FROM m WHERE read % 13 <> 0 GROUP BY read) USING (k)"),
         "scan_gfa": g("SELECT path, node, path_rev, CAST(50 AS INTEGER) AS bases, CAST(row_number() OVER (PARTITION BY path ORDER BY node) - 1 AS INTEGER) AS place FROM np"),
