@@ -4,13 +4,14 @@ Equal vectors form a class (one aggregation); classes are dealt to shards by has
 navigable small-world graph, which is stored once in the shared folder. Every class then queries every shard by beam
 search for all vectors with cosine >= the threshold. A task of the search holds one shard's graph and lets its queries
 stream past in blocks of BLOCK. A query's beam is widened for as long as its worst member still passes the threshold, and
-a block's beams are widened together until an audit finds recall AUDIT_RECALL or more: AUDIT queries of the block and
-AUDIT of the shard's own vectors, against all of the shard, exactly. The shard's own probes always have a true neighbour
-(themselves), so an audit of a block that links with nothing here is decided, too. Where beams would cover a good part
+a block's beams are widened together until an audit passes: exact products show which of SAMPLE queries of the block and
+SAMPLE of the shard's own vectors have true neighbours other than themselves; of these pairs AUDIT_RECALL or more must be
+found, and, since a block may hold few pairs or none, NEAR_RECALL of the NEAREST nearest vectors of AUDIT of either kind,
+whatever their cosine. Where beams would cover a good part
 of the shard (1 / WIDE of it), exact blocked products answer instead: the way for whatever no audit passes. Found pairs
 are verified by cosine in double precision. A task tells how many vectors each query links with, and a spanning forest
-of its links, never the pairs; the forest's components are the answer's. Each block's recall and beam are told, too, and
-the least recall is in the result.
+of its links, never the pairs; the forest's components are the answer's. Each block's recall (of true pairs; of nearest
+vectors where it held none) and beam are told, too; the least recall and the number of true pairs are in the result.
 
 A shard holds at most about SHARD_BYTES of numbers, so that one fits a task's memory whatever the vectors' width. Each
 query is sent to each shard, and each graph to TASKS / shards tasks (one where there are that many shards).
@@ -36,9 +37,13 @@ from .common import connected_components, mix64, prepare, remove, saved, with_gr
 
 SHARDS = 4
 SHARD_BYTES = 128 << 20
+#: Vectors from which on a second shard is made.
+SHARD_LEAST = 4096
 TASKS = 24
 M, EF_BUILD, EF = 12, 40, 40
 AUDIT, AUDIT_RECALL = 24, 0.995
+#: Vectors of a block, and of a shard, among which an audit looks for true pairs; neighbours whose recall it measures besides.
+SAMPLE, NEAREST, NEAR_RECALL = 256, 5, 0.9
 BATCH = 128
 BLOCK = 2048
 WIDE = 8
@@ -232,19 +237,37 @@ def _unit_single(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def audited(g: Graph, q: np.ndarray, floor: float, seed: int = 0) -> tuple[list[np.ndarray], float, int]:
-    """within() with beams widened until the audit passes, that audit's recall, and the beam (0: exact products)."""
+def audited(g: Graph, q: np.ndarray, floor: float, place: np.ndarray | None = None, seed: int = 0) -> tuple[list[np.ndarray], float, int, int]:
+    """within() with beams widened until the audit passes, that audit's recall, the beam (0: exact products), and the true
+    pairs that it held. place tells where in the graph a query itself stands (-1: it doesn't); nobody is a hit of itself."""
     rng = np.random.default_rng(seed)
-    probes = np.vstack([v[rng.choice(len(v), min(AUDIT, len(v)), replace=False)] for v in (q, g.x)])
-    truth, ef = g.exact(probes, floor), EF
-    true = sum(map(len, truth))
+    place = np.full(len(q), -1) if place is None else place
+    mine, theirs = (rng.choice(n, min(SAMPLE, n), replace=False) for n in (len(q), len(g.x)))
+    probes, own = np.vstack([q[mine], g.x[theirs]]), np.concatenate([place[mine], theirs])
+    k, truth, near = min(NEAREST, len(g.x) - 1), [], []
+    for a in range(0, len(probes), BATCH):
+        sims = probes[a : a + BATCH] @ g.x.T
+        there = np.nonzero(own[a : a + BATCH] >= 0)[0]
+        sims[there, own[a : a + BATCH][there]] = -np.inf
+        truth += [np.nonzero(row >= floor)[0] for row in sims]
+        near += list(np.argpartition(-sims, k - 1, axis=1)[:, :k]) if k else [np.zeros(0, int)] * len(sims)
+    linked = np.array([i for i, t in enumerate(truth) if len(t)][: 4 * AUDIT], int)
+    some = np.concatenate([rng.choice(len(mine), min(AUDIT, len(mine)), replace=False), len(mine) + rng.choice(len(theirs), min(AUDIT, len(theirs)), replace=False)])
+    pairs, ef = sum(len(truth[i]) for i in linked), EF
+
+    def share(found, true) -> float:
+        """Of the true neighbours of probes, those found."""
+        return sum(len(np.intersect1d(t, f)) for t, f in zip(true, found)) / max(1, sum(map(len, true)))
+
     while ef * WIDE < len(g.x):
-        found = g.within(probes, floor, ef)
-        recall = sum(len(np.intersect1d(t, f, assume_unique=True)) for t, f in zip(truth, found)) / true if true else 0.0
+        recall = share(g.within(probes[linked], floor, ef), [truth[i] for i in linked]) if pairs else 1.0
         if recall >= AUDIT_RECALL:
-            return g.within(q, floor, ef), recall, ef
+            ids, _ = g.search(probes[some], ef)
+            seen = share([[x for x in row if x >= 0 and x != own[i]][:k] for row, i in zip(ids.tolist(), some)], [near[i] for i in some])
+            if seen >= NEAR_RECALL:
+                return g.within(q, floor, ef), recall if pairs else seen, ef, pairs
         ef *= 2
-    return g.exact(q, floor), 1.0, 0
+    return g.exact(q, floor), 1.0, 0, pairs
 
 
 class _Forest:
@@ -265,13 +288,14 @@ class _Forest:
         return a != b
 
 
-_FOUND = "node long, links long, u long, v long, recall double, ef int"
+_FOUND = "node long, links long, u long, v long, recall double, ef int, pairs long"
 
 
 def _links(graph: Graph, raw: np.ndarray, node: np.ndarray, copies: np.ndarray, own: np.ndarray, asked: np.ndarray, forest: _Forest, threshold: float) -> pa.RecordBatch:
     """A block of queries against a shard: each query's links, the links that join, and the audit."""
     x = _unit(asked)
-    found, recall, ef = audited(graph, x.astype(np.float32), threshold - 1e-5)
+    at = np.minimum(node.searchsorted(own), len(node) - 1)  # a shard's nodes are in order
+    found, recall, ef, pairs = audited(graph, x.astype(np.float32), threshold - 1e-5, np.where(node[at] == own, at, -1))
     links, u, w = np.zeros(len(own), np.int64), [], []
     for i, f in enumerate(found):
         if not len(f):
@@ -287,8 +311,8 @@ def _links(graph: Graph, raw: np.ndarray, node: np.ndarray, copies: np.ndarray,
     gap = lambda k: [None] * k
     cols = [own.tolist() + gap(m + 1), links.tolist() + gap(m + 1), gap(n) + u + [None], gap(n) + w + [None]]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int64()) for c in cols] + [pa.array(gap(n + m) + [recall], pa.float64()), pa.array(gap(n + m) + [ef], pa.int32())],
-        names=["node", "links", "u", "v", "recall", "ef"],
+        [pa.array(c, pa.int64()) for c in cols] + [pa.array(gap(n + m) + [recall], pa.float64()), pa.array(gap(n + m) + [ef], pa.int32()), pa.array(gap(n + m) + [pairs], pa.int64())],
+        names=["node", "links", "u", "v", "recall", "ef", "pairs"],
     )
 
 
@@ -326,7 +350,8 @@ def _search(threshold: float):
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None = None) -> DataFrame:
-    """vec_id, embedding -> vec_id, n_links, component_id, kept, audited_recall (the least of all audits); a row per row."""
+    """vec_id, embedding -> vec_id, n_links, component_id, kept, audited_recall (the least of all audits) and audited_pairs (true
+    pairs that they held); a row per row."""
     spark = vectors.sparkSession
     prepare(spark)
     folder = scratch(spark, "vectors")
@@ -336,8 +361,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     first = F.min(F.struct(F.col("vec_id").isNull().alias("no_id"), "vec_id")).alias("first")
     nodes = rows.where(fine).groupBy("embedding").agg(first, F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     nodes = saved(nodes, f"{folder}/nodes")
-    numbers = nodes.agg(F.sum(F.size("embedding").cast("long") + 8 * M)).first()[0] or 0
-    s = shards or max(SHARDS, -(-4 * numbers // SHARD_BYTES))  # of four bytes; a vector's neighbours count too
+    numbers, many = nodes.agg(F.sum(F.size("embedding").cast("long") + 8 * M), F.count(F.lit(1))).first()
+    s = shards or max(min(SHARDS, -(-many // SHARD_LEAST)), -(-4 * (numbers or 0) // SHARD_BYTES), 1)  # of four bytes; a vector's neighbours count too
     chunks = max(1, -(-TASKS // s))
     placed = nodes.select("node", "copies", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("node"), F.lit(s)).cast("int").alias("shard"))
 
@@ -358,7 +383,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     met = sides.union(asked.join(F.broadcast(graphs.select("shard", "width").distinct()), ["shard", "width"], "left_semi").select(*sides.columns))  # as few as shards
     met = met.repartition(s * chunks, "shard", "width", "chunk").sortWithinPartitions("shard", "width", "chunk", "kind")
     found = saved(met.mapInArrow(_search(threshold), _FOUND), f"{folder}/found")
-    least = found.agg(F.min("recall")).first()[0]
+    least, pairs = found.agg(F.min("recall"), F.sum("pairs")).first()
     links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("u is not null").select("u", "v"), f"{folder}/cc")
     named = saved(nodes.select("node", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), f"{folder}/named")
@@ -371,5 +396,5 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("best"))
     return known.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),
-        F.lit(least).cast("double").alias("audited_recall"),
+        F.lit(least).cast("double").alias("audited_recall"), F.lit(pairs or 0).cast("long").alias("audited_pairs"),
     )

@@ -238,7 +238,7 @@ def test_graph_recall():
     c = rng.normal(size=(40, 32))
     x = np.vstack([c[rng.integers(40, size=1500)] + 0.15 * rng.normal(size=(1500, 32)), rng.normal(size=(1500, 32))])
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    found, recall, ef = vector_dedup.audited(vector_dedup.Graph(x), x, 0.95)
+    found, recall, ef, _ = vector_dedup.audited(vector_dedup.Graph(x), x, 0.95, np.arange(len(x)))
     truth = x @ x.T >= 0.95
     assert sum(truth[i][f].sum() for i, f in enumerate(found)) >= 0.99 * truth.sum() and recall >= 0.995
 
@@ -249,11 +249,30 @@ def test_graph_without_true_pairs(monkeypatch):
     x, q = rng.normal(size=(4000, 32)), rng.normal(size=(200, 32))
     x, q = ((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32) for v in (x, q))
     g = vector_dedup.Graph(x)
-    found, recall, ef = vector_dedup.audited(g, q, 0.95)
-    assert recall >= 0.995 and 0 < ef <= 160 and not sum(map(len, found))
+    found, recall, ef, pairs = vector_dedup.audited(g, q, 0.95)
+    assert recall >= vector_dedup.NEAR_RECALL and 0 < ef <= 320 and pairs == 0 and not sum(map(len, found))
     monkeypatch.setattr(vector_dedup.Graph, "search", lambda self, q, ef: (np.full((len(q), ef), -1), np.full((len(q), ef), -np.inf)))
-    found, recall, ef = vector_dedup.audited(g, x[:50], 0.95)
-    assert (recall, ef) == (1.0, 0) and [f.tolist() for f in found] == [[i] for i in range(50)]
+    found, recall, ef, pairs = vector_dedup.audited(g, x[:50], 0.95, np.arange(50))
+    assert (recall, ef, pairs) == (1.0, 0, 0) and [f.tolist() for f in found] == [[i] for i in range(50)]
+
+
+def test_a_graph_that_finds_only_the_query_itself_is_caught(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x[1000:1300] = x[:300] + 0.02 * rng.normal(size=(300, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    g, truth = vector_dedup.Graph(x), [np.nonzero(r)[0].tolist() for r in x @ x.T >= 0.95]
+    found, recall, ef, pairs = vector_dedup.audited(g, x[:400], 0.95, np.arange(400))
+    assert ef and recall >= 0.995 and pairs > 20 and sum(map(len, found)) >= 0.995 * sum(map(len, truth[:400]))
+    whole = vector_dedup.Graph.search
+
+    def blind(self, q, ef):
+        ids, sims = whole(self, q, ef)
+        return np.where(sims > 0.9999, ids, -1), np.where(sims > 0.9999, sims, -np.inf)
+
+    monkeypatch.setattr(vector_dedup.Graph, "search", blind)
+    found, recall, ef, pairs = vector_dedup.audited(g, x[:400], 0.95, np.arange(400))
+    assert ef == 0 and [sorted(f.tolist()) for f in found] == truth[:400]
 
 
 def _index(folder, rules):
