@@ -9,6 +9,7 @@ from skein.operators.attribute import STRANDS
 from skein.operators.checks import InputError
 from skein.operators.ledger import MODES
 from skein.plans.convert import Options, convert
+from skein.session import scratch_dropped
 from skein.sources import bam, rad, readers, writers
 from skein.streaming.convert import convert_pipe
 
@@ -73,8 +74,10 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     from pyspark.sql import SparkSession
 
+    spark = SparkSession.builder.appName("skein").getOrCreate()
     try:
-        run(SparkSession.builder.appName("skein").getOrCreate(), args, " ".join(["skein", *argv]))
+        with scratch_dropped(spark):
+            run(spark, args, " ".join(["skein", *argv]))
     except (InputError, ValueError) as e:
         print(f"skein: {e}", file=sys.stderr)
         return 1

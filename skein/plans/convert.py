@@ -90,6 +90,22 @@ def scored_mappings(reads: DataFrame) -> DataFrame:
     return r.select("read", "rec", "m.node", "m.read_rev", "m.score", "m.aligned")
 
 
+def subpath_scores(reads: DataFrame) -> DataFrame:
+    """read, rec, sub, node_score (what its mappings score here), mapper_score (what the alignment says), base_quality (mean
+    of the bases under the subpath, null where the record hasn't a quality for each base): a row per subpath, without a
+    shuffle, for counting.fidelity."""
+    lengths = F.expr("transform(subpath, s -> aggregate(s.mapping, bigint(0), (c, m) -> c + aggregate(m.edit, bigint(0), (a, x) -> a + x.to_length)))")
+    r = reads.select(F.col("name").alias("read"), F.col("ord").alias("rec"), "sequence", "quality", lengths.alias("lengths"), F.expr("transform(subpath, s -> s.next)").alias("nexts"), "start", "subpath")
+    r = r.withColumn("offsets", scoring.read_offsets("lengths", "nexts", "start")).withColumn("total", F.length("sequence"))
+    r = r.select("read", "rec", "sequence", "quality", "total", F.posexplode(F.arrays_zip("subpath", "offsets", "lengths")).alias("sub", "s"))
+    made = r.withColumn("scores", scoring.fold_mappings("s.subpath.mapping", "s.offsets", "total"))
+    under = "aggregate(sequence(1, int(s.lengths)), bigint(0), (a, i) -> a + int(conv(hex(substring(quality, int(s.offsets + i), 1)), 16, 10))) / s.lengths"
+    return made.select(
+        "read", "rec", "sub", F.expr("aggregate(scores, bigint(0), (a, m) -> a + m.score)").alias("node_score"), F.col("s.subpath.score").cast("long").alias("mapper_score"),
+        F.expr(f"if(s.lengths > 0 and octet_length(quality) = total, {under}, null)").alias("base_quality"),
+    )
+
+
 def adjusted_mappings(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     """scored_mappings with scores by base quality where a record has a quality for each base: a row per edit, since node
     sequences come by a join."""
@@ -102,12 +118,19 @@ def adjusted_mappings(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("read", "rec", "node", "read_rev", "score", scoring.aligned_bases().alias("aligned"))
 
 
-def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, options: Options = Options(), body: DataFrame | None = None) -> dict[str, DataFrame]:
+def interned(steps: DataFrame, t2g: DataFrame, folder: str) -> attribute.Interned:
+    """The mapped paths of a graph by what they have in common, written to a folder of the shared store."""
+    known = steps.join(t2g.select("path").distinct(), "path", "left_semi")
+    return attribute.intern(known.select("node", "path", "path_rev"), folder)
+
+
+def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, options: Options = Options(), body: DataFrame | None = None, graph: attribute.Interned | None = None) -> dict[str, DataFrame]:
     """reads as from readers.read_alignments, a graph's nodes and steps, and path maps -> records (ord, read, barcode, umi,
     original_name, hits), dictionary (target, target_id), tx2gene, targets, rejected (ord, read, status of groups whose
     name can't be read), summary (place, key, value), and with options.alignments also alignments (ord, name, sequence,
     quality_text, barcode, umi, genes, primary_gene, xt). Inputs that break a rule raise InputError before anything is
-    returned; of several offenders of a kind the first in the input is told."""
+    returned; of several offenders of a kind the first in the input is told. Whoever converts several inputs over a graph may
+    intern it once and hand it over."""
     options.check(body is not None)
     folder = scratch(spark, "convert")
     reads = saved(reads, f"{folder}/reads")
@@ -132,8 +155,7 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     if score_mode:
         named = t2g.withColumn("target", attribute.transcript_of(F.col("path")))
         checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes", "target")
-        known = steps.join(t2g.select("path").distinct(), "path", "left_semi").select("node", "path", "path_rev")
-        graph = attribute.intern(known, f"{folder}/graph")
+        graph = graph or interned(steps, t2g, f"{folder}/graph")
         targets = attribute.targets(m.repartition("read"), graph).select("read", "target", "forward")  # dealt once: all that follows goes by read
         dictionary = attribute.dictionary(named.select("target"))
         tx2gene = named.select("target", "gene").distinct()

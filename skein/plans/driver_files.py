@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skein.functions import molecule as mol
-from skein.operators import attribute
+from skein.operators import attribute, counting
 from skein.plans.annotate import annotate
-from skein.plans.convert import Options, adjusted_mappings, convert, scored_mappings
+from skein.plans.convert import Options, adjusted_mappings, convert, interned, scored_mappings, subpath_scores
 from skein.session import scratch
 from skein.sources import bam, rad, readers, writers
 from skein.streaming import convert as stream
@@ -86,6 +86,17 @@ def _sam_tags(spark, d):
     return readers.read_sam_tags(spark, to)
 
 
+def _fidelity(spark, d):
+    """Alignments with a score of the mapper's, and one quality for all bases of a read, read back from JSON lines."""
+    a = alignments(spark, d)
+    score = "aggregate(s.mapping, 0, (t, m) -> t + int(if(m.edit[0].sequence <> '', -4 * m.edit[0].from_length, m.edit[0].to_length)))"
+    a = a.withColumn("subpath", F.expr(f"transform(subpath, s -> named_struct('score', {score}, 'mapping', s.mapping))"))
+    quality = F.base64(F.unhex(F.expr("repeat(lpad(hex(floor(ord / 2) % 42), 2, '0'), length(sequence))")))
+    got = readers.read_alignments(spark, _written(a, _json(a, quality.alias("quality")), "json"))
+    f = counting.fidelity(subpath_scores(got))
+    return f.select("subpaths", "matching", "per_mille", *[F.floor(F.round(F.col(c) * 1000, 6)).cast("long").alias(c) for c in ("quality_matching", "quality_deviating")])
+
+
 def _bam(spark, d):
     out = converted(spark, d, alignments="omit")
     to = scratch(spark, "bam")
@@ -106,21 +117,24 @@ def _written(df: DataFrame, value, name: str) -> str:
     return to
 
 
-def _json(a: DataFrame) -> Column:
-    sub = F.expr("transform(subpath, s -> named_struct('path', named_struct('mapping', transform(s.mapping, m -> named_struct('position', named_struct('node_id', string(m.node), 'is_reverse', m.is_reverse), 'edit', m.edit)))))")
-    return F.concat(F.to_json(F.struct("name", "sequence", sub.alias("subpath"))), F.when(F.col("ord") % 5 == 0, F.lit("\n\n")).otherwise(F.lit("")))
+def _json(a: DataFrame, *more: Column) -> Column:
+    """Of each alignment, with scores if it has any."""
+    scored = "'score', s.score, " if "score" in a.schema["subpath"].dataType.elementType.names else ""
+    sub = F.expr(f"transform(subpath, s -> named_struct({scored}'path', named_struct('mapping', transform(s.mapping, m -> named_struct('position', named_struct('node_id', string(m.node), 'is_reverse', m.is_reverse), 'edit', m.edit)))))")
+    return F.concat(F.to_json(F.struct("name", "sequence", *more, sub.alias("subpath"))), F.when(F.col("ord") % 5 == 0, F.lit("\n\n")).otherwise(F.lit("")))
 
 
 def _streamed(spark, d, **options) -> dict[str, DataFrame]:
     """The conversion over a stream that takes one file of lines a batch; reads go on in the next file."""
     a = alignments(spark, d)
     to, out = scratch(spark, "stream-in"), scratch(spark, "stream")
-    a.repartitionByRange(3, "ord").sortWithinPartitions("ord").select(_json(a).alias("value")).write.text(to)
+    a.repartitionByRange(2, "ord").sortWithinPartitions("ord").select(_json(a).alias("value")).write.text(to)
     o = Options(**options)
     exon, body = maps(spark, d, o.count_mode)
     told = (*graph(spark, d), exon)
-    stream.stream_convert(spark, to, *told, out, f"{out}/checkpoint", o, body, files_per_batch=1).awaitTermination()
-    return stream.finish(spark, *told, out, o, body)
+    known = interned(told[1], exon, scratch(spark, "graph"))
+    stream.stream_convert(spark, to, *told, out, f"{out}/checkpoint", o, body, files_per_batch=1, graph=known).awaitTermination()
+    return stream.finish(spark, *told, out, o, body, known)
 
 
 def _scan_alignments(spark, d):
@@ -217,6 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_summary": lambda s, d: _summary(_streamed(s, d, strand="forward")),
         "rad_roundtrip": _rad,
         "bam_rows": _sam,
+        "fidelity_of_alignments": _fidelity,
         "bam_binary_rows": _bam,
         "scan_sam_tags": _sam_tags,
         "scan_alignments": _scan_alignments,

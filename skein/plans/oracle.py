@@ -259,6 +259,7 @@ def oracle_sql() -> dict[str, str]:
         "dag_offsets": _OFFSETS,
         "gene_body_range_join": _RANGE,
         "fidelity_rate": b("SELECT count(*) AS subpaths, count(*) FILTER (a = b) AS matching, count(*) FILTER (a = b) * 1000 // count(*) AS per_mille, CAST(floor(avg(read % 42) FILTER (a = b) * 1000) AS BIGINT) AS quality_matching, CAST(floor(avg(read % 42) FILTER (a <> b) * 1000) AS BIGINT) AS quality_deviating FROM (SELECT read, sum(score) AS a, sum(CASE WHEN mis THEN -4 * f ELSE t END) AS b FROM m GROUP BY read)"),
+        "fidelity_of_alignments": b("SELECT count(*) AS subpaths, count(*) FILTER (a = b) AS matching, count(*) FILTER (a = b) * 1000 // count(*) AS per_mille, CAST(floor(avg(read % 42) FILTER (a = b AND len > 0) * 1000) AS BIGINT) AS quality_matching, CAST(floor(avg(read % 42) FILTER (a <> b AND len > 0) * 1000) AS BIGINT) AS quality_deviating FROM (SELECT read, sum(t) AS len, sum(score) AS a, sum(CASE WHEN mis THEN -4 * f ELSE t END) AS b FROM m WHERE read % 13 <> 0 GROUP BY read)"),
         "qualadj_scores": _QUAL,
         "encoded_targets": b("SELECT read, target_id, target_id + CASE WHEN forward THEN 2147483648 ELSE 0 END AS word FROM tg JOIN dict USING (target)"),
     }

@@ -39,10 +39,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def scratch_dropped(spark: SparkSession):
     """Folders of scratch() named inside are deleted at the end: for a result that is written inside, elsewhere."""
     first = len(_MADE)
-    yield
-    for path in _MADE[first:]:
-        remove(spark, path)
-    del _MADE[first:]
+    try:
+        yield
+    finally:
+        for path in _MADE[first:]:
+            remove(spark, path)
+        del _MADE[first:]
 
 
 @contextmanager

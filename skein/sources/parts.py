@@ -50,7 +50,9 @@ class PartsWriter(DataSourceArrowWriter):
             f.write(str(sum(m.count for m in messages)))
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
+        for m in messages:
+            if m is not None and os.path.exists(m.temp):  # what others wrote here stays
+                os.remove(m.temp)
 
 
 def mounted(path: str) -> str:

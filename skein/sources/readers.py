@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skein.operators.checks import InputError
+from skein.session import saved, scratch
 
 #: The fields of an alignment in its JSON form; 64-bit integers arrive as strings, bytes as base64.
 READ_SCHEMA = (
@@ -22,7 +23,8 @@ def place_columns() -> list:
 def numbered(lines: DataFrame, columns: list[str] = ["value"]) -> DataFrame:  # noqa: B006
     """place_columns() -> value (or what columns names), ord: the lines' dense place over all files in path order. One
     count a file block comes together in a small table; lines themselves are not shuffled. Ids need only be dense and
-    ascending within a block."""
+    ascending within a block. Lines are scanned twice: give stored ones, since files may be split otherwise when a second
+    scan is planned."""
     blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -30,14 +32,15 @@ def numbered(lines: DataFrame, columns: list[str] = ["value"]) -> DataFrame:  #
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    return numbered(spark.read.text(path).select(*place_columns()))
+    return numbered(saved(spark.read.text(path).select(*place_columns()), scratch(spark, "lines")))
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """name, sequence, quality (binary), start, subpath, ord; absent values take their defaults. ord is the place among
-    the lines that aren't blank: ids are given to those alone, after the filter."""
+    the lines that aren't blank: ids are given to those alone, after the filter. The lines are written to the shared
+    folder first, with their places."""
     kept = spark.read.text(path).where("trim(value) <> ''").select(*place_columns())
-    return parse_alignments(numbered(kept))
+    return parse_alignments(numbered(saved(kept, scratch(spark, "lines"))))
 
 
 def parse_alignments(lines: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skein.operators import attribute
 from skein.operators.checks import InputError, require
-from skein.plans.convert import SUMMARY, Options, convert
+from skein.plans.convert import SUMMARY, Options, convert, interned
 from skein.session import exists, remove, saved, scratch, scratch_dropped, ship
 from skein.sources import pipe
 from skein.sources.readers import numbered, parse_alignments
@@ -65,10 +65,15 @@ def _write(told: dict[str, DataFrame], out: str, k: int) -> None:
             told[name].write.mode("overwrite").parquet(f"{out}/{name}/batch={k}")
 
 
-def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, checkpoint: str, options: Options = Options(), body: DataFrame | None = None, files_per_batch: int = 1000):
+def _graph(spark: SparkSession, steps: DataFrame, t2g: DataFrame, options: Options) -> attribute.Interned | None:
+    return interned(steps, t2g, scratch(spark, "graph")) if options.count_mode == "score" else None
+
+
+def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, checkpoint: str, options: Options = Options(), body: DataFrame | None = None, files_per_batch: int = 1000, graph: attribute.Interned | None = None):
     """Starts a query (available-now trigger) that writes out/<output>/batch=<k>; returns it. Started again with the same
-    checkpoint, it goes on with the files that have come since."""
+    checkpoint, it goes on with the files that have come since. The graph is interned once for all batches, or given."""
     ship(spark)
+    graph = graph or _graph(spark, steps, t2g, options)
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).where("trim(value) <> ''")
     lines = lines.select(F.coalesce(F.get_json_object("value", "$.name"), F.lit("")).alias("name"), "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     named = lines.mapInArrow(_placed, "name string, value string, file string, block long, id long")
@@ -101,21 +106,21 @@ def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: Da
         done = here.where(F.col("name") != last)
         if not done.isEmpty():
             with scratch_dropped(s):
-                _write(convert(s, parse_alignments(done.select("value", "ord")), nodes, steps, t2g, options, body), out, k)
+                _write(convert(s, parse_alignments(done.select("value", "ord")), nodes, steps, t2g, options, body, graph), out, k)
         for name, old in (("lines", k), ("order", k), ("open", k - 2)):
             remove(s, f"{out}/{name}/batch={old}")
 
     return flagged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finish(spark: SparkSession, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, options: Options = Options(), body: DataFrame | None = None) -> dict[str, DataFrame]:
+def finish(spark: SparkSession, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, options: Options = Options(), body: DataFrame | None = None, graph: attribute.Interned | None = None) -> dict[str, DataFrame]:
     """The input has ended: converts the read that the last batch left open; returns the whole run's outputs, as convert()
     does but for targets."""
     if not exists(spark, f"{out}/open"):
         raise InputError("the alignment input is empty")
     k = spark.read.parquet(f"{out}/open").agg(F.max("batch")).first()[0]
     left = spark.read.parquet(_open_path(out, k))
-    told = convert(spark, parse_alignments(left.select("value", "ord")), nodes, steps, t2g, options, body)
+    told = convert(spark, parse_alignments(left.select("value", "ord")), nodes, steps, t2g, options, body, graph)
     _write(told, out, k + 1)
     made = {name: spark.read.schema(told[name].schema.add("batch", "long")).parquet(f"{out}/{name}") for name in PER_BATCH if name in told}
     whole = {n: t.withColumn("ord", F.col("batch") * BATCH_LINES + F.col("ord")).drop("batch") for n, t in made.items() if n != "summary"}
@@ -137,7 +142,8 @@ def convert_pipe(spark: SparkSession, source: BinaryIO, nodes: DataFrame, steps:
     and is deleted then. Returns what finish() does."""
     options.check(body is not None)
     folder = scratch(spark, "pipe")
+    graph = _graph(spark, steps, t2g, options)
     for name in pipe.spooled(spark, source, f"{folder}/in", size):
-        stream_convert(spark, f"{folder}/in", nodes, steps, t2g, f"{folder}/out", f"{folder}/checkpoint", options, body).awaitTermination()
+        stream_convert(spark, f"{folder}/in", nodes, steps, t2g, f"{folder}/out", f"{folder}/checkpoint", options, body, graph=graph).awaitTermination()
         remove(spark, name)
-    return finish(spark, nodes, steps, t2g, f"{folder}/out", options, body)
+    return finish(spark, nodes, steps, t2g, f"{folder}/out", options, body, graph)

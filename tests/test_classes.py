@@ -136,3 +136,15 @@ def test_read_offsets(spark):
     got = {x.k: x.o for x in df.select("k", scoring.read_offsets("lengths", "nexts", "starts").alias("o")).collect()}
     for k, lengths, nexts, starts in rows:
         assert got[k] == offsets(lengths, nexts, starts), (k, lengths, nexts, starts)
+
+
+def test_fidelity_of_so_many_subpaths(spark):
+    rows = [(i, i + (i % 4 == 0), float(i % 40)) for i in range(100)]
+    df = spark.createDataFrame(rows, "node_score long, mapper_score long, base_quality double")
+    (r,) = counting.fidelity(df).collect()
+    assert (r.subpaths, r.matching, r.per_mille) == (100, 75, 750)
+    same, other = ([q for a, b, q in rows if (a == b) == on] for on in (True, False))
+    assert r.quality_matching == sum(same) / 75 and r.quality_deviating == sum(other) / 25
+    assert counting.fidelity(df, most=30).first().subpaths == 30 and counting.fidelity(df, most=1000).first().subpaths == 100
+    (r,) = counting.fidelity(df.limit(0)).collect()
+    assert (r.subpaths, r.matching, r.per_mille) == (0, 0, None)
