@@ -1,8 +1,10 @@
 """Tagged alignments as BAM: compressed blocks of records written by tasks, and read back part by part.
 
 A BAM folder (see sources.parts) holds the header's blocks, a part of whole records for each task, and the end mark; its
-parts in order are a BAM file. One file is read as one part, as a stream: records may span blocks, so only a folder is
-read by many tasks.
+parts in order are a BAM file. A folder's parts and single files are read by ranges of bytes, many tasks a file. A range
+has the records that start in the blocks which start in it. Its first block is found by a block's mark and by blocks that
+follow it without a gap; its first record, which may stand anywhere in the block or begin in none of it, is the first place
+from which record after record fits the format to the end of what was unpacked (at least GUESS bytes, or the file's end).
 """
 
 from __future__ import annotations
@@ -22,7 +24,10 @@ from skein.sources.writers import CONTIG
 
 #: Bytes of a block before compression.
 BLOCK = 65280
-#: Fixed values of the format: the end mark's payload is an empty block; codes of bases.
+#: Bytes of a file that a reading task takes, and bytes that must be records for a guess of where one starts.
+PART_BYTES, GUESS = 32 << 20, 1 << 18
+#: Fixed values of the format: how a block and its extra field begin; codes of bases.
+_MARK, _EXTRA = bytes((31, 139, 8, 4)), b"BC\2\0"
 _CODES = {c: i for i, c in enumerate("=ACMGRSVTWYHKDBN")}
 SCHEMA = "name string, flag int, contig string, pos long, mapq int, cigar string, sequence string, cell string, umi string, genes string, gene string"
 TAGS = ("CB", "CR", "UB", "UR", "GX", "GN", "XT")
@@ -86,27 +91,105 @@ class _Writer(PartsWriter):
         return records
 
 
-def _unpacked(path: str):
-    """The bytes of a file of blocks, block by block."""
-    with open(path, "rb") as f:
-        while head := f.read(18):
-            size = struct.unpack_from("<H", head, 16)[0] + 1
-            yield zlib.decompress(f.read(size - 18)[:-8], -15)
-
-
-class _Stream:
-    def __init__(self, path: str):
-        self.more, self.held = _unpacked(path), b""
+def _block_at(f, at: int) -> tuple[int, bytes] | None:
+    """Length and content of the block at a place of a file; None at the file's end. ValueError where no block stands."""
+    f.seek(at)
+    head = f.read(18)
+    if not head:
+        return None
+    if len(head) < 18 or head[:4] != _MARK or head[12:16] != _EXTRA:
+        raise ValueError("not a file of compressed blocks")
+    size = struct.unpack_from("<H", head, 16)[0] + 1
+    body = f.read(size - 18)
+    try:
+        data = zlib.decompress(body[:-8], -15)
+    except zlib.error as e:
+        raise ValueError("a compressed block is broken") from e
+    if struct.unpack("<II", body[-8:]) != (zlib.crc32(data), len(data)):
+        raise ValueError("a compressed block is broken")
+    return size, data
+
+
+def first_block(f, begin: int, end: int) -> int | None:
+    """Where the first block that starts in [begin, end) stands: one that is whole, with another or the end behind it."""
+    f.seek(begin)
+    window, found = f.read(min(end - begin, 1 << 16) + 16), -1
+    while (found := window.find(_MARK, found + 1)) >= 0 and begin + found < end:
+        if window[found + 12 : found + 16] != _EXTRA:
+            continue
+        try:
+            size, _ = _block_at(f, begin + found)
+            _block_at(f, begin + found + size)
+        except ValueError:
+            continue
+        return begin + found
+    return None
+
+
+def fits(data: bytes, at: int, contigs: int, whole: bool) -> bool:
+    """Whether records follow each other from this place to the end of data, which is the file's if whole."""
+    seen = 0
+    while at + 36 <= len(data):
+        size, contig, pos, name, _, _, ops, _, n, other, further, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
+        if size < 32 or not (-1 <= contig < contigs and -1 <= other < contigs) or min(pos, further) < -1 or name < 1 or n < 0:
+            return False
+        if 32 + name + 4 * ops + (n + 1) // 2 + n > size:
+            return False
+        text = data[at + 36 : at + 36 + name]
+        if (len(text) == name and text[-1]) or not all(33 <= c <= 126 for c in text[: name - 1]):
+            return False
+        at += 4 + size
+        seen += 1
+    return seen > 0 and (at == len(data) if whole else True)
+
+
+class _Range:
+    """The unpacked bytes from a block on, and up to where records of a range of bytes may start."""
+
+    def __init__(self, path: str, begin: int = 0, end: int | None = None):
+        self.file, self.at, self.held, self.place = open(path, "rb"), begin, b"", 0
+        self.end, self.limit, self.over = end, None, False
+
+    def more(self) -> bool:
+        """Unpacks the next block."""
+        if self.limit is None and self.end is not None and self.at >= self.end:
+            self.limit = self.place + len(self.held)
+        got = None if self.over else _block_at(self.file, self.at)
+        if got is None:
+            self.over = True
+            return False
+        self.at += got[0]
+        self.held += got[1]
+        return True
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
-            new = next(self.more, None)
-            if new is None:
-                break
-            self.held += new
+        while len(self.held) < n and self.more():
+            pass
         out, self.held = self.held[:n], self.held[n:]
+        self.place += len(out)
         return out
 
+    def here(self) -> bool:
+        """Whether a record that starts in the range stands next."""
+        while not self.held and self.more():
+            pass
+        return bool(self.held) and (self.limit is None or self.place < self.limit)
+
+    def to_record(self, contigs: int) -> None:
+        """On to the first place from which records follow each other."""
+        least = GUESS
+        while True:
+            while len(self.held) < least and self.more():
+                pass
+            for at in range(len(self.held)):
+                if fits(self.held, at, contigs, self.over):
+                    self.take(at)
+                    return
+            if self.over:
+                self.take(len(self.held))
+                return
+            least *= 2
+
     def number(self) -> int:
         return struct.unpack("<i", self.take(4))[0]
 
@@ -148,26 +231,40 @@ def _parsed(raw: bytes, contigs: list[str]) -> tuple:
 class _Part(InputPartition):
     head: str
     path: str
+    begin: int
+    end: int
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, size: int = PART_BYTES):
+        self.path, self.size = path, size
 
     def partitions(self):
+        head, files = self.path, [self.path]
         if os.path.isdir(self.path):
             head = os.path.join(self.path, HEADER)
-            return [_Part(head, p) for p in bodies(self.path)] or [_Part(head, head)]
-        return [_Part(self.path, self.path)]
+            files = bodies(self.path) or [head]
+        ranges = [(f, a, min(a + self.size, os.path.getsize(f))) for f in files for a in range(0, os.path.getsize(f), self.size)]
+        return [_Part(head, *r) for r in ranges] or [_Part(head, head, 0, 0)]
 
     def read(self, partition: _Part):
-        whole = partition.head == partition.path
-        s = _Stream(partition.head)
-        contigs = s.contigs()
-        s = s if whole else _Stream(partition.path)
+        p, s = partition, _Range(partition.head)
+        contigs, begin = s.contigs(), p.begin
+        if begin:
+            with open(p.path, "rb") as f:
+                begin = first_block(f, begin, p.end)
+            if begin is None:
+                return
+        if begin or p.path != p.head:
+            s = _Range(p.path, begin, p.end)
+        else:
+            s = _Range(p.path, 0, p.end)
+            s.contigs()
+        if begin:
+            s.to_record(len(contigs))
         rows = []
-        while size := s.take(4):
-            rows.append(_parsed(s.take(struct.unpack("<i", size)[0]), contigs))
+        while s.here():
+            rows.append(_parsed(s.take(s.number()), contigs))
             if len(rows) == 2000:
                 yield self.batch(rows)
                 rows = []
@@ -189,7 +286,7 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(mounted(self.options["path"]))
+        return _Reader(mounted(self.options["path"]), int(self.options.get("part_bytes", PART_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options)
@@ -209,8 +306,9 @@ def write_bam(records: DataFrame, genes: DataFrame, path: str, command: str = ""
     publish(rows, "tagged_bam", path, lambda _: header(names, command, version), block(b""))
 
 
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """name, flag, contig, pos (from 1), mapq, cigar, sequence, and the tags cell (CB), umi (UB), genes (GX), gene (XT)."""
+def read_bam(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """name, flag, contig, pos (from 1), mapq, cigar, sequence, and the tags cell (CB), umi (UB), genes (GX), gene (XT), of a
+    folder or a file; a task for each part_bytes."""
     ship(spark)
     spark.dataSource.register(BamSource)
-    return spark.read.format("tagged_bam").load(path)
+    return spark.read.format("tagged_bam").option("part_bytes", part_bytes).load(path)
