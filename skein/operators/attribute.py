@@ -116,6 +116,11 @@ def encode(targets: DataFrame, known: DataFrame) -> DataFrame:
     return targets.join(known, "target", "left").withColumn("target_id", F.coalesce("target_id", unknown))
 
 
+def unknown(targets: DataFrame, known: DataFrame) -> DataFrame:
+    """Targets that the dictionary lacks, with the reads that have them."""
+    return targets.join(known.select("target"), "target", "left_anti").groupBy("target").agg(F.count_distinct("read").alias("reads"))
+
+
 def gene_sets(targets: DataFrame, genes: DataFrame, multi: str = "omit") -> DataFrame:
     """targets and genes (target, gene) -> read, genes (sorted, `;` between), primary_gene, xt: the primary gene where it
     is the only one, or in any case under the policy `first`."""

@@ -153,6 +153,16 @@ def _missing_nodes(spark, d):
     return checks.missing(edits(spark, d), _small(spark, d), "node")
 
 
+def _conflicts(spark, d):
+    """Brands whose copies have several sizes: a target with two genes is refused."""
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("target"), F.concat(F.lit("G"), (F.col("p_size") % 3).cast("string")).alias("gene"))
+    return checks.conflicting(p.where("target like '%1' or gene = 'G0'"), "target", "gene")
+
+
+def _unknown_targets(spark, d):
+    return attribute.unknown(targets(spark, d), _dictionary(spark, d).where("target_id % 5 <> 0"))
+
+
 def _semi_join(spark, d):
     return node_paths(spark, d).join(_t(spark, d, "part").where("p_size <= 10").select(F.concat("p_type", F.lit("_R1")).alias("path")).distinct(), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("steps"))
 
@@ -247,6 +257,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "molecule_pack": _molecule_pack,
         "contiguity_violations": _contiguity,
         "missing_nodes": _missing_nodes,
+        "conflicting_genes": _conflicts,
+        "unknown_targets": _unknown_targets,
         "semi_join_paths": _semi_join,
         "fallback_join": _fallback_join,
         "target_dictionary": _dictionary,

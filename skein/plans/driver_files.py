@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skein.functions import molecule as mol
+from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, counting
 from skein.plans.annotate import annotate
-from skein.plans.convert import Options, adjusted_mappings, convert, interned, scored_mappings, subpath_scores
+from skein.plans.convert import Options, adjusted_mappings, convert, edit_rows, interned, scored_mappings, subpath_scores
 from skein.session import scratch
 from skein.sources import bam, rad, readers, writers
 from skein.streaming import convert as stream
@@ -91,8 +91,8 @@ def _fidelity(spark, d):
     a = alignments(spark, d)
     score = "aggregate(s.mapping, 0, (t, m) -> t + int(if(m.edit[0].sequence <> '', -4 * m.edit[0].from_length, m.edit[0].to_length)))"
     a = a.withColumn("subpath", F.expr(f"transform(subpath, s -> named_struct('score', {score}, 'mapping', s.mapping))"))
-    quality = F.base64(F.unhex(F.expr("repeat(lpad(hex(floor(ord / 2) % 42), 2, '0'), length(sequence))")))
-    got = readers.read_alignments(spark, _written(a, _json(a, quality.alias("quality")), "json"))
+    raw = F.base64(F.unhex(F.expr("repeat(lpad(hex(floor(ord / 2) % 42), 2, '0'), length(sequence))")))
+    got = readers.read_alignments(spark, _written(a, _json(a, raw.alias("quality")), "json"))
     f = counting.fidelity(subpath_scores(got))
     return f.select("subpaths", "matching", "per_mille", *[F.floor(F.round(F.col(c) * 1000, 6)).cast("long").alias(c) for c in ("quality_matching", "quality_deviating")])
 
@@ -104,6 +104,37 @@ def _bam(spark, d):
     return bam.read_bam(spark, to)
 
 
+def _rad_order(spark, d):
+    """Records by their place in the file."""
+    out = converted(spark, d)
+    to = scratch(spark, "rad")
+    rad.write_rad(out["records"], out["dictionary"], to, max_chunk=1000)
+    return rad.read_rad(spark, to).select("record", "umi").distinct()
+
+
+def _lines(write, rows: DataFrame, name: str) -> DataFrame:
+    """A written file's lines with their numbers."""
+    to = scratch(rows.sparkSession, name)
+    write(rows, to)
+    return readers.numbered_lines(rows.sparkSession, to).select("ord", F.col("value").alias("line"))
+
+
+def _bad_map_rows(spark, d):
+    k = F.col("p_partkey")
+    line = F.when(k % 6 == 0, F.concat("p_brand", F.lit("\tG"))).when(k % 6 == 1, F.col("p_brand")).when(k % 6 == 2, F.concat("p_brand", F.lit("\t")))
+    line = line.when(k % 6 == 3, F.concat(F.lit("\t"), "p_type")).when(k % 6 == 4, F.lit("")).otherwise(F.concat(F.lit("#"), "p_brand"))
+    to = _written(_t(spark, d, "part"), line, "map")
+    return readers.map_rows(spark.read.text(to))[1]
+
+
+def _outside(spark, d):
+    """Edits that reach beyond nodes of 30 bases."""
+    a = alignments(spark, d).where("size(subpath) > 0").withColumn("quality", F.unhex(F.repeat(F.lit("20"), F.length("sequence"))))
+    nodes = graph(spark, d)[0].select("node", F.repeat(F.lit("A"), F.lit(30)).alias("seq"))
+    scored = scoring.score_edits(edit_rows(a, bases=True), ["read", "rec", "sub"], F.col("read_offset"), F.col("read_total"))
+    return quality.outside(quality.placed_bases(scored, nodes)).select("node", "read_pos", "to_length")
+
+
 def _rad(spark, d):
     out = converted(spark, d)
     to = scratch(spark, "rad")
@@ -233,6 +264,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bam_rows": _sam,
         "fidelity_of_alignments": _fidelity,
         "bam_binary_rows": _bam,
+        "rad_order": _rad_order,
+        "tx2gene_lines": lambda s, d: _lines(writers.write_map, converted(s, d)["tx2gene"], "tx2gene"),
+        "summary_lines": lambda s, d: _lines(writers.write_summary, converted(s, d, strand="forward")["summary"], "summary"),
+        "warning_lines": lambda s, d: _lines(writers.write_rejected, converted(s, d)["rejected"], "warnings"),
+        "bad_map_rows": _bad_map_rows,
+        "edits_outside": _outside,
         "scan_sam_tags": _sam_tags,
         "scan_alignments": _scan_alignments,
         "scan_gfa": _scan_gfa,

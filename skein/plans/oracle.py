@@ -117,6 +117,12 @@ _GROUPS = _BASE + """
 """
 
 
+#: The summary's keys in their order.
+_KEYS = """['input_records', 'input_read_groups', 'emitted_groups', 'no_compatible_transcript_groups', 'strand_filtered_groups', 'multigene_dropped_groups', 'unaligned_reads',
+  'raw_molecule_missing_groups', 'raw_molecule_malformed_groups', 'raw_molecule_unsupported_groups', 'raw_molecule_skipped_groups', 'grouping_recurrence_failures',
+  'emitted_target_count_histogram']"""
+
+
 def _summary(hits: str, keep: str, unique: bool) -> str:
     """The twelve counters and the histogram of hits (k, target, forward)."""
     limit = "= 1" if unique else "> 0"
@@ -236,6 +242,14 @@ def oracle_sql() -> dict[str, str]:
         "convert_records_ledger": g("SELECT name AS read, bc AS barcode, umi, any_value(id || CASE WHEN forward THEN '+' ELSE '-' END) AS hits FROM over_ JOIN gdict ON target = gene JOIN grp USING (k) GROUP BY ALL HAVING count(*) = 1"),
         "rejected_groups": g("SELECT name AS read, status FROM grp WHERE status <> 'ok'"),
         "rad_roundtrip": g("SELECT CAST(k % 1000 AS VARCHAR) AS barcode, CAST(k AS VARCHAR) AS umi, target, forward FROM hit"),
+        "conflicting_genes": "SELECT p_brand AS target, count(DISTINCT p_size % 3) AS values FROM part WHERE p_brand LIKE '%1' OR p_size % 3 = 0 GROUP BY p_brand HAVING count(DISTINCT p_size % 3) > 1",
+        "unknown_targets": b("SELECT target, count(DISTINCT read) AS reads FROM tg JOIN dict USING (target) WHERE target_id % 5 = 0 GROUP BY target"),
+        "rad_order": g("SELECT row_number() OVER (ORDER BY k) - 1 AS record, CAST(k AS VARCHAR) AS umi FROM (SELECT DISTINCT k FROM hit)"),
+        "tx2gene_lines": g("SELECT row_number() OVER (ORDER BY bare) - 1 AS ord, bare || chr(9) || 'G' || CAST(length(bare) % 5 AS VARCHAR) AS line FROM (SELECT DISTINCT bare FROM steps)"),
+        "summary_lines": _summary("hit", "forward", False).replace("SELECT key, value FROM", f"SELECT list_position({_KEYS}, key) - 1 AS ord, key || chr(9) || value AS line FROM"),
+        "warning_lines": g("SELECT row_number() OVER (ORDER BY k) - 1 AS ord, 'warning: skipping ' || name || ': molecule ' || status AS line FROM grp WHERE status <> 'ok'"),
+        "bad_map_rows": "SELECT CASE WHEN p_partkey % 6 = 3 THEN '' ELSE p_brand END AS path, CASE p_partkey % 6 WHEN 2 THEN '' WHEN 3 THEN p_type END AS gene FROM part WHERE p_partkey % 6 IN (1, 2, 3)",
+        "edits_outside": b("SELECT node, CAST(pos AS BIGINT) AS read_pos, t AS to_length FROM m WHERE read % 13 <> 0 AND f > 0 AND t > 30"),
         "bam_rows": _SAM,
         "bam_binary_rows": _BAM,
         "umi_network_counts": _NETWORK,

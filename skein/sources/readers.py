@@ -71,11 +71,17 @@ def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, steps.select("path", "step_ord", F.expr("bigint(substring(s, 1, length(s) - 1))").alias("node"), F.expr("right(s, 1) = '-'").alias("path_rev"))
 
 
+def map_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """value -> path, gene of a map's rows, and of the rows that lack one of the two (null: no such field). Blank lines and
+    those that start with # are no rows."""
+    f = lines.where("value <> '' and not startswith(value, '#')").select(F.split("value", "\t", -1).alias("f"))
+    rows = f.select(F.try_element_at("f", F.lit(1)).alias("path"), F.try_element_at("f", F.lit(2)).alias("gene"))
+    return rows, rows.where("gene is null or path = '' or gene = ''")
+
+
 def read_path_map(spark: SparkSession, path: str) -> DataFrame:
     """path, gene. Blank lines and those that start with # are skipped; two non-empty fields are needed."""
-    f = spark.read.text(path).where("value <> '' and not startswith(value, '#')").select(F.split("value", "\t", -1).alias("f"))
-    rows = f.select(F.try_element_at("f", F.lit(1)).alias("path"), F.try_element_at("f", F.lit(2)).alias("gene"))
-    bad = rows.where("gene is null or path = '' or gene = ''")
+    rows, bad = map_rows(spark.read.text(path))
     if not bad.isEmpty():
         raise InputError(f"a path map row needs two non-empty fields: {bad.first()}")
     if rows.isEmpty():
