@@ -6,11 +6,11 @@ search for all vectors with cosine >= the threshold. A task of the search holds
 stream past in blocks of BLOCK. A query's beam is widened for as long as its worst member still passes the threshold, and
 a block's beams are widened together until an audit passes: exact products show which of SAMPLE queries of the block and
 SAMPLE of the shard's own vectors have true neighbours other than themselves; of these pairs AUDIT_RECALL or more must be
-found, and, since a block may hold few pairs or none, NEAR_RECALL of the NEAREST nearest vectors of AUDIT of either kind,
-whatever their cosine. Where beams would cover a good part
+found, and, since a block may hold few pairs or none, TURNED_RECALL of AUDIT of the shard's vectors when asked for by copies
+that are turned away from them to just above the threshold. Where beams would cover a good part
 of the shard (1 / WIDE of it), exact blocked products answer instead: the way for whatever no audit passes. Found pairs
 are verified by cosine in double precision. A task tells how many vectors each query links with, and a spanning forest
-of its links, never the pairs; the forest's components are the answer's. Each block's recall (of true pairs; of nearest
+of its links, never the pairs; the forest's components are the answer's. Each block's recall (of true pairs; of turned
 vectors where it held none) and beam are told, too; the least recall and the number of true pairs are in the result.
 
 A shard holds at most about SHARD_BYTES of numbers, so that one fits a task's memory whatever the vectors' width. Each
@@ -42,8 +42,8 @@ SHARD_LEAST = 4096
 TASKS = 24
 M, EF_BUILD, EF = 12, 40, 40
 AUDIT, AUDIT_RECALL = 24, 0.995
-#: Vectors of a block, and of a shard, among which an audit looks for true pairs; neighbours whose recall it measures besides.
-SAMPLE, NEAREST, NEAR_RECALL = 256, 5, 0.9
+#: Vectors of a block, and of a shard, among which an audit looks for true pairs; the share of turned vectors to be found.
+SAMPLE, TURNED_RECALL = 256, 0.95
 BATCH = 128
 BLOCK = 2048
 WIDE = 8
@@ -237,6 +237,15 @@ def _unit_single(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def _turned(v: np.ndarray, cosine: float, rng: np.random.Generator) -> np.ndarray:
+    """Unit vectors turned any way by as much as leaves this cosine."""
+    side = rng.normal(size=v.shape)
+    side -= (side * v).sum(1, keepdims=True) * v
+    length = np.linalg.norm(side, axis=1, keepdims=True)
+    side = np.divide(side, length, out=np.zeros_like(side), where=length > 0)  # of one component: as they are
+    return (cosine * v + np.sqrt(1 - cosine**2) * side).astype(np.float32)
+
+
 def audited(g: Graph, q: np.ndarray, floor: float, place: np.ndarray | None = None, seed: int = 0) -> tuple[list[np.ndarray], float, int, int]:
     """within() with beams widened until the audit passes, that audit's recall, the beam (0: exact products), and the true
     pairs that it held. place tells where in the graph a query itself stands (-1: it doesn't); nobody is a hit of itself."""
@@ -244,27 +253,22 @@ def audited(g: Graph, q: np.ndarray, floor: float, place: np.ndarray | None = No
     place = np.full(len(q), -1) if place is None else place
     mine, theirs = (rng.choice(n, min(SAMPLE, n), replace=False) for n in (len(q), len(g.x)))
     probes, own = np.vstack([q[mine], g.x[theirs]]), np.concatenate([place[mine], theirs])
-    k, truth, near = min(NEAREST, len(g.x) - 1), [], []
-    for a in range(0, len(probes), BATCH):
-        sims = probes[a : a + BATCH] @ g.x.T
-        there = np.nonzero(own[a : a + BATCH] >= 0)[0]
-        sims[there, own[a : a + BATCH][there]] = -np.inf
-        truth += [np.nonzero(row >= floor)[0] for row in sims]
-        near += list(np.argpartition(-sims, k - 1, axis=1)[:, :k]) if k else [np.zeros(0, int)] * len(sims)
+    truth = g.exact(probes, floor)
+    truth = [t[t != i] for t, i in zip(truth, own)]
     linked = np.array([i for i, t in enumerate(truth) if len(t)][: 4 * AUDIT], int)
-    some = np.concatenate([rng.choice(len(mine), min(AUDIT, len(mine)), replace=False), len(mine) + rng.choice(len(theirs), min(AUDIT, len(theirs)), replace=False)])
+    turned, least = _turned(g.x[theirs[:AUDIT]], (9 * floor + 1) / 10, rng), theirs[:AUDIT]
     pairs, ef = sum(len(truth[i]) for i in linked), EF
+    told = [truth[i] for i in linked]
 
     def share(found, true) -> float:
         """Of the true neighbours of probes, those found."""
         return sum(len(np.intersect1d(t, f)) for t, f in zip(true, found)) / max(1, sum(map(len, true)))
 
     while ef * WIDE < len(g.x):
-        recall = share(g.within(probes[linked], floor, ef), [truth[i] for i in linked]) if pairs else 1.0
+        recall = share(g.within(probes[linked], floor, ef), told) if pairs else 1.0
         if recall >= AUDIT_RECALL:
-            ids, _ = g.search(probes[some], ef)
-            seen = share([[x for x in row if x >= 0 and x != own[i]][:k] for row, i in zip(ids.tolist(), some)], [near[i] for i in some])
-            if seen >= NEAR_RECALL:
+            seen = share(g.within(turned, floor, ef), [np.array([i]) for i in least])
+            if seen >= TURNED_RECALL:
                 return g.within(q, floor, ef), recall if pairs else seen, ef, pairs
         ef *= 2
     return g.exact(q, floor), 1.0, 0, pairs
