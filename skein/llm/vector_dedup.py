@@ -37,7 +37,7 @@ from .common import connected_components, mix64, prepare, remove, saved, with_gr
 
 SHARDS = 4
 SHARD_BYTES = 128 << 20
-#: Vectors from which on a second shard is made.
+#: Fewer vectors make one shard, whose graph a beam doesn't cover.
 SHARD_LEAST = 4096
 TASKS = 24
 M, EF_BUILD, EF = 12, 40, 40
@@ -366,7 +366,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     nodes = rows.where(fine).groupBy("embedding").agg(first, F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
     nodes = saved(nodes, f"{folder}/nodes")
     numbers, many = nodes.agg(F.sum(F.size("embedding").cast("long") + 8 * M), F.count(F.lit(1))).first()
-    s = shards or max(min(SHARDS, -(-many // SHARD_LEAST)), -(-4 * (numbers or 0) // SHARD_BYTES), 1)  # of four bytes; a vector's neighbours count too
+    s = shards or max(SHARDS if many >= SHARD_LEAST else 1, -(-4 * (numbers or 0) // SHARD_BYTES))  # of four bytes; a vector's neighbours count too
     chunks = max(1, -(-TASKS // s))
     placed = nodes.select("node", "copies", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("node"), F.lit(s)).cast("int").alias("shard"))
 
