@@ -11,18 +11,19 @@
    anew once more, and then every class outside its cluster's largest component (a probe) is compared with the whole
    cluster, so that no pair across components stays untested: probes are dealt to blocks, too, their signatures are
    compared with those of GROUP x GROUP pairs of blocks a task, and only texts of pairs that aren't pruned go on to
-   their pair of blocks, where they are verified. A task holds two blocks, however many probes a cluster has.
+   their pair of blocks, where they are verified. A task holds two blocks, however many probes a cluster has. Where
+   probes times members are over RARE times the cluster's shingles (texts that share a passage, but are far from the
+   threshold, would be compared all with all), probes and members meet by rare shingles instead: with the shingles of
+   each ordered by how many classes of the cluster have them, two sets of similarity t share one of the first
+   n - ceil(t n) + 1 of each (a prefix filter, exact), and a common passage stands behind the prefix. So comparisons of
+   a cluster grow with its shingles, or with what its buckets of rare shingles hold, not with its square.
 4. Components are made by star contraction (common.connected_components), and joined back to all documents.
 
 What is known of a cluster or component reaches its rows by way of salted parts (common.with_group), so that one of a
 third of all classes meets in no single task.
 
 A bucket of more than BLOCK classes isn't compared as a whole: all of it becomes one provisional cluster, which step 3
-examines exactly. Of more than RARE classes (texts that share a passage, but are far from the threshold, would be compared
-all with all) it isn't even that: its classes meet by rare shingles instead, with the shingles of each ordered by how many of these
-classes have them, two sets of similarity t share one of the first n - ceil(t n) + 1 of each (a prefix filter, exact), and
-a common passage stands behind the prefix. Buckets of a prefix shingle are compared like those of a band, or become a
-provisional cluster.
+examines exactly.
 
 Edge cases: null and empty texts, and texts of blanks only, have an empty set and link with nothing; with fewer words
 than a shingle has, the whole sequence is the only shingle; very long texts are read whole; repeated rows and ids are
@@ -47,8 +48,9 @@ from .common import connected_components, map_texts, mix64, prepare, remove, sav
 HASHES, BANDS, ROWS, BATCH = 64, 16, 4, 16
 MISS = 1e-6
 BLOCK = 512
-#: Classes of a band's bucket from which on they meet by rare shingles.
-RARE = 32_768
+#: Pairs of signatures a shingle of a cluster from which on its probes meet its members by rare shingles: about as many as
+#: are compared in the time that a shingle takes on its way through the prefix filter.
+RARE = 128
 #: A block holds about this many shingles at most, however long its texts are.
 BLOCK_SHINGLES = 2_000_000
 #: Blocks on either side whose signatures a task compares at once.
@@ -173,25 +175,28 @@ def _verified(sets: list[np.ndarray], sigs: np.ndarray, label: np.ndarray, probe
     return edges
 
 
-def _meetings(rows: list[tuple], percent: int, cuts: list[int]) -> set[tuple[int, int]]:
-    """rows (component, part, node, size, label, probe, sig, blocks, c, q, side) of some blocks of probes (side) and some
-    blocks of members -> (pair of blocks, row's place) for every pair of a probe and a member that isn't pruned, without
-    those of equal labels; a pair of two probes is looked at once."""
-    sigs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, HASHES)
-    size = np.array([r[3] for r in rows])
-    _, label = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
-    _, rank = np.unique(np.array([r[2].hex() for r in rows]), return_inverse=True)
-    probe, side = np.array([r[5] for r in rows]), np.array([r[10] for r in rows])
+def _meetings(rows: list[tuple], percent: int, cuts: list[int]):
+    """rows (component, bucket, part, node, size, label, probe, sig, blocks, c, q, side) of some probes (side) and some
+    members of a cluster -> (pair of the cluster's blocks, row's place) for every pair of a probe and a member that isn't
+    pruned, without those of equal labels; a pair of two probes is looked at once."""
+    sigs = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, HASHES)
+    size = np.array([r[4] for r in rows])
+    _, label = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)
+    _, rank = np.unique(np.array([r[3].hex() for r in rows]), return_inverse=True)
+    probe, side = np.array([r[6] for r in rows]), np.array([r[11] for r in rows])
     members, met = np.nonzero(~side)[0], set()
     for i in np.nonzero(side)[0]:
         o = size[members]
         keep = (label[members] != label[i]) & (100 * np.minimum(o, size[i]) >= percent * np.maximum(o, size[i]))
         keep &= ~probe[members] | (rank[members] > rank[i])
         for j in _candidates(sigs, i, members[keep], cuts)[0]:
-            part = rows[i][9] * rows[i][7] + rows[j][8]
+            part = rows[i][10] * rows[i][8] + rows[j][9]
             met.add((part, int(i)))
             met.add((part, int(j)))
-    return met
+        if len(met) > 100_000:  # what is told again is dropped later
+            yield from met
+            met = set()
+    yield from met
 
 
 def _grouped(batches, keys: int):
@@ -248,23 +253,25 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _rare(texts: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
-    """node, text -> bucket, size, lead (its least node), node: buckets of two or more nodes that share a shingle of their
-    prefixes, where shingles are ordered by how many of these nodes have them, then by hash. What is counted of a shingle
-    reaches its nodes by salted parts, since a common one may be that of all nodes."""
+    """component, node, probe, text -> node, bucket, members, probes: each of a node's prefix shingles that at least one
+    probe and another node of its component have in their prefixes, and how many do. Shingles are ordered by how many
+    nodes of the component have them, then by hash. What is counted of a shingle reaches its nodes by salted parts, since a
+    common one may be that of all nodes."""
 
     def run(batches):
         for b in batches:
-            sets = [shingles(t or "", k).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingles(t or "", k).view(np.int64) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["component", "node", "probe", "shingles"])
 
-    each = saved(texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>"), f"{folder}/sets").select("node", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    told = with_told(each, shared, ["shingle"], "node").select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "shingle").alias("s"))
+    sets = texts.select("component", "node", "probe", "text").mapInArrow(run, "component binary, node binary, probe boolean, shingles array<long>")
+    each = saved(sets.select("component", "node", F.explode("shingles").alias("s")).select("node", F.xxhash64("component", "s").alias("bucket")), f"{folder}/sets")
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = with_told(each, shared, ["bucket"], "node").select("node", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "bucket").alias("s"))
     first = F.expr(f"slice(s, 1, size(s) - int(ceil(size(s) * {percent} / 100)) + 1)")
     prefix = told.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("s")).select("node", F.explode(first).alias("s")).where("s.n > 1")
-    prefix = saved(prefix.select("node", F.xxhash64(F.lit("rare"), "s.shingle").alias("bucket")), f"{folder}/prefix")
-    sizes = prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1")
-    return with_told(prefix, sizes, ["bucket"], "node").where("size is not null").select("bucket", "size", "lead", "node")
+    prefix = saved(prefix.select("node", "s.bucket").distinct().join(texts.select("node", "probe"), "node"), f"{folder}/prefix")
+    sizes = prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.count_if("probe").alias("probes")).where("members > 1 and probes > 0")
+    return with_told(prefix.select("node", "bucket"), sizes, ["bucket"], "node").where("members is not null")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = MISS, block: int = BLOCK, rare: int = RARE) -> DataFrame:
@@ -304,13 +311,7 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int,
     full = saved(band.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1"), f"{folder}/buckets")
     member = saved(band.join(full.hint("merge"), "bucket"), f"{folder}/members")  # plain shuffles: a hot bucket can be split
     met = member.where(F.col("size") <= block).select("bucket", "node")
-    large = lambda t: t.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))
-    whole = large(member.where(F.col("size") <= rare))  # one cluster
-    hot = member.where(F.col("size") > max(block, rare)).select("node").distinct()
-    if not hot.isEmpty():
-        few = saved(_rare(hot.join(nodes.select("node", F.col("first.row").alias("row")), "node").join(docs.select("row", "text"), "row"), k, percent, folder), f"{folder}/rare")
-        met = met.union(few.where(F.col("size") <= block).select("bucket", "node"))
-        whole = whole.union(large(few))
+    whole = member.where(F.col("size") > block).select(F.col("node").alias("u"), F.col("lead").alias("v"))  # one cluster
     shown = met.join(nodes.select("node", "sig"), "node").select("bucket", "node", "sig")
 
     def compare(batches):
@@ -356,24 +357,35 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int,
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int").alias("part")
 
     def meet(batches):
-        for rows_ in _grouped(batches, 2):
-            found = sorted(_meetings(rows_, percent, cuts))
-            for a in range(0, len(found), 10_000):
-                part = [(p, rows_[i]) for p, i in found[a : a + 10_000]]
-                cols = [pa.array([r[0] for _, r in part], pa.binary()), pa.array([p for p, _ in part], pa.int64())]
-                cols += [pa.array([r[k] for _, r in part], pa.binary()) for k in (2, 4)] + [pa.array([r[5] for _, r in part], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, names=["component", "part", "node", "label", "probe"])
+        def cols(part):
+            made = [pa.array([r[0] for _, r in part], pa.binary()), pa.array([p for p, _ in part], pa.int64())]
+            made += [pa.array([r[k] for _, r in part], pa.binary()) for k in (3, 5)] + [pa.array([r[6] for _, r in part], pa.bool_())]
+            return pa.RecordBatch.from_arrays(made, names=["component", "part", "node", "label", "probe"])
+
+        for rows_ in _grouped(batches, 3):
+            part = []
+            for p, i in _meetings(rows_, percent, cuts):
+                part.append((p, rows_[i]))
+                if len(part) == 10_000:
+                    yield cols(part)
+                    part = []
+            if part:
+                yield cols(part)
 
     def met(told: DataFrame) -> DataFrame:
-        """The classes that each pair of a block of probes and a block of the cluster has to verify."""
-        here = told.join(nodes.select("node", "sig"), "node").withColumn("c", F.pmod(F.xxhash64("node", F.lit("c")), F.col("blocks")))
-        here = here.withColumn("q", F.when(F.col("probe"), F.pmod(F.xxhash64("node", F.lit("q")), F.col("probe_blocks"))))
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / GROUP).cast("int")))
-        one = here.withColumn("at", every("probe_blocks")).withColumn("part", F.col("at") * F.col("blocks").cast("long") + F.floor(F.col("c") / GROUP)).withColumn("side", F.lit(False))
-        two = here.where("probe").withColumn("at", every("blocks")).withColumn("part", F.floor(F.col("q") / GROUP) * F.col("blocks") + F.col("at")).withColumn("side", F.lit(True))
-        sides = [t.select("component", F.col("part").cast("long"), "node", "size", "label", "probe", "sig", "blocks", "c", "q", "side") for t in (one, two)]
-        dealt = sides[0].union(sides[1]).repartition("component", "part").sortWithinPartitions("component", "part")
-        return dealt.mapInArrow(meet, "component binary, part long, node binary, label binary, probe boolean")
+        """The classes that each pair of a block of probes and a block of the cluster has to verify. told: a row for each
+        bucket of a class, 0 for the cluster as a whole; members and probes of a bucket are dealt to groups."""
+        salt = lambda name, n: F.pmod(F.xxhash64("node", F.lit(name)), n)
+        here = told.join(nodes.select("node", "sig"), "node").withColumn("c", salt("c", F.col("blocks")))
+        here = here.withColumn("q", F.when(F.col("probe"), salt("q", F.col("probe_blocks"))))
+        here = here.withColumn("own", F.when(F.col("bucket") == 0, F.floor(F.col("c") / GROUP)).otherwise(salt("own", F.col("groups"))))
+        here = here.withColumn("out", F.when(F.col("bucket") == 0, F.floor(F.col("q") / GROUP)).otherwise(salt("out", F.col("probe_groups"))))
+        every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+        one = here.withColumn("at", every("probe_groups")).withColumn("part", F.col("at") * F.col("groups") + F.col("own")).withColumn("side", F.lit(False))
+        two = here.where("probe").withColumn("at", every("groups")).withColumn("part", F.col("out") * F.col("groups") + F.col("at")).withColumn("side", F.lit(True))
+        sides = [t.select("component", "bucket", F.col("part").cast("long"), "node", "size", "label", "probe", "sig", "blocks", "c", "q", "side") for t in (one, two)]
+        dealt = sides[0].union(sides[1]).repartition("component", "bucket", "part").sortWithinPartitions("component", "bucket", "part")
+        return dealt.mapInArrow(meet, "component binary, part long, node binary, label binary, probe boolean").distinct()
 
     edges = verified(texts.select("component", dealt_by(texts, "a"), "node", "text", F.col("node").alias("label"), F.lit(True).alias("probe")), "edges0")
     linked = saved(connected_components(edges, f"{folder}/linked0"), f"{folder}/labels0")
@@ -389,13 +401,22 @@ def _components(docs: DataFrame, k: int, percent: int, miss: float, block: int,
             [F.max("top").alias("top"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("members").alias("members"), F.sum("all").alias("all")],
         )
         probes = F.greatest((F.col("members") - F.col("top.n")) / block, (F.col("all") - F.col("top.load")) / BLOCK_SHINGLES)
-        told = now.where("low <> high").select("blocks", "node", "size", "component", "label", (F.col("label") != F.col("top.label")).alias("probe"), F.ceil(probes).cast("int").alias("probe_blocks"))
+        dear = (F.col("members") - F.col("top.n")) * F.col("members") > rare * F.col("all")
+        told = now.where("low <> high").select("blocks", "node", "size", "component", "label", (F.col("label") != F.col("top.label")).alias("probe"), F.ceil(probes).cast("int").alias("probe_blocks"), dear.alias("dear"))
         told = saved(told, f"{folder}/told{step}")
         if step == 1:
             work = large.join(told.select("node", "label", "probe"), "node")
             work = work.select("component", dealt_by(work, "b"), "node", "text", "label", F.lit(True).alias("probe"))
         else:
-            work = met(told).join(large.select("node", "text"), "node")
+            at_once = lambda n: F.ceil(F.col(n) / (GROUP * block)).cast("long")
+            groups = [F.ceil(F.col(n) / GROUP).cast("long").alias(g) for n, g in (("blocks", "groups"), ("probe_blocks", "probe_groups"))]
+            meeting = told.where("not dear").withColumn("bucket", F.lit(0).cast("long")).select("*", *groups)
+            many = told.where("dear")
+            if not many.isEmpty():
+                few = _rare(many.join(large.select("node", "text"), "node"), k, percent, folder)
+                few = saved(few.select("node", "bucket", at_once("members").alias("groups"), at_once("probes").alias("probe_groups")), f"{folder}/rare")
+                meeting = meeting.unionByName(many.join(few, "node"))
+            work = met(meeting).join(large.select("node", "text"), "node")
         edges = edges.union(verified(work, f"edges{step}"))
         linked = saved(connected_components(edges, f"{folder}/linked{step}"), f"{folder}/labels{step}")
 

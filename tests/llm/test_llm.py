@@ -101,24 +101,29 @@ def test_near_dedup_brute(spark, block):
 
 @pytest.mark.parametrize("rare", [True, False])
 def test_near_dedup_of_unlinked_texts_in_bounded_blocks(spark, monkeypatch, rare):
-    """Texts that share much, though too little for a link, and some that link: by rare shingles they make no large
-    cluster; where they still do, no task holds more than two blocks."""
+    """Texts that share much, though too little for a link, and some that link: no task holds more than two blocks, and
+    those that meet by rare shingles are hardly compared."""
     rng = random.Random(9)
     stem = [f"b{i}" for i in range(120)]
     t = [" ".join(stem + [f"x{rng.randrange(10**9)}" for _ in range(40)]) for _ in range(240)]
     t += [t[7 * i] + f" tail{i}" for i in range(30)]
-    seen, real = [], type(spark.range(1)).mapInArrow
+    seen, pairs, real = [], [], type(spark.range(1)).mapInArrow
 
     def spied(self, f, schema, *a, **k):
         if {"component", "part", "text"} <= set(self.columns):
             seen.append(self.groupBy("component", "part").count().agg(F.max("count")).first()[0] or 0)
+        if "side" in self.columns:
+            sides = self.groupBy("component", "bucket", "part").agg(F.count_if("side").alias("a"), F.count_if(~F.col("side")).alias("b"))
+            pairs.append(sides.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
         return real(self, f, schema, *a, **k)
 
     monkeypatch.setattr(type(spark.range(1)), "mapInArrow", spied)
     sets = [{tuple(x.split()[i : i + 3]) for i in range(len(x.split()) - 2)} for x in t]
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), 3, 85, block=16, rare=16 if rare else 1 << 15).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(t)), "doc_id long, text string"), 3, 85, block=16, rare=0 if rare else 1 << 15).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(brute_components(sets, 85)))
-    assert len(seen) == (1 if rare else 3) and max(seen) <= 3 * 16  # two blocks, dealt by a hash
+    assert len(seen) == 3 and max(seen) <= 3 * 16  # two blocks, dealt by a hash
+    # every text here is a probe in the cluster as a whole; buckets of rare shingles hold a few texts of one source
+    assert pairs[0] < 20 * len(t) if rare else pairs[0] > len(t) ** 2 / 4
 
 
 def test_near_dedup_when_scans_are_split_otherwise(spark, tmp_path, monkeypatch):
