@@ -54,6 +54,14 @@ def intern(node_paths: DataFrame, folder: str | None = None) -> Interned:
     return Interned(groups, classes, members)
 
 
+def restricted(graph: Interned, paths: DataFrame) -> Interned:
+    """A graph that was interned with all its paths, to those of paths (path): the same tallies as if only they had been
+    interned, though a class may have been parted by paths that don't count now. Classes stay as they are stored."""
+    groups = graph.groups.join(paths.select("path").distinct(), "path", "left_semi").select("path", "grp")
+    members = graph.members.join(groups.select("grp").distinct(), "grp", "left_semi").select(*graph.members.columns)
+    return Interned(groups, graph.classes, members)
+
+
 def tally_groups(mappings: DataFrame, graph: Interned) -> DataFrame:
     """mappings (read, node, read_rev, score, aligned) -> (read, grp, score, fwd, rev) of every path of the group, pooled over
     all mappings of a read. A mapping meets its node's class, one row; sums of a read and class then meet the class' groups

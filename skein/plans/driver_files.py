@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, counting
 from skein.plans.annotate import annotate
 from skein.plans.convert import Options, adjusted_mappings, convert, edit_rows, interned, scored_mappings, subpath_scores
 from skein.session import scratch
-from skein.sources import bam, rad, readers, writers
+from skein.sources import bam, graph_store, rad, readers, writers
 from skein.streaming import convert as stream
 
 
@@ -186,6 +186,27 @@ def _scan_gfa(spark, d):
     return s.join(n.select("node", F.length("seq").alias("bases")), "node").select("path", "node", "path_rev", "bases", F.col("step_ord").alias("place"))
 
 
+def _laid(spark, d) -> graph_store.Graph:
+    """The graph in a store, opened anew from its folder."""
+    to = scratch(spark, "store")
+    graph_store.write_graph(*graph(spark, d), to)
+    return graph_store.open_graph(spark, to)
+
+
+def _scan_store(spark, d):
+    """Every step with its node's bases: both tables lie in buckets by node, so that they meet where they are."""
+    g = _laid(spark, d)
+    place = F.row_number().over(Window.partitionBy("path").orderBy("step_ord")) - 1
+    each = g.walks.join(g.nodes, "node").join(g.paths, "path_id")
+    return each.select("path", "node", "path_rev", F.length("seq").alias("bases"), place.cast("int").alias("place"))
+
+
+def _over_store(spark, d, mode="score"):
+    """The conversion with a stored graph, of which the maps name some paths."""
+    g, (exon, body) = _laid(spark, d), maps(spark, d, mode)
+    return convert(spark, alignments(spark, d), g.nodes, g.steps, exon, Options(count_mode=mode), body, attribute.restricted(g.interned, exon))
+
+
 def _scan_map(spark, d):
     t2g, _ = maps(spark, d, "score")
     lines = t2g.select(F.concat("path", F.lit("\t"), "gene", F.lit("\textra\n# note\n")).alias("l"))
@@ -273,6 +294,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_sam_tags": _sam_tags,
         "scan_alignments": _scan_alignments,
         "scan_gfa": _scan_gfa,
+        "scan_graph_store": _scan_store,
+        "store_records": lambda s, d: _hit_text(_over_store(s, d)),
+        "store_records_ledger": lambda s, d: _hit_text(_over_store(s, d, "genefull_exonoverintron")),
         "scan_path_map": _scan_map,
         "scan_fastq": _scan_fastq,
         "scan_gtf": _scan_gtf,

@@ -278,6 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "encoded_targets": b("SELECT read, target_id, target_id + CASE WHEN forward THEN 2147483648 ELSE 0 END AS word FROM tg JOIN dict USING (target)"),
     }
     out["stream_records"], out["stream_summary"] = out["convert_records"], out["run_summary"]  # a stream answers as a batch does
+    for at, like in (("scan_graph_store", "scan_gfa"), ("store_records", "convert_records"), ("store_records_ledger", "convert_records_ledger")):
+        out[at] = out[like]  # a stored graph as the text it was made of
     for m in ("gene", "genefull", "exonoverintron", "ex50pas"):
         out[f"count_{m}"] = b(f"SELECT read, gene AS target, forward FROM c_{m} QUALIFY count(*) OVER (PARTITION BY read) = 1")
     return out

@@ -137,12 +137,12 @@ def summed(counters: DataFrame) -> DataFrame:
     return numbers.union(told)
 
 
-def convert_pipe(spark: SparkSession, source: BinaryIO, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, options: Options = Options(), body: DataFrame | None = None, size: int = pipe.FILE_BYTES) -> dict[str, DataFrame]:
+def convert_pipe(spark: SparkSession, source: BinaryIO, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, options: Options = Options(), body: DataFrame | None = None, size: int = pipe.FILE_BYTES, graph: attribute.Interned | None = None) -> dict[str, DataFrame]:
     """The conversion of JSON lines that come through a pipe: a file of lines at a time goes through the stream as it comes,
     and is deleted then. Returns what finish() does."""
     options.check(body is not None)
     folder = scratch(spark, "pipe")
-    graph = _graph(spark, steps, t2g, options)
+    graph = graph or _graph(spark, steps, t2g, options)
     for name in pipe.spooled(spark, source, f"{folder}/in", size):
         stream_convert(spark, f"{folder}/in", nodes, steps, t2g, f"{folder}/out", f"{folder}/checkpoint", options, body, graph=graph).awaitTermination()
         remove(spark, name)
