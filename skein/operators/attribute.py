@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skein.session import saved
+from skein.session import parted, saved
 
 STRANDS = ("both", "forward", "reverse")
 
@@ -47,10 +47,11 @@ def intern(node_paths: DataFrame, folder: str | None = None) -> Interned:
     With a folder of the shared store each table is written once, and every use reads it."""
     kept = lambda t, name: saved(t, f"{folder}/{name}") if folder else t
     rows = kept(node_paths.groupBy("node", "path", "path_rev").agg(F.count(F.lit(1)).alias("visits")), "rows")
-    groups = kept(_least_equal(rows, "path", ["node", "path_rev", "visits"]).withColumnRenamed("least", "grp"), "groups")
-    own = kept(rows.join(groups.where("path = grp").select("path"), "path", "left_semi").withColumnRenamed("path", "grp"), "own")
-    classes = kept(_least_equal(own, "node", ["grp", "path_rev", "visits"]).withColumnRenamed("least", "cls"), "classes")
-    members = kept(own.join(classes.where("node = cls").select("node"), "node", "left_semi").withColumnRenamed("node", "cls"), "members")
+    with parted(rows.sparkSession, rows.count() if folder else 0):  # stored rows are counted from the files' footers
+        groups = kept(_least_equal(rows, "path", ["node", "path_rev", "visits"]).withColumnRenamed("least", "grp"), "groups")
+        own = kept(rows.join(groups.where("path = grp").select("path"), "path", "left_semi").withColumnRenamed("path", "grp"), "own")
+        classes = kept(_least_equal(own, "node", ["grp", "path_rev", "visits"]).withColumnRenamed("least", "cls"), "classes")
+        members = kept(own.join(classes.where("node = cls").select("node"), "node", "left_semi").withColumnRenamed("node", "cls"), "members")
     return Interned(groups, classes, members)
 
 

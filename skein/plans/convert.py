@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, checks, ledger as led
 from skein.operators.checks import InputError
-from skein.session import saved, scratch
+from skein.session import parted, saved, scratch, tasks_for
 
 #: The summary's keys in their order.
 SUMMARY = (
@@ -140,7 +140,8 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     groups = reads.groupBy("name").agg(
         F.min("ord").alias("ord"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("records"), F.bool_or(aligned).alias("aligned"), F.bool_or(~aligned).alias("unaligned"), F.max(F.when(aligned, F.length("sequence"))).alias("read_length"), *kept
     )
-    groups = saved(groups.withColumn("m", identity).withColumnRenamed("name", "read"), f"{folder}/groups")
+    with parted(spark, reads.count()):
+        groups = saved(groups.withColumn("m", identity).withColumnRenamed("name", "read"), f"{folder}/groups")
     if groups.isEmpty():
         raise InputError("the alignment input is empty")
     checks.require(groups.where("last - ord + 1 <> records").select("ord", "read"), "grouping_recurrence_failures=1: records of a read are not contiguous", "ord")
@@ -151,12 +152,15 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     score_mode = options.count_mode == "score"
     made = adjusted_mappings(ok, nodes) if score_mode and options.scores == "qualadj" else scored_mappings(ok)
     m = saved(made if score_mode else made.where("aligned > 0"), f"{folder}/mappings")
+    rows = m.count()
+    n = tasks_for(spark, rows)
+    by_read = lambda t: t.repartition(n, "read") if n > tasks_for(spark, 0) else t
     checks.require(m.select("node", "rec").groupBy("node").agg(F.min("rec").alias("rec")).join(nodes.select("node"), "node", "left_anti"), "a node is not in the graph", "rec")
     if score_mode:
         named = t2g.withColumn("target", attribute.transcript_of(F.col("path")))
         checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes", "target")
         graph = graph or interned(steps, t2g, f"{folder}/graph")
-        targets = attribute.targets(m.repartition("read"), graph).select("read", "target", "forward")  # dealt once: all that follows goes by read
+        targets = attribute.targets(m.repartition(n, "read"), graph).select("read", "target", "forward")  # dealt once: all that follows goes by read
         dictionary = attribute.dictionary(named.select("target"))
         tx2gene = named.select("target", "gene").distinct()
     else:
@@ -167,15 +171,17 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
         targets = led.count_mode(entries, groups.select("read", "read_length"), options.count_mode)
         dictionary = attribute.dictionary(t2g.select(F.col("gene").alias("target")).union(body.select("gene")))
         tx2gene = dictionary.select("target", F.col("target").alias("gene"))
-    targets = saved(targets, f"{folder}/targets")
+    with parted(spark, rows):
+        targets = saved(targets, f"{folder}/targets")
     stranded = attribute.strand(targets, options.strand)
     final = stranded if score_mode else attribute.unique_only(stranded)
-    hits = attribute.encode(final, dictionary).groupBy("read").agg(F.expr("transform(array_sort(collect_list(struct(target, target_id, forward))), h -> struct(h.target_id, h.forward))").alias("hits"))
-    records = groups.join(hits, "read").select("ord", "read", "m.barcode", "m.umi", "m.original_name", "hits").orderBy("ord")
+    hits = attribute.encode(by_read(final), dictionary).groupBy("read").agg(F.expr("transform(array_sort(collect_list(struct(target, target_id, forward))), h -> struct(h.target_id, h.forward))").alias("hits"))
+    records = by_read(groups).join(hits, "read").select("ord", "read", "m.barcode", "m.umi", "m.original_name", "hits")
+    records = records.repartitionByRange(n, "ord").sortWithinPartitions("ord") if n > tasks_for(spark, 0) else records.orderBy("ord")
 
     keeps = F.lit(True) if options.strand == "both" else F.col("forward") == F.lit(options.strand == "forward")
-    per = targets.groupBy("read").agg(F.count_if(keeps).alias("n"))
-    state = groups.join(per, "read", "left").withColumn("ok", F.col("m.status") == "ok")
+    per = by_read(targets).groupBy("read").agg(F.count_if(keeps).alias("n"))
+    state = by_read(groups).join(per, "read", "left").withColumn("ok", F.col("m.status") == "ok")
     dropped = F.coalesce(F.col("n") > 1, F.lit(False)) if not score_mode else F.lit(False)
     count = lambda on: F.count_if(on).cast("string")
     none = F.col("ok") & F.col("n").isNull()
@@ -191,16 +197,16 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
         count(~F.col("ok")),
         F.lit("0"),
     ]
-    told = state.agg(*[v.alias(k) for k, v in zip(SUMMARY, values)]).join(attribute.histogram_text(attribute.histogram(final)).select(F.col("histogram").alias(SUMMARY[-1])))
+    told = state.agg(*[v.alias(k) for k, v in zip(SUMMARY, values)]).join(attribute.histogram_text(attribute.histogram(by_read(final))).select(F.col("histogram").alias(SUMMARY[-1])))
     summary = told.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in SUMMARY])).alias("place", "kv")).select("place", "kv.key", "kv.value")
     out = {"records": records, "dictionary": dictionary, "tx2gene": tx2gene, "targets": final, "rejected": rejected, "summary": summary}
     if options.alignments != "off":
-        sets = attribute.gene_sets(final, tx2gene, options.alignments)
+        sets = attribute.gene_sets(by_read(final), tx2gene, options.alignments)
         base = F.coalesce("first", "any")
         whole = F.octet_length(base["quality"]) == F.length(base["sequence"])
         phred = F.expr("array_join(transform(sequence(1, length(quality)), i -> char(int(conv(hex(substring(quality, i, 1)), 16, 10)) + 33)), '')")
         out["alignments"] = (
-            groups.join(sets, "read")
+            by_read(groups).join(sets, "read")
             .select("ord", F.col("m.original_name").alias("name"), base["sequence"].alias("sequence"), F.when(whole & (F.length(base["sequence"]) > 0), base["quality"]).alias("quality"), "m.barcode", "m.umi", "genes", "primary_gene", "xt")
             .withColumn("quality_text", F.when(F.col("quality").isNotNull(), phred))
             .drop("quality")

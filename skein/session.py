@@ -60,6 +60,32 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+#: Rows of a table that a task of a long stage takes, about: a read's mappings pass some seven hash tables and sorts there,
+#: which keep a few hundred MB at this number.
+ROWS_A_TASK = 1 << 18
+_PARTS, _ADVISED = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: the session's, or more where a task would get more than ROWS_A_TASK."""
+    return max(int(spark.conf.get(_PARTS)), -(-rows // ROWS_A_TASK))
+
+
+@contextmanager
+def parted(spark: SparkSession, rows: int):
+    """Inside, shuffles go to tasks_for(rows) partitions, so that a task's memory doesn't grow with the input. For tables that
+    are written inside; where the session's own number does, nothing changes."""
+    n, before = tasks_for(spark, rows), {k: spark.conf.get(k) for k in (_PARTS, _ADVISED)}
+    if n > int(before[_PARTS]):
+        spark.conf.set(_PARTS, n)
+        spark.conf.set(_ADVISED, "8m")  # partitions aren't merged into what the session thinks fit for short stages
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back: lineage ends at files that survive lost executors."""
     with shuffles_dropped(df.sparkSession):
