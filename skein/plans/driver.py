@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from skein.functions import molecule as mol, scoring
 from skein.operators import attribute, checks, counting, ledger as led, network
 from skein.plans import driver_files
-from skein.session import scratch
+from skein.session import parted, saved, scratch
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -83,7 +83,10 @@ def node_genes(spark, d) -> DataFrame:
 
 
 def targets(spark, d) -> DataFrame:
-    return attribute.targets(mappings(spark, d), graph(spark, d))
+    """Written once, by tasks whose number follows the lines'."""
+    known = graph(spark, d)
+    with parted(spark, _t(spark, d, "lineitem").count()):
+        return saved(attribute.targets(mappings(spark, d), known), scratch(spark, "targets"))
 
 
 def counted(spark, d, mode) -> DataFrame:

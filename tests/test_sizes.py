@@ -3,9 +3,10 @@
 import glob
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein import session
-from skein.plans import driver_files
+from skein.plans import driver, driver_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,11 @@ def test_conversion(spark, monkeypatch, mode):
     assert files(seen["targets"]) > 4 and out["records"].rdd.getNumPartitions() > 4
     ords = [r.ord for r in out["records"].collect()]
     assert ords == sorted(ords)
+
+
+def test_driver_targets(spark, monkeypatch):
+    every = lambda: driver.targets(spark, SF).agg(F.count(F.lit(1)), F.sum(F.xxhash64("read", "target", "fwd", "rev", "forward").cast("decimal(38,0)"))).first()
+    want = every()
+    monkeypatch.setattr(session, "ROWS_A_TASK", 300)
+    seen = stored(monkeypatch, driver)
+    assert every() == want and files(seen["targets"]) > 4
