@@ -6,6 +6,7 @@ that alone; some names can't be read. Files go to the shared folder and are read
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,7 +15,7 @@ from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, counting
 from skein.plans.annotate import annotate
 from skein.plans.convert import Options, adjusted_mappings, convert, edit_rows, interned, scored_mappings, subpath_scores
-from skein.session import scratch
+from skein.session import ROWS_A_TASK, parted, saved, scratch
 from skein.sources import bam, graph_store, rad, readers, writers
 from skein.streaming import convert as stream
 
@@ -155,16 +156,29 @@ def _json(a: DataFrame, *more: Column) -> Column:
     return F.concat(F.to_json(F.struct("name", "sequence", *more, sub.alias("subpath"))), F.when(F.col("ord") % 5 == 0, F.lit("\n\n")).otherwise(F.lit("")))
 
 
+def _in_order(spark, folder: str) -> None:
+    """Gives a folder's files times of change in the order of their names, as a stream takes them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = sorted((f.getPath() for f in fs.listStatus(at)), key=lambda p: p.getName())
+    last = int(time.time()) * 1000
+    for i, p in enumerate(paths):
+        fs.setTimes(p, last - 1000 * (len(paths) - i), -1)
+
+
 def _streamed(spark, d, **options) -> dict[str, DataFrame]:
-    """The conversion over a stream that takes one file of lines a batch; reads go on in the next file."""
-    a = alignments(spark, d)
+    """The conversion over a stream of files of lines, half of them a batch; reads go on in the next file."""
     to, out = scratch(spark, "stream-in"), scratch(spark, "stream")
-    a.repartitionByRange(2, "ord").sortWithinPartitions("ord").select(_json(a).alias("value")).write.text(to)
+    with parted(spark, _t(spark, d, "lineitem").count()):
+        a = saved(alignments(spark, d), scratch(spark, "reads"))
+    files = 2 * max(1, -(-a.count() // (2 * ROWS_A_TASK)))
+    a.repartitionByRange(files, "ord").sortWithinPartitions("ord").select(_json(a).alias("value")).write.text(to)
+    _in_order(spark, to)
     o = Options(**options)
     exon, body = maps(spark, d, o.count_mode)
     told = (*graph(spark, d), exon)
     known = interned(told[1], exon, scratch(spark, "graph"))
-    stream.stream_convert(spark, to, *told, out, f"{out}/checkpoint", o, body, files_per_batch=1, graph=known).awaitTermination()
+    stream.stream_convert(spark, to, *told, out, f"{out}/checkpoint", o, body, files_per_batch=files // 2, graph=known).awaitTermination()
     return stream.finish(spark, *told, out, o, body, known)
 
 

@@ -5,28 +5,26 @@ folders batch=<k>, which a batch that is run again writes again. `finish` conver
 input and tells the whole run's outputs as convert() does: in the input's order, counters summed up. Whoever is killed
 goes on from the checkpoint; what is written in the end is the same, byte for byte.
 
-The state store knows which names earlier batches had (a flag a name, kept incrementally by Spark), so a batch needs no
-look at names ever seen. Within a batch lines get their dense order; the last read of a batch stays open: its records are
-carried over to the next batch, where more may follow, since a read may go on in the next file. A name that comes again
-after its read was closed is refused (`grouping_recurrence_failures`), never dropped. `finish` converts the read still
-open at the end of the input.
-
-Exact recurrence detection keeps a flag for every name: use a state store that spills (RocksDB) for long streams. Files
-must come in the order of the input: by time of change, then name.
+Each batch writes the names it has, once each, and looks up which of them earlier batches wrote: a join of the batch's
+names with one narrow column, for which Spark keeps no state between batches. Within a batch lines get their dense order;
+the last read of a batch stays open: its records are carried over to the next batch, where more may follow, since a read
+may go on in the next file. A name that comes again after its read was closed is refused
+(`grouping_recurrence_failures`), never dropped. `finish` converts the read still open at the end of the input.
+
+Names stay beside the outputs, as many as there are reads; a batch scans them all, so a long stream should take many files
+a batch. Files must come in the order of the input: by time of change, then name.
 """
 
 from __future__ import annotations
 
 from typing import BinaryIO
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from skein.operators import attribute
 from skein.operators.checks import InputError, require
 from skein.plans.convert import SUMMARY, Options, convert, interned
-from skein.session import exists, remove, saved, scratch, scratch_dropped, ship
+from skein.session import exists, parted, remove, saved, scratch, scratch_dropped
 from skein.sources import pipe
 from skein.sources.readers import numbered, parse_alignments
 
@@ -34,25 +32,6 @@ from skein.sources.readers import numbered, parse_alignments
 PER_BATCH = ("records", "rejected", "summary", "alignments")
 #: More lines than a batch has: places of lines in the run are made of the batch and the place in it.
 BATCH_LINES = 1 << 40
-_LINE = "name string, value string, file string, block long, id long, seen boolean"
-
-
-def _placed(batches):
-    """Adds id, the line's place in its task: ascending and dense within a file's block, which a task reads from end to
-    end (streams have no such function of their own)."""
-    at = 0
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at, at + b.num_rows), pa.int64())], names=[*b.schema.names, "id"])
-        at += b.num_rows
-
-
-def _seen_before(key, frames, state):
-    """The rows of a name, with whether an earlier batch had it."""
-    seen = state.exists
-    if not seen:
-        state.update((True,))
-    for f in frames:
-        yield f.assign(seen=seen)[["name", "value", "file", "block", "id", "seen"]]
 
 
 def _open_path(out: str, k: int) -> str:
@@ -72,31 +51,30 @@ def _graph(spark: SparkSession, steps: DataFrame, t2g: DataFrame, options: Optio
 def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, checkpoint: str, options: Options = Options(), body: DataFrame | None = None, files_per_batch: int = 1000, graph: attribute.Interned | None = None):
     """Starts a query (available-now trigger) that writes out/<output>/batch=<k>; returns it. Started again with the same
     checkpoint, it goes on with the files that have come since. The graph is interned once for all batches, or given."""
-    ship(spark)
     graph = graph or _graph(spark, steps, t2g, options)
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).where("trim(value) <> ''")
     lines = lines.select(F.coalesce(F.get_json_object("value", "$.name"), F.lit("")).alias("name"), "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    named = lines.mapInArrow(_placed, "name string, value string, file string, block long, id long")
-    flagged = named.groupBy("name").applyInPandasWithState(_seen_before, _LINE, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
     def batch(df: DataFrame, k: int) -> None:
         s = df.sparkSession
-        lines = saved(df, f"{out}/lines/batch={k}")
+        # a task reads a block from end to end, so ids ascend in it without a gap
+        lines = saved(df.withColumn("id", F.monotonically_increasing_id()), f"{out}/lines/batch={k}")
         before = s.read.parquet(_open_path(out, k - 1)) if k and exists(s, _open_path(out, k - 1)) else None
         if lines.isEmpty():
             if before is not None:
                 saved(before, _open_path(out, k))
             return
-        here = numbered(lines.select("name", "seen", "value", "file", "block", "id"), ["name", "seen", "value"])
+        here = numbered(lines, ["name", "value"])
+        with parted(s, lines.count()):
+            names = saved(lines.select("name").distinct(), f"{out}/names/batch={k}")
+        # a batch that is run again meets earlier batches' names only
+        closed = s.read.schema("name string, batch long").parquet(f"{out}/names").where(F.col("batch") < k)
         if before is not None:
             carried = before.count()  # of one read
-            here = here.withColumn("ord", F.col("ord") + carried).union(before.withColumn("seen", F.lit(False)).select("name", "seen", "value", "ord"))
-            held = before.select("name").distinct()
-            again = here.where("seen").join(held, "name", "left_anti")
-        else:
-            again = here.where("seen")
-        require(again.select("ord", "name"), "grouping_recurrence_failures=1: a closed read comes again", "ord")
-        here = saved(here, f"{out}/order/batch={k}")
+            here = here.withColumn("ord", F.col("ord") + carried).union(before.select("name", "value", "ord"))
+            closed = closed.join(before.select("name").distinct(), "name", "left_anti")
+        again = names.join(closed, "name", "left_semi")
+        require(here.join(again, "name", "left_semi").select("ord", "name"), "grouping_recurrence_failures=1: a closed read comes again", "ord")
         last = here.agg(F.max_by("name", "ord")).first()[0]
         left = here.where(F.col("name") == last)
         # the open read must be the last one wholly: other names between its records are recurrence, too
@@ -107,10 +85,10 @@ def stream_convert(spark: SparkSession, folder: str, nodes: DataFrame, steps: Da
         if not done.isEmpty():
             with scratch_dropped(s):
                 _write(convert(s, parse_alignments(done.select("value", "ord")), nodes, steps, t2g, options, body, graph), out, k)
-        for name, old in (("lines", k), ("order", k), ("open", k - 2)):
+        for name, old in (("lines", k), ("open", k - 2)):
             remove(s, f"{out}/{name}/batch={old}")
 
-    return flagged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finish(spark: SparkSession, nodes: DataFrame, steps: DataFrame, t2g: DataFrame, out: str, options: Options = Options(), body: DataFrame | None = None, graph: attribute.Interned | None = None) -> dict[str, DataFrame]:

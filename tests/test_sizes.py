@@ -1,6 +1,7 @@
 """Tasks follow the input's rows, not the session's number of partitions, and results stay what they are."""
 
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,17 @@ def test_driver_targets(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_A_TASK", 300)
     seen = stored(monkeypatch, driver)
     assert every() == want and files(seen["targets"]) > 4
+
+
+def test_stream(spark, monkeypatch):
+    """As many files as reads ask for, in two batches, in the order of their names; Spark keeps no state of names."""
+    want = driver_files._hit_text(driver_files.converted(spark, SF)).orderBy("read").collect()
+    made = {}
+    monkeypatch.setattr(driver_files, "ROWS_A_TASK", 300)
+    monkeypatch.setattr(driver_files, "scratch", lambda s, name: made.setdefault(name, session.scratch(s, name)))
+    assert driver_files._hit_text(driver_files._streamed(spark, SF)).orderBy("read").collect() == want
+    parts = sorted(glob.glob(made["stream-in"].removeprefix("file://") + "/part-*"))
+    times = [os.path.getmtime(p) for p in parts]
+    out = made["stream"].removeprefix("file://")
+    assert len(parts) > 2 and times == sorted(times) and len(set(times)) == len(times)
+    assert len(glob.glob(f"{out}/names/batch=*")) == 2 and not os.path.exists(f"{out}/checkpoint/state")
