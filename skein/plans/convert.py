@@ -108,14 +108,17 @@ def subpath_scores(reads: DataFrame) -> DataFrame:
 
 def adjusted_mappings(reads: DataFrame, nodes: DataFrame) -> DataFrame:
     """scored_mappings with scores by base quality where a record has a quality for each base: a row per edit, since node
-    sequences come by a join."""
+    sequences come by a join. They are scored and checked in one pass, which is written to the shared folder."""
+    spark = reads.sparkSession
+    rows = reads.agg(F.sum(F.expr("aggregate(subpath, bigint(0), (t, s) -> t + size(s.mapping))"))).first()[0] or 0
     edits = edit_rows(reads, bases=True)
     scored = scoring.score_edits(edits, ["read", "rec", "sub"], F.col("read_offset"), F.col("read_total"))
-    placed = quality.placed_bases(scored, nodes)
-    checks.require(quality.outside(placed), "an edit reaches beyond its read or node")
-    rest = scored.where("not (quals is not null and from_length > 0 and to_length > 0)")
-    out = quality.adjust(placed).select(*scored.columns).union(rest)
-    return out.select("read", "rec", "node", "read_rev", "score", scoring.aligned_bases().alias("aligned"))
+    made = quality.adjust(quality.with_bases(scored, nodes))
+    beyond = F.when(F.expr(f"{quality.BOTH} and {quality.BEYOND}"), F.struct("read_pos", "ref_pos", "to_length"))
+    with parted(spark, rows):
+        made = saved(made.select("read", "rec", "node", "read_rev", "score", scoring.aligned_bases().alias("aligned"), beyond.alias("beyond")), scratch(spark, "adjusted"))
+    checks.require(made.where("beyond is not null").select("read", "node", "beyond.*"), "an edit reaches beyond its read or node")
+    return made.drop("beyond")
 
 
 def interned(steps: DataFrame, t2g: DataFrame, folder: str) -> attribute.Interned:

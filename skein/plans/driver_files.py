@@ -275,15 +275,21 @@ def _scan_matrix(spark, d):
 
 
 def _qualadj(spark, d):
-    """Every base by its own quality, both read ends, nodes read either way."""
-    a = alignments(spark, d).where("size(subpath) > 0")
+    """Every base by its own quality, both read ends, nodes read either way. Bases repeat after 5 places, qualities after 14,
+    nodes' bases after 2."""
+    with parted(spark, _t(spark, d, "lineitem").count()):
+        a = saved(alignments(spark, d).where("size(subpath) > 0"), scratch(spark, "reads"))
     n = "length(sequence)"
-    a = a.withColumn("k", F.floor(F.col("ord") / 2))
-    a = a.withColumn("sequence", F.expr(f"if({n} = 0, '', array_join(transform(sequence(0, greatest({n} - 1, 0)), i -> substring('ACGTN', int((k + i * i) % 5) + 1, 1)), ''))"))
-    hexes = f"array_join(transform(sequence(0, greatest({n} - 1, 0)), i -> lpad(hex((k * 7 + i * 3) % 42), 2, '0')), '')"
-    a = a.withColumn("quality", F.expr(f"if({n} = 0, unhex(''), unhex({hexes}))")).drop("k")
-    nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.expr("array_join(transform(sequence(0, 49), j -> substring('ACGT', int((p_partkey + j * j) % 4) + 1, 1)), '')").alias("seq"))
-    return adjusted_mappings(a, nodes).groupBy("read", "node").agg(F.sum("score").cast("long").alias("score"), F.sum("aligned").cast("long").alias("aligned"))
+    k = "floor(ord / 2)"
+    bases = f"array_join(transform(sequence(0, 4), i -> substring('ACGTN', int(({k} + i * i) % 5) + 1, 1)), '')"
+    hexes = f"array_join(transform(sequence(0, 13), i -> lpad(hex(({k} * 7 + i * 3) % 42), 2, '0')), '')"
+    a = a.withColumn("quality", F.expr(f"unhex(substring(repeat({hexes}, int({n} / 14) + 1), 1, 2 * {n}))"))
+    a = a.withColumn("sequence", F.expr(f"substring(repeat({bases}, int({n} / 5) + 1), 1, {n})"))
+    base = lambda j: F.expr(f"substring('ACGT', int((p_partkey + {j}) % 4) + 1, 1)")
+    nodes = _t(spark, d, "part").select(F.col("p_partkey").alias("node"), F.repeat(F.concat(base(0), base(1)), F.lit(25)).alias("seq"))
+    made = adjusted_mappings(a, nodes)
+    with parted(spark, made.count()):
+        return saved(made.groupBy("read", "node").agg(F.sum("score").cast("long").alias("score"), F.sum("aligned").cast("long").alias("aligned")), scratch(spark, "adjusted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import session
+from skein.functions import quality
 from skein.plans import driver, driver_files
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +76,14 @@ def test_stream(spark, monkeypatch):
     out = made["stream"].removeprefix("file://")
     assert len(parts) > 2 and times == sorted(times) and len(set(times)) == len(times)
     assert len(glob.glob(f"{out}/names/batch=*")) == 2 and not os.path.exists(f"{out}/checkpoint/state")
+
+
+def test_edits_keep_their_rows(spark):
+    """Batches of edits are scored at once: none is lost without its node, and a character of several bytes is one base."""
+    rows = [("r", 1, False, 2, 2, 0, 1, 4, "Cg", b"\x28\x28", 2), ("r", 1, True, 2, 2, 2, 0, 4, "äC", b"\x28\x28", 2), ("r", 9, False, 1, 1, 1, 0, 4, "A", b"\x28", 1), ("r", 1, False, 1, 0, 1, 0, 4, "", b"", -6)]
+    scored = spark.createDataFrame(rows, "read string, node long, read_rev boolean, from_length long, to_length long, read_pos long, ref_pos long, read_total long, bases string, quals binary, score long")
+    nodes = spark.createDataFrame([(1, "ACGT")], "node long, seq string")
+    hit, _, end = quality.tables()
+    got = quality.adjust(quality.with_bases(scored, nodes)).select("node", "read_rev", "from_length", "score").collect()
+    want = [(1, False, 2, 2 * hit[40] + end[40]), (1, True, 2, hit[40] + end[40]), (9, False, 1, 1), (1, False, 1, -6)]
+    assert sorted(map(tuple, got)) == sorted(want)
