@@ -15,7 +15,7 @@ from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, counting
 from skein.plans.annotate import annotate
 from skein.plans.convert import Options, adjusted_mappings, convert, edit_rows, interned, scored_mappings, subpath_scores
-from skein.session import ROWS_A_TASK, parted, saved, scratch
+from skein.session import ROWS_A_TASK, parted, saved, scratch, tasks_for
 from skein.sources import bam, graph_store, rad, readers, writers
 from skein.streaming import convert as stream
 
@@ -25,12 +25,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def alignments(spark, d) -> DataFrame:
-    """The columns of readers.read_alignments."""
+    """The columns of readers.read_alignments. Lines are dealt by read before they are collected, to tasks whose number
+    follows the lines': no scan holds lists of all the lines it reads."""
     q = "bigint(l_quantity)"
     edit = f"named_struct('from_length', if(l_returnflag = 'R' and l_linestatus = 'O', bigint(0), {q}), 'to_length', if(l_returnflag = 'R' and l_linestatus = 'F', bigint(0), {q}), 'sequence', if(l_returnflag = 'N', 'A', ''))"
     mapping = F.expr(f"named_struct('node', l_partkey, 'offset', bigint(0), 'is_reverse', l_suppkey % 2 = 1, 'edit', array({edit}))")
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", mapping.alias("m"))
-    reads = _t(spark, d, "lineitem").withColumn("line", line).groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["m"]).alias("mapping"))
+    lines = _t(spark, d, "lineitem")
+    reads = lines.repartition(tasks_for(spark, lines.count()), "l_orderkey").withColumn("line", line).groupBy(F.col("l_orderkey").alias("k")).agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["m"]).alias("mapping"))
     tag = F.concat(F.lit("r"), "k", F.lit("_"), mol.umi_of(F.col("k") % 1000, 16), F.lit("_"), mol.umi_of(F.col("k")))
     name = F.when(F.col("k") % 17 == 0, F.concat(F.lit("r"), "k")).when(F.col("k") % 17 == 1, F.concat(tag, F.lit("A"))).when(F.col("k") % 17 == 2, F.concat(F.expr("substring(cast(k as string), 1, 0)"), F.regexp_replace(tag, ".$", "X"))).otherwise(tag)
     total = "aggregate(mapping, bigint(0), (a, m) -> a + m.edit[0].to_length)"

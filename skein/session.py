@@ -93,6 +93,14 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, by: str) -> DataFrame:
+    """Rows in the order of by, over tasks whose number follows the rows'. They are stored first, so that what they are made
+    of runs once, not again for the count and for the ranges."""
+    spark = rows.sparkSession
+    stored = saved(rows, scratch(spark, "rows"))
+    return stored.repartitionByRange(tasks_for(spark, stored.count()), by).sortWithinPartitions(by)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from skein.session import ship
+from skein.session import in_order, ship
 from skein.sources.parts import HEADER, PartsWriter, bodies, mounted, publish
 from skein.sources.writers import CONTIG
 
@@ -300,7 +300,7 @@ def write_bam(records: DataFrame, genes: DataFrame, path: str, command: str = ""
     spark.dataSource.register(BamSource)
     names = [r[0] for r in genes.select("gene").distinct().orderBy("gene").collect()]
     ids = spark.createDataFrame([(g, i) for i, g in enumerate(names)], "primary_gene string, contig int")
-    rows = records.join(ids, "primary_gene").repartitionByRange("ord").sortWithinPartitions("ord")
+    rows = in_order(records.join(ids, "primary_gene"), "ord")
     raw = F.expr("if(quality_text is null, null, unhex(array_join(transform(sequence(1, length(quality_text)), i -> lpad(hex(ascii(substring(quality_text, i, 1)) - 33), 2, '0')), '')))")
     rows = rows.select("name", "contig", "sequence", raw.alias("quality"), "barcode", "umi", "genes", "xt")
     publish(rows, "tagged_bam", path, lambda _: header(names, command, version), block(b""))

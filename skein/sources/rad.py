@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.functions.molecule import pack, packed_width, target_word
-from skein.session import ship
+from skein.session import in_order, ship
 from skein.sources.parts import HEADER, PartsWriter, as_one_file, bodies, mounted, publish
 
 __all__ = ["as_one_file", "read_rad", "write_rad"]
@@ -187,7 +187,7 @@ def write_rad(records: DataFrame, dictionary: DataFrame, path: str, barcode: int
     ship(spark)
     spark.dataSource.register(RadSource)
     rows = records.select("ord", pack(F.col("barcode")).alias("b"), pack(F.col("umi")).alias("u"), F.transform("hits", lambda h: target_word(h["target_id"], h["forward"])).alias("words"))
-    rows = rows.repartitionByRange(F.col("ord")).sortWithinPartitions("ord").select("b", "u", "words")
+    rows = in_order(rows, "ord").select("b", "u", "words")
     names = [r[0] for r in dictionary.orderBy("target_id").select("target").collect()]  # as many as the annotation has
     publish(rows, "rad", path, lambda chunks: header(names, barcode, umi, chunks), barcode=barcode, umi=umi, budget=max_chunk)
 

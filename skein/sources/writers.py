@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skein.operators.attribute import transcript_of
+from skein.session import in_order
 
 #: Fixed value: the length told of every gene, which has no sequence of its own here.
 CONTIG = 1 << 28
@@ -34,7 +35,7 @@ def sam_header(genes: DataFrame, command: str, version: str) -> DataFrame:
 def write_sam(records: DataFrame, genes: DataFrame, path: str, command: str = "", version: str = "1") -> None:
     """Header and alignments in input order."""
     lines = sam_header(genes, command, version).union(sam_lines(records))
-    lines.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
+    in_order(lines, "ord").select("value").write.mode("overwrite").text(path)
 
 
 def by_place(alignments: DataFrame, contig: str = "primary_gene", pos: str = "pos") -> DataFrame:
@@ -60,7 +61,7 @@ def write_summary(summary: DataFrame, path: str) -> None:
 def write_rejected(rejected: DataFrame, path: str) -> None:
     """A warning for each group whose name couldn't be read."""
     told = rejected.select("ord", F.concat(F.lit("warning: skipping "), "read", F.lit(": molecule "), "status").alias("value"))
-    told.repartitionByRange("ord").sortWithinPartitions("ord").select("value").write.mode("overwrite").text(path)
+    in_order(told, "ord").select("value").write.mode("overwrite").text(path)
 
 
 def gene_map_of_new_paths(before: DataFrame, after: DataFrame) -> DataFrame:

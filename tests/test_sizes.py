@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from skein import session
 from skein.functions import quality
+from skein.operators import attribute
 from skein.plans import driver, driver_files
+from skein.sources import writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +58,35 @@ def test_conversion(spark, monkeypatch, mode):
     assert ords == sorted(ords)
 
 
+def test_alignments(spark, monkeypatch):
+    """Lines are dealt by read before any list is made of them, to as many tasks as the lines ask for."""
+    every = lambda: driver_files.alignments(spark, SF).agg(F.count(F.lit(1)), F.sum(F.xxhash64("name", "sequence", "subpath", "ord").cast("decimal(38,0)"))).first()
+    want = every()
+    monkeypatch.setattr(session, "ROWS_A_TASK", 300)
+    assert every() == want
+    made = driver_files.alignments(spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("ObjectHashAggregate")
+    assert made.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300) > 4
+
+
+def test_interned(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 20)
+    seen = stored(monkeypatch, attribute)
+    attribute.intern(driver.node_paths(spark, SF), session.scratch(spark, "graph"))
+    assert files(seen["rows"]) > 4
+
+
+def test_files_in_order(spark, tmp_path, monkeypatch):
+    """Written rows go to as many tasks as they ask for, and a file's lines stay in order."""
+    rows = spark.range(1000).select((F.lit(1000) - F.col("id")).alias("ord"), F.concat(F.lit("r"), "id").alias("read"), F.lit("missing").alias("status"))
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    writers.write_rejected(rows, str(tmp_path / "warnings"))
+    parts = sorted(glob.glob(f"{tmp_path}/warnings/part-*"))
+    lines = [line for p in parts for line in open(p).read().splitlines()]
+    assert len(parts) == 10 and lines == [f"warning: skipping r{k}: molecule missing" for k in range(999, -1, -1)]
+
+
 def test_driver_targets(spark, monkeypatch):
     every = lambda: driver.targets(spark, SF).agg(F.count(F.lit(1)), F.sum(F.xxhash64("read", "target", "fwd", "rev", "forward").cast("decimal(38,0)"))).first()
     want = every()
