@@ -94,4 +94,5 @@ def read_offsets(lengths: str, nexts: str, starts: str) -> Column:
     step = f"concat(acc, array(if(array_contains(x.seeds, j), bigint(0), {come('i < j', 'acc')})))"
     known = f"aggregate({every}, cast(array() as array<bigint>), (acc, j) -> {step})"
     told = f"transform(array({known}), known -> transform(known, (found, j) -> coalesce(found, {come('i > j', 'known')}, bigint(0))))[0]"
-    return F.expr(f"if(size({lengths}) = 0, array(), transform(array(named_struct('led', {led}, 'seeds', {seeds})), x -> {told})[0])")
+    alone = f"transform({lengths}, x -> bigint(0))"  # one subpath starts at 0, whatever leads to it
+    return F.expr(f"if(size({lengths}) <= 1, {alone}, transform(array(named_struct('led', {led}, 'seeds', {seeds})), x -> {told})[0])")

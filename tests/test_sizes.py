@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import session
-from skein.functions import quality
+from skein.functions import quality, scoring
 from skein.operators import attribute
 from skein.plans import driver, driver_files
 from skein.sources import writers
@@ -87,6 +87,13 @@ def test_files_in_order(spark, tmp_path, monkeypatch):
     assert len(parts) == 10 and lines == [f"warning: skipping r{k}: molecule missing" for k in range(999, -1, -1)]
 
 
+def test_one_subpath(spark):
+    """A lone subpath starts at 0 even if it leads to itself; more go the long way."""
+    rows = [([5], [[]], []), ([5], [[0]], []), ([5], [[]], [0]), ([], [], []), ([5, 7], [[1], []], [])]
+    df = spark.createDataFrame(rows, "l array<bigint>, n array<array<int>>, s array<int>")
+    assert [r[0] for r in df.select(scoring.read_offsets("l", "n", "s")).collect()] == [[0], [0], [0], [], [0, 5]]
+
+
 def test_driver_targets(spark, monkeypatch):
     every = lambda: driver.targets(spark, SF).agg(F.count(F.lit(1)), F.sum(F.xxhash64("read", "target", "fwd", "rev", "forward").cast("decimal(38,0)"))).first()
     want = every()
