@@ -198,8 +198,10 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
 
 class CachedTokenizer:
-    """Ids as the tokenizers library gives them for a vocabulary of lower-cased words with word ends. The library
-    encodes each distinct word once; a text of other characters than plain ones goes to the library whole."""
+    """Ids as the tokenizers library gives them for a vocabulary of lower-cased words with word ends. The library's model
+    encodes each distinct word once, written in the characters that stand for its bytes: what the library does before and
+    after its model is known for a word and isn't done a word. A text of other characters than plain ones goes to the
+    library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -209,12 +211,15 @@ class CachedTokenizer:
         self.whole.no_padding()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        told["normalizer"] = None
-        word = Tokenizer.from_str(json.dumps(told))
-        word.no_truncation()
-        word.no_padding()
         self.special = [t["content"] for t in told.get("added_tokens", [])]
-        self.words = _Words(re.compile(FAST_WORDS).findall, lambda w: word.encode(w, add_special_tokens=False).ids)
+        tokens, chars = self.whole.model.tokenize, byte_chars()
+
+        def ids(word):
+            if not (word.isascii() and word.isprintable()):  # printable ASCII stands for itself
+                word = "".join([chars[b] for b in word.encode()])
+            return [t.id for t in tokens(word)]
+
+        self.words = _Words(re.compile(FAST_WORDS).findall, ids)
 
     def encode(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or any(s in text for s in self.special):

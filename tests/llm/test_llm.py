@@ -317,6 +317,19 @@ def test_urls(spark, tmp_path):
 ODD = ["", "a" * 3000, "x<|endoftext|>y  ", "  \n\n a", "İstanbul ÀÉ ǰ J̌", "日本語 😀😀", "ΑΣ ΣΑΣ", "it's we're 'S  ''re", "\x1c\x1d a\x1eb\x85c\xa0d", "½²ª", "x,\n\n y \r\n z   "]
 
 
+def test_plain_words_need_the_model_only(monkeypatch):
+    """Words of plain texts, control characters among them, get the library's ids from its model alone."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    monkeypatch.setattr(Tokenizer, "from_str", None)
+    own, rand = bpe.CachedTokenizer(tokenizer("word_bpe_49k.json")), random.Random(7)
+    for k in range(2000):
+        t = "".join(chr(rand.randrange(0x180 if k % 2 else 0x80)) for _ in range(k % 40))
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == struct.pack(f"<{len(want)}I", *want), t
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_token_ids(name):
     from tokenizers import Tokenizer
