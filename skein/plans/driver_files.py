@@ -108,11 +108,11 @@ def _bam(spark, d):
 
 
 def _rad_order(spark, d):
-    """Records by their place in the file."""
+    """Records by their place in the file, which are told apart by tasks whose number follows the hits'."""
     out = converted(spark, d)
     to = scratch(spark, "rad")
     rad.write_rad(out["records"], out["dictionary"], to, max_chunk=1000)
-    return rad.read_rad(spark, to).select("record", "umi").distinct()
+    return rad.read_rad(spark, to).select("record", "umi").repartition(tasks_for(spark, out["targets"].count()), "record").distinct()
 
 
 def _lines(write, rows: DataFrame, name: str) -> DataFrame:

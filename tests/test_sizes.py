@@ -77,6 +77,14 @@ def test_interned(spark, monkeypatch):
     assert files(seen["rows"]) > 4
 
 
+def test_rad_order(spark, monkeypatch):
+    """Hits become records again in as many tasks as they ask for."""
+    want = sorted(map(tuple, driver_files._rad_order(spark, SF).collect()))
+    monkeypatch.setattr(session, "ROWS_A_TASK", 300)
+    got = driver_files._rad_order(spark, SF)
+    assert got.rdd.getNumPartitions() > 4 and sorted(map(tuple, got.collect())) == want
+
+
 def test_files_in_order(spark, tmp_path, monkeypatch):
     """Written rows go to as many tasks as they ask for, and a file's lines stay in order."""
     rows = spark.range(1000).select((F.lit(1000) - F.col("id")).alias("ord"), F.concat(F.lit("r"), "id").alias("read"), F.lit("missing").alias("status"))
