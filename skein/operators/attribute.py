@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skein.session import parted, saved
+from skein.session import parted, saved, tasks_for
 
 STRANDS = ("both", "forward", "reverse")
 
@@ -46,8 +46,10 @@ def intern(node_paths: DataFrame, folder: str | None = None) -> Interned:
     the graph only; hashes are partial aggregates, so a node of very many paths or a path of very many nodes is no matter.
     With a folder of the shared store each table is written once, and every use reads it."""
     kept = lambda t, name: saved(t, f"{folder}/{name}") if folder else t
-    with parted(node_paths.sparkSession, node_paths.count() if folder else 0):
-        rows = kept(node_paths.groupBy("node", "path", "path_rev").agg(F.count(F.lit(1)).alias("visits")), "rows")
+    spark, n = node_paths.sparkSession, node_paths.count() if folder else 0
+    steps = node_paths.repartition(tasks_for(spark, n), "node", "path", "path_rev") if folder else node_paths  # no scan hashes all that it reads
+    with parted(spark, n):
+        rows = kept(steps.groupBy("node", "path", "path_rev").agg(F.count(F.lit(1)).alias("visits")), "rows")
         groups = kept(_least_equal(rows, "path", ["node", "path_rev", "visits"]).withColumnRenamed("least", "grp"), "groups")
         own = kept(rows.join(groups.where("path = grp").select("path"), "path", "left_semi").withColumnRenamed("path", "grp"), "own")
         classes = kept(_least_equal(own, "node", ["grp", "path_rev", "visits"]).withColumnRenamed("least", "cls"), "classes")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skein.functions import molecule as mol, quality, scoring
 from skein.operators import attribute, checks, ledger as led
 from skein.operators.checks import InputError
-from skein.session import parted, saved, scratch, tasks_for
+from skein.session import parted, saved, scratch, split, tasks_for
 
 #: The summary's keys in their order.
 SUMMARY = (
@@ -136,14 +136,19 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     intern it once and hand it over."""
     options.check(body is not None)
     folder = scratch(spark, "convert")
-    reads = saved(reads, f"{folder}/reads")
+    with split(spark):
+        reads = saved(reads, f"{folder}/reads")
     identity = mol.molecule(F.col("name"), options.barcode_length, options.umi_length)
     aligned = F.size("subpath") > 0
-    kept = [F.min_by(F.struct("sequence", "quality"), "ord").alias("any"), F.min_by(F.when(aligned, F.struct("sequence", "quality")), F.when(aligned, F.col("ord"))).alias("first")] if options.alignments != "off" else []
-    groups = reads.groupBy("name").agg(
-        F.min("ord").alias("ord"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("records"), F.bool_or(aligned).alias("aligned"), F.bool_or(~aligned).alias("unaligned"), F.max(F.when(aligned, F.length("sequence"))).alias("read_length"), *kept
+    on = F.col("aligned")
+    kept = [F.min_by(F.struct("sequence", "quality"), "ord").alias("any"), F.min_by(F.when(on, F.struct("sequence", "quality")), F.when(on, F.col("ord"))).alias("first")] if options.alignments != "off" else []
+    given = reads.count()
+    # dealt by name first, without their mappings: no scan sorts or hashes all the reads that it reads
+    dealt = reads.select("name", "ord", aligned.alias("aligned"), F.length("sequence").alias("length"), *(["sequence", "quality"] if kept else [])).repartition(tasks_for(spark, given), "name")
+    groups = dealt.groupBy("name").agg(
+        F.min("ord").alias("ord"), F.max("ord").alias("last"), F.count(F.lit(1)).alias("records"), F.bool_or(on).alias("aligned"), F.bool_or(~on).alias("unaligned"), F.max(F.when(on, F.col("length"))).alias("read_length"), *kept
     )
-    with parted(spark, reads.count()):
+    with parted(spark, given):
         groups = saved(groups.withColumn("m", identity).withColumnRenamed("name", "read"), f"{folder}/groups")
     if groups.isEmpty():
         raise InputError("the alignment input is empty")
@@ -154,11 +159,13 @@ def convert(spark: SparkSession, reads: DataFrame, nodes: DataFrame, steps: Data
     ok = reads.where((identity["status"] == "ok") & aligned)
     score_mode = options.count_mode == "score"
     made = adjusted_mappings(ok, nodes) if score_mode and options.scores == "qualadj" else scored_mappings(ok)
-    m = saved(made if score_mode else made.where("aligned > 0"), f"{folder}/mappings")
+    with parted(spark, given):
+        m = saved(made if score_mode else made.where("aligned > 0"), f"{folder}/mappings")
     rows = m.count()
     n = tasks_for(spark, rows)
     by_read = lambda t: t.repartition(n, "read") if n > tasks_for(spark, 0) else t
-    checks.require(m.select("node", "rec").groupBy("node").agg(F.min("rec").alias("rec")).join(nodes.select("node"), "node", "left_anti"), "a node is not in the graph", "rec")
+    with parted(spark, rows):
+        checks.require(m.select("node", "rec").groupBy("node").agg(F.min("rec").alias("rec")).join(nodes.select("node"), "node", "left_anti"), "a node is not in the graph", "rec")
     if score_mode:
         named = t2g.withColumn("target", attribute.transcript_of(F.col("path")))
         checks.require(checks.conflicting(named, "target", "gene"), "a transcript has two genes", "target")

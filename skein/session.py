@@ -62,8 +62,8 @@ def shuffles_dropped(spark: SparkSession):
 
 #: Rows of a table that a task of a long stage takes, about: a read's mappings pass some seven hash tables and sorts there,
 #: which keep a few hundred MB at this number.
-ROWS_A_TASK = 1 << 18
-_PARTS, _ADVISED = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+ROWS_A_TASK = 1 << 17
+_PARTS, _ADVISED, _SPLIT = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
@@ -71,16 +71,30 @@ def tasks_for(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get(_PARTS)), -(-rows // ROWS_A_TASK))
 
 
+@contextmanager
+def split(spark: SparkSession):
+    """Inside, scans read 16 MB of a file at most: what groups the rows that it reads, or deals them to so many partitions
+    that Spark sorts them first, holds them in memory."""
+    before = spark.conf.get(_SPLIT)
+    if spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() > 16 << 20:
+        spark.conf.set(_SPLIT, "16m")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPLIT, before)
+
+
 @contextmanager
 def parted(spark: SparkSession, rows: int):
-    """Inside, shuffles go to tasks_for(rows) partitions, so that a task's memory doesn't grow with the input. For tables that
-    are written inside; where the session's own number does, nothing changes."""
+    """Inside, shuffles go to tasks_for(rows) partitions and scans are split(), so that a task's memory doesn't grow with the
+    input. For tables that are written inside; where the session's own number does, shuffles don't change."""
     n, before = tasks_for(spark, rows), {k: spark.conf.get(k) for k in (_PARTS, _ADVISED)}
     if n > int(before[_PARTS]):
         spark.conf.set(_PARTS, n)
         spark.conf.set(_ADVISED, "8m")  # partitions aren't merged into what the session thinks fit for short stages
     try:
-        yield
+        with split(spark):
+            yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -97,7 +111,8 @@ def in_order(rows: DataFrame, by: str) -> DataFrame:
     """Rows in the order of by, over tasks whose number follows the rows'. They are stored first, so that what they are made
     of runs once, not again for the count and for the ranges."""
     spark = rows.sparkSession
-    stored = saved(rows, scratch(spark, "rows"))
+    with split(spark):
+        stored = saved(rows, scratch(spark, "rows"))
     return stored.repartitionByRange(tasks_for(spark, stored.count()), by).sortWithinPartitions(by)
 
 

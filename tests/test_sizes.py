@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,41 @@ def test_interned(spark, monkeypatch):
     assert files(seen["rows"]) > 4
 
 
+def planned(monkeypatch, module):
+    """The plans of the tables that module writes, by their last name."""
+    seen, whole = {}, session.saved
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(module, "saved", lambda df, path: seen.setdefault(path.rsplit("/", 1)[-1].split("-")[0], plan(df)) and whole(df, path))
+    return seen
+
+
+@pytest.mark.parametrize("kept", ["off", "first"])
+def test_groups_are_dealt_first(spark, monkeypatch, kept):
+    """Reads are dealt by name, and steps by node and path, before anything is sorted or hashed, and without mappings."""
+    from skein.plans import convert
+
+    groups, graph = planned(monkeypatch, convert), planned(monkeypatch, attribute)
+    driver_files.converted(spark, SF, alignments=kept)
+    for plan, key in ((groups["groups"], "name"), (graph["rows"], "node")):
+        behind, ahead = (len(re.findall(rf"Aggregate\(keys?=\[{key}", part)) for part in plan.split("Exchange", 1))
+        assert (behind, ahead) == (2, 0)
+    assert groups["groups"].count("Exchange") == 1 and "subpath" not in groups["groups"].split("Exchange")[0]
+
+
+def test_scans_are_split(spark, monkeypatch):
+    """Scans of the tables that a conversion writes, and of its input, read no more than 16 MB a task."""
+    from skein.plans import convert
+
+    key, seen, whole = "spark.sql.files.maxPartitionBytes", {}, session.saved
+    before = spark.conf.get(key)
+    monkeypatch.setattr(convert, "saved", lambda df, path: seen.setdefault(path.rsplit("/", 1)[-1], spark.conf.get(key)) and whole(df, path))
+    driver_files.converted(spark, SF)
+    assert spark.conf.get(key) == before != "16m"
+    assert seen == dict.fromkeys(("reads", "groups", "mappings", "targets"), "16m")
+    monkeypatch.setattr(session, "saved", lambda df, path: seen.setdefault("rows", spark.conf.get(key)) and whole(df, path))
+    assert [r[0] for r in session.in_order(spark.range(9, -1, -1), "id").collect()] == list(range(10)) and seen["rows"] == "16m"
+
+
 def test_rad_order(spark, monkeypatch):
     """Hits become records again in as many tasks as they ask for."""
     want = sorted(map(tuple, driver_files._rad_order(spark, SF).collect()))
