@@ -3,18 +3,20 @@
 Equal vectors form a class (one aggregation); classes are dealt to shards by hash. Each shard's task builds a hierarchical
 navigable small-world graph, which is stored once in the shared folder. Every class then queries every shard by beam
 search for all vectors with cosine >= the threshold. A task of the search holds one shard's graph and lets its queries
-stream past in blocks of BLOCK. A query's beam is widened for as long as its worst member still passes the threshold, and
-a block's beams are widened together until an audit passes: exact products show which of SAMPLE queries of the block and
+stream past in blocks of BLOCK. Where a beam's worst member still passes the threshold, the beam may not hold all that do,
+and exact blocked products of the query with the shard tell them: they cost less than a beam of hundreds. A block's beams
+are widened together until an audit passes: exact products show which of SAMPLE queries of the block and
 SAMPLE of the shard's own vectors have true neighbours other than themselves; of these pairs AUDIT_RECALL or more must be
 found, and, since a block may hold few pairs or none, TURNED_RECALL of AUDIT of the shard's vectors when asked for by copies
 that are turned away from them to just above the threshold. Where beams would cover a good part
-of the shard (1 / WIDE of it), exact blocked products answer instead: the way for whatever no audit passes. Found pairs
+of the shard (1 / WIDE of it) or be wider than WIDEST, exact products answer instead: the way for whatever no audit passes. Found pairs
 are verified by cosine in double precision. A task tells how many vectors each query links with, and a spanning forest
 of its links, never the pairs; the forest's components are the answer's. Each block's recall (of true pairs; of turned
 vectors where it held none) and beam are told, too; the least recall and the number of true pairs are in the result.
 
 A shard holds at most about SHARD_BYTES of numbers, so that one fits a task's memory whatever the vectors' width. Each
-query is sent to each shard, and each graph to TASKS / shards tasks (one where there are that many shards).
+query is sent to each shard, and each graph to TASKS / shards tasks (one where there are that many shards). Shards, and
+their chunks of queries, are dealt to tasks by number: hashes of so few keys would leave some tasks two or three of them.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
 component; vectors of different lengths never link; equal vectors are linked with each other (repeated rows count as
@@ -27,7 +29,6 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -45,8 +46,15 @@ AUDIT, AUDIT_RECALL = 24, 0.995
 #: Vectors of a block, and of a shard, among which an audit looks for true pairs; the share of turned vectors to be found.
 SAMPLE, TURNED_RECALL = 256, 0.95
 BATCH = 128
+#: Vectors of a shard that a product takes at once; layers of so many vectors are compared whole.
+TILE, ENTRY = 8192, 2048
+#: Numbers of the vectors whose cosines are made at once, so that they stay in a core's cache.
+NEAR = 65536
+#: Members of a beam whose neighbours are looked at in one step.
+AHEAD = 8
 BLOCK = 2048
-WIDE = 8
+#: Beams of 1 / WIDE of a shard or wider than WIDEST cost more than exact products.
+WIDE, WIDEST = 8, 320
 
 
 class Graph:
@@ -61,26 +69,46 @@ class Graph:
         self.near = [np.full((n, 2 * m if lv == 0 else m), -1, np.int32) for lv in range(self.top + 1)]
         # the highest first: upper layers stand before the mass of vectors enters
         order = np.argsort(-self.level, kind="stable")
-        self.entry = order[: max(1, int((self.level == self.top).sum()))][:8] if n else order
+        self.order, self.marks, self.memo = order, None, {}
+        self.many = [int((self.level >= lv).sum()) for lv in range(self.top + 1)]
         done = 0
         while done < n:
             step = order[done : done + max(1, min(BATCH, max(done, 16)))]
-            self._insert(step, order[:done], ef)
+            self._insert(step, done, ef)
             done += len(step)
-
-    def _insert(self, new: np.ndarray, old: np.ndarray, ef: int) -> None:
+        self.marks = None
+
+    def _descent(self, q: np.ndarray, done: int) -> tuple[int, np.ndarray]:
+        """The highest layer that holds over ENTRY of the first `done` vectors, or the lowest, and where to enter it: the best
+        of the layer above, all of which are compared, or its first vectors."""
+        lv = max([lv for lv, many in enumerate(self.many) if min(done, many) > ENTRY], default=0)
+        if lv == self.top:
+            return lv, np.broadcast_to(self.order[: min(8, done)], (len(q), min(8, done)))
+        above = self.order[: min(done, self.many[lv + 1])]
+        if len(above) <= 8:
+            return lv, np.broadcast_to(above, (len(q), len(above)))
+        return lv, above[np.argpartition(q @ self.x[above].T, len(above) - 8, axis=1)[:, -8:]]
+
+    def _insert(self, new: np.ndarray, done: int, ef: int) -> None:
         q = self.x[new]
         among = q @ q.T
         np.fill_diagonal(among, -np.inf)
-        start = None
+        first, start = self._descent(q, done) if done else (0, None)
         for lv in range(self.top, -1, -1):
             here = np.nonzero(self.level[new] >= lv)[0]
-            present = old[self.level[old] >= lv]
-            if len(present):
-                if start is None:
-                    begin = present[: min(8, len(present))]
-                    start = np.broadcast_to(begin, (len(new), len(begin)))
-                ids, sims = self.beam(q, start, ef if len(here) else 8, lv)
+            if not len(here) and lv > first:
+                continue
+            if done and min(done, self.many[lv]):
+                if lv > first:  # all of a small layer are compared
+                    present = self.order[: min(done, self.many[lv])]
+                    k = min(ef, len(present))
+                    sims = q @ self.x[present].T
+                    pick = np.argpartition(sims, len(present) - k, axis=1)[:, -k:]
+                    ids, sims = present[pick], np.take_along_axis(sims, pick, 1)
+                else:
+                    ids, sims = self.beam(q, start, ef if len(here) else 8, lv)
+                    start = ids[:, :16]
+                    start = np.where(start < 0, self.order[0], start)
             else:
                 ids, sims = np.full((len(new), 1), -1, np.int64), np.full((len(new), 1), -np.inf, np.float32)
             if len(here):
@@ -92,9 +120,6 @@ class Graph:
                 s = np.hstack([sims[here], np.take_along_axis(side, pick, 1)])
                 c = np.where(np.isneginf(s), -1, c)
                 self._link(new[here], c, s, lv)
-            if len(present):
-                start = ids[:, :16]
-                start = np.where(start < 0, present[0], start)
 
     def _choose(self, c: np.ndarray, s: np.ndarray, most: int) -> np.ndarray:
         """Diverse neighbours of each row's candidates: one is kept if it is nearer to the row than to any kept one; the
@@ -102,7 +127,7 @@ class Graph:
         order = np.argsort(-s, axis=1, kind="stable")
         c, s = np.take_along_axis(c, order, 1), np.take_along_axis(s, order, 1)
         v = self.x[np.maximum(c, 0)]
-        between = np.einsum("aid,ajd->aij", v, v, optimize=True)
+        between = v @ v.transpose(0, 2, 1)
         ok = c >= 0
         kept = np.zeros(c.shape, bool)
         for i in range(c.shape[1]):
@@ -133,11 +158,14 @@ class Graph:
         # twice the same neighbour (linked from both sides in one step) counts once
         c.sort(axis=1)
         c[:, 1:][c[:, 1:] == c[:, :-1]] = -1
-        for at in range(0, len(targets), 512):
-            t, cc = targets[at : at + 512], c[at : at + 512]
+        c = -np.sort(-c, axis=1)  # empty places last
+        count = (c >= 0).sum(1)
+        order = np.argsort(count, kind="stable")  # those of few candidates aren't as wide as a hub
+        for at in range(0, len(targets), 256):
+            rows = order[at : at + 256]
+            t, cc, full = targets[rows], c[rows, : count[rows[-1]]], count[rows] > width
             s = np.einsum("ad,akd->ak", self.x[t], self.x[np.maximum(cc, 0)], optimize=True)
             s[cc < 0] = -np.inf
-            full = (cc >= 0).sum(1) > width
             out = np.full((len(t), width), -1, np.int64)
             if (~full).any():
                 r = np.argsort(-s[~full], axis=1, kind="stable")[:, :width]
@@ -150,76 +178,102 @@ class Graph:
 
     def beam(self, q: np.ndarray, start: np.ndarray, ef: int, lv: int) -> tuple[np.ndarray, np.ndarray]:
         """The ef best vectors found for each query on a layer, best first (-1: none), and their cosines."""
-        x, near, n = self.x, self.near[lv], len(self.x)
-        rows = np.arange(len(q))[:, None]
-        ef = max(ef, 1)
-        seen = np.zeros((len(q), n + 1), bool)
-        ids = np.sort(start.astype(np.int64), axis=1)
-        ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
-        sims = np.einsum("ad,akd->ak", q, x[np.maximum(ids, 0)], optimize=True)
-        sims[ids < 0] = -np.inf
-        seen[rows, np.where(ids < 0, n, ids)] = True
-        open_ = ids >= 0
-        if ids.shape[1] < ef:
-            pad = ef - ids.shape[1]
-            ids = np.hstack([ids, np.full((len(q), pad), -1, np.int64)])
-            sims = np.hstack([sims, np.full((len(q), pad), -np.inf, np.float32)])
-            open_ = np.hstack([open_, np.zeros((len(q), pad), bool)])
-        width = 3
+        x, near, n, ef, step = self.x, self.near[lv], len(self.x), max(ef, 1), max(64, NEAR // self.x.shape[1])
+        if self.marks is None or len(self.marks) < len(q):
+            kind = np.uint8 if 2 * AHEAD * self.m < 255 else np.uint16
+            self.marks = np.zeros((max(len(q), BATCH), n + 1), kind)  # of vectors that a query has met; the last isn't one
+            self.marks[:, n] = 255
+        marks, touched = self.marks.reshape(-1), []
+        base = np.arange(len(q))[:, None] * (n + 1)
+
+        def fresh(live, c):
+            """Which of the candidates of each query it hasn't met; of equal ones one."""
+            at = base[live] + np.where(c < 0, n, c)
+            stamp = np.broadcast_to(np.arange(1, c.shape[1] + 1, dtype=marks.dtype), c.shape)
+            unmet = marks[at] == 0
+            marks[at[unmet]] = stamp[unmet]
+            unmet &= marks[at] == stamp
+            touched.append(at[unmet])
+            return unmet
+
+        def cosines(live, c, unmet):
+            r, k = np.nonzero(unmet)
+            ids, asks, s = c[r, k].astype(np.int64), live[r], np.empty(len(r), np.float32)
+            for a in range(0, len(r), step):
+                s[a : a + step] = np.einsum("ad,ad->a", x.take(ids[a : a + step], 0), q.take(asks[a : a + step], 0))
+            return r, ids, s
+
+        ids, sims = np.full((len(q), ef), -1, np.int64), np.full((len(q), ef), -np.inf, np.float32)
+        open_ = np.zeros((len(q), ef), bool)
+        live, c = np.arange(len(q)), start
         while True:
-            score = np.where(open_, sims, -np.inf)
+            r, new, s = cosines(live, c, fresh(live, c))
+            better = s > sims[live].min(1)[r]
+            r, new, s = r[better], new[better], s[better]
+            if len(r):  # candidates better than a beam's worst enter it
+                count = np.bincount(r, minlength=len(live))
+                k = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+                met = np.nonzero(count)[0]
+                place = np.cumsum(count > 0)[r] - 1
+                rows, wide = live[met], ef + int(count.max())
+                i, v, o = np.full((len(met), wide), -1, np.int64), np.full((len(met), wide), -np.inf, np.float32), np.zeros((len(met), wide), bool)
+                i[:, :ef], v[:, :ef], o[:, :ef] = ids[rows], sims[rows], open_[rows]
+                i[place, ef + k], v[place, ef + k], o[place, ef + k] = new, s, True
+                best = np.argpartition(-v, ef - 1, axis=1)[:, :ef]
+                ids[rows], sims[rows], open_[rows] = np.take_along_axis(i, best, 1), np.take_along_axis(v, best, 1), np.take_along_axis(o, best, 1)
             live = np.nonzero(open_.any(1))[0]
             if not len(live):
                 break
-            w = min(width, score.shape[1])
-            pick = np.argpartition(-score[live], w - 1, axis=1)[:, :w]
-            chosen = np.take_along_axis(open_[live], pick, 1)
-            at = np.where(chosen, np.take_along_axis(ids[live], pick, 1), -1)
+            w = min(AHEAD, ef)
             o = open_[live]
+            pick = np.argpartition(np.where(o, -sims[live], np.inf), w - 1, axis=1)[:, :w]
+            chosen = np.take_along_axis(o, pick, 1)
+            at = np.take_along_axis(ids[live], pick, 1)
             np.put_along_axis(o, pick, False, 1)
-            nb = np.where(at[:, :, None] >= 0, near[np.maximum(at, 0)], -1).reshape(len(live), -1).astype(np.int64)
-            nb.sort(axis=1)
-            nb[:, 1:][nb[:, 1:] == nb[:, :-1]] = -1
-            new = (nb >= 0) & ~seen[live[:, None], np.where(nb < 0, n, nb)]
-            seen[live[:, None], np.where(nb < 0, n, nb)] = True
-            s = np.einsum("ad,akd->ak", q[live], x[np.maximum(nb, 0)], optimize=True)
-            s[~new] = -np.inf
-            c = np.hstack([ids[live], np.where(new, nb, -1)])
-            s = np.hstack([sims[live], s])
-            o = np.hstack([o, new])
-            top = np.argpartition(-s, ef - 1, axis=1)[:, :ef]
-            ids[live, :ef], sims[live, :ef], open_[live, :ef] = np.take_along_axis(c, top, 1), np.take_along_axis(s, top, 1), np.take_along_axis(o, top, 1)
-            if ids.shape[1] > ef:
-                ids[live, ef:], sims[live, ef:], open_[live, ef:] = -1, -np.inf, False
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :ef]
+            open_[live] = o
+            c = near[np.where(chosen, at, 0)]
+            c[~chosen] = -1
+            c = c.reshape(len(live), -1)
+        for at in touched:
+            marks[at] = 0
+        order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        start = np.broadcast_to(self.entry, (len(q), len(self.entry)))
-        for lv in range(self.top, 0, -1):
+        first, start = self._descent(q, len(self.x))
+        for lv in range(first, 0, -1):
             ids, _ = self.beam(q, start, 8, lv)
-            start = np.where(ids < 0, self.entry[0], ids)
+            start = np.where(ids < 0, self.order[0], ids)
         return self.beam(q, start, ef, 0)
 
     def exact(self, q: np.ndarray, floor: float) -> list[np.ndarray]:
         """For each query the vectors with cosine >= floor, by blocked products."""
-        return [np.nonzero(row)[0] for a in range(0, len(q), BATCH) for row in q[a : a + BATCH] @ self.x.T >= floor]
+        out = []
+        for a in range(0, len(q), BATCH):
+            block = q[a : a + BATCH]
+            parts = [[np.zeros(0, np.int32)] for _ in block]
+            for b in range(0, len(self.x), TILE):
+                r, c = np.nonzero(block @ self.x[b : b + TILE].T >= floor)
+                if len(r):
+                    for p, hits in zip(parts, np.split((c + b).astype(np.int32), r.searchsorted(np.arange(1, len(block))))):
+                        if len(hits):
+                            p.append(hits)
+            out += [np.concatenate(p) for p in parts]
+        return out
 
     def within(self, q: np.ndarray, floor: float, ef: int = EF) -> list[np.ndarray]:
-        """For each query the vectors found with cosine >= floor. Beams whose worst member passes are widened; one that
-        would be as wide as 1 / WIDE of the vectors is answered exactly."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        """For each query the vectors found with cosine >= floor. Where the worst member of a beam passes, too, there may be
+        more than it holds: products tell, which cost no more than a beam of some hundreds. They also answer where a beam
+        would be as wide as 1 / WIDE of the vectors."""
+        if ef * WIDE >= len(self.x):
+            return self.exact(q, floor)
+        out: list[np.ndarray] = []
         for a in range(0, len(q), BATCH):
-            todo, width = np.arange(a, min(len(q), a + BATCH)), ef
-            while len(todo):
-                if width * WIDE >= len(self.x):
-                    for r, found in zip(todo, self.exact(q[todo], floor)):
-                        out[r] = found
-                    break
-                ids, sims = self.search(q[todo], width)
-                for r, i, s in zip(todo, ids, sims):
-                    out[r] = i[(i >= 0) & (s >= floor)]
-                todo, width = todo[sims[:, -1] >= floor], 8 * width
+            ids, sims = self.search(q[a : a + BATCH], ef)
+            out += [i[(i >= 0) & (s >= floor)] for i, s in zip(ids, sims)]
+            full = np.nonzero(sims[:, -1] >= floor)[0]
+            for r, found in zip(full, self.exact(q[a + full], floor)):
+                out[a + r] = found
         return out
 
 
@@ -251,12 +305,16 @@ def audited(g: Graph, q: np.ndarray, floor: float, place: np.ndarray | None = No
     pairs that it held. place tells where in the graph a query itself stands (-1: it doesn't); nobody is a hit of itself."""
     rng = np.random.default_rng(seed)
     place = np.full(len(q), -1) if place is None else place
-    mine, theirs = (rng.choice(n, min(SAMPLE, n), replace=False) for n in (len(q), len(g.x)))
+    if (floor, seed) not in g.memo:  # what a shard's own vectors have is the same for all blocks
+        own = np.random.default_rng([seed, 1])
+        theirs = own.choice(len(g.x), min(SAMPLE, len(g.x)), replace=False)
+        g.memo[floor, seed] = theirs, g.exact(g.x[theirs], floor), _turned(g.x[theirs[:AUDIT]], (9 * floor + 1) / 10, own)
+    theirs, known, turned = g.memo[floor, seed]
+    mine = rng.choice(len(q), min(SAMPLE, len(q)), replace=False)
     probes, own = np.vstack([q[mine], g.x[theirs]]), np.concatenate([place[mine], theirs])
-    truth = g.exact(probes, floor)
+    truth = g.exact(q[mine], floor) + known
     truth = [t[t != i] for t, i in zip(truth, own)]
     linked = np.array([i for i, t in enumerate(truth) if len(t)][: 4 * AUDIT], int)
-    turned, least = _turned(g.x[theirs[:AUDIT]], (9 * floor + 1) / 10, rng), theirs[:AUDIT]
     pairs, ef = sum(len(truth[i]) for i in linked), EF
     told = [truth[i] for i in linked]
 
@@ -264,10 +322,10 @@ def audited(g: Graph, q: np.ndarray, floor: float, place: np.ndarray | None = No
         """Of the true neighbours of probes, those found."""
         return sum(len(np.intersect1d(t, f)) for t, f in zip(true, found)) / max(1, sum(map(len, true)))
 
-    while ef * WIDE < len(g.x):
+    while ef * WIDE < len(g.x) and ef <= WIDEST:
         recall = share(g.within(probes[linked], floor, ef), told) if pairs else 1.0
         if recall >= AUDIT_RECALL:
-            seen = share(g.within(turned, floor, ef), [np.array([i]) for i in least])
+            seen = share(g.within(turned, floor, ef), [np.array([i]) for i in theirs[:AUDIT]])
             if seen >= TURNED_RECALL:
                 return g.within(q, floor, ef), recall if pairs else seen, ef, pairs
         ef *= 2
@@ -275,21 +333,27 @@ def audited(g: Graph, q: np.ndarray, floor: float, place: np.ndarray | None = No
 
 
 class _Forest:
-    """Edges that join, among all edges offered."""
+    """Trees of a shard's vectors, by where these stand; what isn't in the shard joins them, but is met only once."""
 
-    def __init__(self):
-        self.parent: dict[int, int] = {}
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
 
-    def root(self, a: int) -> int:
-        seen = self.parent
-        while (b := seen.setdefault(a, a)) != a:
-            seen[a] = a = seen.setdefault(b, b)
-        return a
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        top = self.parent[at]
+        while ((up := self.parent[top]) != top).any():
+            top = up
+        self.parent[at] = top
+        return top
 
-    def joins(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
+    def joins(self, at: np.ndarray, place: int) -> np.ndarray:
+        """Of the links of a vector (at place; -1: not in the shard) with those at `at`, the ones that join."""
+        tops, first = np.unique(self.roots(at), return_index=True)
+        if place >= 0:
+            mine = self.roots(np.array([place]))
+            first = first[tops != mine]
+            tops = np.union1d(tops, mine)
+        self.parent[tops] = tops[0]
+        return at[first]
 
 
 _FOUND = "node long, links long, u long, v long, recall double, ef int, pairs long"
@@ -299,18 +363,19 @@ def _links(graph: Graph, raw: np.ndarray, node: np.ndarray, copies: np.ndarray,
     """A block of queries against a shard: each query's links, the links that join, and the audit."""
     x = _unit(asked)
     at = np.minimum(node.searchsorted(own), len(node) - 1)  # a shard's nodes are in order
-    found, recall, ef, pairs = audited(graph, x.astype(np.float32), threshold - 1e-5, np.where(node[at] == own, at, -1))
+    place = np.where(node[at] == own, at, -1)
+    found, recall, ef, pairs = audited(graph, x.astype(np.float32), threshold - 1e-5, place)
     links, u, w = np.zeros(len(own), np.int64), [], []
     for i, f in enumerate(found):
+        f = f[f != place[i]]
         if not len(f):
             continue
         f = f[_unit(raw[f]) @ x[i] >= threshold]
-        f = f[node[f] != own[i]]
         links[i] = copies[f].sum()
-        for other in node[f].tolist():
-            if forest.joins(int(own[i]), other):
-                u.append(int(own[i]))
-                w.append(other)
+        if len(f):
+            f = forest.joins(f, place[i])
+            u += [int(own[i])] * len(f)
+            w += node[f].tolist()
     n, m = len(own), len(u)
     gap = lambda k: [None] * k
     cols = [own.tolist() + gap(m + 1), links.tolist() + gap(m + 1), gap(n) + u + [None], gap(n) + w + [None]]
@@ -320,6 +385,34 @@ def _links(graph: Graph, raw: np.ndarray, node: np.ndarray, copies: np.ndarray,
     )
 
 
+def _build(batches):
+    """Sorted rows (shard, width, node, copies, embedding) -> a graph a shard and width."""
+    key, parts = None, []
+
+    def built():
+        node, copies, raw = (np.concatenate(p) for p in zip(*parts))
+        parts.clear()
+        graph = Graph(_unit_single(raw))
+        graph.x = None  # made again from the vectors, which go along as they came
+        held = pickle.dumps((graph, raw, node, copies), protocol=5)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([held], pa.binary())], names=["shard", "width", "graph"])
+
+    for b in batches:
+        shard, width = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        cuts = np.nonzero((np.diff(shard) != 0) | (np.diff(width) != 0))[0] + 1
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows]):
+            if i == j:
+                continue
+            now = (int(shard[i]), int(width[i]))
+            if parts and now != key:
+                yield built()
+            key, c = now, b.slice(i, j - i)
+            raw = c.column(4).flatten().to_numpy(zero_copy_only=False).reshape(j - i, now[1])
+            parts.append((c.column(2).to_numpy(zero_copy_only=False), c.column(3).to_numpy(zero_copy_only=False), raw))
+    if parts:
+        yield built()
+
+
 def _search(threshold: float):
     """Sorted rows (shard, width, chunk, kind, graph, node, embedding): a graph (kind 0), then its queries."""
 
@@ -341,7 +434,7 @@ def _search(threshold: float):
                         yield out
                     graph, raw, node, copies = pickle.loads(graphs[i].as_buffer())
                     graph.x = _unit_single(raw)
-                    held, forest = (graph, raw, node, copies), _Forest()
+                    held, forest = (graph, raw, node, copies), _Forest(len(node))
                     continue
                 own.append(nodes[i])
                 asked.append(vectors[i].values.to_numpy(zero_copy_only=False))
@@ -370,22 +463,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shards: int | None
     chunks = max(1, -(-TASKS // s))
     placed = nodes.select("node", "copies", "embedding", F.size("embedding").alias("width"), F.pmod(F.xxhash64("node"), F.lit(s)).cast("int").alias("shard"))
 
-    def build(key, pdf):
-        pdf = pdf.sort_values("node")
-        raw = np.stack(pdf["embedding"].to_list())
-        graph = Graph(_unit_single(raw))
-        graph.x = None  # made again from the vectors, which go along as they came
-        held = pickle.dumps((graph, raw, pdf["node"].to_numpy(), pdf["copies"].to_numpy()), protocol=5)
-        return pd.DataFrame({"shard": [key[0]], "width": [key[1]], "graph": [held]})
-
-    graphs = saved(placed.groupBy("shard", "width").applyInPandas(build, "shard int, width int, graph binary"), f"{folder}/graphs")
+    # a shard a task, and a task of the search a shard's chunk: by number, since so few keys' hashes would share tasks
+    dealt = placed.select("shard", "width", "node", "copies", "embedding").repartitionById(s, "shard").sortWithinPartitions("width", "node")
+    graphs = saved(dealt.mapInArrow(_build, "shard int, width int, graph binary"), f"{folder}/graphs")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda t: F.lit(None).cast(t)
     sides = graphs.select("shard", "width", every(chunks).alias("chunk"), F.lit(0).alias("kind"), "graph", none("long").alias("node"), none(kind).alias("embedding"))
     asked = placed.select("node", "embedding", "width", F.pmod(F.xxhash64("node", F.lit("chunk")), F.lit(chunks)).cast("int").alias("chunk"))
     asked = asked.select(every(s).alias("shard"), "width", "chunk", F.lit(1).alias("kind"), none("binary").alias("graph"), "node", "embedding")
     met = sides.union(asked.join(F.broadcast(graphs.select("shard", "width").distinct()), ["shard", "width"], "left_semi").select(*sides.columns))  # as few as shards
-    met = met.repartition(s * chunks, "shard", "width", "chunk").sortWithinPartitions("shard", "width", "chunk", "kind")
+    met = met.repartitionById(s * chunks, F.col("shard") * chunks + F.col("chunk")).sortWithinPartitions("shard", "width", "chunk", "kind")
     found = saved(met.mapInArrow(_search(threshold), _FOUND), f"{folder}/found")
     least, pairs = found.agg(F.min("recall"), F.sum("pairs")).first()
     links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))

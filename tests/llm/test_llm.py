@@ -280,6 +280,55 @@ def test_a_graph_that_finds_only_the_query_itself_is_caught(monkeypatch):
     assert ef == 0 and [sorted(f.tolist()) for f in found] == truth[:400]
 
 
+def test_a_full_beam_is_answered_by_products(monkeypatch):
+    """A beam full of hits isn't widened, and what audits ask of a shard's own vectors is made once for all blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    x[:600] = x[:1] + 0.05 * rng.normal(size=(600, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    g, truth = vector_dedup.Graph(x), [np.nonzero(r)[0].tolist() for r in x @ x.T >= 0.95]
+    search, exact, widths, asked = vector_dedup.Graph.search, vector_dedup.Graph.exact, set(), []
+    monkeypatch.setattr(vector_dedup.Graph, "search", lambda self, q, ef: (widths.add(ef), search(self, q, ef))[1])
+    monkeypatch.setattr(vector_dedup.Graph, "exact", lambda self, q, floor: (asked.append(len(q)), exact(self, q, floor))[1])
+    assert [sorted(f.tolist()) for f in g.within(x[:700], 0.95)] == truth[:700] and widths == {vector_dedup.EF}
+    asked.clear()
+    for a in (1000, 3000):
+        assert vector_dedup.audited(g, x[a : a + 2000], 0.95, np.arange(a, a + 2000))[2] == vector_dedup.EF
+    assert sum(n == vector_dedup.SAMPLE for n in asked) == 3
+
+
+def test_a_forest_of_links():
+    """The links that join make the components that all links make, and are as few as a forest's."""
+    rng, n = np.random.default_rng(7), 60
+    forest, every, joined = vector_dedup._Forest(n), [], []
+    for a in range(2 * n):  # those from n on are in another shard
+        at = rng.choice(n, rng.integers(1, 3), replace=False)
+        if len(at := at[at != a]):
+            every += [(a, b) for b in at.tolist()]
+            joined += [(a, b) for b in forest.joins(at, a if a < n else -1).tolist()]
+
+    def components(edges):
+        c = list(range(2 * n))
+        for a, b in edges:
+            c = [c[a] if x == c[b] else x for x in c]
+        return [c.index(x) for x in c]
+
+    assert components(every) == components(joined) and len(joined) == 2 * n - len(set(components(every))) < len(every)
+
+
+def test_shards_and_their_chunks_have_tasks_of_their_own(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(8).normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    tasks, saved = {}, vector_dedup.saved
+
+    def told(rows, path):
+        tasks[path.rsplit("/", 1)[-1]] = rows.select(F.spark_partition_id().alias("task")).distinct().count()
+        return saved(rows, path)
+
+    monkeypatch.setattr(vector_dedup, "saved", told)
+    assert vector_dedup.near_vectors(df, 0.95, shards=4).count() == 600
+    assert tasks["graphs"] == 4 and tasks["found"] == vector_dedup.TASKS
+
+
 def _index(folder, rules):
     (folder / "rules").write_bytes(url_filter.build_index(rules))
     return url_filter.DigestArray(str(folder / "rules"))
